@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, reply_trees
+from . import bpe, license_scan, quality_rules, reply_trees
 from .common import table
 
 QUERIES: dict = {}
@@ -112,3 +112,18 @@ from documents d left join (select * from r where k = 1) r using (doc_id)
 
 QUERIES["op9_license_scan"] = op9_license_scan
 ORACLES["op9_license_scan"] = _license_twin()
+
+
+def bpe_digest(coded: DataFrame) -> DataFrame:
+    """The digest columns of ids and decoded texts."""
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(bpe.bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES["op6_bpe"] = op6_bpe
