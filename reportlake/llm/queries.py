@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, quality_rules, reply_trees
+from . import bpe, classifier, license_scan, mixing, quality_rules, reply_trees, surrogates
 from .common import table
 
 QUERIES: dict = {}
@@ -127,3 +127,28 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_bpe"] = op6_bpe
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_mix_key").alias("mix_key"), F.col("_n_tokens").alias("n_tokens"))
+
+
+QUERIES["op2_mixing"] = op2_mixing
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", classifier.predicted().alias("predicted"))
+
+
+QUERIES["op4_quality_classifier"] = op4_quality_classifier
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.surrogate_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_entities").alias("n_entities"), "text")
+
+
+QUERIES["op10_surrogates"] = op10_surrogates
