@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, license_scan, mixing, quality_rules, reply_trees, surrogates
+from . import bpe, classifier, license_scan, mixing, quality_rules, reply_trees, substring_dedup, surrogates
 from .common import table
 
 QUERIES: dict = {}
@@ -152,3 +152,23 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_surrogates"] = op10_surrogates
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op5_substring_dedup"] = op5_substring_dedup
+ORACLES["op5_substring_dedup"] = rf"""
+with d as (select doc_id, {SQL_WORDS} as w from documents),
+g as (select doc_id, i, hash(array_to_string(w[i:i+12], ' ')) as h, array_to_string(w[i:i+12], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+f as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h, gram) as m from g) where m < doc_id),
+p as (select distinct doc_id, i + k as i from f, (select unnest(range(0, 13)) as k)),
+r as (select doc_id, list(i) as gone from p group by doc_id),
+k as (select d.doc_id, w, coalesce(gone, []) as gone from d left join r using (doc_id)),
+x as (select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed from k),
+u as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d where len(w) > 0),
+s as (select u.doc_id, string_agg(word, ' ' order by u.i) as kept from u anti join p on u.doc_id = p.doc_id and u.i = p.i group by u.doc_id)
+select x.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) as kept_sha256 from x left join s using (doc_id)
+"""
