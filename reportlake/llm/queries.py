@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, license_scan, mixing, quality_rules, reply_trees, substring_dedup, surrogates
+from . import bpe, classifier, license_scan, mixing, nn_descent, quality_rules, reply_trees, substring_dedup, surrogates
 from .common import table
 
 QUERIES: dict = {}
@@ -172,3 +172,10 @@ u as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d
 s as (select u.doc_id, string_agg(word, ' ' order by u.i) as kept from u anti join p on u.doc_id = p.doc_id and u.i = p.i group by u.doc_id)
 select x.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) as kept_sha256 from x left join s using (doc_id)
 """
+
+
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op7_nn_descent"] = op7_nn_descent
