@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, license_scan, mixing, nn_descent, quality_rules, reply_trees, substring_dedup, surrogates
+from . import bpe, classifier, jaccard_join, license_scan, mixing, nn_descent, quality_rules, reply_trees, substring_dedup, surrogates
 from .common import table
 
 QUERIES: dict = {}
@@ -179,3 +179,10 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_nn_descent"] = op7_nn_descent
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_jaccard_join"] = op8_jaccard_join
