@@ -114,11 +114,11 @@ QUERIES["op9_license_scan"] = op9_license_scan
 ORACLES["op9_license_scan"] = _license_twin()
 
 
-def bpe_digest(coded: DataFrame) -> DataFrame:
+def bpe_digest(coded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The digest columns of ids and decoded texts."""
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *keep,
     )
 
 
