@@ -52,11 +52,13 @@ def canonical_key(name: Column) -> Column:
 def keyword_distance(text: Column, keywords: list[str]) -> Column:
     """Least edit distance of a keyword to any run of as many words of the text; 999 without one."""
     words = F.split(F.lower(text), " ")
-    each = []
-    for k in keywords:
+
+    def nearest(k: str) -> Column:
         n = len(k.split(" "))
-        runs = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-        each.append(F.array_min(F.transform(runs, lambda r, k=k: F.levenshtein(r, F.lit(k)))))
+        runs = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
+        return F.array_min(F.transform(runs, lambda r: F.levenshtein(r, F.lit(k))))
+
+    each = [nearest(k) for k in keywords]
     return F.coalesce(F.least(*each) if len(each) > 1 else each[0], F.lit(999)).cast("long")
 
 

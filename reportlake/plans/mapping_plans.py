@@ -1,0 +1,126 @@
+"""Queries over framework mappings and coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reportlake.operators import mapping as M
+
+from .catalog import query
+from .views import view
+
+CONTROL_IDS = "select distinct framework, criterion_id as id from v_mappings m join v_controls c on m.control_db_id = c.id where c.control_confidence >= 0.75 and m.confidence >= 0.95"
+CUEC_IDS = "select distinct r_name as framework, n_name as id from v_cuecs join nation on n_nationkey = scan_id join region on n_regionkey = r_regionkey where cuec_confidence >= 0.9"
+COVERED = f"select c.framework, c.section, c.id, case when a.id is not null then 'control' when b.id is not null then 'cuec' else 'missed' end as coverage from v_criteria c left join ({CONTROL_IDS}) a on a.framework = c.framework and a.id = c.id left join ({CUEC_IDS}) b on b.framework = c.framework and b.id = c.id"
+
+
+def maps(spark, d):
+    return view(spark, d, "v_mappings")
+
+
+def covered(spark, d):
+    """Coverage of every criterion by confident controls and user-entity controls."""
+    sure = view(spark, d, "v_controls").where("control_confidence >= 0.75").select(F.col("id").alias("control_db_id"))
+    by_control = maps(spark, d).where("confidence >= 0.95").join(sure, "control_db_id", "left_semi").select("framework", F.col("criterion_id").alias("id"))
+    names = spark.read.parquet(f"{d}/nation.parquet").join(spark.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cuecs = view(spark, d, "v_cuecs").where("cuec_confidence >= 0.9").select("scan_id").distinct()
+    by_cuec = names.join(cuecs, F.col("n_nationkey") == F.col("scan_id")).select(F.col("r_name").alias("framework"), F.col("n_name").alias("id"))
+    return M.framework_coverage(view(spark, d, "v_criteria"), by_control, by_cuec)
+
+
+@query("j02_framework_coverage", f"with x as ({COVERED}) select framework, count(*) as total, count(*) filter (coverage = 'control') as control, count(*) filter (coverage = 'cuec') as cuec, count(*) filter (coverage = 'likely') as likely, count(*) filter (coverage = 'missed') as missed from x group by 1")
+def j02(spark, d):
+    return M.coverage_totals(covered(spark, d))
+
+
+@query("j02_criterion_coverage", f"with x as ({COVERED}) select framework, id, coverage from x")
+def j02b(spark, d):
+    return covered(spark, d).select("framework", "id", "coverage")
+
+
+@query("a16_coverage_rollup", f"with x as ({COVERED}) select framework, section, count(*) as total, count(*) filter (coverage <> 'missed') as mapped, cast(grouping(framework) * 2 + grouping(section) as bigint) as level from x group by rollup(framework, section)")
+def a16(spark, d):
+    return M.coverage_rollup(covered(spark, d))
+
+
+@query("j01_validate_matches", "select control_db_id, framework, criterion_id, confidence from v_mappings m where confidence >= 0.6 and exists (select 1 from v_criteria c where c.framework = m.framework and c.id = m.criterion_id and c.section <> 'S1')")
+def j01(spark, d):
+    return M.validate_matches(maps(spark, d), view(spark, d, "v_criteria").where("section <> 'S1'")).select("control_db_id", "framework", "criterion_id", "confidence")
+
+
+@query("w15_top_k_matches", "select control_db_id, framework, criterion_id, pos from (select *, row_number() over (partition by control_db_id, framework order by confidence desc, criterion_id) as pos from (select control_db_id, framework, criterion_id, max(confidence) as confidence from v_mappings group by 1, 2, 3)) where pos <= 2")
+def w15(spark, d):
+    best = maps(spark, d).groupBy("control_db_id", "framework", "criterion_id").agg(F.max("confidence").alias("confidence"))
+    return M.top_k_matches(best, 2).select("control_db_id", "framework", "criterion_id", "pos")
+
+
+@query("t01_primary_mapping", "select control_db_id, framework as primary_framework, criterion_id as primary_criterion, confidence as primary_confidence from (select *, row_number() over (partition by control_db_id order by confidence desc, framework, criterion_id) as r from v_mappings) where r = 1")
+def t01(spark, d):
+    return M.primary_mapping(maps(spark, d))
+
+
+@query("a15_criteria_by_section", "select framework, coalesce(section, 'Unspecified') as section, string_agg(id, ',' order by id) as ids, count(*) as n from v_criteria group by 1, 2")
+def a15(spark, d):
+    return M.criteria_by_section(view(spark, d, "v_criteria"))
+
+
+@query("j24_mapped_controls", "select c.framework, c.id, count(distinct m.control_db_id) as n_controls, coalesce(bool_or(k.has_deviation), false) as any_deviation from v_criteria c left join (v_mappings m join v_controls k on m.control_db_id = k.id) on m.framework = c.framework and m.criterion_id = c.id group by 1, 2")
+def j24(spark, d):
+    return M.mapped_controls_per_criterion(view(spark, d, "v_criteria"), maps(spark, d), view(spark, d, "v_controls"))
+
+
+@query("j25_primary_details", "with p as (select *, row_number() over (partition by control_db_id order by confidence desc, framework, criterion_id) as r from v_mappings) select control_db_id, p.framework, section, description from p left join v_criteria c on c.framework = p.framework and c.id = p.criterion_id where r = 1")
+def j25(spark, d):
+    crit = view(spark, d, "v_criteria").select("framework", F.col("id").alias("primary_criterion"), "section", "description")
+    return M.primary_mapping(maps(spark, d)).withColumnRenamed("primary_framework", "framework").join(crit, ["framework", "primary_criterion"], "left").select("control_db_id", "framework", "section", "description")
+
+
+@query("a04_framework_usage", "select framework, count(distinct control_db_id) as controls, count(*) as mappings, round(avg(confidence), 4) as avg_confidence from v_mappings group by 1")
+def a04(spark, d):
+    return M.framework_usage(view(spark, d, "v_controls"), maps(spark, d))
+
+
+@query("u04_unexpected_frameworks", "with u as (select control_db_id, list_sort(list_distinct(list(framework))) as used from v_mappings group by 1) select control_db_id, array_to_string(list_filter(used, lambda f: f not in ('ASIA', 'EUROPE', 'AFRICA')), ',') as unexpected from u where len(list_filter(used, lambda f: f not in ('ASIA', 'EUROPE', 'AFRICA'))) > 0")
+def u04(spark, d):
+    return M.unexpected_frameworks(maps(spark, d), ["ASIA", "EUROPE", "AFRICA"])
+
+
+@query("j17_rejoin_answers", "with a as (select control_db_id, min(framework) as framework from v_mappings where control_db_id % 4 <> 0 group by 1) select c.id, a.framework, case when a.framework is null then 'mapping failed' end as note from v_controls c left join a on a.control_db_id = c.id")
+def j17(spark, d):
+    return M.rejoin_answers(view(spark, d, "v_controls"), maps(spark, d).where("control_db_id % 4 <> 0")).select("id", "framework", "note")
+
+
+@query("t06_frameworks_by_priority", "select distinct framework, priority from v_criteria order by priority")
+def t06(spark, d):
+    return view(spark, d, "v_criteria").select("framework", "priority").distinct().orderBy("priority")
+
+
+@query("j16_frameworks_for", "select distinct framework from v_criteria where priority in (0, 2) or framework = 'EUROPE'")
+def j16(spark, d):
+    crit = view(spark, d, "v_criteria").select("framework", F.array("priority").alias("report_types")).distinct()
+    return crit.where(F.array_contains("report_types", 0) | F.array_contains("report_types", 2) | (F.col("framework") == "EUROPE")).select("framework").distinct()
+
+
+@query("f54_domain_criteria", "select framework, id from v_criteria where starts_with(id, 'I')")
+def f54(spark, d):
+    return view(spark, d, "v_criteria").where(F.startswith("id", F.lit("I"))).select("framework", "id")
+
+
+@query("f43_render_prompt", "select control_db_id, 'Map to: ' || string_agg(criterion_id, ', ' order by criterion_id) as prompt from (select distinct control_db_id, criterion_id from v_mappings) group by 1")
+def f43(spark, d):
+    ids = F.array_join(F.array_sort(F.collect_set("criterion_id")), ", ")
+    return maps(spark, d).groupBy("control_db_id").agg(F.concat(F.lit("Map to: "), ids).alias("prompt"))
+
+
+@query("u06_consolidate_mappings", "select control_db_id, string_agg(framework || '=' || n::varchar, ';' order by framework) as mapped from (select control_db_id, framework, count(distinct criterion_id) as n from v_mappings where confidence >= 0.8 group by 1, 2) group by 1")
+def u06(spark, d):
+    per = maps(spark, d).where("confidence >= 0.8").groupBy("control_db_id", "framework").agg(F.countDistinct("criterion_id").alias("n"))
+    return per.groupBy("control_db_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("framework", "n"))), lambda x: F.concat_ws("=", x["framework"], x["n"].cast("string"))), ";").alias("mapped"))
+
+
+@query("a26_exec_summary", f"with x as ({COVERED}) select (select count(*) from v_controls where control_confidence >= 0.89) as controls, (select count(*) from v_cuecs where cuec_confidence >= 0.9) as cuecs, (select count(*) from x where coverage <> 'missed') as criteria_present")
+def a26(spark, d):
+    c = view(spark, d, "v_controls").agg(F.count_if(F.col("control_confidence") >= 0.89).alias("controls"))
+    u = view(spark, d, "v_cuecs").agg(F.count_if(F.col("cuec_confidence") >= 0.9).alias("cuecs"))
+    x = covered(spark, d).agg(F.count_if(F.col("coverage") != "missed").alias("criteria_present"))
+    return c.crossJoin(u).crossJoin(x)  # one row each

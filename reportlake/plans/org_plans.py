@@ -1,0 +1,247 @@
+"""Queries over organizations, user-entity controls, scans, usage and jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from reportlake.functions import text as T
+from reportlake.operators import orgs as O  # noqa: N812
+
+from .catalog import query
+from .views import view
+
+
+def orgs(spark, d):
+    return view(spark, d, "v_orgs")
+
+
+KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower(third_party_name), '\\([^)]*\\)', '', 'g'), '[.,]', '', 'g'), '\\b(inc|llc|ltd|corp|corporation|incorporated|plc|gmbh|sarl|sa|bv|lp|llp|co)\\b', '', 'g'))"
+
+
+@query("f08_canonical_key", f"select distinct third_party_name, {KEY} as canonical_name from v_orgs")
+def f08(spark, d):
+    return O.with_canonical(orgs(spark, d)).select("third_party_name", "canonical_name").distinct()
+
+
+@query("j04_canonicalize_orgs", f"select distinct third_party_name, case when third_party_name like '%(SUP)' then 'supplier' else {KEY} end as canonical_name from v_orgs")
+def j04(spark, d):
+    aliases = spark.createDataFrame([("sup", "supplier")], "alias string, canonical string")
+    return O.canonicalize_orgs(orgs(spark, d), aliases).select("third_party_name", "canonical_name").distinct()
+
+
+@query("a06_dedup_orgs", "select scan_id, lower(third_party_name) as name_key, min(org_key) as org_key, string_agg(third_party_page_ref, ',' order by org_key, third_party_page_ref, third_party_description) as page_refs from v_orgs group by 1, 2")
+def a06(spark, d):
+    return O.dedup_orgs_by_name(orgs(spark, d))
+
+
+@query("a08_canonical_summaries", f"select scan_id, {KEY} as canonical_name, count(distinct third_party_page_ref) as pages, count(distinct third_party_name) as aliases, round(max(third_party_confidence + 0.0), 3) as max_confidence from v_orgs group by 1, 2")
+def a08(spark, d):
+    return O.canonical_summaries(orgs(spark, d))
+
+
+@query("j12_mark_common", f"select distinct third_party_name, case when {KEY} in (select lower(s_name) from supplier where s_suppkey % 3 = 0) then 'Yes' else 'No' end as common_so from v_orgs")
+def j12(spark, d):
+    common = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"))
+    return O.mark_common(orgs(spark, d), common).select("third_party_name", "common_so").distinct()
+
+
+COMPANIES = "select distinct s_suppkey % 25 as scan_id, s_name as company from supplier"
+
+
+@query("p09_drop_self_references", f"select scan_id, org_key, third_party_name, count(*) as n from v_orgs o where not exists (select 1 from ({COMPANIES}) c where c.scan_id = o.scan_id and contains(lower(o.third_party_name), lower(c.company))) group by 1, 2, 3")
+def p09(spark, d):
+    comp = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") % 25).alias("scan_id"), F.col("s_name").alias("company"))
+    return O.drop_self_references(orgs(spark, d), comp).groupBy("scan_id", "org_key", "third_party_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p21_keep_verdict", "select org_key, round(sum(case when org_key % 4 = 1 then 0 else third_party_confidence end), 4) as total from v_orgs group by 1")
+def p21(spark, d):
+    verdicts = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("org_key"), (F.col("s_suppkey") % 4 != 1).alias("keep"))
+    return O.apply_keep_verdict(orgs(spark, d), verdicts).groupBy("org_key").agg(F.round(F.sum("third_party_confidence"), 4).alias("total"))
+
+
+@query("f34_org_confidence", """select org_key, third_party_description, round(least(1.0, greatest(0.0, 0.0 + case when org_key % 5 = 0 then -0.8 else 0 end + case when org_key % 5 <> 0 and org_key % 3 = 0 then 0.5 else 0 end + case when org_key % 4 = 0 then 0.2 else -0.1 end
+  + case when (org_key % 10)/10.0 > 0.5 then round(0.4 * (org_key % 10)/10.0, 3) else 0 end)), 6) as score from (select distinct org_key, third_party_description from v_orgs)""")
+def f34(spark, d):
+    rows = orgs(spark, d).select("org_key", "third_party_description").distinct()
+    rows = rows.withColumns({"is_company": F.col("org_key") % 5 == 0, "common": F.col("org_key") % 3 == 0, "likely_so": F.when(F.col("org_key") % 4 == 0, "Yes").otherwise("No"), "provider": (F.col("org_key") % 10) / 10, "near": F.lit(False)})
+    return O.org_confidence(rows).select("org_key", "third_party_description", "score")
+
+
+@query("f35_final_adjust", "select s_suppkey as org_key, round(least(1.0, greatest(0.0, (s_suppkey % 11)/10.0E0 + case s_suppkey % 3 when 0 then -0.2 when 1 then 0.1 else 0 end + case when s_suppkey % 2 = 0 then 0.1 else 0 end + case when s_suppkey % 13 <= 2 then 0.1 when s_suppkey % 13 >= 10 then -0.1 else 0 end)), 3) as score from supplier")
+def f35(spark, d):
+    k = F.col("s_suppkey")
+    likely = F.when(k % 3 == 0, "No").when(k % 3 == 1, "Yes")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("org_key"), O.final_adjust((k % 11) / 10, likely, F.when(k % 2 == 0, "Yes"), k % 13).alias("score"))
+
+
+@query("f59_verify_verdict", "select s_suppkey as org_key, round(case when s_suppkey % 11 >= 9 then case s_suppkey % 3 when 0 then least(1.0, (s_suppkey % 11)/10.0E0 + 0.2) when 1 then greatest(0.0, (s_suppkey % 11)/10.0E0 - 0.2) else (s_suppkey % 11)/10.0E0 end else (s_suppkey % 11)/10.0E0 end, 3) as score from supplier")
+def f59(spark, d):
+    k = F.col("s_suppkey")
+    verdict = F.when(k % 3 == 0, "confirmed").when(k % 3 == 1, "rejected")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("org_key"), O.verify_verdict((k % 11) / 10, verdict).alias("score"))
+
+
+@query("f10_keyword_distance", "select s_suppkey as org_key, least(levenshtein(lower(s_name), 'supplier'), levenshtein(lower(s_name), 'subservice')) as distance from supplier where not contains(s_name, ' ')")
+def f10(spark, d):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").where("not contains(s_name, ' ')")
+    return rows.select(F.col("s_suppkey").alias("org_key"), T.keyword_distance(F.col("s_name"), ["supplier", "subservice"]).alias("distance"))
+
+
+@query("f09_edit_distance", "select p_partkey, levenshtein(p_name, p_type) as distance from part")
+def f09(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"))
+
+
+@query("w12_nearest_two", "select scan_id, org_key from (select scan_id, org_key, row_number() over (partition by scan_id order by levenshtein(lower(third_party_name), 'supplier'), org_key, third_party_name, third_party_description, third_party_page_ref, third_party_confidence) as rn from v_orgs) where rn <= 2")
+def w12(spark, d):
+    return O.nearest_two(orgs(spark, d), F.levenshtein(F.lower("third_party_name"), F.lit("supplier"))).select("scan_id", "org_key")
+
+
+@query("u03_only_in", "with s as (select distinct third_party_name as k, scan_id % 3 as src from v_orgs) select k, min(src) as src from s group by k having count(*) = 1")
+def u03(spark, d):
+    s = orgs(spark, d).select(F.col("third_party_name").alias("k"), (F.col("scan_id") % 3).alias("src")).distinct()
+    return s.groupBy("k").agg(F.min("src").alias("src"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+
+
+@query("u01_originals_plus_summaries", f"select scan_id, third_party_name as name, null::bigint as aliases from v_orgs union all select scan_id, {KEY}, count(distinct third_party_name) from v_orgs group by 1, 2")
+def u01(spark, d):
+    o = orgs(spark, d)
+    return o.select("scan_id", F.col("third_party_name").alias("name")).unionByName(O.canonical_summaries(o).select("scan_id", F.col("canonical_name").alias("name"), "aliases"), allowMissingColumns=True)
+
+
+@query("t03_confidence_deltas", """with a as (select third_party_name as name, max(third_party_confidence) as x from v_orgs where scan_id < 13 group by 1), b as (select third_party_name as name, max(third_party_confidence) as y from v_orgs where scan_id >= 13 group by 1)
+select coalesce(a.name, b.name) as name, round(abs(coalesce(x, 0) - coalesce(y, 0)), 6) as delta from a full outer join b on a.name = b.name order by delta desc, name limit 10""")
+def t03(spark, d):
+    o = orgs(spark, d)
+    a = o.where("scan_id < 13").groupBy(F.col("third_party_name").alias("name")).agg(F.max("third_party_confidence").alias("x"))
+    b = o.where("scan_id >= 13").groupBy(F.col("third_party_name").alias("name")).agg(F.max("third_party_confidence").alias("y"))
+    delta = F.round(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))), 6)
+    return a.join(b, "name", "full_outer").select("name", delta.alias("delta")).orderBy(F.desc("delta"), "name").limit(10)
+
+
+@query("f33_cuec_confidence", """select id, round(least(1.0, 0.3 + case cuec_gpt_opinion when 'yes' then 0.1 when 'no' then -0.3 else -0.2 end + case when id % 5 < 2 then 0.2 else 0 end
+ + case when contains(lower(cuec_description), 'responsible for') or contains(lower(cuec_description), 'must') then 0.15 else 0 end + case when contains(lower(cuec_description), 'must') or contains(lower(cuec_description), 'ensure') then 0.1 else 0 end
+ + case when id % 7 = 0 then -0.4 else 0 end + case when length(trim(cuec_description)) < 30 or (not ends_with(trim(cuec_description), '.') and length(trim(cuec_description)) < 80) then -0.3 else 0 end), 3) as score from v_cuecs""")
+def f33(spark, d):
+    return O.cuec_confidence(view(spark, d, "v_cuecs").withColumn("distance", F.col("id") % 5).withColumn("is_company", F.col("id") % 7 == 0)).select("id", "score")
+
+
+@query("f46_responsibility_terms", "select id, contains(cuec_description, 'responsible for') or contains(cuec_description, 'must') as duty, contains(cuec_description, 'must') or contains(cuec_description, 'ensure') as obligation from v_cuecs")
+def f46(spark, d):
+    t = F.col("cuec_description")
+    return view(spark, d, "v_cuecs").select("id", T.responsibility(t).alias("duty"), T.any_of(t, T.OBLIGATIONS).alias("obligation"))
+
+
+@query("a21_distinct_cuecs", "select scan_id, cuec_description, min(id) as id from v_cuecs group by 1, 2")
+def a21(spark, d):
+    w = Window.partitionBy("scan_id", "cuec_description").orderBy("cuec_seq", "id")
+    return view(spark, d, "v_cuecs").withColumn("r", F.row_number().over(w)).where("r = 1").select("scan_id", "cuec_description", "id")
+
+
+@query("w09_fixed_batches", "select id, (row_number() over (partition by scan_id order by cuec_seq) - 1) // 5 as batch from v_cuecs")
+def w09(spark, d):
+    n = F.row_number().over(Window.partitionBy("scan_id").orderBy("cuec_seq"))
+    return view(spark, d, "v_cuecs").select("id", F.floor((n - 1) / 5).alias("batch"))
+
+
+@query("t04_order_by_confidence", "select id, cuec_confidence from v_cuecs order by cuec_confidence desc, cuec_seq")
+def t04(spark, d):
+    return view(spark, d, "v_cuecs").orderBy(F.desc("cuec_confidence"), "cuec_seq").select("id", "cuec_confidence")
+
+
+@query("p18_flag_low_confidence", "select id, 'low confidence' as note from v_cuecs where cuec_confidence < 0.5 and cuec_confidence <> 0")
+def p18(spark, d):
+    c = F.col("cuec_confidence")
+    return view(spark, d, "v_cuecs").where(c.isNotNull() & (c != 0) & (c < 0.5)).select("id", F.lit("low confidence").alias("note"))
+
+
+@query("j06_best_company", "select id, company from (select id, company, row_number() over (partition by id order by company_confidence desc nulls last, company_id desc) as r from v_scans) where r = 1")
+def j06(spark, d):
+    return view(spark, d, "v_scans").groupBy("id").agg(F.max_by("company", F.struct("company_confidence", "company_id")).alias("company"))
+
+
+@query("t05_recent_scans", "select id, scan_date from v_scans order by scan_date desc, id desc limit 500")
+def t05(spark, d):
+    return view(spark, d, "v_scans").orderBy(F.desc("scan_date"), F.desc("id")).limit(max(1, min(500, 900))).select("id", "scan_date")
+
+
+@query("w03_retain_newest", "select company_id, id from (select company_id, id, row_number() over (partition by company_id order by scan_date desc, id desc) as r from v_scans) where r <= 20")
+def w03(spark, d):
+    w = Window.partitionBy("company_id").orderBy(F.desc("scan_date"), F.desc("id"))
+    return view(spark, d, "v_scans").withColumn("r", F.row_number().over(w)).where("r <= 20").select("company_id", "id")
+
+
+@query("w13_estimate_duration", """with l as (select report_type, id, elapsed_seconds as e, row_number() over (partition by report_type order by id desc) as r from v_scans),
+k as (select *, avg(e) over (partition by report_type) as m, stddev_pop(e) over (partition by report_type) as s from l where r <= 10),
+o as (select report_type, list(e order by r) as xs from k where abs(e - m) <= 2*s group by 1)
+select report_type, round(list_reduce(xs, lambda a, x: 0.7*x + 0.3*a), 1) as estimate from o""")
+def w13(spark, d):
+    last = view(spark, d, "v_scans").withColumn("r", F.row_number().over(Window.partitionBy("report_type").orderBy(F.desc("id")))).where("r <= 10")
+    w = Window.partitionBy("report_type")
+    near = last.withColumn("m", F.avg("elapsed_seconds").over(w)).withColumn("s", F.stddev_pop("elapsed_seconds").over(w)).where("abs(elapsed_seconds - m) <= 2 * s")
+    xs = near.groupBy("report_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "elapsed_seconds"))), lambda x: x["elapsed_seconds"]).alias("xs"))
+    fold = F.aggregate(F.slice("xs", 2, 10), F.get("xs", F.lit(0)), lambda a, x: 0.7 * x + 0.3 * a)
+    return xs.select("report_type", F.round(fold, 1).alias("estimate"))
+
+
+@query("a02_usage_summary", "select model, count(*) as calls, sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens from v_usage group by rollup(model)")
+def a02(spark, d):
+    return view(spark, d, "v_usage").rollup("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
+PRICES = [("click", 2.5, 10.0), ("view", 0.15, 0.6), ("purchase", 1.1, 4.4)]
+
+
+@query("f42_call_cost", "with p(model, i, o) as (values ('click', 2.5, 10.0), ('view', 0.15, 0.6), ('purchase', 1.1, 4.4)) select call_id, round((prompt_tokens * coalesce(i, 0.15) + completion_tokens * coalesce(o, 0.6)) / 1e6, 9) as cost from v_usage u left join p on p.model = u.model")
+def f42(spark, d):
+    prices = spark.createDataFrame(PRICES, "model string, i double, o double")
+    cost = (F.col("prompt_tokens") * F.coalesce("i", F.lit(0.15)) + F.col("completion_tokens") * F.coalesce("o", F.lit(0.6))) / 1e6
+    return view(spark, d, "v_usage").join(F.broadcast(prices), "model", "left").select("call_id", F.round(cost, 9).alias("cost"))
+
+
+@query("t08_latest_audit", "select call_id from v_usage where extractor = 'x1' order by ts desc, call_id desc limit 50")
+def t08(spark, d):
+    return view(spark, d, "v_usage").where("extractor = 'x1'").orderBy(F.desc("ts"), F.desc("call_id")).limit(50).select("call_id")
+
+
+@query("a18_queue_stats", "select status, count(*) as n from v_jobs group by 1")
+def a18(spark, d):
+    return view(spark, d, "v_jobs").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w18_queue_position", "select event_id, row_number() over (partition by status order by priority, ts, event_id) as position from v_jobs")
+def w18(spark, d):
+    w = Window.partitionBy("status").orderBy("priority", "ts", "event_id")
+    return view(spark, d, "v_jobs").select("event_id", F.row_number().over(w).cast("long").alias("position"))
+
+
+@query("f50_percent_complete", "select event_id, case when progress = 100 then 100.0 else least(90.0, progress / 80.0 * 100) end as pct from v_jobs")
+def f50(spark, d):
+    p = F.col("progress")
+    return view(spark, d, "v_jobs").select("event_id", T.percent_complete(p, F.lit(80.0), p == 100).alias("pct"))
+
+
+@query("f51_overall_progress", "select event_id, floor(0.20E0*100 + 0.10E0*progress + 0.65E0*((progress + 50 + 20)/3.0E0) + 0.05E0*0)::bigint as overall from v_jobs")
+def f51(spark, d):
+    p = F.col("progress")
+    return view(spark, d, "v_jobs").select("event_id", T.overall_progress(F.lit(100), p, [p, F.lit(50), F.lit(20)], F.lit(0)).alias("overall"))
+
+
+@query("r01_progress_batch", "select job_id, date_trunc('minute', ts) as minute, count(*) as n, max(progress) as progress from v_jobs group by 1, 2")
+def r01(spark, d):
+    return view(spark, d, "v_jobs").groupBy("job_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("n"), F.max("progress").alias("progress"))
+
+
+@query("w16_last_messages", "select conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn, role, text) as rendered from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as r from conversations) where r <= 20 group by 1")
+def w16(spark, d):
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    last = spark.read.parquet(f"{d}/conversations.parquet").withColumn("r", F.row_number().over(w)).where("r <= 20")
+    line = lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit("")))
+    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), line), "\n").alias("rendered"))
+
+
+@query("f17_calendar_months", "select o_orderkey, (year(timestamp '1998-08-02') - year(o_orderdate)) * 12 + month(timestamp '1998-08-02') - month(o_orderdate) as months from orders")
+def f17(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", T.calendar_months(F.col("o_orderdate"), F.lit("1998-08-02").cast("date")).alias("months"))
