@@ -1,0 +1,183 @@
+"""Queries over report text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reportlake.functions import text as T
+from reportlake.operators import documents as D  # noqa: N812
+
+from .catalog import query
+from .views import view
+
+
+def docs(spark, d):
+    return view(spark, d, "v_docs")
+
+
+def lines(spark, d):
+    return view(spark, d, "v_lines")
+
+
+QUARTERS = "select doc_id, q, 'T' || q::varchar as topic, greatest(1, (n * q) // 4 + 1) as start_line, n as last_line from (select doc_id, max(line_no) as n from v_lines group by 1), (select unnest(range(0, 4)) as q)"
+
+
+def sections(spark, d):
+    """Four sections per document, starting at its quarters."""
+    n = lines(spark, d).groupBy("doc_id").agg(F.max("line_no").alias("last_line"))
+    q = n.select("doc_id", "last_line", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"))
+    return q.select("doc_id", F.concat(F.lit("T"), F.col("q")).alias("topic"), F.greatest(F.lit(1), F.floor(F.col("last_line") * F.col("q") / 4) + 1).alias("start_line"), "last_line")
+
+
+ENDS = f"select doc_id, topic, start_line, greatest(start_line, coalesce(lead(start_line) over (partition by doc_id order by start_line, topic) - 1, last_line)) as end_line from ({QUARTERS})"
+
+
+@query("s01_report_lines", "select doc_id, line_no, line from v_lines")
+def s01(spark, d):
+    return lines(spark, d)
+
+
+@query("w10_section_ends", ENDS)
+def w10(spark, d):
+    return D.section_ends(sections(spark, d)).select("doc_id", "topic", "start_line", "end_line")
+
+
+@query("j10_lines_in_section", f"with s as ({ENDS}) select l.doc_id, l.line_no, s.topic from v_lines l join s on s.doc_id = l.doc_id and l.line_no between s.start_line and s.end_line")
+def j10(spark, d):
+    return D.lines_in_section(lines(spark, d), D.section_ends(sections(spark, d))).select("doc_id", "line_no", "topic")
+
+
+@query("j11_page_of_line", "select doc_id, line_no, coalesce(last_value(case when line_no % 4 = 0 then line_no // 4 end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row), 1) as page from v_lines")
+def j11(spark, d):
+    marker = F.when(F.col("line_no") % 4 == 0, F.floor(F.col("line_no") / 4))
+    return D.page_of_line(lines(spark, d), marker).select("doc_id", "line_no", "page")
+
+
+@query("u05_union_page_spans", f"with s as ({ENDS}) select doc_id, line_no from v_lines where line_no <= 3 union select l.doc_id, l.line_no from v_lines l join s on s.doc_id = l.doc_id and l.line_no between s.start_line and s.end_line and s.topic = 'T2'")
+def u05(spark, d):
+    return D.union_page_spans(lines(spark, d), D.section_ends(sections(spark, d)).where("topic = 'T2'"), 3)
+
+
+@query("w05_line_chunks", "with k as (select doc_id, line_no, line, unnest(range(greatest(0, cast(ceil((line_no - 4) / 3.0) as bigint)), (line_no - 1) // 3 + 1)) as chunk_id from v_lines) select doc_id, chunk_id, min(line_no) as start_line, md5(string_agg(line, chr(10) order by line_no)) as hash from k group by 1, 2")
+def w05(spark, d):
+    return D.line_chunks(lines(spark, d), 4, 1).select("doc_id", "chunk_id", "start_line", F.md5("text").alias("hash"))
+
+
+@query("w06_char_chunks", "with k as (select doc_id, text, unnest(range(0, greatest(length(text), 1), 800)) as start from v_docs) select doc_id, start // 800 as chunk_id, start, length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1 as start_line, md5(substr(text, start + 1, 1000)) as hash from k")
+def w06(spark, d):
+    return D.char_chunks(docs(spark, d), 1000, 200).select("doc_id", "chunk_id", "start", "start_line", F.md5("text").alias("hash"))
+
+
+@query("w08_token_batches", """with recursive r as (select organization, doc_id, length(text) // 4 as t, row_number() over (partition by organization order by doc_id) as k from v_docs),
+b as (select organization, k, doc_id, t as used, 0::bigint as batch from r where k = 1 union all select r.organization, r.k, r.doc_id, case when b.used > 0 and b.used + r.t > 2000 then r.t else b.used + r.t end, case when b.used > 0 and b.used + r.t > 2000 then b.batch + 1 else b.batch end from b join r on r.organization = b.organization and r.k = b.k + 1)
+select organization, doc_id, batch from b""")
+def w08(spark, d):
+    rows = docs(spark, d).select("organization", "doc_id", T.token_estimate(F.col("text")).alias("t"))
+    return D.token_batches(rows, "organization", "doc_id", "t", 2000)
+
+
+@query("f41_token_estimate", "select doc_id, length(text) // 4 as tokens from v_docs")
+def f41(spark, d):
+    return docs(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("f44_offset_to_line", "select doc_id, length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) + 1 as line from v_docs")
+def f44(spark, d):
+    return docs(spark, d).select("doc_id", T.offset_to_line(F.col("text"), F.lit(500)).alias("line"))
+
+
+@query("f45_content_hash", "select doc_id, sha256(text) as sha, md5(text) as md from v_docs")
+def f45(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"))
+
+
+@query("f20_text_snippet", "with s as (select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) as t from v_docs) select doc_id, case when length(t) > 150 then substr(t, 1, 150) || '...' else t end as snippet from s")
+def f20(spark, d):
+    return docs(spark, d).select("doc_id", T.text_snippet(F.col("text")).alias("snippet"))
+
+
+@query("f21_collapse_blank_lines", "select doc_id, md5(regexp_replace(replace(text, chr(10), repeat(chr(10), 2 + doc_id % 5)), '\\n{4,}', repeat(chr(10), 3), 'g')) as hash from v_docs")
+def f21(spark, d):
+    spaced = F.replace(F.col("text"), F.lit("\n"), F.repeat(F.lit("\n"), (F.col("doc_id") % 5 + 2).cast("int")))
+    return docs(spark, d).select("doc_id", F.md5(T.collapse_blank_lines(spaced)).alias("hash"))
+
+
+@query("f26_section_topic", "select doc_id, line_no, case when contains(lower(line), 'auditor') and contains(lower(line), 'report') then 'Service_Auditor_Report' when contains(lower(line), 'management') and (contains(lower(line), 'assertion') or contains(lower(line), 'statement')) then 'Management_Assertion' when contains(lower(line), 'description') and contains(lower(line), 'system') then 'Description_of_System' when contains(lower(line), 'control') then 'Control_Descriptions' else 'Unknown' end as topic from v_lines")
+def f26(spark, d):
+    return lines(spark, d).select("doc_id", "line_no", T.section_topic(F.col("line")).alias("topic"))
+
+
+@query("f29_explicit_criteria", "select doc_id, array_to_string(regexp_extract_all(text || ' CC' || (doc_id % 9)::varchar || '.1', '\\b(CC\\d\\.\\d{1,2}|[AC]\\d\\.\\d|PI\\d\\.\\d)\\b', 1), ',') as ids from v_docs")
+def f29(spark, d):
+    text = F.concat(F.col("text"), F.lit(" CC"), (F.col("doc_id") % 9).cast("string"), F.lit(".1"))
+    return docs(spark, d).select("doc_id", F.array_join(T.explicit_criteria(text), ",").alias("ids"))
+
+
+@query("p12_drop_watermark_lines", "select doc_id, line_no from v_lines where not regexp_matches(line, '(?i)confidential|do not (copy|distribute)|draft')")
+def p12(spark, d):
+    return D.drop_watermark_lines(lines(spark, d)).select("doc_id", "line_no")
+
+
+@query("a13_frequent_page_strings", f"""with f as (select distinct doc_id, page_no, unnest(regexp_extract_all(text, '{D.PAGE_STRINGS}')) as s from v_pages), t as (select doc_id, count(distinct page_no) as pages from v_pages group by 1)
+select f.doc_id, s from f join t on t.doc_id = f.doc_id group by f.doc_id, s, pages having count(*) > 0.8 * pages""")
+def a13(spark, d):
+    return D.frequent_page_strings(view(spark, d, "v_pages"))
+
+
+@query("p11_agreement_pages", "select doc_id, page_no, contains(lower(text), 'terms and conditions') or contains(lower(text), 'non-disclosure agreement') or contains(lower(text), 'by accessing this report') or contains(lower(text), 'you agree to') or contains(lower(text), 'license agreement') as agreement from v_pages")
+def p11(spark, d):
+    return view(spark, d, "v_pages").select("doc_id", "page_no", D.is_agreement_page(F.col("text")).alias("agreement"))
+
+
+@query("w17_skip_leading_agreements", """with f as (select doc_id, page_no, page_no <= 5 and (doc_id + page_no) % 3 <> 0 as flag from v_pages), g as (select *, min(flag::int) over (partition by doc_id order by page_no rows between unbounded preceding and current row) = 1 as lead_run, sum(flag::int) over (partition by doc_id) as n from f)
+select doc_id, page_no from g where not (lead_run and n < 5)""")
+def w17(spark, d):
+    flag = (F.col("doc_id") + F.col("page_no")) % 3 != 0
+    return D.skip_leading_agreements(view(spark, d, "v_pages"), flag).select("doc_id", "page_no")
+
+
+@query("a22_same_response", "select doc_id, md5(line) as hash, string_agg(distinct line_no::varchar, ',' order by line_no::varchar) as ids from v_lines group by 1, 2")
+def a22(spark, d):
+    rows = lines(spark, d).withColumn("line_no", F.col("line_no").cast("string"))
+    return D.group_same_response(rows)
+
+
+@query("w20_tail_lines", "select doc_id, line_no from (select doc_id, line_no, row_number() over (partition by doc_id order by line_no desc) as r from v_lines) where r <= 5")
+def w20(spark, d):
+    return D.tail_lines(lines(spark, d), 5).select("doc_id", "line_no")
+
+
+@query("x04_find_occurrences", "with p as (select doc_id, text, unnest(range(1, length(text) + 1)) as pos from v_docs where contains(lower(text), 'licen')), h as (select * from p where substr(lower(text), pos, 5) = 'licen') select doc_id, pos, count(*) over (partition by doc_id) > 3 as many, md5(substr(text, greatest(pos - 40, 1), pos - greatest(pos - 40, 1) + 45)) as hash from h")
+def x04(spark, d):
+    return D.find_occurrences(docs(spark, d), "Licen", 40).select("doc_id", "pos", "many", F.md5("context").alias("hash"))
+
+
+@query("j20_match_known_firms", """with f(name) as (values ('Apache'), ('MIT'), ('GNU')), h as (select doc_id, name, (length(text) - length(replace(lower(text), lower(name), ''))) // length(name) as n from v_docs, f where contains(lower(text), lower(name)))
+select doc_id, arg_max(name, (n, name)) as firm, max(n) as n from h group by 1""")
+def j20(spark, d):
+    return D.match_known_firms(docs(spark, d), spark.createDataFrame([("Apache",), ("MIT",), ("GNU",)], "name string"))
+
+
+@query("f53_known_firm", "select doc_id, case when contains(text, 'Apache') then 'Apache' when contains(text, 'GNU') then 'GNU' end as firm from v_docs")
+def f53(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", F.when(t.contains("Apache"), "Apache").when(t.contains("GNU"), "GNU").alias("firm"))
+
+
+@query("f40_detect_standards", "select doc_id, array_to_string(list_filter(['TSC', case when regexp_matches(text, '(?i)version [23]') then 'VERSIONED' end, case when regexp_matches(text, '(?i)license') then 'LICENSED' end], lambda x: x is not null), ',') as frameworks from v_docs")
+def f40(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", F.array_join(F.array_compact(F.array(F.lit("TSC"), F.when(t.rlike("(?i)version [23]"), F.lit("VERSIONED")), F.when(t.rlike("(?i)license"), F.lit("LICENSED")))), ",").alias("frameworks"))
+
+
+@query("x05_split_combined", """with s as (select doc_id, line_no, case when line_no % 3 = 1 then 'id' else 'body' end as kind, line from v_lines), r as (select *, sum((kind = 'id')::int) over (partition by doc_id order by line_no rows between unbounded preceding and current row)::bigint as record from s)
+select doc_id, record, max(line) filter (kind = 'id') as id_text, coalesce(string_agg(line, chr(10) order by line_no) filter (kind <> 'id'), '') as body from r group by 1, 2""")
+def x05(spark, d):
+    seg = lines(spark, d).select("doc_id", F.col("line_no").alias("pos"), F.when(F.col("line_no") % 3 == 1, "id").otherwise("body").alias("kind"), F.col("line").alias("body"))
+    return D.split_combined(seg)
+
+
+@query("f24_toc_line", "select doc_id, min(line_no) as line_no from v_lines where regexp_matches(lower(trim(line)), 'table of contents|^contents$|licensed') group by 1")
+def f24(spark, d):
+    hit = F.lower(F.trim("line")).rlike("table of contents|^contents$|licensed")
+    return lines(spark, d).where(hit).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))

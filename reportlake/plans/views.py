@@ -57,6 +57,8 @@ def duck(sql: str) -> str:
     if not wanted:
         return sql
     ctes = ",\n".join(f"{n} as ({DUCK_VIEWS[n]})" for n in wanted)
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n" + sql[15:]
     return f"with {ctes}" + (",\n" + sql[5:] if sql.lower().startswith("with ") else "\n" + sql)
 
 
