@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +28,9 @@ PATTERN = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: Up to here this pattern's character classes are the same in every Unicode version at hand; other texts are cut by
 #: the tokenizers library itself.
 PLAIN = regex.compile(r"[\x00-ԯ]*")
-MEMO = 1 << 17
+MEMO = 150_000
+ID_BITS = 24
+NEVER = 1 << 62
 
 
 def default_tokenizer() -> str:
@@ -54,7 +58,7 @@ def load_tables(path: str) -> dict:
     merges = {}
     for rank, pair in enumerate(spec["model"]["merges"]):
         a, b = pair if isinstance(pair, list) else pair.split(" ")
-        merges[(vocab[a], vocab[b])] = (rank, vocab[a + b])
+        merges[(vocab[a], vocab[b])] = rank << ID_BITS | vocab[a + b]
     added = {x["content"]: x["id"] for x in spec["added_tokens"]}
     tokens: list[bytes] = [b""] * (max([*vocab.values(), *added.values()]) + 1)
     for t, i in vocab.items():
@@ -66,35 +70,36 @@ def load_tables(path: str) -> dict:
 
 def merged(word: bytes, tables: dict) -> bytes:
     """Packed ids of one word by exact merging: the lowest rank first, the leftmost among equals."""
-    ids, merges = [tables["bytes"][b] for b in word], tables["merges"]
-    if len(ids) <= 48:
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                m = merges.get((ids[k], ids[k + 1]))
-                if m is not None and (best is None or m < best):
-                    best, at = m, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+    one, get, mask = tables["bytes"], tables["merges"].get, (1 << ID_BITS) - 1
+    ids = [one[b] for b in word]
+    if len(ids) <= 64:
+        ranks = [get(pair, NEVER) for pair in zip(ids, ids[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) != NEVER:
+            k = ranks.index(best)
+            ids[k] = best & mask
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), NEVER)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), NEVER)
     else:  # linked list and heap: long words stay near-linear
         n = len(ids)
         left, right = [*range(-1, n - 1)], [*range(1, n), -1]
-        heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
+        heap = [(m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            m, k, a, b = heapq.heappop(heap)
             r = right[k]
             if ids[k] != a or r < 0 or ids[r] != b:
                 continue
-            ids[k], ids[r], right[k] = new, -1, right[r]
+            ids[k], ids[r], right[k] = m & mask, -1, right[r]
             if right[k] >= 0:
                 left[right[k]] = k
             for x, y in ((left[k], k), (k, right[k])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y >= 0 and (m := get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
         ids = [x for x in ids if x >= 0]
-    return b"".join(x.to_bytes(4, "little") for x in ids)
+    return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(x.to_bytes(4, "little") for x in ids)
 
 
 def cut(text: str) -> list[str]:
@@ -120,19 +125,22 @@ def between_added(text: str, added: dict[str, int]) -> Iterator[tuple[str, int |
 
 
 class Memo(dict):
-    """Word to packed ids: recent words, then the lexicon, then merging."""
+    """Word to packed ids: recent words (two generations of MEMO each), then the lexicon, then merging."""
 
     def __init__(self, tables: dict, lexicon: Lexicon | None):
-        self.tables, self.lexicon = tables, lexicon
+        self.tables, self.lexicon, self.older = tables, lexicon, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        found = self.lexicon.get(raw) if self.lexicon else None
+        found = self.older.get(word)
         if found is None:
-            found = merged(raw, self.tables)
+            raw = word.encode()
+            found = self.lexicon.get(raw) if self.lexicon else None
+            if found is None:
+                found = merged(raw, self.tables)
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        if len(raw) <= 64:
+        if len(word) <= 64:
             self[word] = found
         return found
 

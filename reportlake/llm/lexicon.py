@@ -12,6 +12,7 @@ import struct
 from array import array
 
 MAGIC = b"LEX1"
+ENTRY = 4
 
 
 def compile_words(entries: list[tuple[bytes, bytes]]) -> bytes:
@@ -89,11 +90,28 @@ class Lexicon:
                 self.labels_at = at
             at += n + -n % 4
         self.finals, _, self.first, self.targets, self.skips, self.starts, self.ids = views
+        self.entry = self._entries(ENTRY)
+
+    def _entries(self, depth: int) -> dict[bytes, tuple[int, int]]:
+        """State and output after each prefix of `depth` bytes: most words that are not held end here."""
+        level = {b"": (self.root, 0)}
+        for _ in range(depth):
+            level = {
+                p + bytes([self.map[self.labels_at + arc]]): (self.targets[arc], out + self.skips[arc])
+                for p, (state, out) in level.items()
+                for arc in range(self.first[state], self.first[state + 1])
+            }
+        return level
 
     def get(self, word: bytes) -> bytes | None:
         """Packed ids of a word, None for one that is not held."""
         state, index, first, base, find = self.root, 0, self.first, self.labels_at, self.map.find
-        for k in range(len(word)):
+        if len(word) > ENTRY:
+            at = self.entry.get(word[:ENTRY])
+            if at is None:
+                return None
+            state, index = at
+        for k in range(ENTRY if len(word) > ENTRY else 0, len(word)):
             arc = find(word[k : k + 1], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return None
