@@ -182,9 +182,12 @@ def word_counts(docs: DataFrame, text: str = "text", added: dict[str, int] | Non
                 for plain, _ in between_added(t, added):
                     seen.update(cut(plain))
                 if len(seen) > flush:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    yield framed(seen)
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"])
+        yield framed(seen)
+
+    def framed(seen: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
     partial = docs.select(text_or_empty(F.col(text)).alias("t")).mapInPandas(count, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
