@@ -26,6 +26,7 @@ from .substring_dedup import WordHashes
 
 SHINGLE, GROUPS, LEAF, FAN, BLOCK = 4, 256, 32, 8, 1024
 HEAVY_LIMIT = 200_000
+BROADCAST_IDS = 1_000_000
 U = np.uint64
 
 
@@ -44,8 +45,14 @@ def shingles(text: str, hashes: WordHashes, width: int = SHINGLE) -> np.ndarray:
     wide = min(width, len(h))
     g = np.full(len(h) - wide + 1, wide, U)
     for k in range(wide):
-        g = mixed(g * U(0x9E3779B97F4A7C15) + h[k : k + len(g)])
-    return np.unique(g)
+        g *= U(0x9E3779B97F4A7C15)
+        g += h[k : k + len(g)]
+    return np.unique(mixed(g))
+
+
+def group_counts(s: np.ndarray) -> bytes:
+    """Shingles per group, a byte each; 255 stands for 255 or more."""
+    return np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
 def class_hash(s: np.ndarray) -> int:
@@ -55,7 +62,7 @@ def class_hash(s: np.ndarray) -> int:
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, cls, n) per row of docs, the shingles that come last in the order).
+    """((doc_id, cls, n, counts) per row of docs, the shingles that come last in the order).
 
     Tasks count shingles batch by batch and pass on those found twice or more and in a five-hundredth of the batch;
     the HEAVY_LIMIT most frequent after summing are the heavy ones. That bounds what is broadcast.
@@ -66,13 +73,13 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             sets = [shingles(t, hashes) for t in b["text"]]
             n = [len(s) for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "cls": [class_hash(s) if len(s) else None for s in sets], "n": n}).astype({"cls": "Int64"})
+            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "cls": pd.array([class_hash(s) if len(s) else None for s in sets], "Int64"), "n": n, "counts": [group_counts(s) for s in sets]})
             seen, count = np.unique(np.concatenate([*sets, np.empty(0, U)]), return_counts=True)
             often = count >= max(2, len(b) // 500)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "cls": pd.array(seen[often].view(np.int64), "Int64"), "n": count[often]})
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "cls": pd.array(seen[often].view(np.int64), "Int64"), "n": count[often], "counts": None})
 
-    both = written(docs.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, cls long, n long"), "classes")
-    rows = both.where("kind = 0").select("doc_id", "cls", "n")
+    both = written(docs.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, cls long, n long, counts binary"), "classes")
+    rows = both.where("kind = 0").select("doc_id", "cls", "n", "counts")
     total = rows.count()
     heavy = both.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // 2000))
     return rows, heavy.orderBy(F.desc("n"), "cls").limit(HEAVY_LIMIT).select("cls")
@@ -110,8 +117,9 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "shingle long, cls long")
 
 
-def loaded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, counts, items) of the wanted classes (doc_id, cls); counts: the group counts, items: the sorted set."""
+def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, items) of the wanted classes; items: the sorted set of the class's smallest document. Few ids (counted) are
+    broadcast, so that texts are not shuffled; many are joined."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -120,10 +128,12 @@ def loaded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for cls, text in zip(b["cls"].tolist(), b["text"], strict=True):
                 s = shingles(text, hashes)
                 if len(s) and class_hash(s) == cls:  # a repeated id may bring another text
-                    out.append((cls, len(s), np.bincount((s >> U(56)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes(), s.tobytes()))
-            yield pd.DataFrame(out, columns=["cls", "n", "counts", "items"])
+                    out.append((cls, s.tobytes()))
+            yield pd.DataFrame(out, columns=["cls", "items"])
 
-    return docs.join(wanted, "doc_id").select("cls", "text").mapInPandas(run, "cls long, n long, counts binary, items binary")
+    ids = written(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls"), "wanted")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id").select("cls", "text").mapInPandas(run, "cls long, items binary")
 
 
 def needed(na: np.ndarray | int, nb: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -176,24 +186,73 @@ def surviving(left: CountTree, right: CountTree, percent: int) -> Iterator[tuple
 
 
 def points_of(counts: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(counts), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+    """A full byte may stand for any larger count, so it counts as one that no bound can rule out."""
+    m = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    m[m == 255] = 1 << 20
+    return m
 
 
 def tree_join(percent: int):
-    """Pairs of one bucket's (pair of) blocks that the trees cannot rule out."""
+    """Pairs of a bucket's (pair of) blocks that the trees cannot rule out, for rows sorted by bucket and blocks.
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
+    A bucket that fits one leaf is compared as that leaf, many buckets in one go; larger ones are joined as trees. At
+    most one bucket's pair of blocks and a batch are held.
+    """
+
+    def small(b: pd.DataFrame, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        points, n, comp, ids = points_of(b["counts"]), b["n"].to_numpy(), b["comp"].to_numpy(), b["cls"].to_numpy()
+        for d in range(1, LEAF):
+            i = np.flatnonzero(bucket[:-d] == bucket[d:])
+            if not len(i):
+                return
+            j = i + d
+            fits = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            fits = np.minimum(points[i], points[j]).sum(1) >= needed(n[i], n[j], percent)
+            yield ids[i[fits]], ids[j[fits]]
+
+    def large(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sides = [b[b["side"] != 1], b[b["side"] != 0]]
-        out: list[tuple] = []
-        if len(sides[0]) and len(sides[1]):
-            self_join = bool((b["side"] == 2).all())
-            trees = [CountTree(s["n"].to_numpy(), points_of(s["counts"]), s["comp"].to_numpy()) for s in (sides[:1] if self_join else sides)]
-            ids = [s["cls"].to_numpy() for s in sides]
-            for x, y in surviving(trees[0], trees[-1], percent):
-                out.append((np.minimum(ids[0][x], ids[1][y]), np.maximum(ids[0][x], ids[1][y])))
-        if not out:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        return pd.DataFrame({"a": np.concatenate([p[0] for p in out]), "b": np.concatenate([p[1] for p in out])}).drop_duplicates()
+        if not len(sides[0]) or not len(sides[1]):
+            return
+        alone = bool((b["side"] == 2).all())
+        trees = [CountTree(s["n"].to_numpy(), points_of(s["counts"]), s["comp"].to_numpy()) for s in (sides[:1] if alone else sides)]
+        for x, y in surviving(trees[0], trees[-1], percent):
+            yield sides[0]["cls"].to_numpy()[x], sides[1]["cls"].to_numpy()[y]
+
+    def pairs(b: pd.DataFrame) -> pd.DataFrame:
+        """Of whole buckets."""
+        key = b["shingle"].to_numpy(), b["b1"].to_numpy(), b["b2"].to_numpy()
+        new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])]
+        bucket = np.cumsum(new)
+        fits = (np.bincount(bucket)[bucket] <= LEAF) & (b["side"].to_numpy() == 2)
+        out = list(small(b[fits], bucket[fits]))
+        for which in np.unique(bucket[~fits]):
+            out += large(b[bucket == which])
+        a = np.concatenate([np.minimum(x, y) for x, y in out] + [np.empty(0, np.int64)])
+        z = np.concatenate([np.maximum(x, y) for x, y in out] + [np.empty(0, np.int64)])
+        return pd.DataFrame({"a": a, "b": z}).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for b in batches:
+            if not len(b):
+                continue
+            keys = list(zip(b["shingle"], b["b1"], b["b2"], strict=True))
+            cut = next((k for k in range(len(keys) - 1, -1, -1) if keys[k] != keys[-1]), -1) + 1
+            if cut == 0 and (last is None or keys[0] == last):
+                held.append(b)
+            else:
+                if cut == 0:
+                    yield pairs(pd.concat(held, ignore_index=True))
+                    held = [b]
+                else:
+                    yield pairs(pd.concat([*held, b.iloc[:cut]], ignore_index=True))
+                    held = [b.iloc[cut:]]
+            last = keys[-1]
+        if held:
+            yield pairs(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -214,7 +273,7 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
     return sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets really reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,8 +285,11 @@ def verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.loc[np.array(good, bool), ["a", "b"]] if len(b) else b[["a", "b"]]
 
-    side = lambda k: points.select(F.col("cls").alias(k), F.col("items").alias(f"i{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInPandas(run, "a long, b long")
+    pairs = written(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = written(loaded(docs, wanted, classes), "sets")
+    side = lambda k: sets.select(F.col("cls").alias(k), F.col("items").alias(f"i{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInPandas(run, "a long, b long").distinct()
 
 
 def unlike_buckets(members: DataFrame) -> DataFrame:
@@ -259,7 +321,8 @@ def cross_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFram
     first = placed.join(meets, ["shingle", "block"]).select("shingle", F.col("block").alias("b1"), "b2", "cls", "comp", F.when(F.col("block") == F.col("b2"), 2).otherwise(0).alias("side"))
     second = placed.join(meets.where("block <> b2").select("shingle", F.col("block").alias("b1"), F.col("b2").alias("block")), ["shingle", "block"]).select("shingle", "b1", F.col("block").alias("b2"), "cls", "comp", F.lit(1).alias("side"))
     rows = first.unionByName(second).join(points.select("cls", "n", "counts"), "cls")
-    return rows.groupBy("shingle", "b1", "b2").applyInPandas(tree_join(percent), "a long, b long").distinct()
+    rows = rows.select("shingle", "b1", "b2", "cls", "comp", "side", "n", "counts").repartition("shingle", "b1", "b2").sortWithinPartitions("shingle", "b1", "b2")
+    return rows.mapInPandas(tree_join(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
@@ -271,23 +334,24 @@ def jaccard_components(docs: DataFrame, percent: int = 85, text: str = "text") -
     own = docs.select("doc_id", text_or_empty(F.col(text)).alias("text"))
     rows, heavy = classified(own)
     last = np.sort(np.array([r["cls"] for r in heavy.collect()], np.int64).view(U))  # at most HEAVY_LIMIT
-    first = prefixes(own, last, percent)
+    # dealt by shingle once, for both the count and the join
+    first = prefixes(own, last, percent).repartition("shingle")
     shared = first.groupBy("shingle").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("shingle")
     buckets = written(first.join(shared, "shingle").distinct(), "buckets")
     members = written(unlike_buckets(buckets), "members")
-    classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    some = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    classes = written(some, "reps")
+    points = classes.select("cls", "n", "counts")
     degree = buckets.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
-    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"), "cls")
-    points = written(loaded(own, wanted).dropDuplicates(["cls"]), "points")
     leader = members.join(degree, "cls").groupBy("shingle").agg(F.max_by("cls", F.struct("degree", "cls")).alias("lead"))
     stars = members.join(leader, "shingle").where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    links = written(verified(bounded_pairs(stars, points, percent), points, percent), "near-links")
+    links = written(verified(bounded_pairs(stars, points, percent), own, classes, percent), "near-links")
     comp = components(links)
     labelled = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("shingle", "cls", F.coalesce("component", "cls").alias("comp"))
     rest = cross_pairs(written(labelled, "labelled"), points, percent)
-    links = links.unionByName(written(verified(rest, points, percent), "near-links"))
+    links = links.unionByName(written(verified(rest, own, classes, percent), "near-links"))
     comp = components(links)
-    named = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
+    named = classes.select("cls", "rep").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.join(names, "comp").select("cls", "component_id")
     out = rows.join(by_class, "cls", "left")
