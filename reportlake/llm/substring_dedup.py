@@ -64,31 +64,51 @@ def emitted_names(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(names, "name long, doc_id long")
 
 
+def stretches(words: list[bytes], hashes: WordHashes, names: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(name, first window, words of the stretch) for each run of windows with one of the recurring names."""
+    own = window_names(words, hashes)
+    if not len(own):
+        return
+    ends = np.flatnonzero(np.diff(own)) + 1
+    starts, stops = np.r_[0, ends], np.r_[ends, len(own)]
+    keep = np.isin(own[starts], np.asarray(names, np.int64))
+    for a, b in zip(starts[keep].tolist(), stops[keep].tolist(), strict=True):
+        yield int(own[a]), a, b" ".join(words[a : b + WINDOW - 1])
+
+
 def passages(marked: DataFrame) -> DataFrame:
-    """(name, passage, doc_id, row, start): stretches of consecutive windows with one recurring name. marked: doc_id,
-    row, text, names (the recurring names of the document)."""
+    """(name, passage, doc): the stretches' texts, those that repeat within a batch once, with the smallest document."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            out: dict[str, list] = {"name": [], "passage": [], "doc_id": [], "row": [], "start": []}
-            for doc, row, text, names in zip(batch["doc_id"], batch["row"], batch["text"], batch["names"], strict=True):
-                words = text.encode().split()
-                own = window_names(words, hashes)
-                if not len(own):
-                    continue
-                ends = np.flatnonzero(np.diff(own)) + 1
-                starts, stops = np.r_[0, ends], np.r_[ends, len(own)]
-                keep = np.isin(own[starts], np.asarray(names, np.int64))
-                for a, b in zip(starts[keep].tolist(), stops[keep].tolist(), strict=True):
-                    out["name"].append(int(own[a]))
-                    out["passage"].append(b" ".join(words[a : b + WINDOW - 1]).decode())
-                    out["doc_id"].append(doc)
-                    out["row"].append(row)
-                    out["start"].append(a)
-            yield pd.DataFrame(out)
+            seen: dict[tuple[int, bytes], int] = {}
+            for doc, text, names in zip(batch["doc_id"].tolist(), batch["text"], batch["names"], strict=True):
+                for name, _, passage in stretches(text.encode().split(), hashes, names):
+                    key = name, passage
+                    seen[key] = min(doc, seen.get(key, doc))
+            yield pd.DataFrame({"name": [k[0] for k in seen], "passage": [k[1].decode() for k in seen], "doc": list(seen.values())}, columns=["name", "passage", "doc"])
 
-    return marked.select("doc_id", "row", "text", "names").mapInPandas(cut, "name long, passage string, doc_id long, row long, start int")
+    return marked.select("doc_id", "text", "names").mapInPandas(cut, "name long, passage string, doc long")
+
+
+def places(marked: DataFrame) -> DataFrame:
+    """(name, print, doc_id, row, start): where the stretches are. A stretch is told by its name and a 64-bit print."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            out = []
+            for doc, row, text, names in zip(batch["doc_id"].tolist(), batch["row"].tolist(), batch["text"], batch["names"], strict=True):
+                for name, start, passage in stretches(text.encode().split(), hashes, names):
+                    out.append((name, signed(passage), doc, row, start))
+            yield pd.DataFrame(out, columns=["name", "print", "doc_id", "row", "start"])
+
+    return marked.select("doc_id", "row", "text", "names").mapInPandas(cut, "name long, print long, doc_id long, row long, start int")
+
+
+def signed(passage: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(passage), "big", signed=True)
 
 
 class SuffixAutomaton:
@@ -153,17 +173,18 @@ class SuffixAutomaton:
         return out
 
 
-def matched(distinct: DataFrame) -> DataFrame:
-    """(name, passage, first_docs) of the distinct passages (name, passage, doc)."""
+def matched(routed: DataFrame) -> DataFrame:
+    """(name, print, first_docs) of the passages (name, passage, doc), which come sorted by name."""
 
-    def flush(names: list, texts: list, docs: list) -> pd.DataFrame:
+    def flush(held: dict[tuple[int, str], int]) -> pd.DataFrame:
         """One shard, or several if one name has more passages than a shard holds."""
-        split = [t.encode().split() for t in texts]
-        found: list = [None] * len(texts)
+        raw = [p.encode() for _, p in held]
+        split, docs = [r.split() for r in raw], list(held.values())
+        found: list = [None] * len(raw)
         at = 0
-        while at < len(texts):
+        while at < len(raw):
             shard, size = SuffixAutomaton(), 0
-            while at < len(texts) and (size == 0 or size + len(split[at]) <= 2 * SHARD_WORDS):
+            while at < len(raw) and (size == 0 or size + len(split[at]) <= 2 * SHARD_WORDS):
                 shard.add(split[at], docs[at])
                 size += len(split[at])
                 at += 1
@@ -171,26 +192,26 @@ def matched(distinct: DataFrame) -> DataFrame:
             for k, words in enumerate(split):
                 own = shard.first_docs(words)
                 found[k] = own if found[k] is None else list(map(min, found[k], own))
-        return pd.DataFrame({"name": names, "passage": texts, "first_docs": found})
+        return pd.DataFrame({"name": [n for n, _ in held], "print": list(map(signed, raw)), "first_docs": found})
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names: list = []
-        texts: list = []
-        docs: list = []
-        size = 0
+        held: dict[tuple[int, str], int] = {}
+        size, last = 0, None
         for batch in batches:
-            for name, text, doc in zip(batch["name"].tolist(), batch["passage"], batch["doc"].tolist(), strict=True):
-                if size >= SHARD_WORDS and name != names[-1]:
-                    yield flush(names, texts, docs)
-                    names, texts, docs, size = [], [], [], 0
-                names.append(name)
-                texts.append(text)
-                docs.append(doc)
-                size += text.count(" ") + 1
-        if names:
-            yield flush(names, texts, docs)
-
-    return distinct.mapInPandas(stream, "name long, passage string, first_docs array<long>")
+            for name, passage, doc in zip(batch["name"].tolist(), batch["passage"], batch["doc"].tolist(), strict=True):
+                if size >= SHARD_WORDS and name != last:
+                    yield flush(held)
+                    held, size = {}, 0
+                last, key = name, (name, passage)
+                if key not in held:
+                    size += passage.count(" ") + 1
+                    held[key] = doc
+                elif doc < held[key]:
+                    held[key] = doc
+        if held:
+            yield flush(held)
+
+    return routed.mapInPandas(stream, "name long, print long, first_docs array<long>")
 
 
 def substring_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -202,18 +223,19 @@ def substring_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     own = docs.select("doc_id", text_or_empty(F.col(text)).alias("text"))
     own = own.withColumn("row", F.xxhash64("text"))
-    names = emitted_names(own)
+    # dealt by name once, for both the count and the join; a row is two integers
+    names = emitted_names(own).repartition("name")
     recurring = names.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
     marks = names.join(recurring, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    cut = passages(own.join(marks, "doc_id"))
-    distinct = cut.groupBy("name", "passage").agg(F.min("doc_id").alias("doc"))
-    # the aggregate on (name, passage) is sorted anew by name alone, so that a name's passages meet in one shard
-    shards = distinct.repartition("name").sortWithinPartitions("name")
-    hits = cut.join(matched(shards), ["name", "passage"])
+    marked = own.join(marks, "doc_id")
+    shards = passages(marked).repartition("name").sortWithinPartitions("name")
+    hits = places(marked).join(matched(shards), ["name", "print"])
     starts = F.filter(F.transform("first_docs", lambda d, k: F.when(d < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull())
     hits = hits.select("doc_id", "row", starts.alias("s")).where(F.size("s") > 0)
-    covered = hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("starts"))
-    rows = own.join(covered, ["doc_id", "row"], "left").select("doc_id", "text", "starts")
+    # keyed by doc_id alone, so that texts are dealt out once for both joins; a row finds its own starts by its print
+    covered = hits.groupBy("doc_id").agg(F.collect_list(F.struct("row", "s")).alias("all"))
+    mine = F.flatten(F.transform(F.filter("all", lambda x: x["row"] == F.col("row")), lambda x: x["s"]))
+    rows = own.join(covered, "doc_id", "left").select("doc_id", "text", mine.alias("starts"))
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
