@@ -1,6 +1,6 @@
-"""Jaccard self-join of documents on word 4-grams, with a count-vector R-tree.
+"""Jaccard self-join of documents on word shingles (4 words unless told otherwise), with a count-vector R-tree.
 
-A document's set is its distinct 4-word shingles, as 64-bit hashes. Documents with equal sets are one class. Two sets of
+A document's set is its distinct shingles, as 64-bit hashes. Documents with equal sets are one class. Two sets of
 Jaccard t or more share a shingle among the first n - ceil(t*n) + 1 of each in any fixed order, which routes every
 possible pair into a bucket; the order puts shingles that very many documents hold last (they are counted over all
 documents, and order alone depends on the counts). Inside buckets, shingles are hashed into GROUPS groups; a set's group
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -61,8 +61,14 @@ def class_hash(s: np.ndarray) -> int:
         return int(mixed(np.array([np.sum(mixed(s)) * U(3) + np.bitwise_xor.reduce(mixed(s + U(1))) + U(len(s))], U)).view(np.int64)[0])
 
 
-def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, cls, n, counts) per row of docs, the shingles that come last in the order).
+def row_key(text: str = "text") -> Column:
+    """One name for all rows of equal id and text, null ids included: the id and 96 bits of hashes of the text."""
+    body = text_or_empty(F.col(text))
+    return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(body).cast("string"), F.hash(body).cast("string"))
+
+
+def classified(docs: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, key, cls, n, counts) per row of docs, the shingles that come last in the order). docs: doc_id, key, text.
 
     Tasks count shingles batch by batch and pass on those found twice or more and in a five-hundredth of the batch;
     the HEAVY_LIMIT most frequent after summing are the heavy ones. That bounds what is broadcast.
@@ -71,15 +77,15 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t, hashes) for t in b["text"]]
+            sets = [shingles(t, hashes, width) for t in b["text"]]
             n = [len(s) for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "cls": pd.array([class_hash(s) if len(s) else None for s in sets], "Int64"), "n": n, "counts": [group_counts(s) for s in sets]})
+            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "cls": pd.array([class_hash(s) if len(s) else None for s in sets], "Int64"), "n": n, "counts": [group_counts(s) for s in sets]})
             seen, count = np.unique(np.concatenate([*sets, np.empty(0, U)]), return_counts=True)
             often = count >= max(2, len(b) // 500)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "cls": pd.array(seen[often].view(np.int64), "Int64"), "n": count[often], "counts": None})
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "key": None, "cls": pd.array(seen[often].view(np.int64), "Int64"), "n": count[often], "counts": None})
 
-    both = written(docs.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, cls long, n long, counts binary"), "classes")
-    rows = both.where("kind = 0").select("doc_id", "cls", "n", "counts")
+    both = written(docs.select("doc_id", "key", "text").mapInPandas(run, "kind int, doc_id long, key string, cls long, n long, counts binary"), "classes")
+    rows = both.where("kind = 0").select("doc_id", "key", "cls", "n", "counts")
     total = rows.count()
     heavy = both.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // 2000))
     return rows, heavy.orderBy(F.desc("n"), "cls").limit(HEAVY_LIMIT).select("cls")
@@ -89,7 +95,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int, width: int = SHINGLE) -> DataFrame:
     """(shingle, cls) of each document's prefix. heavy: sorted hashes, at most HEAVY_LIMIT."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -98,7 +104,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
         for b in batches:
             keys, out = [], []
             for t in b["text"]:
-                s = shingles(t, hashes)
+                s = shingles(t, hashes, width)
                 if not len(s):
                     continue
                 p = prefix_length(len(s), percent)
@@ -117,7 +123,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "shingle long, cls long")
 
 
-def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(cls, items) of the wanted classes; items: the sorted set of the class's smallest document. Few ids (counted) are
     broadcast, so that texts are not shuffled; many are joined."""
 
@@ -126,7 +132,7 @@ def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for cls, text in zip(b["cls"].tolist(), b["text"], strict=True):
-                s = shingles(text, hashes)
+                s = shingles(text, hashes, width)
                 if len(s) and class_hash(s) == cls:  # a repeated id may bring another text
                     out.append((cls, s.tobytes()))
             yield pd.DataFrame(out, columns=["cls", "items"])
@@ -273,7 +279,7 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
     return sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int = SHINGLE) -> DataFrame:
     """The pairs whose sets really reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,7 +293,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
 
     pairs = written(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = written(loaded(docs, wanted, classes), "sets")
+    sets = written(loaded(docs, wanted, classes, width), "sets")
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("items").alias(f"i{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInPandas(run, "a long, b long").distinct()
 
@@ -325,34 +331,46 @@ def cross_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFram
     return rows.mapInPandas(tree_join(percent), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id per row of docs: the smallest doc_id reachable by links.
+def first_row(doc_id: str, key: str) -> Column:
+    """The least row of a group: the smallest id, a null one last, then the smallest key."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("rep"), F.col(key).alias("rep_key")))
 
-    Null and blank texts have no set and link with nothing. Rows that repeat an id are judged each by its own text. A
-    null doc_id is never a component's name unless there is no other. Other columns are dropped.
-    """
-    own = docs.select("doc_id", text_or_empty(F.col(text)).alias("text"))
-    rows, heavy = classified(own)
+
+def jaccard_rows(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """doc_id, key, n_shingles, component_id and first_key per row of docs: row_key() of the row and of the first row of
+    its component, whose id is component_id. Rows without a set have no first_key. Rows that share an id, or have none,
+    are members each by its own text."""
+    own = docs.select("doc_id", text_or_empty(F.col(text)).alias("text")).withColumn("key", row_key())
+    rows, heavy = classified(own, width)
     last = np.sort(np.array([r["cls"] for r in heavy.collect()], np.int64).view(U))  # at most HEAVY_LIMIT
     # dealt by shingle once, for both the count and the join
-    first = prefixes(own, last, percent).repartition("shingle")
+    first = prefixes(own, last, percent, width).repartition("shingle")
     shared = first.groupBy("shingle").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("shingle")
     buckets = written(first.join(shared, "shingle").distinct(), "buckets")
     members = written(unlike_buckets(buckets), "members")
-    some = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    classes = written(some, "reps")
+    some = rows.where("cls is not null").groupBy("cls").agg(first_row("doc_id", "key").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    classes = written(some.select("cls", "first.rep", "first.rep_key", "n", "counts"), "reps")
     points = classes.select("cls", "n", "counts")
     degree = buckets.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     leader = members.join(degree, "cls").groupBy("shingle").agg(F.max_by("cls", F.struct("degree", "cls")).alias("lead"))
     stars = members.join(leader, "shingle").where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    links = written(verified(bounded_pairs(stars, points, percent), own, classes, percent), "near-links")
+    links = written(verified(bounded_pairs(stars, points, percent), own, classes, percent, width), "near-links")
     comp = components(links)
     labelled = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("shingle", "cls", F.coalesce("component", "cls").alias("comp"))
     rest = cross_pairs(written(labelled, "labelled"), points, percent)
-    links = links.unionByName(written(verified(rest, own, classes, percent), "near-links"))
+    links = links.unionByName(written(verified(rest, own, classes, percent, width), "near-links"))
     comp = components(links)
-    named = classes.select("cls", "rep").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
-    names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(names, "comp").select("cls", "component_id")
+    named = classes.select("cls", "rep", "rep_key").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", "rep_key", F.coalesce("component", "cls").alias("comp"))
+    names = named.groupBy("comp").agg(first_row("rep", "rep_key").alias("first")).select("comp", F.col("first.rep").alias("component_id"), F.col("first.rep_key").alias("first_key"))
+    by_class = named.join(names, "comp").select("cls", "component_id", "first_key")
     out = rows.join(by_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "first_key")
+
+
+def jaccard_components(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles and component_id per row of docs: the smallest doc_id reachable by links.
+
+    Null and blank texts have no set and link with nothing. Rows that repeat an id are judged each by its own text. A
+    null doc_id is never a component's name unless there is no other. Other columns are dropped.
+    """
+    return jaccard_rows(docs, percent, text, width).select("doc_id", "n_shingles", "component_id")

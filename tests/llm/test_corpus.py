@@ -222,3 +222,15 @@ def test_pipeline_by_brute_force(spark):
     lib = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
     for r in steps["bpe"].collect():
         assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(masked[r["doc_id"]] or "", add_special_tokens=False).ids
+
+
+def test_near_copies_stage_by_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = [f"w{i}" for i in range(98)]
+    edited = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(long)]
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (10, one), (11, one), (11, two), (None, two), (None, one), (None, "alone here"), (None, "alone here"), (12, one), (20, ""), (20, ""), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_copies(spark, docs, "").collect()), key=repr)
+    want = [(1, " ".join(long)), (10, one), (11, two), (20, ""), (None, "alone here"), (None, None), (None, " ")]
+    assert got == sorted(want, key=repr)
