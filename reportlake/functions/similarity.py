@@ -1,9 +1,11 @@
-"""Similarity of short strings where Spark has no built-in: Arrow-batched, always after an equi join that blocks."""
+"""Similarity of strings where Spark has no built-in: Arrow-batched, always after an equi join."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -27,6 +29,50 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def common_subsequences(a: str, codes: np.ndarray, where: dict[str, int]) -> np.ndarray:
+    """common_subsequence of a, of at most 64 characters, with each row of codes; 0 there is no character."""
+    masks = np.zeros(len(where) + 1, np.uint64)
+    for k, ch in enumerate(a):
+        if ch in where:
+            masks[where[ch]] |= np.uint64(1 << k)
+    full = np.uint64((1 << len(a)) - 1)
+    row = np.full(len(codes), full)
+    for step in codes.T:
+        hit = row & masks[step]
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - np.bitwise_count(row).astype(np.int64)
+
+
+def alike(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of all pairs of at least this ratio, `least` being positive. Three upper bounds of the ratio, by
+    lengths, by common characters and by the longest common subsequence, spare most pairs the ratio itself."""
+    a, b = ([(x or "").strip().lower() for x in side] for side in (left, right))
+    size = np.array([len(x) for x in b], np.int64)
+
+    def bag(x: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+
+    bags = np.array([bag(x) for x in b]).reshape(-1, 64).astype(np.int32)
+    short = np.flatnonzero(size <= 128)
+    where = {ch: k for k, ch in enumerate(sorted(set("".join(b[j] for j in short))), 1)}
+    codes = np.zeros((len(b), int(size[short].max(initial=0))), np.int32)
+    for j in short:
+        codes[j, : size[j]] = [where[ch] for ch in b[j]]
+    for i, x in enumerate(a):
+        if not x:
+            continue
+        need = least * (len(x) + size) / 2 - 1e-6
+        j = np.flatnonzero((np.minimum(len(x), size) >= need) & (size > 0))
+        j = j[np.minimum(bag(x), bags[j]).sum(1) >= need[j]]
+        if len(j) >= 8 and len(x) <= 64 and (size[j] <= 128).all():
+            j = j[common_subsequences(x, codes[j], where) >= need[j]]
+        for k in j.tolist():
+            if x == b[k]:
+                yield i, k, 1.0
+            elif common_subsequence(x, b[k]) >= need[k] and (sim := SequenceMatcher(None, x, b[k]).ratio()) >= least:
+                yield i, k, sim
+
+
 def indel(a: str | None, b: str | None) -> float:
     """100 * (1 - insertions and deletions / total length); 100 for two empty strings."""
     x, y = a or "", b or ""

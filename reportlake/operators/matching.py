@@ -1,4 +1,4 @@
-"""Fuzzy matching and model-shaped operators. Similarities are computed inside blocks only."""
+"""Fuzzy matching and model-shaped operators. Similarities are computed inside reports or blocks only."""
 
 from __future__ import annotations
 
@@ -9,28 +9,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
-from reportlake.functions.similarity import indel_ratio, seq_ratio
+from reportlake.functions.similarity import alike, indel_ratio, seq_ratio
+
+#: Texts of one side that are compared in one go.
+PACK = 512
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, text, matched, sim): all pairs of different rows' texts with an equal key and a ratio of at least `least`.
+    left: key, text; right: key, matched. The texts of a key are dealt into packs of about PACK, and each pack of one side
+    meets each of the other, so a large key spreads over many tasks."""
+
+    def packed(df: DataFrame, column: str, name: str) -> DataFrame:
+        d = df.select(key, column).where(F.col(key).isNotNull() & (F.trim(column) != "")).distinct()
+        packs = d.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
+        dealt = d.join(packs, key).groupBy(key, F.pmod(F.xxhash64(column), "packs").alias(f"{name}_no"))
+        return dealt.agg(F.collect_list(column).alias(name))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, ls, rs in zip(b[key], b["ls"], b["rs"], strict=True):
+                found = [(k, ls[i], rs[j], sim) for i, j, sim in alike(list(ls), list(rs), least)]
+                if found:
+                    yield pd.DataFrame(found, columns=[key, "text", "matched", "sim"])
+
+    met = packed(left, "text", "ls").join(packed(right, "matched", "rs"), key).repartition(key, "ls_no", "rs_no").select(key, "ls", "rs")
+    return met.mapInPandas(run, f"{key} {left.schema[key].dataType.simpleString()}, text string, matched string, sim double")
 
 
 def fuzzy_upsert(extracted: DataFrame, existing: DataFrame, least: float = 0.80, boost: float = 0.2) -> DataFrame:
     """Existing rows with raised confidence where an extracted text of the report matches, and unmatched ones as new
-    rows. Both: scan_id, text, confidence; existing has id too. Blocks: report and first word."""
-    block = lambda df: df.withColumn("block", F.lower(F.split(F.trim("text"), r"\s+")[0]))
-    new = block(extracted).withColumn("n", F.xxhash64("scan_id", "text"))
-    old = block(existing).select("scan_id", "block", "id", F.col("text").alias("old_text"))
-    pairs = new.join(old, ["scan_id", "block"]).withColumn("sim", seq_ratio("text", "old_text")).where(F.col("sim") >= least)
-    best = pairs.groupBy("n").agg(F.max_by("id", F.struct("sim", -F.col("id"))).alias("id"))
+    rows. Both: scan_id, text, confidence; existing has id too. Each text is matched within its whole report."""
+    old = existing.where("text is not null").groupBy("scan_id", F.col("text").alias("matched")).agg(F.min("id").alias("id"))
+    pairs = alike_pairs(extracted, old, "scan_id", least).join(old, ["scan_id", "matched"])
+    best = pairs.groupBy("scan_id", "text").agg(F.max_by("id", F.struct("sim", -F.col("id"))).alias("id"))
     hit = best.select("id").distinct().withColumn("hit", F.lit(True))
     updated = existing.join(hit, "id", "left").withColumn("confidence", F.when(F.col("hit"), F.least(F.lit(1.0), F.col("confidence") + boost)).otherwise(F.col("confidence"))).withColumn("action", F.when(F.col("hit"), "updated").otherwise("kept")).drop("hit")
-    fresh = new.join(best, "n", "left_anti").select(F.lit(None).cast("long").alias("id"), "scan_id", "text", "confidence", F.lit("inserted").alias("action"))
+    fresh = extracted.join(best, ["scan_id", "text"], "left_anti").select(F.lit(None).cast("long").alias("id"), "scan_id", "text", "confidence", F.lit("inserted").alias("action"))
     return updated.select("id", "scan_id", "text", "confidence", "action").unionByName(fresh)
 
 
 def rescue_bad_chunks(bad: DataFrame, good: DataFrame, least: float = 0.7) -> DataFrame:
-    """(doc_id, text, kind, matched): exact, fuzzy or unmatched. Blocks: document and first word."""
-    g = good.select("doc_id", F.lower(F.split(F.trim("text"), r"\s+")[0]).alias("block"), F.col("text").alias("matched")).distinct()
-    b = bad.select("doc_id", "text", F.lower(F.split(F.trim("text"), r"\s+")[0]).alias("block"))
-    sims = b.join(g, ["doc_id", "block"]).withColumn("sim", F.when(F.col("text") == F.col("matched"), 1.0).otherwise(seq_ratio("text", "matched")))
+    """(doc_id, text, kind, matched): exact, fuzzy or unmatched. Each text is matched within its whole document."""
+    g = good.select("doc_id", F.col("text").alias("matched")).distinct()
+    equal = bad.select("doc_id", "text").distinct().join(g.withColumn("text", F.col("matched")), ["doc_id", "text"]).withColumn("sim", F.lit(1.0))
+    sims = alike_pairs(bad, g, "doc_id", least).unionByName(equal)
     best = sims.where(F.col("sim") > least).groupBy("doc_id", "text").agg(F.max_by("matched", F.struct("sim", "matched")).alias("matched"), F.max("sim").alias("sim"))
     out = bad.select("doc_id", "text").join(best, ["doc_id", "text"], "left")
     return out.withColumn("kind", F.when(F.col("sim") == 1.0, "exact").when(F.col("sim").isNotNull(), "fuzzy").otherwise("unmatched"))

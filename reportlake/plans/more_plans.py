@@ -62,13 +62,13 @@ def x03(spark, d):
 def j07(spark, d):
     c = view(spark, d, "v_controls")
     old = c.where("id % 2 = 0").select("id", "scan_id", F.col("control_desc").alias("text"), F.col("control_confidence").alias("confidence"))
-    new = c.where("id % 40 = 1").select("scan_id", F.col("control_desc").alias("text"), F.col("control_confidence").alias("confidence"))
+    new = c.where("id % 2 <> 0").select("scan_id", F.col("control_desc").alias("text"), F.col("control_confidence").alias("confidence"))
     return X.fuzzy_upsert(new, old)
 
 
 @query("j13_rescue_bad_chunks")
 def j13(spark, d):
-    lines = view(spark, d, "v_lines").select("doc_id", F.col("line").alias("text")).where("length(text) between 10 and 200")
+    lines = view(spark, d, "v_lines").select("doc_id", F.col("line").alias("text"))
     return X.rescue_bad_chunks(lines.where("xxhash64(text) % 20 = 0"), lines.where("xxhash64(text) % 20 <> 0"))
 
 
