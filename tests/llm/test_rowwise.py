@@ -87,3 +87,12 @@ def test_classifier_odd_cases(docs, none, spark):
     out = classifier.score(docs, model).collect()
     assert len(out) == 10 and all(0 <= r["score"] <= 1 for r in out)
     assert classifier.score(none, model).count() == 0 and hashlib
+
+
+def test_classifier_cuts_above_the_median_if_most_are_bad(spark):
+    good = [(i, " ".join(f"word{(i * 31 + k * 7) % 997}" for k in range(40 + i % 50)), 1) for i in range(60)]
+    bad = [(1000 + i, f"BUY### NOW$$$ {i}!! " * 12, 0) for i in range(240)]
+    rows = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    model = classifier.fit(rows, rows)
+    out = classifier.score(rows, model, keep=("doc_id", "quality")).withColumn("p", classifier.predicted()).collect()
+    assert model["quantile"] > 0.5 and sum(r["p"] == r["quality"] for r in out) / len(out) >= 0.95
