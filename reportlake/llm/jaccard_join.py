@@ -7,7 +7,7 @@ documents, and order alone depends on the counts). Inside buckets, shingles are
 counts are a point, points are packed into trees of bounding boxes, and the overlap of two sets, or of any two below two
 boxes, is at most the sum of the coordinates' minima. Pairs that survive are verified on the sets themselves.
 
-Only components are asked for, so a pair whose sides are already connected need not be looked at: first each class meets
+Where only components are asked for, a pair whose sides are already connected need not be looked at: first each class meets
 the most central class of each of its buckets, and then, bucket by bucket, only classes of different components meet.
 """
 
@@ -125,7 +125,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int, width: int = SHIN
 
 def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(cls, items) of the wanted classes; items: the sorted set of the class's smallest document. Few ids (counted) are
-    broadcast, so that texts are not shuffled; many are joined."""
+    broadcast, so that texts are not shuffled; many are joined. Classes without any id are found by their row's key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -137,9 +137,18 @@ def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int =
                     out.append((cls, s.tobytes()))
             yield pd.DataFrame(out, columns=["cls", "items"])
 
-    ids = written(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls"), "wanted")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id").select("cls", "text").mapInPandas(run, "cls long, items binary")
+    ids = written(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("key"), "cls"), "wanted")
+
+    def met(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+        few = ids.count() <= BROADCAST_IDS
+        return rows.join(F.broadcast(ids) if few else ids, on).select("cls", "text").mapInPandas(run, "cls long, items binary")
+
+    found = met(docs, ids.where("doc_id is not null").select("doc_id", "cls"), "doc_id")
+    nameless = ids.where("doc_id is null").select("key", "cls")
+    if nameless.isEmpty():
+        return found
+    # copies share a key, and one of them is enough
+    return found.unionByName(met(docs.where("doc_id is null"), nameless, "key").groupBy("cls").agg(F.first("items").alias("items")))
 
 
 def needed(na: np.ndarray | int, nb: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -336,10 +345,8 @@ def first_row(doc_id: str, key: str) -> Column:
     return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("rep"), F.col(key).alias("rep_key")))
 
 
-def jaccard_rows(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id, key, n_shingles, component_id and first_key per row of docs: row_key() of the row and of the first row of
-    its component, whose id is component_id. Rows without a set have no first_key. Rows that share an id, or have none,
-    are members each by its own text."""
+def routed(docs: DataFrame, percent: int, text: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with their keys, their rows classified, a row per class, the (shingle, cls) of shared prefixes)."""
     own = docs.select("doc_id", text_or_empty(F.col(text)).alias("text")).withColumn("key", row_key())
     rows, heavy = classified(own, width)
     last = np.sort(np.array([r["cls"] for r in heavy.collect()], np.int64).view(U))  # at most HEAVY_LIMIT
@@ -347,9 +354,17 @@ def jaccard_rows(docs: DataFrame, percent: int = 85, text: str = "text", width:
     first = prefixes(own, last, percent, width).repartition("shingle")
     shared = first.groupBy("shingle").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("shingle")
     buckets = written(first.join(shared, "shingle").distinct(), "buckets")
+    some = rows.where("cls is not null").groupBy("cls").agg(first_row("doc_id", "key").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    classes = written(some.select("cls", "first.rep", "first.rep_key", "n_rows", "n", "counts"), "reps")
+    return own, rows, classes, buckets
+
+
+def jaccard_rows(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """doc_id, key, n_shingles, component_id and first_key per row of docs: row_key() of the row and of the first row of
+    its component, whose id is component_id. Rows without a set have no first_key. Rows that share an id, or have none,
+    are members each by its own text."""
+    own, rows, classes, buckets = routed(docs, percent, text, width)
     members = written(unlike_buckets(buckets), "members")
-    some = rows.where("cls is not null").groupBy("cls").agg(first_row("doc_id", "key").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    classes = written(some.select("cls", "first.rep", "first.rep_key", "n", "counts"), "reps")
     points = classes.select("cls", "n", "counts")
     degree = buckets.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     leader = members.join(degree, "cls").groupBy("shingle").agg(F.max_by("cls", F.struct("degree", "cls")).alias("lead"))
@@ -374,3 +389,18 @@ def jaccard_components(docs: DataFrame, percent: int = 85, text: str = "text", w
     null doc_id is never a component's name unless there is no other. Other columns are dropped.
     """
     return jaccard_rows(docs, percent, text, width).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """All links, not only those that components need: ((a, b, rows_a, rows_b) of every pair of linked classes, and
+    (doc_id, key, cls, n_links) per row of docs). Each row of a links with each of b, and rows of one class with one
+    another; n_links counts a row's links."""
+    own, rows, classes, buckets = routed(docs, percent, text, width)
+    apart = buckets.withColumn("comp", F.col("cls"))
+    pairs = written(verified(cross_pairs(apart, classes.select("cls", "n", "counts"), percent), own, classes, percent, width), "all-links")
+    side = lambda k: classes.select(F.col("cls").alias(k), F.col("n_rows").alias(f"rows_{k}"))
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rows_a", "rows_b"), "all-links")
+    both = pairs.select(F.col("a").alias("cls"), F.col("rows_b").alias("k")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("rows_a").alias("k")))
+    near = both.groupBy("cls").agg(F.sum("k").alias("near"))
+    per_class = classes.join(near, "cls", "left").select("cls", (F.col("n_rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return pairs, rows.join(per_class, "cls", "left").select("doc_id", "key", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -234,3 +234,19 @@ def test_near_copies_stage_by_rows(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_copies(spark, docs, "").collect()), key=repr)
     want = [(1, " ".join(long)), (10, one), (11, two), (20, ""), (None, "alone here"), (None, None), (None, " ")]
     assert got == sorted(want, key=repr)
+
+
+def test_jaccard_links_through_rows_without_an_id(spark):
+    base = [f"t{i}" for i in range(80)]
+    text = lambda k: " ".join(f"z{i}" if i in [0, 1, 2, 77, 78, 79][:k] else w for i, w in enumerate(base))
+    # 1 and 2 meet only through the row without an id; two more of those meet each other
+    rows = [(2, text(6)), (None, text(3)), (1, text(0)), (1, text(0)), (None, "q " + " ".join(f"r{i}" for i in range(40))), (None, " ".join(f"r{i}" for i in range(40))), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(df, percent=90).collect()), key=repr)
+    assert got == sorted([(2, 1), (None, 1), (1, 1), (1, 1), (None, None), (None, None), (3, 3)], key=repr)
+    assert jaccard_join.jaccard_rows(df, percent=90).where("doc_id is null and component_id is null").select("first_key").distinct().count() == 1
+    grams = [frozenset(zip(w, w[1:], w[2:], w[3:])) for _, t in rows if (w := words(t))]
+    links = lambda i: sum(100 * len(grams[i] & g) >= 90 * len(grams[i] | g) for j, g in enumerate(grams) if j != i)
+    pairs, per_row = jaccard_join.jaccard_links(df, percent=90)
+    assert sorted(r["n_links"] for r in per_row.collect()) == sorted([links(i) for i in range(len(grams))] + [0])
+    assert sum(r["rows_a"] * r["rows_b"] for r in pairs.collect()) + 1 == sum(map(links, range(len(grams)))) // 2
