@@ -36,7 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by surrogates; n_chars follows the new text."""
-    new = surrogates.surrogate_text(docs.select(*COLUMNS))
+    new = surrogates.surrogate_text(docs.select(*COLUMNS), surrogates.configured_key(spark))
     return new.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -147,7 +147,7 @@ QUERIES["op4_quality_classifier"] = op4_quality_classifier
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = surrogates.surrogate_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = surrogates.surrogate_text(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.configured_key(spark))
     return out.select("doc_id", F.col("_n_entities").alias("n_entities"), "text")
 
 

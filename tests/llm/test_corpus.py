@@ -16,14 +16,23 @@ def words(t):
     return (t or "").encode().split()
 
 
-def test_substring_dedup_by_brute_force(spark, docs, none):
+def substring_rows():
+    """Random texts with shared passages, exact copies, repeated and missing ids, one very common line."""
     rng = random.Random(1)
     vocab = [f"v{i}" for i in range(400)]
     shared = [rng.choices(vocab, k=30) for _ in range(4)]
+    line = [f"c{i}" for i in range(17)]
     rows = [(i, " ".join(rng.choices(vocab, k=20) + (shared[i % 4][: 10 + i % 21] if i % 3 else []) + rng.choices(vocab, k=9))) for i in range(60)]
-    rows += [(70, "rep " * 60), (71, "rep " * 14), (None, " ".join(shared[0])), (72, None), (72, "")]
+    rows += [(100 + i, " ".join(rng.choices(vocab, k=i % 7) + line[: 11 + i % 7] + rng.choices(vocab, k=5 + i % 5) + line[3:])) for i in range(60)]
+    rows += [(300 - i, rows[7][1]) for i in range(5)] + [(300, "short copy"), (301, "short copy"), (4, rows[70][1]), (4, rows[5][1])]
+    return rows + [(70, "rep " * 60), (71, "rep " * 14), (None, " ".join(shared[0])), (72, None), (72, "")]
+
+
+@pytest.mark.parametrize("max_passages", [substring_dedup.MAX_PASSAGES, 2])
+def test_substring_dedup_by_brute_force(spark, docs, none, max_passages):
+    rows = substring_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(df).collect())
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(df, max_passages=max_passages).collect())
     first = {}
     for d, t in rows:
         w = words(t)
@@ -130,26 +139,63 @@ def test_neighbours_recall_and_ties(spark):
     assert nn_descent.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def luhn_ok(digits):
+    each = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in each) % 10 == 0
+
+
+def iban_ok(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
 def test_surrogates_keep_type_and_identity(spark, docs, none):
-    text = "Mr. John Smith, Mrs. Jane Smith, +1 (168) 555-5254 and +1 168 555 5254, 4539578763621486, a.b@mail1.example.com A.B@MAIL1.EXAMPLE.COM, 10.1.2.3"
-    out = surrogates.surrogate_text(spark.createDataFrame([(1, text), (2, "clean text, version 2.0 of 1999")], "doc_id long, text string")).orderBy("doc_id").collect()
+    text = "Mr. John Smith, Mrs. Jane Smith, +1 (168) 555-5254 and +1 168 555 5254, 4539578763621486, a.b@mail1.example.com A.B@MAIL1.EXAMPLE.COM, 10.1.2.3, GB29NWBK60161331926819"
+    plain = "clean text, version 2.0 of 1999, order 9807915762804490, part AB12CDEFGHIJKLMNO"
+    out = surrogates.surrogate_text(spark.createDataFrame([(1, text), (2, plain)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
     new = out[0]["text"]
-    assert out[1]["text"] == "clean text, version 2.0 of 1999"
+    assert out[1]["text"] == plain and out[1]["_n_entities"] == 0 and out[0]["_n_entities"] == 9
     assert not any(x in new for x in ("John", "Smith", "555-5254", "4539578763621486", "a.b@mail1")) and new.startswith("Mr. ") and ", Mrs. " in new
     parts = new.split(", ")
     assert parts[0].split()[-1] == parts[1].split()[-1]
     phones = ["".join(c for c in p if c.isdigit()) for p in parts[2].split(" and ")]
-    assert phones[0] == phones[1] and len(phones[0]) == 11
+    assert phones[0] == phones[1] and len(phones[0]) == 11 and phones[0][0] == "1"
+    assert luhn_ok(parts[3]) and parts[3] != "4539578763621486" and parts[3][0] == "4"
     mails = parts[4].split()
-    assert mails[0].upper() == mails[1]
-    odd = surrogates.surrogate_text(docs).collect()
-    assert len(odd) == 10 and sum(r["text"] is None for r in odd) == 1 and surrogates.surrogate_text(none).count() == 0
-
-
-def test_surrogates_stay_distinct(spark):
-    names = spark.createDataFrame([(i, f"Mr. Abcd{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} said so") for i in range(3000)], "doc_id long, text string")
-    out = surrogates.surrogate_text(names)
-    assert out.select("text").distinct().count() == 3000
+    assert mails[0].upper() == mails[1] and mails[0].endswith(".example.com")
+    assert parts[5].startswith("10.") and parts[5] != "10.1.2.3" and parts[6][:2] == "GB" and iban_ok(parts[6])
+    odd = surrogates.surrogate_text(docs, "k").collect()
+    assert len(odd) == 10 and sum(r["text"] is None for r in odd) == 1 and surrogates.surrogate_text(none, "k").count() == 0
+    assert surrogates.configured_key(spark) != surrogates.configured_key(spark)
+
+
+def test_surrogates_follow_a_name_through_a_text(spark):
+    token = "".join("0123456789abcdef"[i * i % 16] for i in range(5000))
+    rows = [(1, "Mr. John Smith came. Smith spoke, then John Smith left; smith and Smithson stayed."), (2, "Dr. Ana Silva and Mrs. Ana Silva"), (3, f"token={token} end"), (4, "password: correcthorsebattery"), (5, "г-н Иван Петров и Петров"), (6, "漢字@example.com مثال@example.com")]
+    out = {r["doc_id"]: r["text"] for r in surrogates.surrogate_text(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    w = out[1].replace(".", "").replace(",", "").replace(";", "").split()
+    assert w[2] == w[4] == w[8] and w[1] == w[7] and "Smith " not in out[1] and "smith and Smithson" in out[1]
+    doctor, lady = out[2].removeprefix("Dr. ").split(" and Mrs. ")
+    assert doctor == lady and doctor.split()[0][-1] in "ae"
+    new = out[3].removeprefix("token=").removesuffix(" end")
+    assert len(new) == 5000 and set(new) <= set("0123456789abcdef") and new[-44:] != token[-44:]
+    assert "horse" not in out[4] and out[5].split()[2] == out[5].split()[4] and all("а" <= c <= "я" for c in out[5].split()[2].lower())
+    han, arabic = (m.split("@")[0] for m in out[6].split())
+    assert all("一" <= c <= "龥" for c in han) and all("\u0621" <= c <= "\u064a" for c in arabic) and han != "漢字"
+
+
+def test_surrogates_stay_distinct_whatever_their_number(spark):
+    address = spark.range(60_000).select(F.concat(F.lit("192.168."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
+    letters = [F.substring(F.lit("abcdefghijklmnopqrst"), (F.floor(F.col("id") / 20**k) % 20).cast("int") + 1, F.lit(1)) for k in range(4)]
+    family = spark.range(8_000).select(F.concat(F.lit("Mr. John X"), *letters, F.lit(" met Mr. X"), *letters).alias("text"))
+    short = spark.range(1000).select(F.concat(F.lit("(555) 555-0"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("text"))
+    out = surrogates.surrogate_text(address, "k")
+    assert out.select("text").distinct().count() == 60_000 and out.where("text not like '192.168.%'").isEmpty()
+    out = surrogates.surrogate_text(family, "k")
+    pair = out.select(F.element_at(F.split("text", " "), -1).alias("last"), F.get(F.split("text", " "), F.lit(2)).alias("first"))
+    assert out.select("text").distinct().count() == 8_000 and pair.where("first <> last").isEmpty()
+    assert surrogates.surrogate_text(short, "k").select("text").distinct().count() == 1000
+    every = address.unionByName(family).unionByName(short)
+    assert surrogates.collisions(every, "k").isEmpty()
 
 
 def test_mixing_budgets(spark, docs, none):
