@@ -89,24 +89,23 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_twin() -> str:
+    """Only the wording of the templates and the threshold come from the operator; all else is worked out in SQL."""
     t = license_scan.THRESHOLD
-    rows = ", ".join(f"('{k}', {license_scan.bigrams(v)!r})" for k, v in license_scan.TEMPLATES.items())
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
     return rf"""
-with t(license_id, own) as (values {rows}),
-u as (
-  select doc_id, 0 as line_no, coalesce(text, '') as unit from documents where length(text) < 2000
-  union all
-  select doc_id, unnest(range(1, len(ls) + 1)) as line_no, unnest(ls) as unit from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
-w as (select doc_id, line_no, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w from u),
-g as (select doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) as g from w where len(w) >= 2),
-h as (
-  select doc_id, line_no, license_id, 2.0 * len(list_intersect(g, own)) / (len(g) + len(own)) as dice
-  from g, t where len(g) between len(own) * {t} / (2 - {t}) - 1e-9 and len(own) * (2 - {t}) / {t} + 1e-9),
-r as (
-  select doc_id, license_id, line_no, dice, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by dice desc, line_no, license_id) as k
-  from h where dice >= {t})
-select d.doc_id, coalesce(n, 0)::bigint as n_hits, license_id, line_no::bigint as line_no, round(dice, 6) as dice
-from documents d left join (select * from r where k = 1) r using (doc_id)
+with raw(template, body) as (values {rows}),
+tw as (select template, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w from raw),
+t as (select template, len(w) as n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) as own from tw),
+dw as (select doc_id, row_number() over () as r, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w from documents),
+d as (select doc_id, r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) as p, len(w) as n from dw),
+c as (select r, template, p, d.n as dn, t.n as tn, own from d, t where len(list_intersect(list_distinct(p), own)) >= {t} * len(own) / (2 - {t}) - 1e-9),
+s as (select *, unnest(list_distinct(list_concat(range(0, greatest(dn - tn, 0) + 1, greatest(1, tn // 16)), [greatest(dn - tn, 0)]))) as start from c),
+g as (select r, template, start, own, list_distinct(p[start+1:start+tn-1]) as g from s),
+x as (select r, template, start, 2.0 * len(list_intersect(g, own)) / (len(g) + len(own)) as dice from g where len(g) > 0),
+b as (select r, template, max(dice) as dice, arg_min(start, (-dice, start)) as start from x where dice >= {t} group by 1, 2),
+h as (select *, count(*) over (partition by r) as n, row_number() over (partition by r order by dice desc, start, template) as k from b)
+select doc_id, coalesce(h.n, 0)::bigint as n_hits, string_split(template, '/')[1] as license_id, template, (start + 1)::bigint as word_no, round(dice, 6) as dice
+from d left join (select * from h where k = 1) h using (r)
 """
 
 

@@ -35,20 +35,46 @@ def test_host_rate_is_shrunk(spark):
     assert 0.1 < verdict["tiny"]["host_rate"] < 1.0 and not verdict["big0"]["host_failed"]
 
 
-def test_license_scan(docs, none):
+def license_by_brute_force(text, t=license_scan.THRESHOLD):
+    """{template: (dice, first word)} by comparing all windows."""
+    w = license_scan.normal_words(text or "")
+    out = {}
+    for name, body in license_scan.TEMPLATES.items():
+        own, n = set(license_scan.bigrams(body)), len(license_scan.normal_words(body))
+        last = max(len(w) - n, 0)
+        for s in sorted({*range(0, last + 1, max(1, n // license_scan.STEPS)), last}):
+            g = set(zip(w[s : s + n], w[s + 1 : s + n], strict=False))
+            g = {f"{a} {b}" for a, b in g}
+            dice = 2 * len(g & own) / (len(g) + len(own))
+            if g and dice >= t and dice > out.get(name, (0, 0))[0]:
+                out[name] = (dice, s + 1)
+    return out
+
+
+def test_license_scan(docs, none, spark):
     out = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
-    assert (out[5]["license_id"], out[5]["line_no"], out[5]["dice"]) == ("apache-2.0", 2, 1.0)
+    assert (out[5]["license_id"], out[5]["word_no"], out[5]["dice"]) == ("apache-2.0", 4, 1.0)
     assert out[3]["n_hits"] == 0 and out[3]["license_id"] is None and out[4]["n_hits"] == 0
     assert license_scan.license_scan(docs).count() == 10 and license_scan.license_scan(none).count() == 0
-
-
-def test_license_prune_loses_nothing():
-    for t in (0.6, 0.8, 0.95):
-        probes = set(license_scan.probes(license_scan.TEMPLATES, t))
-        for text in license_scan.TEMPLATES.values():
-            grams = license_scan.bigrams(text)
-            low, _ = license_scan.size_bounds(len(grams), t)
-            assert len([g for g in grams if g not in probes]) < low
+    assert license_scan.license_scan(docs, templates={}).where("n_hits > 0").isEmpty()
+
+
+def test_license_bodies_inside_long_texts_by_brute_force(spark):
+    t = license_scan.TEMPLATES
+    prose = [f"word{i * 7 % 501}" for i in range(900)]
+    wrapped = lambda text, mark: "\n".join(f"{mark} {text[i : i + 70]}" for i in range(0, len(text), 70))
+    edited = " ".join(w for i, w in enumerate(t["mit"].split()) if i % 14)
+    texts = [
+        " ".join(prose[:400]) + "\n" + wrapped(t["mit"], "//") + "\n" + " ".join(prose[400:]), " ".join(prose[:123] + t["bsd-3-clause"].split() + prose[123:]), edited + " " + " ".join(prose),
+        wrapped(t["apache-2.0/header"], "#"), "see: " + t["mit/note"], " ".join(t["mit"].split()[:60]), t["gpl-3.0/header"], "", None, "license", " ".join(prose),
+    ]
+    rows = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[k]["license_id"] for k in range(7)] == ["mit", "bsd-3-clause", "mit", "apache-2.0", "mit", None, "gpl-3.0"]
+    for k, text in enumerate(texts):
+        want = license_by_brute_force(text)
+        best = min(((-d, s, name) for name, (d, s) in want.items()), default=None)
+        got = rows[k]
+        assert got["n_hits"] == len(want) and (best is None or (got["dice"], got["word_no"], got["template"]) == (round(-best[0], 6), best[1], best[2]))
 
 
 def test_reply_tree_paths_and_ranks(spark):
