@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,7 +37,13 @@ def merged_pattern(a: Column, b: Column) -> Column:
 
 
 def strip_line_markers(s: Column) -> Column:
-    return F.regexp_replace(s, r"\[?\bLINE[ _]\d+\]?:? ?", "")
+    """Text without line numbers between double bars."""
+    return F.regexp_replace(s, r"║\d+║\s*", "")
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A list marked for broadcast if it is small, by count; else as it is, for a distributed join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 #: Legal forms that do not tell companies apart.
@@ -103,6 +109,21 @@ def text_snippet(s: Column, n: int = 150) -> Column:
     return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("..."))).otherwise(flat)
 
 
+#: How ids look in the text of a control, in the order in which they are tried.
+SNIPPET_IDS = [r"CC\d+\.\d+", r"Control\s+\d+\.\d+", r"\d+\.\d+", r"Control\s+ID:\s*\w+-\d+", r"Ref:\s*\d+\.\d+\.\d+"]
+
+
+def id_snippet(s: Column) -> Column:
+    """An id and the sentence after it, up to 200 characters; else the first 150 of the text. Null for a blank text."""
+    flat = F.trim(F.regexp_replace(s, r"\s+", " "))
+    found = []
+    for p in SNIPPET_IDS:
+        whole = rf"(?is)^.*?({p})\s*([^.!?]*[.!?])"
+        both = F.trim(F.concat_ws(" ", F.regexp_extract(flat, whole, 1), F.regexp_extract(flat, whole, 2)))
+        found.append(F.when(flat.rlike(whole), F.when(F.length(both) > 200, F.concat(F.substring(both, 1, 197), F.lit("..."))).otherwise(both)))
+    return F.when(flat == "", None).otherwise(F.coalesce(*found, text_snippet(s)))
+
+
 def collapse_blank_lines(s: Column, most: int = 2) -> Column:
     return F.regexp_replace(s, rf"\n{{{most + 2},}}", "\n" * (most + 1))
 

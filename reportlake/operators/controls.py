@@ -270,3 +270,83 @@ def link_instances(controls: DataFrame) -> DataFrame:
     """Group id from the sorted member ids, so that it is the same in every run, and the instance mark."""
     groups = duplicate_groups(controls).select("scan_id", "key", F.sha1("members").alias("duplicate_group_id"))
     return controls.withColumn("key", F.trim("control_id")).join(groups, ["scan_id", "key"], "left").withColumn("marker", F.when(F.col("duplicate_group_id").isNotNull(), INSTANCE))
+
+
+HISTORY = "array<struct<type:string,confidence:double,merged_from_ids:array<string>,reason:string>>"
+NO_SAVED_CONFIDENCE = 0.5
+
+
+def record_merges(primaries: DataFrame, merged: DataFrame, kind: str = "manual", reason: str = "Manual merge via UI") -> DataFrame:
+    """primaries (id, merge_history of type HISTORY) with one event appended for the controls (id, merged_to) that were
+    merged into each; others stay as they are."""
+    ids = merged.groupBy(F.col("merged_to").alias("id")).agg(F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("_ids"))
+    event = F.struct(F.lit(kind).alias("type"), F.lit(None).cast("double").alias("confidence"), F.col("_ids").alias("merged_from_ids"), F.lit(reason).alias("reason"))
+    old = F.coalesce("merge_history", F.array().cast(HISTORY))
+    return primaries.join(ids, "id", "left").withColumn("merge_history", F.when(F.col("_ids").isNotNull(), F.array_append(old, event)).otherwise(F.col("merge_history"))).drop("_ids")
+
+
+def merged_away(controls: DataFrame) -> DataFrame:
+    """Merged controls with confidence 0 and the old one saved as a line of JSON in the annotation."""
+    gone = F.col("merged_to_control_id").isNotNull()
+    saved = F.to_json(F.struct(F.col("control_confidence").alias("original_confidence")))
+    return controls.withColumn("annotation", F.when(gone, F.concat_ws("\n", "annotation", saved)).otherwise(F.col("annotation"))).withColumn("control_confidence", F.when(gone, 0.0).otherwise(F.col("control_confidence")))
+
+
+def split_controls(controls: DataFrame, wanted: DataFrame) -> DataFrame:
+    """controls with the merges of the wanted ids undone: the mark goes, the first saved confidence of the annotation comes
+    back (0.5 without one), and a note is added. Ids that are not merged stay as they are."""
+    lines = F.filter(F.split(F.coalesce("annotation", F.lit("")), "\n"), lambda x: F.startswith(F.trim(x), F.lit("{")))
+    saved = F.filter(F.transform(lines, lambda x: F.from_json(x, "original_confidence double")["original_confidence"]), lambda v: v.isNotNull())
+    confidence = F.coalesce(F.get(saved, F.lit(0)), F.lit(NO_SAVED_CONFIDENCE))
+    j = controls.join(wanted.select("id").distinct().withColumn("_split", F.lit(True)), "id", "left")
+    hit = F.coalesce("_split", F.lit(False)) & F.col("merged_to_control_id").isNotNull()
+    j = j.withColumn("_split", hit).withColumn("control_confidence", F.when(hit, confidence).otherwise(F.col("control_confidence")))
+    note = F.concat(F.lit("Split, confidence restored to "), F.col("control_confidence").cast("string"))
+    return j.withColumn("annotation", F.when(F.col("_split"), F.concat_ws("\n", "annotation", note)).otherwise(F.col("annotation"))).withColumn("merged_to_control_id", F.when(~F.col("_split"), F.col("merged_to_control_id"))).drop("_split")
+
+
+def partial_extraction(desc: Column, assertions: Column, least: int = 50) -> Column:
+    """A long description without assertions, or a single assertion."""
+    n = F.coalesce(F.size(assertions), F.lit(0))
+    n = F.when(n < 0, 0).otherwise(n)
+    return ((F.length(F.trim(F.coalesce(desc, F.lit("")))) > least) & (n == 0)) | (n == 1)
+
+
+def partial_controls(parsed: DataFrame, estimates: DataFrame, limit: int = 0, min_pct: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(minimal rows of what is parsed so far, at most `limit` per report if that is set; per report the numbers shown and
+    parsed, completion in percent of the estimate, or of 100 controls without one, and whether it reaches min_pct).
+    estimates: scan_id, estimate."""
+    named = (F.coalesce("control_id", F.lit("")) != "") | (F.coalesce("control_desc", F.lit("")) != "")
+    rows = parsed.where(named).select("scan_id", "control_seq", "control_id", "control_desc", "has_deviation")
+    if limit > 0:
+        order = Window.partitionBy("scan_id").orderBy("control_seq", "control_id", "control_desc")
+        rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+    shown = F.count_if(named)
+    per = parsed.groupBy("scan_id").agg(F.count(F.lit(1)).alias("total_parsed"), (F.least(shown, F.lit(limit)) if limit > 0 else shown).cast("long").alias("count"))
+    known = F.coalesce("estimate", F.lit(0)) > 0
+    pct = F.when(known, F.round(100.0 * F.col("total_parsed") / F.col("estimate"), 2)).otherwise(F.least(F.lit(100.0), F.col("total_parsed").cast("double")))
+    per = per.join(estimates, "scan_id", "left").withColumn("completion_pct", pct).withColumn("threshold_met", F.col("completion_pct") >= min_pct)
+    return rows, per
+
+
+def context_counts(scans: DataFrame, controls: DataFrame, cuecs: DataFrame, orgs: DataFrame, high: float = 0.7) -> DataFrame:
+    """Totals per report, 0 where it has none; user-entity controls with a confidence are split at `high`."""
+    c = controls.groupBy("scan_id").agg(F.count(F.lit(1)).alias("controls"), F.count_if("has_deviation").alias("deviations"))
+    scored = F.coalesce("cuec_confidence", F.lit(0.0)) != 0
+    u = cuecs.groupBy("scan_id").agg(F.count(F.lit(1)).alias("cuecs"), F.count_if(scored & (F.col("cuec_confidence") >= high)).alias("cuecs_high"), F.count_if(scored & (F.col("cuec_confidence") < high)).alias("cuecs_low"))
+    o = orgs.groupBy("scan_id").agg(F.count(F.lit(1)).alias("orgs"))
+    out = scans.select("scan_id").distinct().join(c, "scan_id", "left").join(u, "scan_id", "left").join(o, "scan_id", "left")
+    return out.fillna(0)
+
+
+def extraction_diagnostics(raw: DataFrame, merged: DataFrame, least: float = 0.5) -> DataFrame:
+    """Counts per report over the stages of an extraction. raw: scan_id, continuation; merged: scan_id, control_confidence,
+    has_deviation, assertions."""
+    r = raw.groupBy("scan_id").agg(F.count(F.lit(1)).alias("raw"), F.count_if("continuation").alias("continuations"))
+    c = F.coalesce("control_confidence", F.lit(0.0))
+    good = c >= least
+    m = merged.groupBy("scan_id").agg(
+        F.count(F.lit(1)).alias("after_merge"), F.count_if(~good).alias("rejected"), F.count_if(good).alias("final"), F.round(F.coalesce(F.avg(F.when(good, c)), F.lit(0.0)), 3).alias("avg_confidence"),
+        F.count_if(good & F.coalesce("has_deviation", F.lit(False))).alias("deviations"), F.count_if(good & (F.size("assertions") > 0)).alias("with_assertions"),
+    )
+    return r.join(m, "scan_id", "left").fillna(0).withColumn("merged_away", F.col("raw") - F.col("after_merge"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
 
 #: How watermarks and repeated page strings look.
-WATERMARK = r"(?i)confidential|do not (copy|distribute)|draft"
-PAGE_STRINGS = r"\d{1,2}/\d{1,2}/\d{2,4}|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\d{1,2}:\d{2}"
+WATERMARK = r"(?i)digitally signed by"
+MONTH_WORD = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+PAGE_STRINGS = {
+    "date": rf"\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|{MONTH_WORD}\s+\d{{1,2}},\s+\d{{4}})\b",
+    "email": r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+",
+    "time": r"\b\d{1,2}:\d{2}(?::\d{2})?\s?(?:AM|PM|am|pm)?\b",
+}
 
 
 def page_of_line(lines: DataFrame, marker: Column) -> DataFrame:
@@ -41,44 +50,72 @@ def line_chunks(lines: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def char_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(doc_id, chunk_id, start, start_line, text): overlapping windows of characters."""
+    """(doc_id, chunk_id, start, start_line, text): overlapping windows of characters, overlap at most half of size.
+
+    A text is cut into blocks of one step once; a chunk is a block and the head of the next one, so that rows carry their
+    own piece only, and line numbers come from newline counts added up over the blocks.
+    """
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
-    rows = docs.select("doc_id", "text", F.posexplode(starts).alias("chunk_id", "start"))
-    return rows.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("start").cast("long").alias("start"), T.offset_to_line(F.col("text"), F.col("start")).alias("start_line"), F.substring(F.col("text"), F.col("start") + 1, F.lit(size)).alias("text"))
+    blocks = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    newlines = lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit("")))
+    before = F.aggregate("blocks", F.array(F.lit(1)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + newlines(b)))
+    rows = docs.select("doc_id", blocks.alias("blocks")).select("doc_id", "blocks", before.alias("lines"))
+    piece = lambda b, i: F.struct(F.get("lines", i).cast("long").alias("start_line"), F.concat(b, F.substring(F.coalesce(F.get("blocks", i + 1), F.lit("")), 1, overlap)).alias("text"))
+    rows = rows.select("doc_id", F.posexplode(F.transform("blocks", piece)).alias("k", "c"))
+    return rows.select("doc_id", F.col("k").cast("long").alias("chunk_id"), (F.col("k") * step).cast("long").alias("start"), "c.start_line", "c.text")
 
 
 def token_batches(rows: DataFrame, group: str, order: str, tokens: str, most: int) -> DataFrame:
-    """Greedy in-order batches under a token budget: an ordered fold carries (batch, used), since the sum restarts."""
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("xs"))
-    zero = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,batch:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["used"] > 0) & (a["used"] + x["t"] > most)
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        used = F.when(full, x["t"]).otherwise(a["used"] + x["t"])
-        return F.struct(batch.alias("batch"), used.alias("used"), F.array_append(a["out"], F.struct(x["o"].cast("long").alias("o"), batch.alias("batch"))).alias("out"))
-
-    return listed.select(group, F.explode(F.aggregate("xs", zero, step)["out"]).alias("r")).select(group, F.col("r.o").alias(order), F.col("r.batch").alias("batch"))
-
-
-def drop_watermark_lines(lines: DataFrame) -> DataFrame:
-    return lines.where(~F.col("line").rlike(WATERMARK))
+    """(group, order, batch): greedy in-order batches under a token budget. Where a batch begins depends on the one before,
+    so rows are streamed in order and only the running batch is carried; a group is never held."""
+    small = rows.select(group, F.col(order).cast("long").alias(order), F.col(tokens).cast("long").alias("_tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, used, started = None, 0, 0, False
+        for b in batches:
+            out = []
+            for key, t in zip(b.column(group).to_pylist(), b.column("_tokens").to_pylist(), strict=True):
+                if not started or key != last:
+                    last, batch, used, started = key, 0, 0, True
+                t = t or 0
+                if used > 0 and used + t > most:
+                    batch, used = batch + 1, 0
+                used += t
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column(group), b.column(order), pa.array(out, pa.int64())], names=[group, order, "batch"])
+
+    dealt = small.repartition(group).sortWithinPartitions(group, order, "_tokens")
+    return dealt.mapInArrow(run, f"{group} {small.schema[group].dataType.simpleString()}, {order} long, batch long")
+
+
+def drop_watermark_lines(lines: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+    """Lines without a watermark, and without those that consist of a string of frequent_page_strings (doc_id, s) and
+    perhaps a full stop."""
+    left = lines.where(~F.col("line").rlike(WATERMARK))
+    if frequent is None:
+        return left
+    bare = F.regexp_replace(F.trim("line"), r"\.+$", "")
+    forms = frequent.select("doc_id", F.explode(F.array("s", F.regexp_replace("s", ",+$", ""))).alias("_bare")).distinct()
+    return left.withColumn("_bare", bare).join(forms, ["doc_id", "_bare"], "left_anti").drop("_bare")
 
 
 def frequent_page_strings(pages: DataFrame, share: float = 0.8) -> DataFrame:
-    found = pages.select("doc_id", "page_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PAGE_STRINGS), F.lit(0)))).alias("s"))
+    found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in PAGE_STRINGS.values()])
+    found = pages.select("doc_id", "page_no", F.explode(F.array_distinct(F.transform(found, lambda x: F.trim(x)))).alias("s"))
     seen = found.groupBy("doc_id", "s").agg(F.countDistinct("page_no").alias("n"))
     total = pages.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages"))
     return seen.join(total, "doc_id").where(F.col("n") > share * F.col("pages")).select("doc_id", "s")
 
 
-#: Wording of legal agreement pages, strong phrases and weak pairs.
-AGREEMENT_STRONG = ["terms and conditions", "non-disclosure agreement", "by accessing this report", "you agree to", "license agreement"]
+#: Wording of legal agreement pages, phrases of which one is enough and pairs of which two are.
+AGREEMENT_STRONG = ["i agree", "i do not agree", "limits on report access and distribution", "solely for the benefit and use of", "not intended to be used by anyone other than"]
+AGREEMENT_PAIRS = [("notice", "confidential"), ("recipient agrees", "report"), ("ownership", "property of"), ("dissemination", "prohibited"), ("as is", "sole risk")]
 
 
 def is_agreement_page(text: Column) -> Column:
-    return T.any_of(text, AGREEMENT_STRONG)
+    low = F.lower(text)
+    pairs = [(F.contains(low, F.lit(a)) & F.contains(low, F.lit(b))).cast("int") for a, b in AGREEMENT_PAIRS]
+    return T.any_of(text, AGREEMENT_STRONG) | (sum(pairs[1:], pairs[0]) >= 2)
 
 
 def skip_leading_agreements(pages: DataFrame, flag: Column) -> DataFrame:
@@ -101,10 +138,17 @@ def tail_lines(lines: DataFrame, n: int = 500) -> DataFrame:
 
 
 def find_occurrences(docs: DataFrame, term: str, around: int = 2000) -> DataFrame:
-    """All case-insensitive, overlapping hits with their surroundings; more than three in a document raise `many`."""
+    """All case-insensitive, overlapping hits with their surroundings; more than three in a document raise `many`.
+
+    A text is split once before every hit; the lengths of the parts, added up, are the positions.
+    """
     low, t = F.lower("text"), term.lower()
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(low, i, F.lit(len(t))) == t)
-    rows = docs.where(F.contains(low, F.lit(t))).select("doc_id", "text", at.alias("at"))
+    parts = docs.where(F.contains(low, F.lit(t))).select("doc_id", "text", F.split(low, f"(?={re.escape(t)})", -1).alias("parts"))
+    starts = F.aggregate("parts", F.array(F.lit(1)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
+    # every part but perhaps the first begins with a hit
+    at_start = F.startswith(F.get("parts", F.lit(0)), F.lit(t))
+    hits = F.filter(F.slice(starts, F.lit(1), F.size("parts")), lambda s: (s > 1) | at_start)
+    rows = parts.select("doc_id", "text", hits.alias("at"))
     rows = rows.select("doc_id", "text", (F.size("at") > 3).alias("many"), F.explode("at").alias("pos"))
     start = F.greatest(F.col("pos") - around, F.lit(1))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "many", F.substring(F.col("text"), start, F.col("pos") - start + len(t) + around).alias("context"))
@@ -116,17 +160,36 @@ def union_page_spans(lines: DataFrame, sections: DataFrame, first_lines: int) ->
 
 
 def match_known_firms(docs: DataFrame, firms: DataFrame) -> DataFrame:
-    """Firm with most occurrences in each text. firms: a list of fixed size (name), broadcast."""
-    text, name = F.lower("text"), F.lower("name")
-    hits = ((F.length(text) - F.length(F.replace(text, name, F.lit("")))) / F.length(name)).cast("long")
-    each = docs.join(F.broadcast(firms), F.contains(text, name)).select("doc_id", "name", hits.alias("n"))
-    return each.groupBy("doc_id").agg(F.max_by("name", F.struct("n", "name")).alias("firm"), F.max("n").alias("n"))
-
-
-def toc_line(lines: DataFrame) -> DataFrame:
-    """First line that names the table of contents."""
-    hit = F.lower(F.trim("line")).rlike(r"table of contents|^contents$")
-    return lines.where(hit).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
+    """(doc_id, firm, n): the legal name met most often in each text, possessive forms counting twice; ties go to the
+    firm that is listed first. firms: pos, short, legal."""
+    text = F.lower("text")
+
+    def hits(name: Column) -> Column:
+        return ((F.length(text) - F.length(F.replace(text, name, F.lit("")))) / F.length(name)).cast("long")
+
+    short = F.lower("short")
+    n = hits(short) + hits(F.concat(short, F.lit("'s"))) + hits(F.concat(short, F.lit("’s")))
+    each = docs.join(T.small(firms), F.contains(text, short)).select("doc_id", "legal", "pos", n.alias("n"))
+    legal = each.groupBy("doc_id", "legal").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
+    best = legal.groupBy("doc_id").agg(F.max_by(F.struct("legal", "n"), F.struct("n", -F.col("pos"))).alias("b"))
+    return best.select("doc_id", F.col("b.legal").alias("firm"), F.col("b.n").alias("n"))
+
+
+#: Audit firms in the order in which they are looked for; the short ones count as whole words only.
+KNOWN_FIRMS = [
+    "BDO USA, P.C.", "BDO USA", "KPMG LLP", "Deloitte & Touche LLP", "PricewaterhouseCoopers", "Ernst & Young LLP", "Grant Thornton LLP", "RSM US LLP", "Crowe LLP", "Moss Adams LLP", "CliftonLarsonAllen LLP",
+    "Schellman & Company, LLC", "KPMG", "Deloitte", "PwC", "BDO", "Grant Thornton", "RSM", "Crowe", "Moss Adams", "CliftonLarsonAllen", "Schellman",
+]
+SHORT_FIRMS = ["EY", "PwC", "RSM", "BDO"]
+
+
+def known_firm(text: Column) -> Column:
+    """The first of the known firms that a text names, null if none."""
+    out = None
+    for name in KNOWN_FIRMS:
+        test = text.rlike(rf"(?i)\b{re.escape(name)}\b") if name in SHORT_FIRMS else F.contains(F.lower(text), F.lit(name.lower()))
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out
 
 
 def split_combined(segments: DataFrame) -> DataFrame:

@@ -69,16 +69,25 @@ def match_heading(toc: DataFrame, lines: DataFrame, least: float = 85.0) -> Data
     return scored.groupBy("doc_id", "heading").agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"), F.max("score").alias("score"))
 
 
+def separator(p: Column) -> Column:
+    return F.when(F.contains(p, F.lit("-")), "-").when(F.contains(p, F.lit(".")), ".")
+
+
 def pattern_similarity(a: Column, b: Column) -> Column:
-    """1 if equal; 0 for different shapes; else 0.7 * ratio of first parts + 0.3 * share of equal parts."""
-    x, y = F.split(a, "-"), F.split(b, "-")
-    same = F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda v: v)) / F.size(x)
-    return F.when(a == b, 1.0).when(F.size(x) != F.size(y), 0.0).otherwise(0.7 * seq_ratio(F.get(x, F.lit(0)), F.get(y, F.lit(0))) + 0.3 * same)
+    """1 if equal; 0 if the separator or the number of parts differs; else 0.7 * ratio of the first parts + 0.3 * share of
+    equal parts among the others (1 if there are none)."""
+    parts = lambda p: F.when(separator(p) == "-", F.split(p, "-")).when(separator(p) == ".", F.split(p, r"\.")).otherwise(F.array(p))
+    x, y = parts(a), parts(b)
+    rest = F.size(x) - 1
+    same = F.size(F.filter(F.zip_with(F.slice(x, F.lit(2), rest), F.slice(y, F.lit(2), rest), lambda p, q: p == q), lambda v: v))
+    share = F.when(rest > 0, same / rest).otherwise(1.0)
+    differ = ~separator(a).eqNullSafe(separator(b)) | (F.size(x) != F.size(y))
+    return F.when(a == b, 1.0).when(differ, 0.0).otherwise(0.7 * seq_ratio(F.get(x, F.lit(0)), F.get(y, F.lit(0))) + 0.3 * share)
 
 
 def pattern_pairs(patterns: DataFrame) -> DataFrame:
     """Pairs of an organization's patterns with equal part counts that are alike enough to merge or review."""
-    p = patterns.withColumn("parts", F.size(F.split("pattern", "-")))
+    p = patterns.withColumn("parts", F.concat_ws("/", separator(F.col("pattern")), F.size(F.split("pattern", r"[-.]")).cast("string")))
     q = p.select("organization", "parts", F.col("pattern").alias("other"), F.col("frequency").alias("other_frequency"))
     pairs = p.join(q, ["organization", "parts"]).where(F.col("pattern") < F.col("other"))
     scored = pairs.withColumn("similarity", pattern_similarity(F.col("pattern"), F.col("other"))).where("similarity >= 0.5")
@@ -96,11 +105,32 @@ def score_batch(rows: DataFrame, scorer: Callable[[str, str], float] | None = No
     return rows.select("id", "a", "b").mapInPandas(run, "id long, score double")
 
 
-def consolidate_cuecs(cuecs: DataFrame) -> DataFrame:
-    """Groups of equal normalised wording per report: smallest id as the group's name, and its size."""
-    key = F.regexp_replace(F.lower(F.trim("cuec_description")), r"[^a-z0-9]+", " ")
-    w = Window.partitionBy("scan_id", F.trim(key))
-    return cuecs.select("id", "scan_id", F.min("id").over(w).alias("group_id"), F.count(F.lit(1)).over(w).alias("n"))
+def normal_wording(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", " "))
+
+
+def consolidate_cuecs(cuecs: DataFrame, least: float | None = None, rounds: int = 5) -> DataFrame:
+    """(id, scan_id, group_id, n): groups of equal normalised wording per report, named by their smallest id, with their
+    size. With `least`, groups whose wordings are at least that alike are merged too; names then spread along the links for
+    at most `rounds` rounds. Only distinct wordings of a report are compared."""
+    key = normal_wording(F.col("cuec_description"))
+    w = Window.partitionBy("scan_id", key)
+    same = cuecs.select("id", "scan_id", F.min("id").over(w).alias("group_id"), F.count(F.lit(1)).over(w).alias("n"))
+    if least is None:
+        return same
+    heads = cuecs.groupBy("scan_id", key.alias("text")).agg(F.min("id").alias("group_id")).where("text <> ''")
+    pairs = alike_pairs(heads.select("scan_id", "text"), heads.select("scan_id", F.col("text").alias("matched")), "scan_id", least).where("text <> matched")
+    a = heads.select("scan_id", "text", F.col("group_id").alias("a"))
+    b = heads.select("scan_id", F.col("text").alias("matched"), F.col("group_id").alias("b"))
+    links = pairs.join(a, ["scan_id", "text"]).join(b, ["scan_id", "matched"]).select("a", "b")
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = links.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else links
+    label = links.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("name"))
+    for _ in range(rounds - 1):
+        near = links.join(label.select(F.col("node").alias("b"), "name"), "b").groupBy(F.col("a").alias("node")).agg(F.min("name").alias("near"))
+        label = label.join(near, "node").select("node", F.least("name", "near").alias("name"))
+    merged = same.drop("n").join(label.select(F.col("node").alias("group_id"), "name"), "group_id", "left").select("id", "scan_id", F.coalesce("name", "group_id").alias("group_id"))
+    return merged.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("scan_id", "group_id")))
 
 
 def parse_model_json(s: Column, schema: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
+from reportlake.functions.similarity import seq_ratio
 
 #: Words that tell infrastructure providers and tools.
 INFRASTRUCTURE = ["infrastructure", "cloud hosting", "colocation", "data center", "iaas", "paas"]
@@ -30,7 +31,41 @@ def dedup_orgs_by_name(orgs: DataFrame) -> DataFrame:
 
 
 def canonical_summaries(orgs: DataFrame) -> DataFrame:
-    return with_canonical(orgs).groupBy("scan_id", "canonical_name").agg(F.countDistinct("third_party_page_ref").alias("pages"), F.countDistinct("third_party_name").alias("aliases"), F.round(F.max(F.col("third_party_confidence") + 0.0), 3).alias("max_confidence"))
+    """Pages, spellings and best confidence per canonical name. Rows are reduced to distinct (name, page) pairs once; the
+    canonical key is worked out after that, and spellings and pages of a name are counted without further exchanges."""
+    pairs = orgs.groupBy("scan_id", "third_party_name", "third_party_page_ref").agg(F.max(F.col("third_party_confidence") + 0.0).alias("best"))
+    names = with_canonical(pairs).groupBy("scan_id", "canonical_name").agg(F.collect_set("third_party_page_ref").alias("pages"), F.collect_set("third_party_name").alias("aliases"), F.max("best").alias("best"))
+    return names.select("scan_id", "canonical_name", F.size("pages").cast("long").alias("pages"), F.size("aliases").cast("long").alias("aliases"), F.round("best", 3).alias("max_confidence"))
+
+
+#: Words of which any in a name or description tells that no company is meant. Longer wordings that contain
+#: one of these are left out, since they change nothing.
+GENERIC_WORDS = (
+    "framework|standard|library|project|distribution|kernel|open source|node|container|image|instance|os|component|platform|software|tool|plugin|module|certificate authority|independent auditor|"
+    "specialist|consultant|contractor|team|group|staff|employee|personnel|resource|service|support|department|division|unit|office|committee|board|agency|org|entity|provider|vendor|supplier|partner|"
+    "outsourcer|outsourcing|affiliate|subsidiary|internal|external|party|parties|individual|role|function|subject|category|type|system|infrastructure|environment|solution|process|procedure|practice|"
+    "policy|program|initiative|activity|operation|network|site|location|facility|facilities|asset|application|technologies|technology|hardware|cloud|maintenance|task force"
+).split("|")
+ALIKE = 0.85
+
+
+def heuristic_excluded(orgs: DataFrame, companies: DataFrame, words: list[str] = GENERIC_WORDS, alike: float = ALIKE) -> DataFrame:
+    """orgs with `excluded`: a generic word in name or description, or one of the report's own names (companies: scan_id,
+    company) contained in one of them or more than `alike` similar to it. Excluded rows stay, with confidence 0.
+
+    Names and descriptions are compared with the one or two companies of their report, each distinct pair once.
+    """
+    name, desc = (F.lower(F.coalesce(c, F.lit(""))) for c in ("third_party_name", "third_party_description"))
+    own = companies.where(F.coalesce("company", F.lit("")) != "").select("scan_id", F.lower("company").alias("_company")).distinct()
+    told = orgs.select("scan_id", name.alias("_name"), desc.alias("_desc")).distinct()
+    told = told.withColumn("_generic", T.any_of(F.col("_name"), words) | T.any_of(F.col("_desc"), words))
+    met = told.where("not _generic").join(own, "scan_id")
+    inside = F.contains("_name", F.col("_company")) | F.contains("_desc", F.col("_company"))
+    near = (seq_ratio(F.col("_company"), F.col("_name")) > alike) | (seq_ratio(F.col("_company"), F.col("_desc")) > alike)
+    self_named = met.where(inside | near).select("scan_id", "_name", "_desc").distinct().withColumn("_self", F.lit(True))
+    marks = told.join(self_named, ["scan_id", "_name", "_desc"], "left").select("scan_id", "_name", "_desc", (F.col("_generic") | F.coalesce("_self", F.lit(False))).alias("excluded"))
+    rows = orgs.withColumn("_name", name).withColumn("_desc", desc).join(marks, ["scan_id", "_name", "_desc"]).drop("_name", "_desc")
+    return rows.withColumn("third_party_confidence", F.when(F.col("excluded"), 0.0).otherwise(F.col("third_party_confidence")))
 
 
 def mark_common(orgs: DataFrame, common: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportlake.functions import text as T
+
 #: Weights of the six confidence factors (five stored ones and the id format), and bounds of stored weights.
 FACTOR_WEIGHTS = {"model": 0.30, "pattern": 0.20, "fields": 0.20, "mapping": 0.15, "deviation": 0.15, "id_format": 0.10}
 WEIGHT_LOW, WEIGHT_HIGH = 0.05, 0.60
@@ -30,8 +32,8 @@ def framework_category(tsc_confidence: Column, tsc_density: Column, other_confid
 
 
 def keyword_assertions(docs: DataFrame, keywords: DataFrame, least: float = 0.60) -> DataFrame:
-    """(doc_id, assertion, m, confidence). keywords (assertion, keyword) is a list of fixed size, broadcast."""
-    hits = docs.join(F.broadcast(keywords), F.contains(F.lower("text"), F.lower("keyword"))).groupBy("doc_id", "assertion").agg(F.countDistinct("keyword").alias("m"))
+    """(doc_id, assertion, m, confidence). keywords (assertion, keyword) is broadcast if it is small, by count."""
+    hits = docs.join(T.small(keywords), F.contains(F.lower("text"), F.lower("keyword"))).groupBy("doc_id", "assertion").agg(F.countDistinct("keyword").alias("m"))
     conf = F.least(F.lit(0.95), 0.5 + F.least(F.lit(0.4), 0.1 * F.col("m")))
     return hits.withColumn("confidence", F.round(conf, 6)).where(F.col("confidence") >= least)
 
@@ -43,9 +45,11 @@ def id_variations(criterion: Column) -> Column:
 
 
 def ids_in_text(docs: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(doc_id, id) of criteria named in a text. Criteria are a catalogue of fixed size, broadcast."""
-    listed = criteria.select("id", id_variations(F.col("id")).alias("pattern")).distinct()
-    return docs.join(F.broadcast(listed), F.expr("text rlike pattern")).select("doc_id", "id").distinct()
+    """(doc_id, id) of criteria named in a text. Criteria are broadcast if they are few, by count; a pattern is only tried on
+    texts that hold the id's first letters."""
+    listed = criteria.select("id", id_variations(F.col("id")).alias("pattern"), F.lower(F.regexp_extract("id", r"[A-Za-z]+|\d+", 0)).alias("head")).distinct()
+    named = F.contains(F.lower("text"), F.col("head")) & F.expr("text rlike pattern")
+    return docs.join(T.small(listed), named).select("doc_id", "id").distinct()
 
 
 def deduce_period(dates: Column) -> Column:
@@ -152,12 +156,22 @@ def merge_continuations(chunks: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, rows.select(*order).schema)
 
 
-def report_projection(scans: DataFrame, controls: DataFrame, cuecs: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Report header with the sizes of its child lists; the lists themselves are nested by sources.files.combined."""
-    n = lambda df, name: df.groupBy("scan_id").agg(F.count(F.lit(1)).alias(name))
+def report_projection(scans: DataFrame, controls: DataFrame, cuecs: DataFrame, orgs: DataFrame, bad_chunks: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
+    """One row per report: its header, with company, auditor and product taken from the stored results (scan_id and those
+    columns) where the header lacks them, and its children as arrays of structs in stable order; empty arrays without any."""
     out = scans
-    for df, name in ((controls, "n_controls"), (cuecs, "n_cuecs"), (orgs, "n_orgs")):
-        out = out.join(n(df, name), "scan_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    if results is not None:
+        fields = [c for c in results.columns if c != "scan_id"]
+        stored = results.select("scan_id", *[F.col(c).alias(f"_{c}") for c in fields])
+        out = out.join(stored, "scan_id", "left")
+        for c in fields:
+            out = out.withColumn(c, F.coalesce(F.nullif(F.trim(c), F.lit("")), f"_{c}") if c in scans.columns else F.col(f"_{c}")).drop(f"_{c}")
+    for df, name in ((controls, "controls"), (cuecs, "cuecs"), (orgs, "orgs"), (bad_chunks, "bad_chunks")):
+        if df is None:
+            continue
+        items = F.struct(*[c for c in df.columns if c != "scan_id"])
+        nested = df.groupBy("scan_id").agg(F.array_sort(F.collect_list(items)).alias(name))
+        out = out.join(nested, "scan_id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
     return out
 
 

@@ -50,9 +50,9 @@ def p05(spark, d):
     return C.list_deviations(ctl(spark, d)).select("id", "scan_id", F.col("page").cast("long").alias("page"))
 
 
-@query("p07_column_contains", "select id from v_controls where contains(lower(coalesce(control_desc, '')), 'urgent') and contains(lower(coalesce(control_test, '')), 'steel')")
+@query("p07_column_contains", "select id from v_controls where contains(lower(coalesce(control_desc, '')), 'urgent') and contains(lower(coalesce(control_test, '')), 'small')")
 def p07(spark, d):
-    return C.column_contains(ctl(spark, d), {"control_desc": "URGENT", "control_test": "steel"}).select("id")
+    return C.column_contains(ctl(spark, d), {"control_desc": "URGENT", "control_test": "small"}).select("id")
 
 
 @query("p08_validate_controls", "select id, trim(control_desc) as control_desc, control_confidence from v_controls where trim(control_desc) <> ''")
@@ -106,9 +106,14 @@ def j03(spark, d):
     return C.duplicate_pairs(with_criterion(spark, d)).select("scan_id", "key", "a_id", "b_id")
 
 
+def graded(a, b):
+    """Similarities on all sides of the thresholds."""
+    return F.when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).otherwise(0.61 + ((F.length(a) + F.length(b)) % 8) * 0.05)
+
+
 SCORED = f"""with r as (select *, {CRITERION} from ({RANKED})),
 pairs as (select a.id as a_id, b.id as b_id, a.scan_id,
-  case when lower(trim(a.control_desc)) = lower(trim(b.control_desc)) then 1.0 else 0.6 end as sim,
+  case when lower(trim(a.control_desc)) = lower(trim(b.control_desc)) then 1.0E0 else 0.61E0 + ((length(a.control_desc) + length(b.control_desc)) % 8) * 0.05E0 end as sim,
   least(abs(a.page_first-b.page_first), abs(a.page_first-b.page_last), abs(a.page_last-b.page_first), abs(a.page_last-b.page_last)) as dist,
   coalesce(a.criterion = b.criterion, false) as same, coalesce(a.criterion <> b.criterion, false) as differ, a.has_deviation <> b.has_deviation as dev,
   a.page_first as af, a.page_last as al, b.page_first as bf, b.page_last as bl,
@@ -117,29 +122,29 @@ pairs as (select a.id as a_id, b.id as b_id, a.scan_id,
 t as (select *, case when ta <> '' and tb <> '' and ta = tb then 0.10 when length(ta) > 20 and length(tb) > 20 and substr(ta,1,50) = substr(tb,1,50) then 0.07 else 0 end as test, (ta <> '' and tb <> '' and ta <> tb) or dev as varies from pairs),
 s as (select *, 0.70E0*sim + case when same then 0.15 else 0 end + test + case when dev then 0 else 0.05 end + case when dist <= 1 then 0.05 else 0 end as base from t),
 c as (select *, case when sim >= 0.85 and differ then 'CRITERIA_VARIANT' when sim >= 0.85 and varies then 'TEST_VARIANT' when sim >= 0.85 then 'IDENTICAL' when sim >= 0.7 and not differ and not varies then 'IDENTICAL' else 'AMBIGUOUS' end as class,
-  round(case when sim >= 0.85 and differ then least(base, 0.95) when sim >= 0.85 and varies then least(base, 0.9) when sim >= 0.85 then base else least(base*0.8, 0.75) end, 6) as score from s)
+  round(case when sim >= 0.85 and differ then least(base, 0.95) when sim >= 0.85 and varies then least(base, 0.9) when sim >= 0.85 then base when sim >= 0.7 and not differ and not varies then base when sim >= 0.7 then least(base*0.85E0, 0.8E0) else least(base*0.8E0, 0.75E0) end, 6) as score from s)
 """
 
 
 @query("f36_duplicate_class", SCORED + "select a_id, b_id, class, score, cast(dist as bigint) as page_distance from c")
 def f36(spark, d):
-    return C.duplicate_class(C.duplicate_pairs(with_criterion(spark, d))).select("a_id", "b_id", "class", "score", "page_distance")
+    return C.duplicate_class(C.duplicate_pairs(with_criterion(spark, d)), graded).select("a_id", "b_id", "class", "score", "page_distance")
 
 
 @query("f37_auto_merge", SCORED + """, m as (select a_id, b_id, round(0.65E0*sim + case when same then 0.15 else 0 end + test + case when dev then 0 else 0.05 end + case when abs(al-bf) <= 1 or abs(bl-af) <= 1 then 0.05 else 0 end, 6) as merge_score from c)
 select a_id, b_id, merge_score, case when merge_score >= 0.7 then 'merge' when merge_score < 0.6 then 'cap' else 'keep' end as decision from m""")
 def f37(spark, d):
-    return C.auto_merge_decision(C.duplicate_pairs(with_criterion(spark, d))).select("a_id", "b_id", "merge_score", "decision")
+    return C.auto_merge_decision(C.duplicate_pairs(with_criterion(spark, d)), graded).select("a_id", "b_id", "merge_score", "decision")
 
 
 @query("t02_top_suggestions", SCORED + "select a_id, b_id, score from c where score >= 0.5 order by score desc, a_id, b_id limit 50")
 def t02(spark, d):
-    return C.top_suggestions(C.duplicate_class(C.duplicate_pairs(with_criterion(spark, d)))).select("a_id", "b_id", "score")
+    return C.top_suggestions(C.duplicate_class(C.duplicate_pairs(with_criterion(spark, d)), graded)).select("a_id", "b_id", "score")
 
 
 @query("a24_suggestion_actions", SCORED + "select case when class = 'IDENTICAL' then 'merge' when class in ('CRITERIA_VARIANT','TEST_VARIANT') then 'link_as_instances' else 'review_manually' end as action, count(*) as n from c group by 1")
 def a24(spark, d):
-    return C.suggestion_actions(C.duplicate_class(C.duplicate_pairs(with_criterion(spark, d))))
+    return C.suggestion_actions(C.duplicate_class(C.duplicate_pairs(with_criterion(spark, d)), graded))
 
 
 @query("f38_page_distance", "select id, cast(least(abs(page_first - 3), abs(page_last - 3)) as bigint) as distance from v_controls")
@@ -238,11 +243,13 @@ def a25(spark, d):
     return C.baseline_regressions(C.baseline_metrics(c), C.baseline_metrics(c.where("id % 10 <> 0")))
 
 
-@query("a03_scan_context_counts", "select c.scan_id, controls, deviations, cuecs_high, cuecs_low from (select scan_id, count(*) as controls, count(*) filter (has_deviation) as deviations from v_controls group by 1) c left join (select scan_id, count(*) filter (cuec_confidence >= 0.7) as cuecs_high, count(*) filter (cuec_confidence < 0.7) as cuecs_low from v_cuecs group by 1) u on c.scan_id = u.scan_id")
+@query("a03_scan_context_counts", """select s.scan_id, coalesce(controls, 0) as controls, coalesce(deviations, 0) as deviations, coalesce(cuecs, 0) as cuecs, coalesce(cuecs_high, 0) as cuecs_high, coalesce(cuecs_low, 0) as cuecs_low, coalesce(orgs, 0) as orgs from (select n_nationkey + 5 as scan_id from nation) s
+  left join (select scan_id, count(*) as controls, count(*) filter (has_deviation) as deviations from v_controls group by 1) c using (scan_id)
+  left join (select scan_id, count(*) as cuecs, count(*) filter (cuec_confidence >= 0.7) as cuecs_high, count(*) filter (cuec_confidence < 0.7 and cuec_confidence <> 0) as cuecs_low from v_cuecs group by 1) u using (scan_id)
+  left join (select scan_id, count(*) as orgs from v_orgs group by 1) o using (scan_id)""")
 def a03(spark, d):
-    c = ctl(spark, d).groupBy("scan_id").agg(F.count(F.lit(1)).alias("controls"), F.count_if("has_deviation").alias("deviations"))
-    u = view(spark, d, "v_cuecs").groupBy("scan_id").agg(F.count_if(F.col("cuec_confidence") >= 0.7).alias("cuecs_high"), F.count_if(F.col("cuec_confidence") < 0.7).alias("cuecs_low"))
-    return c.join(u, "scan_id", "left")
+    scans = spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 5).alias("scan_id"))
+    return C.context_counts(scans, ctl(spark, d), view(spark, d, "v_cuecs"), view(spark, d, "v_orgs"))
 
 
 @query("a05_control_stats", "select scan_id, count(*) as total, cast(min(page_first) as bigint) as first_page, cast(max(page_last) as bigint) as last_page, round(avg(control_confidence), 4) as avg_confidence from v_controls group by 1")
@@ -307,11 +314,36 @@ def f13(spark, d):
     return ctl(spark, d).select("id", F.array_join(T.parse_page_ranges(raw), ",").alias("pages"))
 
 
-@query("f14_normalize_percent", "select id, round((id % 101) / 100.0, 6) as confidence from v_controls where id % 101 > 1")
+@query("f14_normalize_percent", "select id, round(case when id % 3 = 1 and id % 101 <= 1 then id % 101 else (id % 101) / 100.0E0 end, 6) as confidence from v_controls")
 def f14(spark, d):
     n = F.col("id") % 101
     raw = F.when(F.col("id") % 3 == 0, F.concat(n, F.lit("%"))).when(F.col("id") % 3 == 1, n.cast("string")).otherwise((n / 100).cast("string"))
-    return ctl(spark, d).where("id % 101 > 1").select("id", F.round(T.normalize_percent(raw), 6).alias("confidence"))
+    return ctl(spark, d).select("id", F.round(T.normalize_percent(raw), 6).alias("confidence"))
+
+
+MERGED = "merged_to_control_id is not null and merged_to_control_id <> 'DUPLICATE_INSTANCE'"
+
+
+@query("f55_merge_history", f"""with m as (select cast(merged_to_control_id as bigint) as id, count(*) as n, string_agg(id::varchar, ',' order by id::varchar) as ids from v_controls where {MERGED} group by 1)
+select c.id, case when id % 4 = 0 then 1 else 0 end + (n is not null)::int as events, case when n is not null then ids when id % 4 = 0 then 'old' end as last_ids from v_controls c left join m using (id)""")
+def f55(spark, d):
+    c = ctl(spark, d)
+    old = F.array(F.struct(F.lit("auto").alias("type"), F.lit(0.8).alias("confidence"), F.array(F.lit("old")).alias("merged_from_ids"), F.lit("before").alias("reason")))
+    primaries = c.select("id", F.when(F.col("id") % 4 == 0, old).cast(C.HISTORY).alias("merge_history"))
+    merged = c.where(MERGED).select("id", F.col("merged_to_control_id").cast("long").alias("merged_to"))
+    told = C.record_merges(primaries, merged)
+    return told.select("id", F.coalesce(F.size("merge_history"), F.lit(0)).alias("events"), F.array_join(F.element_at("merge_history", -1)["merged_from_ids"], ",").alias("last_ids"))
+
+
+@query("f55_split_controls", """select id, case when merged_to_control_id is not null and id % 2 = 0 then null else merged_to_control_id end as merged_to_control_id,
+  case when merged_to_control_id is null then control_confidence when id % 2 = 1 then 0.0E0 when id % 4 = 0 then 0.5E0 else control_confidence end as control_confidence,
+  case when merged_to_control_id is not null and id % 2 = 0 then 'split' when merged_to_control_id is not null then 'merged' else 'plain' end as state from v_controls""")
+def f55b(spark, d):
+    c = C.merged_away(ctl(spark, d).withColumn("annotation", F.lit("seen")))
+    damaged = c.withColumn("annotation", F.when((F.col("id") % 4 == 0) & F.col("merged_to_control_id").isNotNull(), "seen\n{broken").otherwise(F.col("annotation")))
+    out = C.split_controls(damaged, damaged.where("id % 2 = 0").select("id"))
+    state = F.when(F.contains("annotation", F.lit("Split, confidence restored")), "split").when(F.contains("annotation", F.lit("original_confidence")) | F.contains("annotation", F.lit("{broken")), "merged").otherwise("plain")
+    return out.select("id", "merged_to_control_id", "control_confidence", state.alias("state"))
 
 
 @query("f57_format_confidence", "select id, cast(cast(round(control_confidence * 100) as int) as varchar) || '%' as shown from v_controls")
@@ -330,8 +362,12 @@ def j19(spark, d):
     return ctl(spark, d).join(F.broadcast(gone), "scan_id", "left_anti").groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a20_extraction_diagnostics", f"select scan_id, count(*) as raw, count(*) filter (not {ACTIVE}) as merged, count(*) filter ({ACTIVE} and control_confidence < 0.5) as rejected, round(avg(control_confidence) filter ({ACTIVE} and control_confidence >= 0.5), 3) as avg_confidence from v_controls group by 1")
+@query("a20_extraction_diagnostics", f"""with a as (select scan_id, coalesce(control_confidence, 0) as c, has_deviation, id from v_controls where {ACTIVE})
+select r.scan_id, raw, continuations, coalesce(after_merge, 0) as after_merge, coalesce(rejected, 0) as rejected, coalesce(final, 0) as final, coalesce(avg_confidence, 0) as avg_confidence, coalesce(deviations, 0) as deviations, coalesce(with_assertions, 0) as with_assertions, raw - coalesce(after_merge, 0) as merged_away
+from (select scan_id, count(*) as raw, count(*) filter (id % 7 = 0) as continuations from v_controls group by 1) r left join (
+  select scan_id, count(*) as after_merge, count(*) filter (c < 0.5) as rejected, count(*) filter (c >= 0.5) as final, round(coalesce(avg(c) filter (c >= 0.5), 0), 3) as avg_confidence, count(*) filter (c >= 0.5 and has_deviation) as deviations, count(*) filter (c >= 0.5 and id % 3 = 0) as with_assertions from a group by 1) m using (scan_id)""")
 def a20(spark, d):
-    active = F.col("merged_to_control_id").isNull() | (F.col("merged_to_control_id") == C.INSTANCE)
-    good = active & (F.col("control_confidence") >= 0.5)
-    return ctl(spark, d).groupBy("scan_id").agg(F.count(F.lit(1)).alias("raw"), F.count_if(~active).alias("merged"), F.count_if(active & (F.col("control_confidence") < 0.5)).alias("rejected"), F.round(F.avg(F.when(good, F.col("control_confidence"))), 3).alias("avg_confidence"))
+    c = ctl(spark, d)
+    raw = c.withColumn("continuation", F.col("id") % 7 == 0)
+    named = F.when(F.col("id") % 3 == 0, F.array(F.lit("EO1"))).otherwise(F.array().cast("array<string>"))
+    return C.extraction_diagnostics(raw, C.active_controls(c).withColumn("assertions", named))

@@ -95,21 +95,60 @@ def t06(spark, d):
     return view(spark, d, "v_criteria").select("framework", "priority").distinct().orderBy("priority")
 
 
-@query("j16_frameworks_for", "select distinct framework from v_criteria where priority in (0, 2) or framework = 'EUROPE'")
+REPORTS = "select id, case when id % 11 = 0 then 'OTHER' else report_type end as report_type, case id % 4 when 0 then ['iso/iec 27001'] when 1 then ['COSO', 'SSAE 18'] when 2 then [] end as standards from v_scans"
+
+
+@query("j16_frameworks_for", f"""with r as ({REPORTS}), k(framework, kinds, standards) as (values ('TSC', ['SOC2', 'COMBINED'], ['SSAE 18', 'AT-C 105', 'AT-C 205']), ('COSO', ['SOC1', 'SOC2', 'COMBINED'], ['COSO 2013']), ('FINANCIAL_ASSERTIONS', ['SOC1', 'COMBINED'], ['SSAE 18', 'AT-C 320']),
+  ('COSO_ICFR', ['SOC1', 'COMBINED'], ['COSO 2013', 'PCAOB AS 2201']), ('ISAE3402', ['SOC1', 'COMBINED'], ['ISAE 3402', 'IAASB']), ('CSAE3416', ['SOC1', 'SOC2', 'COMBINED'], ['CSAE 3416', 'CPA Canada']), ('AAF0106', ['SOC1', 'SOC2', 'COMBINED'], ['AAF 01/06', 'AUASB']),
+  ('GS007', ['SOC1', 'SOC2', 'COMBINED'], ['GS 007', 'IDW']), ('ISO27001', ['SOC2', 'COMBINED'], ['ISO/IEC 27001:2013', 'ISO/IEC 27001:2022'])),
+s as (select id, upper(unnest(standards)) as std from r), o as (select framework, upper(unnest(standards)) as own from k)
+select r.id, framework from r, k where list_contains(kinds, case when report_type = 'OTHER' then 'SOC2' else report_type end) union select id, framework from s, o where contains(own, std)""")
 def j16(spark, d):
-    crit = view(spark, d, "v_criteria").select("framework", F.array("priority").alias("report_types")).distinct()
-    return crit.where(F.array_contains("report_types", 0) | F.array_contains("report_types", 2) | (F.col("framework") == "EUROPE")).select("framework").distinct()
+    k = F.col("id") % 4
+    standards = F.when(k == 0, F.array(F.lit("iso/iec 27001"))).when(k == 1, F.array(F.lit("COSO"), F.lit("SSAE 18"))).when(k == 2, F.array().cast("array<string>"))
+    reports = view(spark, d, "v_scans").select("id", F.when(F.col("id") % 11 == 0, "OTHER").otherwise(F.col("report_type")).alias("report_type"), standards.alias("standards"))
+    known = M.registry(spark)
+    return M.frameworks_for(reports, known, known.where("framework <> 'NIST'"))
 
 
-@query("f54_domain_criteria", "select framework, id from v_criteria where starts_with(id, 'I')")
+@query("f54_domain_criteria", """with d as (select distinct case id % 6 when 0 then 'Availability' when 1 then 'Confidentiality' when 2 then 'Privacy' when 3 then 'Processing Integrity' when 4 then 'Security' end as domain from v_controls),
+c as (select id from v_criteria union select 'PI' || id from v_criteria union select 'Conf ' || id from v_criteria)
+select domain, id from d, c where domain is null or (domain = 'Availability' and starts_with(id, 'A')) or (domain = 'Confidentiality' and starts_with(id, 'Conf')) or (domain = 'Privacy' and starts_with(id, 'P')) or (domain = 'Processing Integrity' and starts_with(id, 'PI')) or (domain = 'Security' and starts_with(id, 'C'))""")
 def f54(spark, d):
-    return view(spark, d, "v_criteria").where(F.startswith("id", F.lit("I"))).select("framework", "id")
+    k = F.col("id") % 6
+    domains = view(spark, d, "v_controls").select(F.when(k == 0, "Availability").when(k == 1, "Confidentiality").when(k == 2, "Privacy").when(k == 3, "Processing Integrity").when(k == 4, "Security").alias("domain")).distinct()
+    c = view(spark, d, "v_criteria").select("id")
+    every = c.union(c.select(F.concat(F.lit("PI"), "id"))).union(c.select(F.concat(F.lit("Conf "), "id")))
+    return M.domain_criteria(domains, every)
+
+
+PROMPT = "Control: {control_desc}\nCriteria:\n{criteria_list}{deviation_context}\nName the {5} best."
 
 
-@query("f43_render_prompt", "select control_db_id, 'Map to: ' || string_agg(criterion_id, ', ' order by criterion_id) as prompt from (select distinct control_db_id, criterion_id from v_mappings) group by 1")
+@query("f43_render_prompt", """with m as (select control_db_id, string_agg('- ' || criterion_id || ': ' || coalesce(description, 'N/A'), chr(10) order by criterion_id) as listed from (select distinct control_db_id, criterion_id, description from v_mappings m left join v_criteria c on c.id = m.criterion_id and c.priority > 1) group by 1),
+c as (select id, control_desc, listed, has_deviation, case when id % 2 = 0 then repeat(control_test_results, 4) else control_test_results end as dev from v_controls join m on control_db_id = id)
+select id, 'Control: ' || control_desc || chr(10) || 'Criteria:' || chr(10) || listed || case when has_deviation and coalesce(dev, '') <> '' then chr(10) || 'NOTE: This control has a documented deviation/exception: ' || case when length(dev) > 80 then substr(dev, 1, 80) || '...' else dev end || chr(10) || 'Consider criteria related to monitoring, deficiency reporting, or control evaluation.' else '' end || chr(10) || 'Name the {5} best.' as prompt from c""")
 def f43(spark, d):
-    ids = F.array_join(F.array_sort(F.collect_set("criterion_id")), ", ")
-    return maps(spark, d).groupBy("control_db_id").agg(F.concat(F.lit("Map to: "), ids).alias("prompt"))
+    known = view(spark, d, "v_criteria").where("priority > 1").select(F.col("id").alias("criterion_id"), "description")
+    named = maps(spark, d).select("control_db_id", "criterion_id").distinct().join(known, "criterion_id", "left")
+    none = F.lit(None).cast("string")
+    one = F.struct(F.col("criterion_id").alias("id"), F.col("description"), none.alias("principle"), none.alias("name"))
+    listed = named.groupBy(F.col("control_db_id").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("criteria"))
+    c = view(spark, d, "v_controls").withColumn("dev", F.when(F.col("id") % 2 == 0, F.repeat("control_test_results", F.lit(4))).otherwise(F.col("control_test_results")))
+    return c.join(listed, "id").select("id", M.render_prompt(PROMPT, F.col("control_desc"), F.col("criteria"), F.col("has_deviation"), F.col("dev")).alias("prompt"))
+
+
+@query("f40_detect_standards", r"""with t as (select doc_id, upper(text || case doc_id % 5 when 0 then ' see isae 3402' when 1 then ' IDW  PS951 and iso27001' when 2 then ' Nist 800-53' when 3 then ' AAF 0106' else '' end) as t, case doc_id % 4 when 0 then 'SOC1' when 1 then 'SOC2' when 2 then 'COMBINED' end as kind from v_docs),
+f as (select doc_id, list_concat(case kind when 'SOC1' then ['FINANCIAL_ASSERTIONS', 'COSO_ICFR', 'COSO'] when 'SOC2' then ['TSC', 'COSO'] when 'COMBINED' then ['TSC', 'COSO', 'FINANCIAL_ASSERTIONS', 'COSO_ICFR'] else [] end, list_filter([
+  case when regexp_matches(t, 'ISAE\s*3402') or contains(t, 'INTERNATIONAL STANDARD ON ASSURANCE ENGAGEMENTS') then 'ISAE3402' end, case when regexp_matches(t, 'CSAE\s*3416') or contains(t, 'CANADIAN STANDARD ON ASSURANCE') then 'CSAE3416' end,
+  case when regexp_matches(t, 'AAF\s*01/?06') or contains(t, 'AUSTRALIAN AUDITING FRAMEWORK') then 'AAF0106' end, case when regexp_matches(t, 'GS\s*007') or regexp_matches(t, 'IDW\s*PS\s*951') or contains(t, 'GERMAN AUDITING STANDARD') then 'GS007' end,
+  case when regexp_matches(t, 'ISO\s*/?27001') or regexp_matches(t, 'ISO/IEC\s*27001') then 'ISO27001' end, case when regexp_matches(t, 'NIST\s*CSF') or contains(t, 'NIST CYBERSECURITY FRAMEWORK') or regexp_matches(t, 'NIST\s*800') then 'NIST' end], lambda x: x is not null)) as f from t)
+select doc_id, array_to_string(f, ',') as frameworks from f""")
+def f40(spark, d):
+    k, n = F.col("doc_id") % 5, F.col("doc_id") % 4
+    more = F.when(k == 0, " see isae 3402").when(k == 1, " IDW  PS951 and iso27001").when(k == 2, " Nist 800-53").when(k == 3, " AAF 0106").otherwise("")
+    kind = F.when(n == 0, "SOC1").when(n == 1, "SOC2").when(n == 2, "COMBINED")
+    return view(spark, d, "v_docs").select("doc_id", F.array_join(M.detect_standards(F.concat("text", more), kind), ",").alias("frameworks"))
 
 
 @query("u06_consolidate_mappings", "select control_db_id, string_agg(framework || '=' || n::varchar, ';' order by framework) as mapped from (select control_db_id, framework, count(distinct criterion_id) as n from v_mappings where confidence >= 0.8 group by 1, 2) group by 1")

@@ -12,6 +12,7 @@ from reportlake.sources import files as S
 from reportlake.streaming import jobs as R
 
 from .catalog import query
+from .control_plans import LEARNED
 from .views import view
 
 
@@ -58,6 +59,15 @@ def x03(spark, d):
     return X.consolidate_cuecs(view(spark, d, "v_cuecs"))
 
 
+@query("x03_near_cuecs", """with b as (select id, scan_id, trim(regexp_replace(lower(trim(cuec_description)), '[^a-z0-9]+', ' ', 'g')) as core from v_cuecs)
+select id, scan_id, min(id) over (partition by scan_id, core) as group_id, count(*) over (partition by scan_id, core) as n from b""")
+def x03b(spark, d):
+    c = view(spark, d, "v_cuecs")
+    body = F.regexp_replace("cuec_description", r"\.?$", "")
+    # a letter more makes wordings of one report near copies; different duties or systems stay apart
+    return X.consolidate_cuecs(c.withColumn("cuec_description", F.concat(body, F.when(F.col("id") % 5 == 0, "s").otherwise(""))), least=0.985)
+
+
 @query("j07_fuzzy_upsert")
 def j07(spark, d):
     c = view(spark, d, "v_controls")
@@ -75,13 +85,36 @@ def j13(spark, d):
 @query("f27_match_heading")
 def f27(spark, d):
     lines = view(spark, d, "v_lines")
-    toc = lines.where("line_no = 2 and length(line) < 100").select("doc_id", F.concat(F.lit("1. "), "line").alias("heading"))
+    toc = lines.where("length(trim(line)) between 1 and 99").select("doc_id", F.concat(F.lit("1. "), "line").alias("heading")).distinct()
     return X.match_heading(toc, lines)
 
 
-@query("j18_pattern_pairs")
+@query("j18_pattern_pairs", f"with l as ({LEARNED}) select organization, pattern, pattern || 'X' as other, 0.85E0 as similarity, 2 * frequency as frequency, 'auto_merge' as action from l")
 def j18(spark, d):
-    return X.pattern_pairs(C.learn_patterns(view(spark, d, "v_controls")).withColumn("pattern", F.concat_ws("-", F.substring("organization", 1, 2), "pattern")).union(C.learn_patterns(view(spark, d, "v_controls"))))
+    p = C.learn_patterns(view(spark, d, "v_controls"))
+    # the last part longer, another separator, another prefix
+    changed = [F.concat("pattern", F.lit("X")), F.translate("pattern", "-", "."), F.concat(F.lit("00"), F.substring("pattern", 4, 20))]
+    every = p
+    for c in changed:
+        every = every.unionByName(p.withColumn("pattern", c))
+    return X.pattern_pairs(every).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("f02_pattern_similarity", f"""with l as (select organization, pattern from ({LEARNED})) select organization, pattern, unnest(['same', 'longer', 'dots', 'short', 'prefix']) as kind, unnest([1.0E0, 0.85E0, 0.0E0, 0.0E0, 0.3E0]) as similarity from l""")
+def f02(spark, d):
+    p = C.learn_patterns(view(spark, d, "v_controls")).select("organization", "pattern")
+    other = {"same": F.col("pattern"), "longer": F.concat("pattern", F.lit("X")), "dots": F.translate("pattern", "-", "."), "short": F.substring_index("pattern", "-", 2), "prefix": F.concat(F.lit("00"), F.substring("pattern", 4, 20))}
+    rows = p.select("organization", "pattern", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("other")) for k, v in other.items()])).alias("o"))
+    rows = rows.select("organization", "pattern", "o.kind", "o.other")
+    return rows.select("organization", "pattern", "kind", F.round(X.pattern_similarity(F.col("pattern"), F.col("other")), 6).alias("similarity"))
+
+
+@query("f11_similarity", """select p_partkey, unnest(['equal', 'blank', 'head']) as kind, unnest([1.0E0, 0.0E0, round(2.0E0 * length(trim(p_name)) / (length(trim(p_name)) * 2 + 4), 6)]) as similarity from part""")
+def f11(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+    other = {"equal": F.concat(F.lit("  "), F.upper("p_name")), "blank": F.lit("  "), "head": F.concat("p_name", F.lit("####"))}
+    rows = p.select("p_partkey", "p_name", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("other")) for k, v in other.items()])).alias("o"))
+    return rows.select("p_partkey", "p_name", "o.kind", "o.other").select("p_partkey", "kind", F.round(seq_ratio("p_name", "other"), 6).alias("similarity"))
 
 
 @query("f28_parse_model_json", "select id, case when id % 5 = 4 then null else id end as answer from v_controls")
@@ -128,13 +161,3 @@ def s08(spark, d):
 def s10(spark, d):
     c = view(spark, d, "v_controls").select("id", "control_id")
     return S.deep_merge(c, c.where("id % 3 = 0").withColumn("control_id", F.lit("new")), "id", [])
-
-
-@query("s04_criteria_catalog", "select framework, section, id from v_criteria")
-def s04(spark, d):
-    return view(spark, d, "v_criteria").select("framework", "section", "id")
-
-
-@query("s12_usage_log", "select model, extractor, sum(prompt_tokens)::bigint as prompt_tokens from v_usage group by 1, 2")
-def s12(spark, d):
-    return view(spark, d, "v_usage").groupBy("model", "extractor").agg(F.sum("prompt_tokens").alias("prompt_tokens"))

@@ -99,9 +99,9 @@ def w12(spark, d):
     return O.nearest_two(orgs(spark, d), F.levenshtein(F.lower("third_party_name"), F.lit("supplier"))).select("scan_id", "org_key")
 
 
-@query("u03_only_in", "with s as (select distinct third_party_name as k, scan_id % 3 as src from v_orgs) select k, min(src) as src from s group by k having count(*) = 1")
+@query("u03_only_in", "with s as (select distinct third_party_name || '/' || third_party_description as k, scan_id % 3 as src from v_orgs) select k, min(src) as src from s group by k having count(*) = 1")
 def u03(spark, d):
-    s = orgs(spark, d).select(F.col("third_party_name").alias("k"), (F.col("scan_id") % 3).alias("src")).distinct()
+    s = orgs(spark, d).select(F.concat_ws("/", "third_party_name", "third_party_description").alias("k"), (F.col("scan_id") % 3).alias("src")).distinct()
     return s.groupBy("k").agg(F.min("src").alias("src"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
@@ -121,9 +121,9 @@ def t03(spark, d):
     return a.join(b, "name", "full_outer").select("name", delta.alias("delta")).orderBy(F.desc("delta"), "name").limit(10)
 
 
-@query("f33_cuec_confidence", """select id, round(least(1.0, 0.3 + case cuec_gpt_opinion when 'yes' then 0.1 when 'no' then -0.3 else -0.2 end + case when id % 5 < 2 then 0.2 else 0 end
- + case when contains(lower(cuec_description), 'responsible for') or contains(lower(cuec_description), 'must') then 0.15 else 0 end + case when contains(lower(cuec_description), 'must') or contains(lower(cuec_description), 'ensure') then 0.1 else 0 end
- + case when id % 7 = 0 then -0.4 else 0 end + case when length(trim(cuec_description)) < 30 or (not ends_with(trim(cuec_description), '.') and length(trim(cuec_description)) < 80) then -0.3 else 0 end), 3) as score from v_cuecs""")
+@query("f33_cuec_confidence", """select id, round(least(1.0E0, 0.3E0 + case cuec_gpt_opinion when 'yes' then 0.1E0 when 'no' then -0.3E0 else -0.2E0 end + case when id % 5 < 2 then 0.2E0 else 0 end
+ + case when contains(lower(cuec_description), 'responsible for') or contains(lower(cuec_description), 'must') then 0.15E0 else 0 end + case when contains(lower(cuec_description), 'must') or contains(lower(cuec_description), 'ensure') then 0.1E0 else 0 end
+ + case when id % 7 = 0 then -0.4E0 else 0 end + case when length(trim(cuec_description)) < 30 or (not ends_with(trim(cuec_description), '.') and length(trim(cuec_description)) < 80) then -0.3E0 else 0 end), 3) as score from v_cuecs""")
 def f33(spark, d):
     return O.cuec_confidence(view(spark, d, "v_cuecs").withColumn("distance", F.col("id") % 5).withColumn("is_company", F.col("id") % 7 == 0)).select("id", "score")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
+from reportlake.operators import controls as C
+from reportlake.operators import orgs as O  # noqa: N812
 from reportlake.operators import scoring as K
 
 from .catalog import query
@@ -23,10 +25,12 @@ def f31(spark, d):
     return view(spark, d, "v_controls").select("id", K.framework_category(F.col("control_confidence"), (k % 10) / 10, (k % 7) / 7, k % 22).alias("category"))
 
 
-@query("p15_partial_extraction", "select id, (length(control_desc) > 50 and id % 4 = 0) or id % 4 = 1 as partial from v_controls")
+@query("p15_partial_extraction", "select id, (length(trim(control_desc || repeat('x', cast(id % 30 as int)))) > 50 and id % 4 in (0, 3)) or id % 4 = 1 as partial from v_controls")
 def p15(spark, d):
     n = F.col("id") % 4
-    return view(spark, d, "v_controls").select("id", (((F.length("control_desc") > 50) & (n == 0)) | (n == 1)).alias("partial"))
+    found = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(F.lit("EO1"))).when(n == 2, F.array(F.lit("EO1"), F.lit("CO2")))
+    desc = F.concat("control_desc", F.repeat(F.lit("x"), (F.col("id") % 30).cast("int")))
+    return view(spark, d, "v_controls").select("id", C.partial_extraction(desc, found).alias("partial"))
 
 
 WORDS = [("Existence", "the"), ("Existence", "licen"), ("Rights", "por"), ("Rights", "und"), ("Valuation", "les")]
@@ -45,7 +49,7 @@ def f39(spark, d):
     return K.ids_in_text(docs, spark.createDataFrame([("V3",), ("version.3",)], "id string"))
 
 
-PERIODS = """with d as (select o_custkey as k, list_sort(list_distinct(list(o_orderdate::date))) as ds from orders where o_orderkey % 3 = 0 group by 1),
+PERIODS = """with d as (select o_custkey * 10000 + year(o_orderdate) as k, list_sort(list_distinct(list(o_orderdate::date))) as ds from orders group by 1),
 m as (select k, ds, len(ds) as n, ds[1] as a, ds[len(ds)] as z, (year(ds[len(ds)]) - year(ds[1])) * 12 + month(ds[len(ds)]) - month(ds[1]) as mo,
   list_filter(ds[2:len(ds)-1], lambda x: (year(x) - year(ds[1])) * 12 + month(x) - month(ds[1]) between 6 and 12) as mid from d)
 select k, case when n = 1 then 'Type 1' when n = 2 then case when mo between 6 and 12 or z - a <= 30 then 'Type 2' else 'Type 1' end when len(mid) > 0 then 'Type 2' else 'Type 1' end as kind,
@@ -54,7 +58,8 @@ select k, case when n = 1 then 'Type 1' when n = 2 then case when mo between 6 a
 
 @query("f18_deduce_period", PERIODS)
 def f18(spark, d):
-    dates = table(spark, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_set(F.col("o_orderdate").cast("date"))).alias("ds"))
+    key = F.col("o_custkey") * 10000 + F.year("o_orderdate")
+    dates = table(spark, d, "orders").groupBy(key.alias("k")).agg(F.array_sort(F.collect_set(F.col("o_orderdate").cast("date"))).alias("ds"))
     return dates.select("k", K.deduce_period(F.col("ds")).alias("p")).select("k", F.col("p.kind").alias("kind"), F.col("p.end").alias("period_end"))
 
 
@@ -64,7 +69,7 @@ def a14(spark, d):
     return K.drop_frequent(rows).select("o_orderkey")
 
 
-@query("j05_weights_with_fallback", "select distinct organization, case when organization = 'BUILDING' then 0.4 else 0.3 end as weight from v_controls")
+@query("j05_weights_with_fallback", "select distinct organization, case when organization = 'BUILDING' then 0.4E0 else 0.3E0 end as weight from v_controls")
 def j05(spark, d):
     w = spark.createDataFrame([("BUILDING", 0.4), (None, 0.3)], "organization string, weight double")
     return K.weights_with_fallback(view(spark, d, "v_controls").select("organization").distinct(), w, 0.2)
@@ -131,22 +136,55 @@ def t10(spark, d):
     return K.choose_heading(view(spark, d, "v_lines"), "the").select("doc_id", "line_no")
 
 
-@query("p06_report_projection", "select s.scan_id, (select count(*) from v_controls c where c.scan_id = s.scan_id) as n_controls, (select count(*) from v_cuecs c where c.scan_id = s.scan_id) as n_cuecs, (select count(*) from v_orgs c where c.scan_id = s.scan_id) as n_orgs from (select n_nationkey as scan_id from nation) s")
+@query("p06_report_projection", """with s as (select n_nationkey as scan_id, case n_nationkey % 3 when 0 then ' ' when 1 then n_name end as company from nation), r as (select n_nationkey as scan_id, 'stored ' || n_name as company, 'auditor ' || n_regionkey::varchar as auditor from nation where n_nationkey % 2 = 0)
+select s.scan_id, coalesce(nullif(trim(s.company), ''), r.company) as company, r.auditor, coalesce(c.ids, '') as controls, coalesce(u.ids, '') as cuecs, coalesce(o.n, 0) as orgs from s left join r using (scan_id)
+  left join (select scan_id, md5(string_agg(id::varchar, ',' order by id)) as ids from v_controls group by 1) c using (scan_id) left join (select scan_id, md5(string_agg(id::varchar, ',' order by id)) as ids from v_cuecs group by 1) u using (scan_id)
+  left join (select scan_id, count(*) as n from v_orgs group by 1) o using (scan_id)""")
 def p06(spark, d):
-    scans = table(spark, d, "nation").select(F.col("n_nationkey").alias("scan_id"))
-    return K.report_projection(scans, view(spark, d, "v_controls"), view(spark, d, "v_cuecs"), view(spark, d, "v_orgs"))
+    n, k = table(spark, d, "nation"), F.col("n_nationkey") % 3
+    scans = n.select(F.col("n_nationkey").alias("scan_id"), F.when(k == 0, " ").when(k == 1, F.col("n_name")).alias("company"))
+    stored = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("scan_id"), F.concat(F.lit("stored "), "n_name").alias("company"), F.concat(F.lit("auditor "), F.col("n_regionkey").cast("string")).alias("auditor"))
+    c = view(spark, d, "v_controls").select("scan_id", "id", "control_id", "control_desc", "control_confidence")
+    u = view(spark, d, "v_cuecs").select("scan_id", "id", "cuec_description")
+    out = K.report_projection(scans, c, u, view(spark, d, "v_orgs"), results=stored)
+    ids = lambda name: F.when(F.size(name) > 0, F.md5(F.array_join(F.transform(name, lambda x: x["id"].cast("string")), ","))).otherwise("").alias(name)
+    return out.select("scan_id", "company", "auditor", ids("controls"), ids("cuecs"), F.size("orgs").cast("long").alias("orgs"))
 
 
-@query("p17_partial_controls", "select scan_id, count(*) as parsed, round(least(100.0, count(*) * 100.0 / 30), 2) as pct from v_controls where control_confidence >= 0.5 group by 1")
+PARSED = "select scan_id, id as control_seq, control_id, case when id % 6 = 0 then null else control_desc end as control_desc, has_deviation from v_controls where control_confidence >= 0.5"
+
+
+def parsed(spark, d):
+    done = view(spark, d, "v_controls").where("control_confidence >= 0.5")
+    rows = done.select("scan_id", F.col("id").alias("control_seq"), "control_id", F.when(F.col("id") % 6 != 0, F.col("control_desc")).alias("control_desc"), "has_deviation")
+    estimates = table(spark, d, "nation").select(F.col("n_nationkey").alias("scan_id"), F.when(F.col("n_nationkey") % 2 == 0, 30).alias("estimate"))
+    return C.partial_controls(rows, estimates, limit=3, min_pct=50.0)
+
+
+@query("p17_partial_controls", f"""with p as ({PARSED}), g as (select scan_id, count(*) as total_parsed, least(3, count(*) filter (coalesce(control_id, '') <> '' or coalesce(control_desc, '') <> '')) as count from p group by 1)
+select scan_id, total_parsed, count, case when scan_id % 2 = 0 then round(100.0E0 * total_parsed / 30, 2) else least(100.0E0, total_parsed) end as completion_pct, case when scan_id % 2 = 0 then 100.0E0 * total_parsed / 30 >= 50 else total_parsed >= 50 end as threshold_met from g""")
 def p17(spark, d):
-    done = view(spark, d, "v_controls").where("control_confidence >= 0.5").groupBy("scan_id").agg(F.count(F.lit(1)).alias("parsed"))
-    return done.withColumn("pct", F.round(F.least(F.lit(100.0), F.col("parsed") * 100.0 / 30), 2))
+    return parsed(spark, d)[1].drop("estimate")
 
 
-@query("p10_heuristic_excluded", "select org_key, third_party_description, contains(lower(third_party_description), 'steel') or contains(lower(third_party_description), 'brass') as excluded from (select distinct org_key, third_party_description from v_orgs)")
+@query("p17_partial_rows", f"select scan_id, control_seq, control_id, control_desc, has_deviation from (select *, row_number() over (partition by scan_id order by control_seq) as r from ({PARSED}) where coalesce(control_id, '') <> '' or coalesce(control_desc, '') <> '') where r <= 3")
+def p17b(spark, d):
+    return parsed(spark, d)[0]
+
+
+@query("p10_heuristic_excluded", """with o as (select distinct scan_id, org_key, third_party_description as kind from v_orgs)
+select scan_id, org_key, kind, contains(lower(kind), 'standard') or (org_key % 25 = scan_id and org_key % 4 in (0, 1, 3)) as excluded from o""")
 def p10(spark, d):
-    o = view(spark, d, "v_orgs").select("org_key", "third_party_description").distinct()
-    return o.withColumn("excluded", T.any_of(F.col("third_party_description"), ["steel", "brass"]))
+    key = F.substring(F.md5(F.col("org_key").cast("string")), 1, 16)
+    company = table(spark, d, "supplier").select((F.col("s_suppkey") % 25).alias("scan_id"), F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 16).alias("company"))
+    o = view(spark, d, "v_orgs").select("scan_id", "org_key", F.col("third_party_description").alias("kind")).distinct()
+    n = F.col("org_key") % 4
+    # the company itself inside a name, one letter off, another name, inside a description
+    name = F.when(n == 0, F.concat(F.lit("The "), F.upper(key))).when(n == 1, F.concat(F.substring(key, 1, 15), F.lit("z"))).otherwise(F.reverse(F.md5(key)))
+    desc = F.concat(F.regexp_replace("kind", " provider", ""), F.when(n == 3, F.concat(F.lit(" of "), key)).otherwise(""))
+    rows = o.withColumn("third_party_name", name).withColumn("third_party_description", desc).withColumn("third_party_confidence", F.lit(0.7))
+    out = O.heuristic_excluded(rows, company)
+    return out.where("third_party_confidence = if(excluded, 0.0, 0.7)").select("scan_id", "org_key", "kind", "excluded")
 
 
 @query("f49_append_log", "select id, case when id % 2 = 0 then '[SYSTEM] changed' else 'first | [SYSTEM] changed' end as log from v_controls")
@@ -166,9 +204,3 @@ def w04(spark, d):
     c = view(spark, d, "v_controls")
     rows = c.select("scan_id", F.col("id").alias("pos"), "control_id", F.col("control_desc").alias("body"), (F.col("id") % 7 == 0).alias("continues"), F.col("page_last").cast("long").alias("end_line"), F.col("control_confidence").alias("confidence"))
     return K.merge_continuations(rows)
-
-
-@query("f55_merge_history", "select id, 'merge:' || id::varchar || ';conf=' || case when control_confidence > 0 then 'saved' else 'none' end as event from v_controls where merged_to_control_id is not null")
-def f55(spark, d):
-    kind = F.when(F.col("control_confidence") > 0, "saved").otherwise("none")
-    return view(spark, d, "v_controls").where("merged_to_control_id is not null").select("id", F.concat(F.lit("merge:"), F.col("id").cast("string"), F.lit(";conf="), kind).alias("event"))

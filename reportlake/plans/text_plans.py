@@ -96,6 +96,24 @@ def f20(spark, d):
     return docs(spark, d).select("doc_id", T.text_snippet(F.col("text")).alias("snippet"))
 
 
+@query("f20_id_snippet", r"""with t as (select doc_id, trim(regexp_replace(text || case doc_id % 6 when 0 then ' x CC6.1 Access is reviewed. More.' when 1 then ' see control 4.2 which holds! Yes' when 2 then ' 3.1' when 3 then ' Control ID: AB-12 is run daily? Yes' when 4 then ' CC1.1 ' || repeat('word ', 60) || '.' else '' end, '\s+', ' ', 'g')) as t from v_docs),
+p(pos, p) as (values (0, 'CC\d+\.\d+'), (1, 'Control\s+\d+\.\d+'), (2, '\d+\.\d+'), (3, 'Control\s+ID:\s*\w+-\d+'), (4, 'Ref:\s*\d+\.\d+\.\d+')),
+m as (select doc_id, t, pos, regexp_extract(t, '(?i)' || p) as id from t, p where regexp_matches(t, '(?i)' || p)),
+r as (select doc_id, pos, id, regexp_extract(ltrim(substr(t, strpos(t, id) + length(id))), '^[^.!?]*[.!?]') as sentence from m),
+c as (select doc_id, arg_min(trim(id || ' ' || sentence), pos) as s from r where sentence <> '' group by 1)
+select t.doc_id, case when t = '' then null when s is not null then case when length(s) > 200 then substr(s, 1, 197) || '...' else s end when length(t) > 150 then substr(t, 1, 150) || '...' else t end as snippet from t left join c using (doc_id)""")
+def f20b(spark, d):
+    k = F.col("doc_id") % 6
+    more = F.when(k == 0, " x CC6.1 Access is reviewed. More.").when(k == 1, " see control 4.2 which holds! Yes").when(k == 2, " 3.1").when(k == 3, " Control ID: AB-12 is run daily? Yes").when(k == 4, F.concat(F.lit(" CC1.1 "), F.repeat(F.lit("word "), F.lit(60)), F.lit("."))).otherwise("")
+    return docs(spark, d).select("doc_id", T.id_snippet(F.concat("text", more)).alias("snippet"))
+
+
+@query("f07_strip_line_markers", "select doc_id, line_no, ltrim(line) as line from v_lines")
+def f07(spark, d):
+    marked = F.concat(F.lit("║"), F.col("line_no").cast("string"), F.lit("║ "), "line", F.lit("║7║ "))
+    return lines(spark, d).select("doc_id", "line_no", T.strip_line_markers(marked).alias("line")).withColumn("line", F.ltrim("line"))
+
+
 @query("f21_collapse_blank_lines", "select doc_id, md5(regexp_replace(replace(text, chr(10), repeat(chr(10), 2 + doc_id % 5)), '\\n{4,}', repeat(chr(10), 3), 'g')) as hash from v_docs")
 def f21(spark, d):
     spaced = F.replace(F.col("text"), F.lit("\n"), F.repeat(F.lit("\n"), (F.col("doc_id") % 5 + 2).cast("int")))
@@ -113,20 +131,48 @@ def f29(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(T.explicit_criteria(text), ",").alias("ids"))
 
 
-@query("p12_drop_watermark_lines", "select doc_id, line_no from v_lines where not regexp_matches(line, '(?i)confidential|do not (copy|distribute)|draft')")
+#: Pages and lines as the reports have them: every second document with a date on each page, every third signed.
+STAMPED_PAGES = "select doc_id, page_no, case when doc_id % 2 = 0 then text || chr(10) || '01/02/2024.' else text end as text from v_pages"
+STAMPED_LINES = "select doc_id, line_no, line from v_lines union all select doc_id, 1000000 + page_no, ' 01/02/2024. ' from v_pages union all select distinct doc_id, 0, 'DIGITALLY signed by A. Person' from v_lines where doc_id % 3 = 0"
+
+
+def stamped_pages(spark, d):
+    return view(spark, d, "v_pages").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n01/02/2024."))).otherwise(F.col("text")))
+
+
+def stamped_lines(spark, d):
+    own, pages = lines(spark, d), view(spark, d, "v_pages")
+    dates = pages.select("doc_id", (F.col("page_no") + 1_000_000).alias("line_no"), F.lit(" 01/02/2024. ").alias("line"))
+    signed = own.where("doc_id % 3 = 0").select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("line_no"), F.lit("DIGITALLY signed by A. Person").alias("line"))
+    return own.unionByName(dates).unionByName(signed)
+
+
+FREQUENT = rf"""with s as ({STAMPED_PAGES}), f as (
+  select doc_id, page_no, unnest(list_distinct(list_transform(list_concat(list_concat(
+    regexp_extract_all(text, '\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{{1,2}},\s+\d{{4}})\b'),
+    regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+')),
+    regexp_extract_all(text, '\b\d{{1,2}}:\d{{2}}(?::\d{{2}})?\s?(?:AM|PM|am|pm)?\b')), lambda x: trim(x)))) as s from s),
+t as (select doc_id, count(distinct page_no) as pages from s group by 1)
+select f.doc_id, s from f join t on t.doc_id = f.doc_id group by f.doc_id, s, pages having count(*) > 0.8 * pages"""
+
+
+@query("p12_drop_watermark_lines", f"with q as ({FREQUENT}), l as ({STAMPED_LINES}) select doc_id, line_no from l where not regexp_matches(line, '(?i)digitally signed by') and not exists (select 1 from q where q.doc_id = l.doc_id and rtrim(trim(l.line), '.') in (q.s, rtrim(q.s, ',')))")
 def p12(spark, d):
-    return D.drop_watermark_lines(lines(spark, d)).select("doc_id", "line_no")
+    return D.drop_watermark_lines(stamped_lines(spark, d), D.frequent_page_strings(stamped_pages(spark, d))).select("doc_id", "line_no")
 
 
-@query("a13_frequent_page_strings", f"""with f as (select distinct doc_id, page_no, unnest(regexp_extract_all(text, '{D.PAGE_STRINGS}')) as s from v_pages), t as (select doc_id, count(distinct page_no) as pages from v_pages group by 1)
-select f.doc_id, s from f join t on t.doc_id = f.doc_id group by f.doc_id, s, pages having count(*) > 0.8 * pages""")
+@query("a13_frequent_page_strings", FREQUENT)
 def a13(spark, d):
-    return D.frequent_page_strings(view(spark, d, "v_pages"))
+    return D.frequent_page_strings(stamped_pages(spark, d))
 
 
-@query("p11_agreement_pages", "select doc_id, page_no, contains(lower(text), 'terms and conditions') or contains(lower(text), 'non-disclosure agreement') or contains(lower(text), 'by accessing this report') or contains(lower(text), 'you agree to') or contains(lower(text), 'license agreement') as agreement from v_pages")
+@query("p11_agreement_pages", """with p as (select doc_id, page_no, lower(text || case doc_id % 6 when 0 then ' Limits on Report Access and Distribution' when 1 then ' NOTICE: Confidential. Dissemination is prohibited.' when 2 then ' Notice: confidential' when 3 then ' provided AS IS at your sole risk; ownership: property of A' when 4 then ' solely for the benefit and use of B' else '' end) as t from v_pages)
+select doc_id, page_no, contains(t, 'i agree') or contains(t, 'i do not agree') or contains(t, 'limits on report access and distribution') or contains(t, 'solely for the benefit and use of') or contains(t, 'not intended to be used by anyone other than')
+  or (contains(t, 'notice') and contains(t, 'confidential'))::int + (contains(t, 'recipient agrees') and contains(t, 'report'))::int + (contains(t, 'ownership') and contains(t, 'property of'))::int + (contains(t, 'dissemination') and contains(t, 'prohibited'))::int + (contains(t, 'as is') and contains(t, 'sole risk'))::int >= 2 as agreement from p""")
 def p11(spark, d):
-    return view(spark, d, "v_pages").select("doc_id", "page_no", D.is_agreement_page(F.col("text")).alias("agreement"))
+    k = F.col("doc_id") % 6
+    more = F.when(k == 0, " Limits on Report Access and Distribution").when(k == 1, " NOTICE: Confidential. Dissemination is prohibited.").when(k == 2, " Notice: confidential").when(k == 3, " provided AS IS at your sole risk; ownership: property of A").when(k == 4, " solely for the benefit and use of B").otherwise("")
+    return view(spark, d, "v_pages").select("doc_id", "page_no", D.is_agreement_page(F.concat("text", more)).alias("agreement"))
 
 
 @query("w17_skip_leading_agreements", """with f as (select doc_id, page_no, page_no <= 5 and (doc_id + page_no) % 3 <> 0 as flag from v_pages), g as (select *, min(flag::int) over (partition by doc_id order by page_no rows between unbounded preceding and current row) = 1 as lead_run, sum(flag::int) over (partition by doc_id) as n from f)
@@ -152,22 +198,33 @@ def x04(spark, d):
     return D.find_occurrences(docs(spark, d), "Licen", 40).select("doc_id", "pos", "many", F.md5("context").alias("hash"))
 
 
-@query("j20_match_known_firms", """with f(name) as (values ('Apache'), ('MIT'), ('GNU')), h as (select doc_id, name, (length(text) - length(replace(lower(text), lower(name), ''))) // length(name) as n from v_docs, f where contains(lower(text), lower(name)))
-select doc_id, arg_max(name, (n, name)) as firm, max(n) as n from h group by 1""")
-def j20(spark, d):
-    return D.match_known_firms(docs(spark, d), spark.createDataFrame([("Apache",), ("MIT",), ("GNU",)], "name string"))
+FIRM_TEXT = "text || case doc_id % 7 when 0 then ' Apache''s notice' when 1 then ' BDO’s view and KPMG' when 2 then ' audited by kpmg llp' when 3 then ' by rsm.' when 4 then ' Crsmx and Crowe' when 5 then ' Deloitte; Grant Thornton LLP' else '' end"
 
 
-@query("f53_known_firm", "select doc_id, case when contains(text, 'Apache') then 'Apache' when contains(text, 'GNU') then 'GNU' end as firm from v_docs")
-def f53(spark, d):
-    t = F.col("text")
-    return docs(spark, d).select("doc_id", F.when(t.contains("Apache"), "Apache").when(t.contains("GNU"), "GNU").alias("firm"))
+def with_firms(spark, d):
+    k = F.col("doc_id") % 7
+    more = F.when(k == 0, " Apache's notice").when(k == 1, " BDO’s view and KPMG").when(k == 2, " audited by kpmg llp").when(k == 3, " by rsm.").when(k == 4, " Crsmx and Crowe").when(k == 5, " Deloitte; Grant Thornton LLP").otherwise("")
+    return docs(spark, d).withColumn("text", F.concat("text", more))
 
 
-@query("f40_detect_standards", "select doc_id, array_to_string(list_filter(['TSC', case when regexp_matches(text, '(?i)version [23]') then 'VERSIONED' end, case when regexp_matches(text, '(?i)license') then 'LICENSED' end], lambda x: x is not null), ',') as frameworks from v_docs")
-def f40(spark, d):
-    t = F.col("text")
-    return docs(spark, d).select("doc_id", F.array_join(F.array_compact(F.array(F.lit("TSC"), F.when(t.rlike("(?i)version [23]"), F.lit("VERSIONED")), F.when(t.rlike("(?i)license"), F.lit("LICENSED")))), ",").alias("frameworks"))
+FIRMS = [(0, "Apache", "Apache Foundation"), (1, "MIT", "MIT Press"), (2, "GNU", "GNU Project"), (3, "BDO", "BDO USA LLP"), (4, "KPMG", "KPMG LLP"), (5, "K.P.M.G.", "KPMG LLP")]
+
+
+@query("j20_match_known_firms", f"""with f(pos, short, legal) as (values (0, 'apache', 'Apache Foundation'), (1, 'mit', 'MIT Press'), (2, 'gnu', 'GNU Project'), (3, 'bdo', 'BDO USA LLP'), (4, 'kpmg', 'KPMG LLP'), (5, 'k.p.m.g.', 'KPMG LLP')),
+t as (select doc_id, lower({FIRM_TEXT}) as t from v_docs),
+h as (select doc_id, legal, pos, (length(t) - length(replace(t, short, ''))) // length(short) + (length(t) - length(replace(t, short || '''s', ''))) // (length(short) + 2) + (length(t) - length(replace(t, short || '’s', ''))) // (length(short) + 2) as n from t, f where contains(t, short)),
+g as (select doc_id, legal, sum(n)::bigint as n, min(pos) as pos from h group by 1, 2)
+select doc_id, legal as firm, n from (select *, row_number() over (partition by doc_id order by n desc, pos) as r from g) where r = 1""")
+def j20(spark, d):
+    return D.match_known_firms(with_firms(spark, d), spark.createDataFrame(FIRMS, "pos int, short string, legal string"))
+
+
+@query("f53_known_firm", rf"""with f(pos, name, short) as (values (0, 'BDO USA, P.C.', false), (1, 'BDO USA', false), (2, 'KPMG LLP', false), (3, 'Deloitte & Touche LLP', false), (4, 'PricewaterhouseCoopers', false), (5, 'Ernst & Young LLP', false), (6, 'Grant Thornton LLP', false),
+(7, 'RSM US LLP', false), (8, 'Crowe LLP', false), (9, 'Moss Adams LLP', false), (10, 'CliftonLarsonAllen LLP', false), (11, 'Schellman & Company, LLC', false), (12, 'KPMG', false), (13, 'Deloitte', false), (14, 'PwC', true), (15, 'BDO', true), (16, 'Grant Thornton', false),
+(17, 'RSM', true), (18, 'Crowe', false), (19, 'Moss Adams', false), (20, 'CliftonLarsonAllen', false), (21, 'Schellman', false)), t as (select doc_id, {FIRM_TEXT} as t from v_docs)
+select t.doc_id, h.firm from t left join (select doc_id, arg_min(name, pos) as firm from t, f where case when short then regexp_matches(t, '(?i)\b' || name || '\b') else contains(lower(t), lower(name)) end group by 1) h using (doc_id)""")
+def f53(spark, d):
+    return with_firms(spark, d).select("doc_id", D.known_firm(F.col("text")).alias("firm"))
 
 
 @query("x05_split_combined", """with s as (select doc_id, line_no, case when line_no % 3 = 1 then 'id' else 'body' end as kind, line from v_lines), r as (select *, sum((kind = 'id')::int) over (partition by doc_id order by line_no rows between unbounded preceding and current row)::bigint as record from s)
@@ -175,9 +232,3 @@ select doc_id, record, max(line) filter (kind = 'id') as id_text, coalesce(strin
 def x05(spark, d):
     seg = lines(spark, d).select("doc_id", F.col("line_no").alias("pos"), F.when(F.col("line_no") % 3 == 1, "id").otherwise("body").alias("kind"), F.col("line").alias("body"))
     return D.split_combined(seg)
-
-
-@query("f24_toc_line", "select doc_id, min(line_no) as line_no from v_lines where regexp_matches(lower(trim(line)), 'table of contents|^contents$|licensed') group by 1")
-def f24(spark, d):
-    hit = F.lower(F.trim("line")).rlike("table of contents|^contents$|licensed")
-    return lines(spark, d).where(hit).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +24,21 @@ def read_result_json(spark: SparkSession, pattern: str, inner: str, item_schema:
     return read.select(F.explode(inner).alias("x")).select("x.*")
 
 
-def read_criteria(spark: SparkSession, path: str) -> DataFrame:
-    """(framework, section, id, description) of one JSON-lines file per framework, named by the file."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    return spark.read.schema("id string, section string, category string, component string, description string").json(path).select(name.alias("framework"), F.coalesce("section", "component", "category", F.lit("Unspecified")).alias("section"), "id", "description")
+CRITERION = "id string, section string, category string, component string, description string, principle string, name string"
+
+
+def read_criteria(spark: SparkSession, path: str, literal: DataFrame | None = None, whole_files: bool = True) -> DataFrame:
+    """(framework, section, id, description, name): the literal catalogues (framework and fields of CRITERION) of frameworks
+    built in, and those under path: one JSON array per file, named by the framework, or (not whole_files) lines of JSON in
+    folders framework=NAME. A framework without criteria does not appear."""
+    read = spark.read.schema(CRITERION).option("multiLine", whole_files)
+    file = F.input_file_name()
+    by_file = F.upper(F.regexp_extract(file, r"([^/]+)\.json$", 1))
+    name = by_file if whole_files else F.url_decode(F.regexp_extract(file, r"framework=([^/]+)/", 1))
+    read = read.option("recursiveFileLookup", not whole_files).json(path).withColumn("framework", name)
+    both = read if literal is None else literal.unionByName(read, allowMissingColumns=True)
+    text = F.coalesce("description", "principle", "name")
+    return both.where("id is not null").select("framework", F.coalesce("section", "component", "category", F.lit("Unspecified")).alias("section"), "id", text.alias("description"), F.coalesce("name", "id").alias("name"))
 
 
 def read_lookup_list(spark: SparkSession, path: str) -> DataFrame:
@@ -83,9 +98,29 @@ def write_baseline(metrics: DataFrame, path: str) -> None:
 
 
 def list_baselines(spark: SparkSession, path: str, report: str | None = None) -> DataFrame:
+    """All baselines, newest first; of one report if it is named."""
     rows = spark.read.parquet(path)
     return (rows if report is None else rows.where(F.col("report_name") == report)).orderBy(F.desc("created_at"))
 
 
+def read_baseline(spark: SparkSession, path: str, report: str, version: str | None = None) -> DataFrame:
+    """The newest baseline of a report (of one extractor version); its partition is all that is read."""
+    rows = spark.read.parquet(path).where(F.col("report_name") == report)
+    if version is not None:
+        rows = rows.where(F.col("extractor_version") == version)
+    last = rows.agg(F.max("created_at").alias("_last"))
+    return rows.join(F.broadcast(last), F.col("created_at") == F.col("_last")).drop("_last")  # one row
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table: below spark.checkpoint.dir, or in local mode below a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-reports-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("model string, extractor string, prompt_tokens long, completion_tokens long, cost double, seconds double, ts timestamp").json(path)

@@ -12,4 +12,4 @@ def test_boundary_chunks_lose_nothing():
 
 def test_repeated_edge_lines(spark):
     pages = spark.createDataFrame([(1, i, f"ACME AUDIT\nbody {i}\nmore\npage {i}") for i in range(1, 5)], "doc_id long, page_no long, text string")
-    assert sorted((r["line"], r["n"]) for r in H.repeated_edge_lines(pages).collect()) == [("ACME AUDIT", 4), ("more", 4)]
+    assert sorted((r["line"], r["n"]) for r in H.repeated_edge_lines(pages).collect()) == [("acme audit", 4), ("more", 4)]
