@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
+from reportlake.operators import jobs as J
 from reportlake.operators import orgs as O  # noqa: N812
 
 from .catalog import query
@@ -213,8 +214,7 @@ def a18(spark, d):
 
 @query("w18_queue_position", "select event_id, row_number() over (partition by status order by priority, ts, event_id) as position from v_jobs")
 def w18(spark, d):
-    w = Window.partitionBy("status").orderBy("priority", "ts", "event_id")
-    return view(spark, d, "v_jobs").select("event_id", F.row_number().over(w).cast("long").alias("position"))
+    return J.queue_positions(view(spark, d, "v_jobs")).select("event_id", "position")
 
 
 @query("f50_percent_complete", "select event_id, case when progress = 100 then 100.0 else least(90.0, progress / 80.0 * 100) end as pct from v_jobs")
