@@ -13,7 +13,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. It is fitted on the labelled ones among docs."""
+    """Documents that the quality classifier rejects go. It is fitted on the labelled ones among docs. Null texts are judged
+    as empty ones, repeated rows alike; without labels of both kinds all stay; an empty table stays empty; columns beyond
+    those of documents are dropped, here and in all stages."""
     docs = docs.select(*COLUMNS)
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
     scored = classifier.score(docs, model, keep=tuple(COLUMNS))
@@ -30,23 +32,27 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = written(jaccard_join.jaccard_rows(docs, percent=80, width=5), "groups")
     gone = groups.where("key <> first_key").select("key").distinct()
     nameless = F.col("doc_id").isNull() & (F.btrim(text_or_empty(F.col("text")), F.lit(BLANKS)) == "")
-    kept = docs.where(~nameless).withColumn("key", jaccard_join.row_key()).join(gone, "key", "left_anti").dropDuplicates(["key"])
+    kept = docs.where(~nameless).withColumn("key", jaccard_join.row_key()).join(gone, "key", "left_anti")
+    # of rows of equal id and text the one of the least other columns stays
+    kept = kept.groupBy("key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")).select("row.*")
     return kept.select(*COLUMNS).unionByName(docs.where(nameless))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are replaced by surrogates; n_chars follows the new text."""
+    """Personal data and secrets are replaced by surrogates; n_chars follows the new text where there was any. Null and empty
+    texts stay as they are, repeated rows are rewritten alike."""
     new = surrogates.surrogate_text(docs.select(*COLUMNS), surrogates.configured_key(spark))
     return new.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: each document once, those of small sources again as their budget asks."""
+    """Sources at their target weights: each document once, those of small sources again as their budget asks. Null sources
+    are one source; null texts count no tokens; equal ids of a source are taken together."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and the packed token ids of every row, in no order."""
+    """doc_id, n_tokens, digests and the packed token ids of every row, in no order. Null texts count as empty ones."""
     coded = bpe.bpe_round_trip(docs.select("doc_id", "text"))
     return bpe_digest(coded, keep=("ids",))
 

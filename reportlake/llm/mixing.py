@@ -96,14 +96,17 @@ def with_plan(docs: DataFrame, plan: DataFrame, how: str, n_sources: int) -> Dat
 
 def mix(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats: float | None = 2.0, seed: int = 0, source: str = "source", text: str = "text") -> DataFrame:
     """docs, each row as often as the mixture takes it, with _epoch (from 0), _mix_key (sorts an epoch of a source into
-    its permutation) and _n_tokens (words). Equal doc_ids share a key and are taken together; null texts have no tokens;
-    an empty table stays empty. Documents are not shuffled unless there are very many sources.
+    its permutation) and _n_tokens (words). Equal doc_ids share a key and are taken together; null texts have no tokens,
+    null sources are one source; an empty table stays empty. Columns named _epoch, _mix_key, _n_tokens, _src or _plan are
+    replaced or dropped, all others stay. Documents are not shuffled unless there are very many sources.
     """
     counted = written(docs.select(source_key(F.col(source)).alias("_src"), "doc_id", F.size(words(F.col(text))).cast("long").alias("n_tokens")), "mix-counts")
     plan = written(mixing_plan(counted, entropy_share, max_repeats, seed), "mix-plan")
     n_sources = plan.count()
-    rows = with_plan(docs.withColumn("_src", source_key(F.col(source))).withColumn("_n_tokens", F.size(words(F.col(text))).cast("long")), plan.select("_src", "epochs", "cut_key"), "left", n_sources)
-    extra = F.coalesce(permutation_key(seed, F.col("epochs"), F.col("doc_id")) <= F.col("cut_key"), F.lit(False))
-    passes = F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1 + extra.cast("long"))
+    plan = plan.select("_src", F.struct("epochs", "cut_key").alias("_plan"))
+    own = docs.drop("_plan").withColumn("_src", source_key(F.col(source))).withColumn("_n_tokens", F.size(words(F.col(text))).cast("long"))
+    rows = with_plan(own, plan, "left", n_sources)
+    extra = F.coalesce(permutation_key(seed, F.col("_plan.epochs"), F.col("doc_id")) <= F.col("_plan.cut_key"), F.lit(False))
+    passes = F.sequence(F.lit(0).cast("long"), F.col("_plan.epochs") - 1 + extra.cast("long"))
     out = rows.withColumn("_epoch", F.explode(passes))
-    return out.withColumn("_mix_key", permutation_key(seed, F.col("_epoch"), F.col("doc_id"))).drop("_src", "epochs", "cut_key")
+    return out.withColumn("_mix_key", permutation_key(seed, F.col("_epoch"), F.col("doc_id"))).drop("_src", "_plan")

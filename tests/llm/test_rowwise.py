@@ -107,6 +107,18 @@ def test_classifier_held_out_accuracy(spark):
     assert out and sum(r["p"] == r["quality"] for r in out) / len(out) >= 0.95
 
 
+def test_classifier_ranks_the_held_out_rows_of_the_given_tables(spark):
+    from reportlake.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect()}
+    out = queries.op4_quality_classifier(spark, sf).collect()
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r["predicted"] == int(r["score"] >= 0.3) for r in out)
+    held = [(r["score"], labels[r["doc_id"]], r["predicted"]) for r in out if r["held_out"] and r["doc_id"] in labels]
+    good, bad = ([s for s, y, _ in held if y == k] for k in (1, 0))
+    assert sum(p == y for _, y, p in held) / len(held) >= 0.95 and sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) >= 0.98
+
+
 def test_classifier_odd_cases(docs, none, spark):
     labels = spark.createDataFrame([(1, 1), (4, None), (None, 0)], "doc_id long, quality int")
     model = classifier.fit(docs, labels)
