@@ -14,13 +14,14 @@ the most central class of each of its buckets, and then, bucket by bucket, only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import most_frequent, text_or_empty, written
 from .components import components
 from .substring_dedup import WordHashes
 
@@ -55,10 +56,26 @@ def group_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
-def class_hash(s: np.ndarray) -> int:
-    """One number for a whole set."""
+class Naming(NamedTuple):
+    """How sets and classes are named: shingle width, bits of the first hash of a set, and the first hashes that belong to
+    unlike sets, whose classes go by the second hash."""
+
+    width: int = SHINGLE
+    bits: int = 64
+    shared: frozenset[int] = frozenset()
+
+
+def class_hashes(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent numbers for a whole set; of the first only so many bits."""
     with np.errstate(over="ignore"):
-        return int(mixed(np.array([np.sum(mixed(s)) * U(3) + np.bitwise_xor.reduce(mixed(s + U(1))) + U(len(s))], U)).view(np.int64)[0])
+        first = mixed(np.array([np.sum(mixed(s)) * U(3) + np.bitwise_xor.reduce(mixed(s + U(1))) + U(len(s))], U))
+        second = mixed(np.array([np.sum(mixed(s + U(2))) * U(5) + np.bitwise_xor.reduce(mixed(s + U(3))) + U(len(s))], U))
+    return int((first >> U(64 - bits)).view(np.int64)[0]), int(second.view(np.int64)[0])
+
+
+def class_name(s: np.ndarray, naming: Naming) -> int:
+    first, second = class_hashes(s, naming.bits)
+    return second if first in naming.shared else first
 
 
 def row_key(text: str = "text") -> Column:
@@ -67,35 +84,40 @@ def row_key(text: str = "text") -> Column:
     return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(body).cast("string"), F.hash(body).cast("string"))
 
 
-def classified(docs: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, key, cls, n, counts) per row of docs, the shingles that come last in the order). docs: doc_id, key, text.
+def classified(docs: DataFrame, naming: Naming) -> tuple[DataFrame, DataFrame, Naming]:
+    """((doc_id, key, cls, n, counts) per row of docs, the shingles that come last in the order, the naming with the first
+    hashes of unlike sets filled in: a handful among billions of sets). docs: doc_id, key, text.
 
     Tasks count shingles batch by batch and pass on those found twice or more and in a five-hundredth of the batch;
-    the HEAVY_LIMIT most frequent after summing are the heavy ones. That bounds what is broadcast.
+    the most frequent after summing, at most HEAVY_LIMIT, are the heavy ones. That bounds what is broadcast.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t, hashes, width) for t in b["text"]]
+            sets = [shingles(t, hashes, naming.width) for t in b["text"]]
             n = [len(s) for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "cls": pd.array([class_hash(s) if len(s) else None for s in sets], "Int64"), "n": n, "counts": [group_counts(s) for s in sets]})
+            names = [class_hashes(s, naming.bits) if len(s) else (None, None) for s in sets]
+            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "cls": pd.array([x[0] for x in names], "Int64"), "cls2": pd.array([x[1] for x in names], "Int64"), "n": n, "counts": [group_counts(s) for s in sets]})
             seen, count = np.unique(np.concatenate([*sets, np.empty(0, U)]), return_counts=True)
             often = count >= max(2, len(b) // 500)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "key": None, "cls": pd.array(seen[often].view(np.int64), "Int64"), "n": count[often], "counts": None})
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "key": None, "cls": pd.array(seen[often].view(np.int64), "Int64"), "cls2": pd.array([None] * int(often.sum()), "Int64"), "n": count[often], "counts": None})
 
-    both = written(docs.select("doc_id", "key", "text").mapInPandas(run, "kind int, doc_id long, key string, cls long, n long, counts binary"), "classes")
-    rows = both.where("kind = 0").select("doc_id", "key", "cls", "n", "counts")
+    both = written(docs.select("doc_id", "key", "text").mapInPandas(run, "kind int, doc_id long, key string, cls long, cls2 long, n long, counts binary"), "classes")
+    rows = both.where("kind = 0").select("doc_id", "key", "cls", "cls2", "n", "counts")
+    unlike = rows.where("cls is not null").groupBy("cls").agg(F.min("cls2").alias("lo"), F.max("cls2").alias("hi")).where("lo <> hi")
+    naming = naming._replace(shared=frozenset(r["cls"] for r in unlike.select("cls").collect()))
+    rows = rows.withColumn("cls", F.when(F.col("cls").isin(*naming.shared), F.col("cls2")).otherwise(F.col("cls")) if naming.shared else F.col("cls")).drop("cls2")
     total = rows.count()
     heavy = both.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // 2000))
-    return rows, heavy.orderBy(F.desc("n"), "cls").limit(HEAVY_LIMIT).select("cls")
+    return rows, most_frequent(heavy, HEAVY_LIMIT).select("cls"), naming
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int, width: int = SHINGLE) -> DataFrame:
+def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int, naming: Naming) -> DataFrame:
     """(shingle, cls) of each document's prefix. heavy: sorted hashes, at most HEAVY_LIMIT."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -104,7 +126,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int, width: int = SHIN
         for b in batches:
             keys, out = [], []
             for t in b["text"]:
-                s = shingles(t, hashes, width)
+                s = shingles(t, hashes, naming.width)
                 if not len(s):
                     continue
                 p = prefix_length(len(s), percent)
@@ -116,14 +138,14 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int, width: int = SHIN
                         first = np.concatenate([first, s[common][: p - len(first)]])
                 else:
                     first = s[:p]
-                keys.append(class_hash(s))
+                keys.append(class_name(s, naming))
                 out.append(first)
             yield pd.DataFrame({"shingle": np.concatenate([*out, np.empty(0, U)]).view(np.int64), "cls": np.repeat(np.array(keys, np.int64), [len(x) for x in out])})
 
     return docs.select("text").mapInPandas(run, "shingle long, cls long")
 
 
-def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
+def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, naming: Naming) -> DataFrame:
     """(cls, items) of the wanted classes; items: the sorted set of the class's smallest document. Few ids (counted) are
     broadcast, so that texts are not shuffled; many are joined. Classes without any id are found by their row's key."""
 
@@ -132,8 +154,8 @@ def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int =
         for b in batches:
             out = []
             for cls, text in zip(b["cls"].tolist(), b["text"], strict=True):
-                s = shingles(text, hashes, width)
-                if len(s) and class_hash(s) == cls:  # a repeated id may bring another text
+                s = shingles(text, hashes, naming.width)
+                if len(s) and class_name(s, naming) == cls:  # a repeated id may bring another text
                     out.append((cls, s.tobytes()))
             yield pd.DataFrame(out, columns=["cls", "items"])
 
@@ -288,7 +310,7 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
     return sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int = SHINGLE) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, naming: Naming) -> DataFrame:
     """The pairs whose sets really reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,7 +324,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
 
     pairs = written(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = written(loaded(docs, wanted, classes, width), "sets")
+    sets = written(loaded(docs, wanted, classes, naming), "sets")
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("items").alias(f"i{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInPandas(run, "a long, b long").distinct()
 
@@ -345,35 +367,36 @@ def first_row(doc_id: str, key: str) -> Column:
     return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("rep"), F.col(key).alias("rep_key")))
 
 
-def routed(docs: DataFrame, percent: int, text: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents with their keys, their rows classified, a row per class, the (shingle, cls) of shared prefixes)."""
+def routed(docs: DataFrame, percent: int, text: str, naming: Naming) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Naming]:
+    """(documents with their keys, their rows classified, a row per class, the (shingle, cls) of shared prefixes, the
+    naming)."""
     own = docs.select("doc_id", text_or_empty(F.col(text)).alias("text")).withColumn("key", row_key())
-    rows, heavy = classified(own, width)
+    rows, heavy, naming = classified(own, naming)
     last = np.sort(np.array([r["cls"] for r in heavy.collect()], np.int64).view(U))  # at most HEAVY_LIMIT
     # dealt by shingle once, for both the count and the join
-    first = prefixes(own, last, percent, width).repartition("shingle")
+    first = prefixes(own, last, percent, naming).repartition("shingle")
     shared = first.groupBy("shingle").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("shingle")
     buckets = written(first.join(shared, "shingle").distinct(), "buckets")
     some = rows.where("cls is not null").groupBy("cls").agg(first_row("doc_id", "key").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     classes = written(some.select("cls", "first.rep", "first.rep_key", "n_rows", "n", "counts"), "reps")
-    return own, rows, classes, buckets
+    return own, rows, classes, buckets, naming
 
 
-def jaccard_rows(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE) -> DataFrame:
+def jaccard_rows(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE, bits: int = 64) -> DataFrame:
     """doc_id, key, n_shingles, component_id and first_key per row of docs: row_key() of the row and of the first row of
     its component, whose id is component_id. Rows without a set have no first_key. Rows that share an id, or have none,
-    are members each by its own text."""
-    own, rows, classes, buckets = routed(docs, percent, text, width)
+    are members each by its own text. The result does not depend on `bits`."""
+    own, rows, classes, buckets, naming = routed(docs, percent, text, Naming(width, bits))
     members = written(unlike_buckets(buckets), "members")
     points = classes.select("cls", "n", "counts")
     degree = buckets.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     leader = members.join(degree, "cls").groupBy("shingle").agg(F.max_by("cls", F.struct("degree", "cls")).alias("lead"))
     stars = members.join(leader, "shingle").where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    links = written(verified(bounded_pairs(stars, points, percent), own, classes, percent, width), "near-links")
+    links = written(verified(bounded_pairs(stars, points, percent), own, classes, percent, naming), "near-links")
     comp = components(links)
     labelled = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("shingle", "cls", F.coalesce("component", "cls").alias("comp"))
     rest = cross_pairs(written(labelled, "labelled"), points, percent)
-    links = links.unionByName(written(verified(rest, own, classes, percent, width), "near-links"))
+    links = links.unionByName(written(verified(rest, own, classes, percent, naming), "near-links"))
     comp = components(links)
     named = classes.select("cls", "rep", "rep_key").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", "rep_key", F.coalesce("component", "cls").alias("comp"))
     names = named.groupBy("comp").agg(first_row("rep", "rep_key").alias("first")).select("comp", F.col("first.rep").alias("component_id"), F.col("first.rep_key").alias("first_key"))
@@ -391,13 +414,13 @@ def jaccard_components(docs: DataFrame, percent: int = 85, text: str = "text", w
     return jaccard_rows(docs, percent, text, width).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_links(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, percent: int = 85, text: str = "text", width: int = SHINGLE, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """All links, not only those that components need: ((a, b, rows_a, rows_b) of every pair of linked classes, and
     (doc_id, key, cls, n_links) per row of docs). Each row of a links with each of b, and rows of one class with one
     another; n_links counts a row's links."""
-    own, rows, classes, buckets = routed(docs, percent, text, width)
+    own, rows, classes, buckets, naming = routed(docs, percent, text, Naming(width, bits))
     apart = buckets.withColumn("comp", F.col("cls"))
-    pairs = written(verified(cross_pairs(apart, classes.select("cls", "n", "counts"), percent), own, classes, percent, width), "all-links")
+    pairs = written(verified(cross_pairs(apart, classes.select("cls", "n", "counts"), percent), own, classes, percent, naming), "all-links")
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n_rows").alias(f"rows_{k}"))
     pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rows_a", "rows_b"), "all-links")
     both = pairs.select(F.col("a").alias("cls"), F.col("rows_b").alias("k")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("rows_a").alias("k")))
