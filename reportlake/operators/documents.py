@@ -143,11 +143,10 @@ def find_occurrences(docs: DataFrame, term: str, around: int = 2000) -> DataFram
     A text is split once before every hit; the lengths of the parts, added up, are the positions.
     """
     low, t = F.lower("text"), term.lower()
-    parts = docs.where(F.contains(low, F.lit(t))).select("doc_id", "text", F.split(low, f"(?={re.escape(t)})", -1).alias("parts"))
+    parts = docs.where(F.contains(low, F.lit(t))).select("doc_id", "text", F.split(low, f"(?={re.escape(t)})", -1).alias("parts"), F.startswith(low, F.lit(t)).alias("at_start"))
     starts = F.aggregate("parts", F.array(F.lit(1)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
     # every part but perhaps the first begins with a hit
-    at_start = F.startswith(F.get("parts", F.lit(0)), F.lit(t))
-    hits = F.filter(F.slice(starts, F.lit(1), F.size("parts")), lambda s: (s > 1) | at_start)
+    hits = F.filter(F.slice(starts, F.lit(1), F.size("parts")), lambda s: (s > 1) | F.col("at_start"))
     rows = parts.select("doc_id", "text", hits.alias("at"))
     rows = rows.select("doc_id", "text", (F.size("at") > 3).alias("many"), F.explode("at").alias("pos"))
     start = F.greatest(F.col("pos") - around, F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from reportlake.functions import text as T
 from reportlake.functions.similarity import alike, indel_ratio, seq_ratio
 
+from . import contents
+
 #: Texts of one side that are compared in one go.
 PACK = 512
 
@@ -59,14 +62,32 @@ def rescue_bad_chunks(bad: DataFrame, good: DataFrame, least: float = 0.7) -> Da
     return out.withColumn("kind", F.when(F.col("sim") == 1.0, "exact").when(F.col("sim").isNotNull(), "fuzzy").otherwise("unmatched"))
 
 
-def match_heading(toc: DataFrame, lines: DataFrame, least: float = 85.0) -> DataFrame:
-    """(doc_id, heading, line_no, score): equal normalised headings first, else the best indel ratio above `least`.
-    Blocks of the second arm: document and first letters of the normalised heading."""
-    t = toc.select("doc_id", "heading", T.normalize_heading(F.col("heading")).alias("key"))
-    own = lines.where(F.length("line") < 200).select("doc_id", "line_no", T.normalize_heading(F.col("line")).alias("line_key")).where("line_key <> ''")
-    joined = t.withColumn("block", F.substring("key", 1, 3)).join(own.withColumn("block", F.substring("line_key", 1, 3)), ["doc_id", "block"])
-    scored = joined.withColumn("score", F.when(F.col("key") == F.col("line_key"), 100.0).otherwise(indel_ratio("key", "line_key"))).where(F.col("score") > least)
-    return scored.groupBy("doc_id", "heading").agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"), F.max("score").alias("score"))
+#: Lengths of two keys whose indel ratio exceeds 85 differ by less than this factor.
+LENGTH_BAND = 1.36
+
+
+def match_heading(toc: DataFrame, lines: DataFrame, least: float = 85.0, joined: int = 3) -> DataFrame:
+    """(doc_id, heading, line_no, n_lines, score): where each heading (doc_id, heading) of a table of contents stands.
+
+    Candidates are up to `joined` non-blank lines in a row (doc_id, line_no, line; give those after the table itself). Equal
+    core headings come first, by an equi join, with score 100 and the first line; the other headings take the best indel
+    ratio above `least` (85 or more), compared within their document and among keys of like length only, which loses none.
+    """
+    t = contents.nfkc(toc.select("doc_id", "heading", F.col("heading").alias("key")).distinct(), "key").withColumn("key", contents.core_heading(F.col("key"))).where("key <> ''")
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    own = contents.nfkc(lines.where(F.trim("line") != "").select("doc_id", "line_no", F.trim("line").alias("line")), "line")
+    ahead = [F.lead("line", k).over(order) for k in range(1, joined)]
+    rows = own.select("doc_id", "line_no", F.array("line", *ahead).alias("ls"))
+    runs = F.transform(F.sequence(F.lit(1), F.lit(joined)), lambda n: F.when(F.get("ls", n - 1).isNotNull(), F.struct(n.alias("n_lines"), F.array_join(F.slice("ls", F.lit(1), n), " ").alias("text"))))
+    found = rows.select("doc_id", "line_no", F.explode(F.array_compact(runs)).alias("r")).select("doc_id", "line_no", "r.n_lines", contents.core_heading(F.col("r.text")).alias("line_key")).where("line_key <> ''")
+    exact = t.join(found.withColumnRenamed("line_key", "key"), ["doc_id", "key"]).withColumn("score", F.lit(100.0)).select("doc_id", "heading", "key", "line_no", "n_lines", "score")
+    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / math.log(LENGTH_BAND))
+    open_ = t.join(exact.select("doc_id", "heading").distinct(), ["doc_id", "heading"], "left_anti")
+    wide = open_.withColumn("band", F.explode(F.sequence(band("key") - 1, band("key") + 1)))
+    near = wide.join(found.withColumn("band", band("line_key")), ["doc_id", "band"]).where(200 * F.least(F.length("key"), F.length("line_key")) > least * (F.length("key") + F.length("line_key")))
+    near = near.withColumn("score", indel_ratio("key", "line_key")).where(F.col("score") > least).select("doc_id", "heading", "key", "line_no", "n_lines", "score")
+    best = exact.unionByName(near).groupBy("doc_id", "heading").agg(F.min(F.struct((-F.col("score")).alias("s"), "line_no", "n_lines")).alias("b"))
+    return best.select("doc_id", "heading", "b.line_no", "b.n_lines", (-F.col("b.s")).alias("score"))
 
 
 def separator(p: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
@@ -84,9 +85,13 @@ def j13(spark, d):
 
 @query("f27_match_heading")
 def f27(spark, d):
+    """Headings made of every line: as it is, with the line after it, or with a letter lost."""
     lines = view(spark, d, "v_lines")
-    toc = lines.where("length(trim(line)) between 1 and 99").select("doc_id", F.concat(F.lit("1. "), "line").alias("heading")).distinct()
-    return X.match_heading(toc, lines)
+    after = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    k = F.col("line_no") % 3
+    toc = lines.withColumn("after", F.coalesce(after, F.lit("")))
+    heading = F.when(k == 0, F.concat(F.lit("1. "), "line")).when(k == 1, F.concat_ws(" ", "line", "after")).otherwise(F.concat(F.substring("line", 1, 3), F.substring("line", 5, 1 << 30)))
+    return X.match_heading(toc.select("doc_id", heading.alias("heading")), lines)
 
 
 @query("j18_pattern_pairs", f"with l as ({LEARNED}) select organization, pattern, pattern || 'X' as other, 0.85E0 as similarity, 2 * frequency as frequency, 'auto_merge' as action from l")

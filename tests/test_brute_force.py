@@ -1,11 +1,12 @@
 """Queries and patterns that SQL cannot express, against plain Python over whole tables."""
 
 import re
+import unicodedata
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from reportlake.functions.similarity import indel_ratio, ratio
+from reportlake.functions.similarity import common_subsequence, indel_ratio, ratio
 from reportlake.operators import contents as K
 from reportlake.operators import documents as D
 from reportlake.operators import headings as H
@@ -138,3 +139,32 @@ def test_char_chunks_of_odd_texts(spark):
     got = {(r["doc_id"], r["chunk_id"]): (r["start"], r["start_line"], r["text"]) for r in D.char_chunks(df, 1000, 200).collect()}
     want = {(d, s // 800): (s, 1 + t[:s].count("\n"), t[s : s + 1000]) for d, t in enumerate(texts) for s in range(0, max(len(t), 1), 800)}
     assert got == want
+
+
+def core(s):
+    s = unicodedata.normalize("NFKC", s)
+    for p in (r"^section\s*[ivxlcdm0-9]+\s*[\-–—:]?\s*", r"^[ivxlcdm]+\.?\s*", r"^[0-9]+\.?\s*", r"^[a-zA-Z]\.\s*"):
+        s = re.sub(p, "", s, flags=re.IGNORECASE if p != r"^[a-zA-Z]\.\s*" else 0)
+    return re.sub(r"[^\w]", "", s).lower()
+
+
+def test_headings_of_one_to_three_lines(spark):
+    lines = ["Section I - Independent Service", "", "Auditor's Report", "body text of the report goes on here", "2. Management", "Assertion of Acme", "Holdings", "Descrption of the Systen", "tail"]
+    toc = ["SECTION I Independent Service Auditor's Report", "II. Management Assertion of Acme Holdings", "3. Description of the System", "Nothing like it at all", "tail"]
+    rows = [(d, k, s) for d in (1, 2) for k, s in enumerate(lines, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, line_no long, line string")
+    heads = spark.createDataFrame([(1, h) for h in toc] + [(1, "tail"), (3, "tail")], "doc_id long, heading string")
+    got = {r["heading"]: (r["line_no"], r["n_lines"], round(r["score"], 6)) for r in X.match_heading(heads, df).collect()}
+    own = [(k, s) for k, s in enumerate(lines, 1) if s.strip()]
+    want = {}
+    for h in toc:
+        best = []
+        for i, (k, _) in enumerate(own):
+            for n in range(1, min(3, len(own) - i) + 1):
+                key = core(" ".join(s for _, s in own[i : i + n]))
+                if core(h) and key:
+                    score = 100.0 if key == core(h) else 200 * common_subsequence(core(h), key) / (len(key) + len(core(h)))
+                    best.append((-round(score, 6), k, n))
+        if best and -min(best)[0] > 85:
+            want[h] = (min(best)[1], min(best)[2], -min(best)[0])
+    assert got == want and len(want) == 4
