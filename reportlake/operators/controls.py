@@ -350,3 +350,21 @@ def extraction_diagnostics(raw: DataFrame, merged: DataFrame, least: float = 0.5
         F.count_if(good & F.coalesce("has_deviation", F.lit(False))).alias("deviations"), F.count_if(good & (F.size("assertions") > 0)).alias("with_assertions"),
     )
     return r.join(m, "scan_id", "left").fillna(0).withColumn("merged_away", F.col("raw") - F.col("after_merge"))
+
+
+def low_confidence_notes(cuecs: DataFrame, below: float = 0.5) -> DataFrame:
+    """(id, note) of rows with a confidence under the bound; 0 and none mean that there is no verdict."""
+    c = F.col("cuec_confidence")
+    return cuecs.where((c != 0) & (c < below)).select("id", F.lit("low confidence").alias("note"))
+
+
+#: Wording of a description with wording of a test that does not go with it.
+CONTRADICTIONS = [("security policy", "background check")]
+
+
+def logically_consistent(desc: Column, test: Column) -> Column:
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in (desc, test)]
+    bad = F.lit(False)
+    for a, b in CONTRADICTIONS:
+        bad = bad | (F.contains(low[0], F.lit(a)) & F.contains(low[1], F.lit(b)))
+    return ~bad

@@ -84,8 +84,7 @@ def p19(spark, d):
 
 @query("p20_logical_consistency", "select id, not (lower(control_desc) like '%security policy%' and lower(coalesce(control_test, '')) like '%background check%') as consistent from v_controls")
 def p20(spark, d):
-    ok = ~(F.lower("control_desc").contains("security policy") & F.lower(F.coalesce("control_test", F.lit(""))).contains("background check"))
-    return ctl(spark, d).select("id", ok.alias("consistent"))
+    return ctl(spark, d).select("id", C.logically_consistent(F.col("control_desc"), F.col("control_test")).alias("consistent"))
 
 
 RANKED = "select *, trim(control_id) as key, row_number() over (partition by scan_id, trim(control_id) order by coalesce(control_confidence, 0) desc, control_seq, id) as rn from v_controls where trim(control_id) <> ''"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
+from reportlake.operators import controls as C
 from reportlake.operators import jobs as J
 from reportlake.operators import orgs as O  # noqa: N812
 
@@ -154,24 +155,22 @@ def t04(spark, d):
 
 @query("p18_flag_low_confidence", "select id, 'low confidence' as note from v_cuecs where cuec_confidence < 0.5 and cuec_confidence <> 0")
 def p18(spark, d):
-    c = F.col("cuec_confidence")
-    return view(spark, d, "v_cuecs").where(c.isNotNull() & (c != 0) & (c < 0.5)).select("id", F.lit("low confidence").alias("note"))
+    return C.low_confidence_notes(view(spark, d, "v_cuecs"))
 
 
 @query("j06_best_company", "select id, company from (select id, company, row_number() over (partition by id order by company_confidence desc nulls last, company_id desc) as r from v_scans) where r = 1")
 def j06(spark, d):
-    return view(spark, d, "v_scans").groupBy("id").agg(F.max_by("company", F.struct("company_confidence", "company_id")).alias("company"))
+    return J.best_company(view(spark, d, "v_scans"))
 
 
 @query("t05_recent_scans", "select id, scan_date from v_scans order by scan_date desc, id desc limit 500")
 def t05(spark, d):
-    return view(spark, d, "v_scans").orderBy(F.desc("scan_date"), F.desc("id")).limit(max(1, min(500, 900))).select("id", "scan_date")
+    return J.recent_scans(view(spark, d, "v_scans"), 900).select("id", "scan_date")
 
 
 @query("w03_retain_newest", "select company_id, id from (select company_id, id, row_number() over (partition by company_id order by scan_date desc, id desc) as r from v_scans) where r <= 20")
 def w03(spark, d):
-    w = Window.partitionBy("company_id").orderBy(F.desc("scan_date"), F.desc("id"))
-    return view(spark, d, "v_scans").withColumn("r", F.row_number().over(w)).where("r <= 20").select("company_id", "id")
+    return J.retain_newest(view(spark, d, "v_scans")).select("company_id", "id")
 
 
 @query("w13_estimate_duration", """with l as (select report_type, id, elapsed_seconds as e, row_number() over (partition by report_type order by id desc) as r from v_scans),
@@ -179,17 +178,12 @@ k as (select *, avg(e) over (partition by report_type) as m, stddev_pop(e) over
 o as (select report_type, list(e order by r) as xs from k where abs(e - m) <= 2*s group by 1)
 select report_type, round(list_reduce(xs, lambda a, x: 0.7*x + 0.3*a), 1) as estimate from o""")
 def w13(spark, d):
-    last = view(spark, d, "v_scans").withColumn("r", F.row_number().over(Window.partitionBy("report_type").orderBy(F.desc("id")))).where("r <= 10")
-    w = Window.partitionBy("report_type")
-    near = last.withColumn("m", F.avg("elapsed_seconds").over(w)).withColumn("s", F.stddev_pop("elapsed_seconds").over(w)).where("abs(elapsed_seconds - m) <= 2 * s")
-    xs = near.groupBy("report_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "elapsed_seconds"))), lambda x: x["elapsed_seconds"]).alias("xs"))
-    fold = F.aggregate(F.slice("xs", 2, 10), F.get("xs", F.lit(0)), lambda a, x: 0.7 * x + 0.3 * a)
-    return xs.select("report_type", F.round(fold, 1).alias("estimate"))
+    return J.estimate_duration(view(spark, d, "v_scans"))
 
 
 @query("a02_usage_summary", "select model, count(*) as calls, sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens from v_usage group by rollup(model)")
 def a02(spark, d):
-    return view(spark, d, "v_usage").rollup("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+    return J.usage_summary(view(spark, d, "v_usage"))
 
 
 PRICES = [("click", 2.5, 10.0), ("view", 0.15, 0.6), ("purchase", 1.1, 4.4)]
@@ -197,19 +191,17 @@ PRICES = [("click", 2.5, 10.0), ("view", 0.15, 0.6), ("purchase", 1.1, 4.4)]
 
 @query("f42_call_cost", "with p(model, i, o) as (values ('click', 2.5, 10.0), ('view', 0.15, 0.6), ('purchase', 1.1, 4.4)) select call_id, round((prompt_tokens * coalesce(i, 0.15) + completion_tokens * coalesce(o, 0.6)) / 1e6, 9) as cost from v_usage u left join p on p.model = u.model")
 def f42(spark, d):
-    prices = spark.createDataFrame(PRICES, "model string, i double, o double")
-    cost = (F.col("prompt_tokens") * F.coalesce("i", F.lit(0.15)) + F.col("completion_tokens") * F.coalesce("o", F.lit(0.6))) / 1e6
-    return view(spark, d, "v_usage").join(F.broadcast(prices), "model", "left").select("call_id", F.round(cost, 9).alias("cost"))
+    return J.call_cost(view(spark, d, "v_usage"), spark.createDataFrame(PRICES, "model string, i double, o double")).select("call_id", "cost")
 
 
 @query("t08_latest_audit", "select call_id from v_usage where extractor = 'x1' order by ts desc, call_id desc limit 50")
 def t08(spark, d):
-    return view(spark, d, "v_usage").where("extractor = 'x1'").orderBy(F.desc("ts"), F.desc("call_id")).limit(50).select("call_id")
+    return J.latest_audit(view(spark, d, "v_usage"), "x1").select("call_id")
 
 
 @query("a18_queue_stats", "select status, count(*) as n from v_jobs group by 1")
 def a18(spark, d):
-    return view(spark, d, "v_jobs").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return J.queue_stats(view(spark, d, "v_jobs"))
 
 
 @query("w18_queue_position", "select event_id, row_number() over (partition by status order by priority, ts, event_id) as position from v_jobs")
@@ -236,10 +228,7 @@ def r01(spark, d):
 
 @query("w16_last_messages", "select conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn, role, text) as rendered from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as r from conversations) where r <= 20 group by 1")
 def w16(spark, d):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
-    last = spark.read.parquet(f"{d}/conversations.parquet").withColumn("r", F.row_number().over(w)).where("r <= 20")
-    line = lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit("")))
-    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), line), "\n").alias("rendered"))
+    return J.last_messages(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
 @query("f17_calendar_months", "select o_orderkey, (year(timestamp '1998-08-02') - year(o_orderdate)) * 12 + month(timestamp '1998-08-02') - month(o_orderdate) as months from orders")
