@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import most_frequent, text_or_empty, written
 from .lexicon import Lexicon, compile_words
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
@@ -28,7 +28,7 @@ PATTERN = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: Up to here this pattern's character classes are the same in every Unicode version at hand; other texts are cut by
 #: the tokenizers library itself.
 PLAIN = regex.compile(r"[\x00-ԯ]*")
-MEMO = 150_000
+MEMO_BYTES = 24_000_000
 ID_BITS = 24
 NEVER = 1 << 62
 
@@ -125,10 +125,10 @@ def between_added(text: str, added: dict[str, int]) -> Iterator[tuple[str, int |
 
 
 class Memo(dict):
-    """Word to packed ids: recent words (two generations of MEMO each), then the lexicon, then merging."""
+    """Word to packed ids: recent words (two generations of at most MEMO_BYTES each), then the lexicon, then merging."""
 
     def __init__(self, tables: dict, lexicon: Lexicon | None):
-        self.tables, self.lexicon, self.older = tables, lexicon, {}
+        self.tables, self.lexicon, self.older, self.held = tables, lexicon, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
@@ -137,11 +137,12 @@ class Memo(dict):
             found = self.lexicon.get(raw) if self.lexicon else None
             if found is None:
                 found = merged(raw, self.tables)
-        if len(self) >= MEMO:
-            self.older = dict(self)
-            self.clear()
         if len(word) <= 64:
+            if self.held >= MEMO_BYTES:
+                self.older, self.held = dict(self), 0
+                self.clear()
             self[word] = found
+            self.held += 200 + len(word) + len(found)  # a dict entry with a str and a bytes object
         return found
 
 
@@ -158,21 +159,9 @@ def decode_ids(packed: bytes, tokens: list[bytes]) -> str:
     return b"".join([tokens[i] for i in memoryview(packed).cast("I")]).decode("utf-8", "replace")
 
 
-_MEMOS: dict[int, Memo] = {}
-
-
-def _memo(shared: Broadcast) -> Memo:
-    """One memo per Python worker and codec."""
-    key = id(shared.value)
-    if key not in _MEMOS:
-        _MEMOS.clear()
-        tables, lexicon = shared.value
-        _MEMOS[key] = Memo(tables, Lexicon(lexicon) if lexicon else None)
-    return _MEMOS[key]
-
-
-def word_counts(docs: DataFrame, text: str = "text", added: dict[str, int] | None = None, flush: int = 200_000) -> DataFrame:
-    """(word, n) over the whole texts of all documents. Tasks sum up what they hold before anything is shuffled."""
+def word_counts(docs: DataFrame, text: str = "text", added: dict[str, int] | None = None, max_bytes: int = 64, flush: int = 200_000) -> DataFrame:
+    """(word, n) of the words of up to `max_bytes` bytes in the whole texts of all documents. Tasks sum up what they hold
+    before anything is shuffled."""
     added = added or {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,37 +176,49 @@ def word_counts(docs: DataFrame, text: str = "text", added: dict[str, int] | Non
         yield framed(seen)
 
     def framed(seen: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+        short = [w for w in seen if len(w) <= max_bytes]
+        return pd.DataFrame({"word": pd.Series(short, dtype=object), "n": pd.Series([seen[w] for w in short], dtype="int64")})
 
     partial = docs.select(text_or_empty(F.col(text)).alias("t")).mapInPandas(count, "word string, n long")
-    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+    return partial.where(F.octet_length("word") <= max_bytes).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tables: dict, text: str = "text", max_words: int = 50_000, max_bytes: int = 64) -> bytes:
-    """The compiled lexicon of the `max_words` most frequent words of up to `max_bytes` bytes (bounds of what reaches
-    the driver and is broadcast)."""
-    top = word_counts(docs, text, tables["added"]).where(F.octet_length("word") <= max_bytes).orderBy(F.desc("n"), "word").limit(max_words)
-    return compile_words([(w, merged(w, tables)) for w in (r["word"].encode() for r in top.select("word").collect())])
+    """The compiled lexicon of about `max_words` frequent words of up to `max_bytes` bytes (bounds of what reaches the driver
+    and is broadcast)."""
+    counts = written(word_counts(docs, text, tables["added"], max_bytes), "words")
+    return compile_words([(w, merged(w, tables)) for w in (r["word"].encode() for r in most_frequent(counts, "word", max_words).select("word").collect())])
 
 
 def codec(spark: SparkSession, tables: dict, lexicon: bytes | None) -> Broadcast:
     return spark.sparkContext.broadcast((tables, lexicon))
 
 
+def _coded(shared: Broadcast, texts: Iterator[pd.Series], each) -> Iterator:
+    """Batches through each(memo, batch); a worker keeps no memo once its task is over."""
+    tables, lexicon = shared.value
+    memo = Memo(tables, Lexicon(lexicon) if lexicon else None)
+    try:
+        for batch in texts:
+            yield each(memo, batch)
+    finally:
+        memo.clear()
+        memo.older = {}
+
+
 def encode(docs: DataFrame, shared: Broadcast, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with the packed ids of `text` (null: empty). Other columns stay; `out` is replaced if it exists."""
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = _memo(shared)
-        for texts in batches:
-            yield pd.Series([encode_text(t, memo) for t in texts], dtype=object)
+        yield from _coded(shared, batches, lambda memo, texts: pd.Series([encode_text(t, memo) for t in texts], dtype=object))
 
     return docs.withColumn(out, packed(text_or_empty(F.col(text))))
 
 
 def decode(docs: DataFrame, shared: Broadcast, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with the text of packed ids, special tokens included; null ids give the empty text."""
+    """docs with the text of packed ids, special tokens included; null ids give the empty text. `out` is replaced if it
+    exists."""
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -229,7 +230,22 @@ def decode(docs: DataFrame, shared: Broadcast, ids: str = "ids", out: str = "dec
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
-    """doc_id, ids and decoded text of every document."""
+    """docs with `ids` (packed) and `decoded`, read back from the ids, of every row; columns of these names are replaced.
+
+    Null texts count as empty: no ids and an empty text. Repeated rows are each coded; an empty table stays empty. One
+    Python pass does both, so that texts and ids travel once.
+    """
     spark, tables = docs.sparkSession, load_tables(tokenizer or default_tokenizer())
     shared = codec(spark, tables, build_lexicon(docs, tables, text))
-    return decode(encode(docs, shared, text), shared)
+
+    def both(memo: Memo, texts: pd.Series) -> pd.DataFrame:
+        ids = [encode_text(t, memo) for t in texts]
+        tokens = memo.tables["tokens"]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decode_ids(b, tokens) for b in ids], dtype=object)})
+
+    @F.pandas_udf("ids binary, decoded string")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _coded(shared, batches, both)
+
+    out = docs.drop("ids", "decoded", "_coded").withColumn("_coded", coded(text_or_empty(F.col(text))))
+    return out.select(*[c for c in out.columns if c != "_coded"], "_coded.ids", "_coded.decoded")

@@ -53,18 +53,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+def most_frequent(counts: DataFrame, key: str, limit: int) -> DataFrame:
     """The rows of counts (with n > 0) in the highest frequency bands, sixteen to a doubling, that together hold at most
-    `limit` rows.
+    `limit` rows, and of the band that does not fit whole about as many as do, by a hash of `key`.
 
-    Bands are taken whole, so no row competes with one of equal count. Only the bands' sizes reach the driver, and whoever
-    collects the rows gets about `limit`, however large the table and however many its partitions are.
+    Only the bands' sizes reach the driver, and whoever collects the rows gets about `limit`, however large the table and
+    however many its partitions are.
     """
     band = F.floor(F.log2("n") * 16).cast("int")
     sizes = sorted(((r["band"], r["size"]) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
-    held, lowest = 0, None
+    held, chosen = 0, F.lit(False)
     for at, size in sizes:
         if held + size > limit:
-            break
-        held, lowest = held + size, at
-    return counts.where(F.lit(False) if lowest is None else band >= lowest)
+            share = int(0.9 * (limit - held) / size * (1 << 31))
+            return counts.where(chosen | ((band == at) & (F.pmod(F.xxhash64(key), F.lit(1 << 31)) < share)))
+        held, chosen = held + size, band >= at
+    return counts

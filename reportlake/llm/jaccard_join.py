@@ -89,7 +89,7 @@ def classified(docs: DataFrame, naming: Naming) -> tuple[DataFrame, DataFrame, N
     hashes of unlike sets filled in: a handful among billions of sets). docs: doc_id, key, text.
 
     Tasks count shingles batch by batch and pass on those found twice or more and in a five-hundredth of the batch;
-    the most frequent after summing, at most HEAVY_LIMIT, are the heavy ones. That bounds what is broadcast.
+    the most frequent after summing, about HEAVY_LIMIT at most, are the heavy ones. That bounds what is broadcast.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +110,7 @@ def classified(docs: DataFrame, naming: Naming) -> tuple[DataFrame, DataFrame, N
     rows = rows.withColumn("cls", F.when(F.col("cls").isin(*naming.shared), F.col("cls2")).otherwise(F.col("cls")) if naming.shared else F.col("cls")).drop("cls2")
     total = rows.count()
     heavy = both.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // 2000))
-    return rows, most_frequent(heavy, HEAVY_LIMIT).select("cls"), naming
+    return rows, most_frequent(heavy, "cls", HEAVY_LIMIT).select("cls"), naming
 
 
 def prefix_length(n: int, percent: int) -> int:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportlake.llm import bpe, jaccard_join, mixing, nn_descent, substring_dedup, surrogates
+from reportlake.llm.common import most_frequent
 from reportlake.llm.components import components
 from reportlake.llm.lexicon import Lexicon, compile_words
 
@@ -86,6 +87,9 @@ def test_jaccard_components_by_brute_force(spark, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
     assert got == {d: (len(s), name[d]) for d, s in sets.items()}
     assert jaccard_join.jaccard_components(none).count() == 0
+    # sets that share the first hash are told apart by the second
+    few = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_rows(df, bits=6).collect()}
+    assert few == got
 
 
 def test_jaccard_odd_rows(docs):
@@ -139,6 +143,42 @@ def test_neighbours_recall_and_ties(spark):
     assert nn_descent.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_the_given_table(spark):
+    """Recall at 5 of the query over a whole table, against brute force in double precision."""
+    from reportlake.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r["embedding"] is not None}
+    rows = {k: v for k, v in rows.items() if np.isfinite(v).all() and v.any()}
+    ids = np.array(sorted(rows))
+    unit = np.stack([rows[k] / np.linalg.norm(rows[k]) for k in ids])
+    got = {}
+    for r in queries.op7_nn_descent(spark, sf).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = total = 0
+    for q in ids[ids % 50 == 0]:
+        s = unit @ unit[np.searchsorted(ids, q)]
+        s[ids == q] = -9
+        order = np.lexsort((ids, -np.round(s, 12)))[:5]
+        hit, total = hit + len(set(ids[order].tolist()) & {x[1] for x in got[q]}), total + 5
+        assert all(abs(score - s[np.searchsorted(ids, v)]) < 1e-9 for _, v, score in got[q])
+    assert set(got) == set(ids[ids % 50 == 0].tolist()) and hit / total >= 0.9
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((60, 8))
+    scale = [1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1.0 for i in range(60)]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i] * scale[i]]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nn_descent.nearest(df, F.col("vec_id") % 10 == 0).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 60, 10):
+        s = unit @ unit[q]
+        s[q] = -9
+        best = int(np.argmax(s))
+        assert got[(q, 1)][0] == best and abs(got[(q, 1)][1] - s[best]) < 1e-9
+
+
 def luhn_ok(digits):
     each = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(x - 9 if x > 9 else x for x in each) % 10 == 0
@@ -188,14 +228,13 @@ def test_surrogates_stay_distinct_whatever_their_number(spark):
     letters = [F.substring(F.lit("abcdefghijklmnopqrst"), (F.floor(F.col("id") / 20**k) % 20).cast("int") + 1, F.lit(1)) for k in range(4)]
     family = spark.range(8_000).select(F.concat(F.lit("Mr. John X"), *letters, F.lit(" met Mr. X"), *letters).alias("text"))
     short = spark.range(1000).select(F.concat(F.lit("(555) 555-0"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("text"))
-    out = surrogates.surrogate_text(address, "k")
-    assert out.select("text").distinct().count() == 60_000 and out.where("text not like '192.168.%'").isEmpty()
-    out = surrogates.surrogate_text(family, "k")
-    pair = out.select(F.element_at(F.split("text", " "), -1).alias("last"), F.get(F.split("text", " "), F.lit(2)).alias("first"))
-    assert out.select("text").distinct().count() == 8_000 and pair.where("first <> last").isEmpty()
-    assert surrogates.surrogate_text(short, "k").select("text").distinct().count() == 1000
-    every = address.unionByName(family).unionByName(short)
-    assert surrogates.collisions(every, "k").isEmpty()
+    texts = lambda df: [r["text"] for r in surrogates.surrogate_text(df, "k").select("text").collect()]
+    out = texts(address)
+    assert len(set(out)) == 60_000 and all(t.startswith("192.168.") for t in out)
+    out = texts(family)
+    assert len(set(out)) == 8_000 and all(t.split()[2] == t.split()[-1] for t in out)
+    assert len(set(texts(short))) == 1000
+    assert surrogates.collisions(family.unionByName(short), "k").isEmpty()
 
 
 def test_mixing_budgets(spark, docs, none):
@@ -207,6 +246,8 @@ def test_mixing_budgets(spark, docs, none):
     assert out.select("doc_id").distinct().count() == 501
     again = mixing.mix(df, entropy_share=1.0, max_repeats=2.5)
     assert out.exceptAll(again).isEmpty()
+    clash = mixing.mix(df.withColumn("epochs", F.lit(9)).withColumn("cut_key", F.lit("x")).withColumn("rest", F.lit(0)), entropy_share=1.0, max_repeats=2.5)
+    assert clash.count() == out.count() and {"epochs", "cut_key", "rest"} <= set(clash.columns)
     last = out.where("source = 'small' and _epoch = 2").select("doc_id").collect()
     key = lambda d: hashlib.md5(f"0|2|{d}".encode()).hexdigest()
     assert sorted(r["doc_id"] for r in last) == sorted(sorted(range(1000, 1100), key=key)[:50])
@@ -237,6 +278,13 @@ def test_bpe_equals_the_library(docs, none):
     assert bpe.bpe_round_trip(none).count() == 0
 
 
+def test_frequent_rows_fit_the_limit(spark):
+    counts = spark.range(5000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"), F.when(F.col("id") < 10, 1000 + F.col("id")).otherwise(7).alias("n"))
+    got = {r["word"] for r in most_frequent(counts, "word", 1000).collect()}
+    assert {f"w{i}" for i in range(10)} <= got and 700 < len(got) <= 1000
+    assert most_frequent(counts, "word", 5000).count() == 5000 and most_frequent(counts.limit(0), "word", 5).count() == 0
+
+
 def test_lexicon_holds_exactly_its_words():
     rng = random.Random(4)
     entries = {bytes(rng.choices(b"abcd", k=rng.randrange(1, 9))): rng.randbytes(4 * rng.randrange(1, 4)) for _ in range(800)}
@@ -270,6 +318,17 @@ def test_pipeline_by_brute_force(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(masked[r["doc_id"]] or "", add_special_tokens=False).ids
 
 
+def test_stages_take_odd_and_empty_tables(spark, docs, none):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    want = {"quality_classifier": 10, "jaccard_join": 8, "pii_surrogates": 10}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert name == "bpe" or out.columns == pipeline.COLUMNS
+        n = out.count()
+        assert n <= want.get(name, 99) and (name not in ("jaccard_join", "pii_surrogates") or n == want[name]) and n > 0
+        assert stage(spark, none, "/root/testdata/sf0.001").count() == 0
+
+
 def test_near_copies_stage_by_rows(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     long = [f"w{i}" for i in range(98)]
