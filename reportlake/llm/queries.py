@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, jaccard_join, license_scan, mixing, nn_descent, quality_rules, reply_trees, substring_dedup, surrogates
+from . import bpe, classifier, collocations, jaccard_join, license_scan, mixing, nn_descent, positional_index, quality_rules, reply_trees, substring_dedup, surrogates, whitening
 from .common import table
 
 QUERIES: dict = {}
@@ -185,3 +185,74 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_jaccard_join"] = op8_jaccard_join
+
+
+def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WIDE_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+QUERIES["op11_positional_index"] = op11_positional_index
+ORACLES["op11_positional_index"] = rf"""
+with i as (select item_id, {_WIDE_WORDS} as w from benchmark),
+g as (
+  select distinct item_id, least(len(w), 10) as k, array_to_string(w[s:s+9], ' ') as gram
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from i where len(w) > 0)),
+d as (select doc_id, {_WIDE_WORDS} as w from documents),
+p as (
+  select doc_id, s, k, array_to_string(w[s:s+k-1], ' ') as gram
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from d, (select distinct k from g))),
+m as (select doc_id, s, p.k, item_id from p join g on p.k = g.k and p.gram = g.gram),
+h as (select doc_id, count(distinct pos) as n from (select doc_id, unnest(range(s, s + k)) as pos from m) group by 1),
+o as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from m) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(o.n, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from d left join h using (doc_id) left join o using (doc_id)
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+QUERIES["op12_whitening"] = op12_whitening
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES["op13_collocations"] = op13_collocations
+ORACLES["op13_collocations"] = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang, row_number() over () as r, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps
+  from documents),
+pieces as (select lang, r, unnest(ps) as piece, generate_subscripts(ps, 1) as piece_no from texts),
+w as (select lang, r, unnest(list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '')) as w1, generate_subscripts(list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> ''), 1) as i, piece_no from pieces),
+x as (select *, lead(w1) over p as w2, lead(w1, 2) over p as w3 from w window p as (partition by r, piece_no order by i)),
+g as (
+  select lang, 1 as k, w1 as phrase, [w1] as ws from x
+  union all select lang, 2, w1 || ' ' || w2, [w1, w2] from x where w2 is not null
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, [w1, w2, w3] from x where w3 is not null),
+f as (select lang, k, phrase, any_value(ws) as ws, count(*)::hugeint as a from g group by 1, 2, 3),
+t as (select lang, sum(a) as n from f where k = 1 group by 1),
+c as (select * from f where k > 1 and a >= 10),
+halves as (
+  select lang, phrase, k, a, 1 as cut, ws[1] as lp, array_to_string(ws[2:k], ' ') as rp from c
+  union all select lang, phrase, k, a, 2, array_to_string(ws[1:2], ' '), ws[3] from c where k = 3),
+cut as (
+  select h.lang, h.phrase, h.k, h.a, h.cut, l.a as l, r.a as r, (1000000::hugeint * h.a * h.a) // (l.a * r.a) as score
+  from halves h join f l on l.lang = h.lang and l.phrase = h.lp join f r on r.lang = h.lang and r.phrase = h.rp),
+low as (select * from cut qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_ as (
+  select lang, phrase, max(a) as a from (
+    select lang, array_to_string(ws[1:2], ' ') as phrase, a from c where k = 3
+    union all select lang, array_to_string(ws[2:3], ' '), a from c where k = 3) group by 1, 2),
+kept as (select low.* from low left join inner_ i on i.lang = low.lang and i.phrase = low.phrase and low.k = 2 where i.a is null or 100 * i.a < 50 * low.a),
+top as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept qualify rank <= 2000)
+select top.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from top join t on t.lang = top.lang
+"""
