@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,13 @@ from .common import most_frequent, text_or_empty, written
 from .positional_index import lowered
 
 LEAST, TOP, SUBSUMED_PERCENT = 10, 2000, 50
-HEAD_WORDS, HEAD_PAIRS = 1 << 17, 1 << 20
+HEAD_WORDS, HEAD_PAIRS = 1 << 17, 1 << 19
 #: Bits of a word id in a code; the head is a little smaller than they allow.
 BITS = 18
 SIDE, GRID, DENSE = 9, 16, 1 << 14
-BUFFER = 1 << 22
+BUFFER = 1 << 21
+#: Bytes of word ids that a task spreads out at a time.
+SLICE = 1 << 20
 #: Size of the bit table in bits, a prime.
 SLOTS = 67_108_859
 SALTS = 64
@@ -70,10 +73,11 @@ def counted_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Counter:
-    """Collects codes and phrases of a task and gives them as rows, counted whenever the buffer is full."""
+    """Collects codes and phrases of a task and gives them as rows, counted whenever the buffer is full. `first` says what
+    the first halves of the codes stand for, if not for themselves."""
 
-    def __init__(self):
-        self.codes, self.held = [], 0
+    def __init__(self, first: np.ndarray | None = None):
+        self.codes, self.held, self.first = [], 0, first
 
     def rows(self, codes: np.ndarray, langs: list[str], phrases: list[bytes], last: bool = False) -> Iterator[pa.RecordBatch]:
         if len(codes):
@@ -82,6 +86,8 @@ class Counter:
         if self.held and (last or self.held >= BUFFER):
             found, n = counted_codes(np.concatenate(self.codes))
             self.codes, self.held = [], 0
+            if self.first is not None:
+                found = self.first[found >> BITS] << BITS | found & ((1 << BITS) - 1)
             for k in range(0, len(found), 1 << 16):
                 m = len(found[k : k + (1 << 16)])
                 yield self._batch(pa.array(found[k : k + m], pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.array(n[k : k + m], pa.int64()))
@@ -157,6 +163,18 @@ def encoded(docs: DataFrame, ids: dict[str, dict[bytes, int]], table: np.ndarray
     return written(docs.mapInArrow(run, "lang string, ids binary, tails binary"), "coded-texts")
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about SLICE bytes of ids (a single text may have more), so that memory is bounded."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("ids")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 class Tokens:
     """The words of a batch of coded texts in a row: ids, and what it takes to spell one out."""
 
@@ -182,7 +200,7 @@ def pair_counts(coded: DataFrame, spelling: list[bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             t = Tokens(b, shared.value)
             i, j = t.ids[:-1].astype(np.int64), t.ids[1:].astype(np.int64)
             ranked = (i >= 0) & (j >= 0)
@@ -195,14 +213,15 @@ def pair_counts(coded: DataFrame, spelling: list[bytes]) -> DataFrame:
 
 def triple_counts(coded: DataFrame, spelling: list[bytes], pairs: np.ndarray, table: np.ndarray) -> DataFrame:
     """(code, lang, phrase, n) of triples both of whose pairs may be frequent. pairs: codes of ranked pairs, by rank; a triple
-    of a ranked pair and a ranked word goes by their ids."""
-    order = np.argsort(pairs)
-    shared = coded.sparkSession.sparkContext.broadcast((spelling, pairs[order], order.astype(np.int64), table))
+    of a ranked pair and a ranked word is counted by rank and id, and named by the pair's code and the id."""
+    shared = coded.sparkSession.sparkContext.broadcast((spelling, pairs, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, codes, rank, bits = shared.value
-        counter = Counter()
-        for b in batches:
+        words, by_rank, bits = shared.value
+        rank = np.argsort(by_rank)
+        codes = by_rank[rank]
+        counter = Counter(by_rank)
+        for b in slices(batches):
             t = Tokens(b, words)
             i, j = t.ids[:-1].astype(np.int64), t.ids[1:].astype(np.int64)
             both = (i >= 0) & (j >= 0)
@@ -262,11 +281,11 @@ def collocations(docs: DataFrame, top: int = TOP, head_words: int = HEAD_WORDS,
     coded = encoded(docs, ids, bit_table(beyond.select(slot_column(F.col("lang"), F.col("word")).alias("slot"))))
 
     pairs = written(pair_counts(coded, spelling), "pair-counts")
-    best = most_frequent(pairs.where("code is not null"), "code", head_pairs).select("code", "n").toPandas()
-    best = best.sort_values(["n", "code"], ascending=[False, True], ignore_index=True)
-    ranked = written(spark.createDataFrame(best.assign(rank=range(len(best)))[["rank", "code"]], "rank long, code long"), "ranked-pairs")
-    beyond = pairs.join(ranked.select("code"), "code", "left_anti").select(F.coalesce(F.pmod("code", F.lit(SLOTS)), slot_column(F.col("lang"), F.col("phrase"))).alias("slot"))
-    triples = written(triple_counts(coded, spelling, best["code"].to_numpy(np.int64), bit_table(beyond)), "triple-counts")
+    ranked = most_frequent(pairs.where("code is not null"), "code", head_pairs)
+    best = ranked.select("code", "n").toPandas().sort_values(["n", "code"], ascending=[False, True])["code"].to_numpy(np.int64)
+    beyond = pairs.join(ranked.select("code"), "code", "left_anti")
+    table = bit_table(beyond.select(F.coalesce(F.pmod("code", F.lit(SLOTS)), slot_column(F.col("lang"), F.col("phrase"))).alias("slot")))
+    triples = written(triple_counts(coded, spelling, best, table), "triple-counts")
 
     def spelled(df: DataFrame, columns: list[str]) -> DataFrame:
         for k, c in enumerate(columns):
@@ -278,8 +297,8 @@ def collocations(docs: DataFrame, top: int = TOP, head_words: int = HEAD_WORDS,
     part = lambda k: F.get(F.split("phrase", " "), F.lit(k)).alias(f"w{k + 1}")
     two = spelled(pairs.where("code is not null").select(*halves, F.col("n").alias("a")), ["i", "j"]).select("lang", "w1", "w2", "a")
     two = written(two.unionByName(pairs.where("code is null").select("lang", part(0), part(1), F.col("n").alias("a"))), "pairs")
-    coded3 = triples.where("code is not null").select(F.shiftright("code", BITS).alias("rank"), F.col("code").bitwiseAND(low).alias("k"), F.col("n").alias("a"))
-    three = spelled(coded3.join(ranked, "rank").select(*halves, "k", "a"), ["i", "j", "k"]).select("lang", "w1", "w2", "w3", "a")
+    coded3 = triples.where("code is not null").select(F.shiftright("code", BITS).alias("code"), F.col("code").bitwiseAND(low).alias("k"), F.col("n").alias("a"))
+    three = spelled(coded3.select(*halves, "k", "a"), ["i", "j", "k"]).select("lang", "w1", "w2", "w3", "a")
     three = written(three.unionByName(triples.where("code is null").select("lang", part(0), part(1), part(2), F.col("n").alias("a"))), "triples")
 
     one = lambda w, n: words.select("lang", F.col("word").alias(w), F.col("n").alias(n))
