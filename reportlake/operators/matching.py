@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reportlake.functions import text as T
 from reportlake.functions.similarity import alike, indel_ratio, seq_ratio
 
-from . import contents
+from . import contents, linking
 
 #: Texts of one side that are compared in one go.
 PACK = 512
@@ -44,7 +44,7 @@ def fuzzy_upsert(extracted: DataFrame, existing: DataFrame, least: float = 0.80,
     """Existing rows with raised confidence where an extracted text of the report matches, and unmatched ones as new
     rows. Both: scan_id, text, confidence; existing has id too. Each text is matched within its whole report."""
     old = existing.where("text is not null").groupBy("scan_id", F.col("text").alias("matched")).agg(F.min("id").alias("id"))
-    pairs = alike_pairs(extracted, old, "scan_id", least).join(old, ["scan_id", "matched"])
+    pairs = linking.alike_pairs(extracted, old, "scan_id", least).join(old, ["scan_id", "matched"])
     best = pairs.groupBy("scan_id", "text").agg(F.max_by("id", F.struct("sim", -F.col("id"))).alias("id"))
     hit = best.select("id").distinct().withColumn("hit", F.lit(True))
     updated = existing.join(hit, "id", "left").withColumn("confidence", F.when(F.col("hit"), F.least(F.lit(1.0), F.col("confidence") + boost)).otherwise(F.col("confidence"))).withColumn("action", F.when(F.col("hit"), "updated").otherwise("kept")).drop("hit")
@@ -62,6 +62,99 @@ def rescue_bad_chunks(bad: DataFrame, good: DataFrame, least: float = 0.7) -> Da
     return out.withColumn("kind", F.when(F.col("sim") == 1.0, "exact").when(F.col("sim").isNotNull(), "fuzzy").otherwise("unmatched"))
 
 
+#: Wordings of a user entity's duty, and wordings of a system description that is none.
+DUTY_SIGNS = ["responsible for", "must ", "shall ", "should ", "ensure", "required to", "user entity", "client ", "customer ", "organization should", "user organization"]
+SYSTEM_SIGNS = ["configuration management", "chef –", "utilized to provision", "core capabilities", "the system", "internal audit function", "is assigned the responsibility", "maintained historically"]
+SPACE = " \t\n\r\x0b\x0c"
+
+
+def best_windows(bad: DataFrame, lines: DataFrame, least: float, joined: int = 3) -> DataFrame:
+    """(doc_id, text, matched, sim) of the best run of 1 to `joined` lines for each text: over `least`, ties to the earlier
+    and then the shorter run. bad: doc_id, text. lines: doc_id, line_no, line. A document's lines go in packs of PACK with the
+    few lines that runs reach into; runs are only put together where they are compared."""
+    texts = bad.where(F.btrim("text", F.lit(SPACE)) != "").select("doc_id", "text").distinct()
+    sizes = texts.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
+    left = texts.join(sizes, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("text"), "packs").alias("left_no")).agg(F.collect_list("text").alias("ls"))
+    pack = F.floor(F.col("line_no") / PACK)
+    # a line is also the tail of the pack before it
+    packs = F.when(F.col("line_no") % PACK < joined - 1, F.array(pack, pack - 1)).otherwise(F.array(pack))
+    right = lines.where("line is not null").join(sizes.select("doc_id"), "doc_id", "left_semi").select("doc_id", "line_no", "line", F.explode(packs).alias("pack"))
+    right = right.groupBy("doc_id", "pack").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, no, ls, rs in zip(b["doc_id"], b["pack"], b["ls"], b["rs"], strict=True):
+                own = [(r["line_no"], r["line"].strip()) for r in rs]
+                at = []
+                for i, (line_no, _) in enumerate(own):
+                    if line_no // PACK == no:
+                        for n in range(1, joined + 1):
+                            # a run ends at a gap in the numbers
+                            if i + n <= len(own) and own[i + n - 1][0] == line_no + n - 1:
+                                text = " ".join(t for _, t in own[i : i + n]).replace("\n", " ").strip()
+                                if text:
+                                    at.append((line_no, n, text))
+                plain = [x.strip().replace("\n", " ") for x in ls]
+                best: dict[int, tuple] = {}
+                for i, j, sim in alike(plain, [t for _, _, t in at], least):
+                    line_no, n, text = at[j]
+                    exact = plain[i] == text
+                    best[i] = max(best.get(i, ()), (exact, sim, -line_no, -n, text))
+                rows = [(doc, ls[i], *x) for i, x in best.items() if x[1] > least]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "text", "exact", "sim", "before", "fewer", "matched"])
+
+    kind = bad.schema["doc_id"].dataType.simpleString()
+    met = left.join(right, "doc_id").repartition("doc_id", "left_no", "pack").select("doc_id", "pack", "ls", "rs")
+    found = met.mapInPandas(run, f"doc_id {kind}, text string, exact boolean, sim double, before long, fewer long, matched string")
+    best = found.groupBy("doc_id", "text").agg(F.max(F.struct("exact", "sim", "before", "fewer", "matched")).alias("b"))
+    return best.select("doc_id", "text", "b.matched", "b.sim", "b.exact")
+
+
+def rescue_report(bad: DataFrame, good: DataFrame, lines: DataFrame, least: float = 0.7) -> DataFrame:
+    """(doc_id, text, rescue_type, matched, confidence_pct, score) of each distinct failed text of a document: equal to a good
+    one (exact), else like one (fuzzy), else found in one to three lines of the source (output_txt_exact, output_txt_fuzzy),
+    else unmatched. bad, good: doc_id, text; lines: doc_id, line_no, line.
+
+    A match has a ratio over `least`; equal scores go to the greater good text, or the earlier and shorter run of lines. Space
+    around a text does not count; blank and null texts and rows without a document are unmatched.
+    """
+    bare = lambda c: F.btrim(c, F.lit(SPACE))
+    b = bad.select("doc_id", "text").distinct()
+    g = good.where(bare(F.col("text")) != "").select("doc_id", F.col("text").alias("matched")).distinct()
+    equal = b.withColumn("k", bare(F.col("text"))).join(g.withColumn("k", bare(F.col("matched"))), ["doc_id", "k"])
+    equal = equal.groupBy("doc_id", "text").agg(F.max("matched").alias("matched")).select("doc_id", "text", "matched", F.lit(1.0).alias("score"), F.lit("exact").alias("rescue_type"))
+    equal = linking.written(equal, "rescued-equal")
+    rest = b.join(equal, ["doc_id", "text"], "left_anti")
+    sims = alike_pairs(rest, g, "doc_id", least).where(F.col("sim") > least)
+    near = sims.groupBy("doc_id", "text").agg(F.max(F.struct("sim", "matched")).alias("m")).select("doc_id", "text", "m.matched", F.col("m.sim").alias("score"), F.lit("fuzzy").alias("rescue_type"))
+    near = linking.written(near, "rescued-near")
+    rest = rest.join(near, ["doc_id", "text"], "left_anti")
+    kind = F.when(F.col("exact"), "output_txt_exact").otherwise("output_txt_fuzzy")
+    source = best_windows(rest, lines, least).select("doc_id", "text", "matched", F.col("sim").alias("score"), kind.alias("rescue_type"))
+    found = equal.unionByName(near).unionByName(source)
+    out = b.join(found, ["doc_id", "text"], "left")
+    return out.select("doc_id", "text", F.coalesce("rescue_type", F.lit("unmatched")).alias("rescue_type"), "matched", F.bround(F.col("score") * 100).cast("int").alias("confidence_pct"), "score")
+
+
+def recovered_rows(report: DataFrame, good: DataFrame, least: float = 0.95, cap: float = 0.7) -> DataFrame:
+    """(doc_id, cuec_description, cuec_source, cuec_confidence, justification) of texts found in the source that read like a
+    whole duty of the user entity and are not among the good ones yet; each once per document."""
+    said = F.lower("matched")
+    any_of = lambda signs: F.greatest(*[F.contains(said, F.lit(s)) for s in signs])
+    whole = (F.length("matched") >= 50) & (F.rtrim("matched").rlike(r"[.;]$") | (F.length("matched") >= 100))
+    real = report.where(F.col("rescue_type").startswith("output_txt") & (F.col("score") >= least) & any_of(DUTY_SIGNS) & whole & ~any_of(SYSTEM_SIGNS))
+    one = real.groupBy("doc_id", F.col("matched").alias("cuec_description")).agg(F.max("score").alias("score"))
+    known = good.select("doc_id", F.btrim("text", F.lit(SPACE)).alias("cuec_description"))
+    fresh = one.join(known, ["doc_id", "cuec_description"], "left_anti")
+    value = min(cap, 0.3 + 0.2 + 0.1)
+    notes = F.array(
+        F.format_string("Recovered from output.txt with %.1f%% fuzzy match", F.col("score") * 100), F.lit(f"Base confidence: {value:.1f} (capped at {cap} for manual review)"),
+        F.lit("+0.2: Contains CUEC responsibility indicators"), F.lit("+0.1: Complete sentence structure"),
+    )
+    return fresh.select("doc_id", "cuec_description", F.lit("recovered_from_output_txt").alias("cuec_source"), F.lit(round(value, 3)).alias("cuec_confidence"), notes.alias("justification"))
+
+
 #: Lengths of two keys whose indel ratio exceeds 85 differ by less than this factor.
 LENGTH_BAND = 1.36
 
@@ -130,28 +223,25 @@ def normal_wording(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", " "))
 
 
-def consolidate_cuecs(cuecs: DataFrame, least: float | None = None, rounds: int = 5) -> DataFrame:
+def consolidate_cuecs(cuecs: DataFrame, least: float | None = None) -> DataFrame:
     """(id, scan_id, group_id, n): groups of equal normalised wording per report, named by their smallest id, with their
-    size. With `least`, groups whose wordings are at least that alike are merged too; names then spread along the links for
-    at most `rounds` rounds. Only distinct wordings of a report are compared."""
-    key = normal_wording(F.col("cuec_description"))
+    size. With `least`, groups that are linked by wordings at least that alike, over any number of links, are one group.
+    Blank wordings of a report are one group and linked to nothing; rows without a report are one group per wording."""
+    key = normal_wording(F.coalesce("cuec_description", F.lit("")))
     w = Window.partitionBy("scan_id", key)
     same = cuecs.select("id", "scan_id", F.min("id").over(w).alias("group_id"), F.count(F.lit(1)).over(w).alias("n"))
     if least is None:
         return same
-    heads = cuecs.groupBy("scan_id", key.alias("text")).agg(F.min("id").alias("group_id")).where("text <> ''")
-    pairs = alike_pairs(heads.select("scan_id", "text"), heads.select("scan_id", F.col("text").alias("matched")), "scan_id", least).where("text <> matched")
+    heads = linking.written(cuecs.where("scan_id is not null").groupBy("scan_id", key.alias("text")).agg(F.min("id").alias("group_id")).where("text <> ''"), "wordings")
+    pairs = linking.alike_pairs(heads.select("scan_id", "text"), heads.select("scan_id", F.col("text").alias("matched")), "scan_id", least).where("text < matched")
     a = heads.select("scan_id", "text", F.col("group_id").alias("a"))
     b = heads.select("scan_id", F.col("text").alias("matched"), F.col("group_id").alias("b"))
-    links = pairs.join(a, ["scan_id", "text"]).join(b, ["scan_id", "matched"]).select("a", "b")
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    links = links.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else links
-    label = links.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("name"))
-    for _ in range(rounds - 1):
-        near = links.join(label.select(F.col("node").alias("b"), "name"), "b").groupBy(F.col("a").alias("node")).agg(F.min("name").alias("near"))
-        label = label.join(near, "node").select("node", F.least("name", "near").alias("name"))
-    merged = same.drop("n").join(label.select(F.col("node").alias("group_id"), "name"), "group_id", "left").select("id", "scan_id", F.coalesce("name", "group_id").alias("group_id"))
-    return merged.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("scan_id", "group_id")))
+    label = linking.linked_groups(pairs.join(a, ["scan_id", "text"]).join(b, ["scan_id", "matched"]).select("a", "b"))
+    merged = same.join(label.select(F.col("node").alias("group_id"), "name"), "group_id", "left").select("id", "scan_id", F.coalesce("name", "group_id").alias("group_id"), "n")
+    sizes = merged.groupBy("scan_id", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    # counted rather than windowed: a group may hold most rows of a report
+    both = merged.drop("n").withColumnRenamed("scan_id", "s").withColumnRenamed("group_id", "g")
+    return both.join(sizes, both["s"].eqNullSafe(sizes["scan_id"]) & (both["g"] == sizes["group_id"])).select("id", "scan_id", "group_id", "n")
 
 
 def parse_model_json(s: Column, schema: str) -> Column:

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import control_plans, heading_plans, mapping_plans, more_plans, org_plans, score_plans, source_plans, text_plans  # noqa: E402, F401
+from . import control_plans, heading_plans, mapping_plans, more_plans, org_plans, score_plans, source_plans, stream_plans, text_plans  # noqa: E402, F401

@@ -83,6 +83,31 @@ def j13(spark, d):
     return X.rescue_bad_chunks(lines.where("xxhash64(text) % 20 = 0"), lines.where("xxhash64(text) % 20 <> 0"))
 
 
+def failed_cuecs(spark, d):
+    """Failed wordings of each report, of all kinds of luck: as a good one, a letter off, over two lines of the source, known to
+    the source alone, or nowhere."""
+    c = view(spark, d, "v_cuecs").select("scan_id", "id", "cuec_description")
+    own = F.concat("cuec_description", F.lit(" and user entities should review the access of user "), F.col("id").cast("string"), F.lit("."))
+    k = F.col("id") % 6
+    lines = c.select(F.col("scan_id").alias("doc_id"), F.row_number().over(Window.partitionBy("scan_id").orderBy("id")).cast("long").alias("line_no"), own.alias("line"))
+    after = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    good = c.where(k == 0).select(F.col("scan_id").alias("doc_id"), F.col("cuec_description").alias("text"))
+    bad = c.select(F.col("scan_id").alias("doc_id"), F.when(k == 0, F.concat(F.lit(" "), "cuec_description")).when(k == 1, F.concat(F.substring("cuec_description", 3, 999), F.lit("?"))).when(k == 2, own).when(k == 3, F.upper(own)).otherwise(F.md5("cuec_description")).alias("text"))
+    two = lines.withColumn("text", F.concat_ws(" ", "line", after)).where("line_no % 11 = 0").select("doc_id", "text")
+    return bad.unionByName(two), good, lines
+
+
+@query("j13_rescue_report")
+def j13b(spark, d):
+    return X.rescue_report(*failed_cuecs(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query("j13_recovered_rows")
+def j13c(spark, d):
+    bad, good, lines = failed_cuecs(spark, d)
+    return X.recovered_rows(X.rescue_report(bad, good, lines), good).withColumn("justification", F.array_join("justification", "|"))
+
+
 @query("f27_match_heading")
 def f27(spark, d):
     """Headings made of every line: as it is, with the line after it, or with a letter lost."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.operators.controls import fold_patterns, learn_patterns
+from reportlake.operators.jobs import OTHER_PRICES
 
 WATERMARK = "10 minutes"
 
@@ -30,6 +31,14 @@ def usage_stream(calls: DataFrame) -> DataFrame:
     return calls.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens")).select("model", F.col("w.start").alias("start"), "calls", "prompt_tokens")
 
 
+def running_cost(calls: DataFrame) -> DataFrame:
+    """Calls, tokens and cost per model so far, at the prices of an unlisted model; for update or complete mode. Tokens are
+    summed whole and priced once, so the order of calls does not show."""
+    i, o = OTHER_PRICES
+    sums = calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+    return sums.withColumn("cost", (F.coalesce("prompt_tokens", F.lit(0)) * i + F.coalesce("completion_tokens", F.lit(0)) * o) / 1e6)
+
+
 def parse_partial_lines(raw: DataFrame, schema: str) -> DataFrame:
     """Rows of a JSON file that is still being written: brackets and commas around a line go, broken rows are dropped."""
     line = F.regexp_replace(F.trim("value"), r"^[\[,\s]+|[\],\s]+$", "")
