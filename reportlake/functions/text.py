@@ -95,13 +95,20 @@ def calendar_months(a: Column, b: Column) -> Column:
     return ((F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)).cast("long")
 
 
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "yyyy/MM/dd", "dd.MM.yyyy"]
+#: Date formats in the order in which they are tried; month before day where both could be meant.
+DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"]
 
 
 def parse_date_any(s: Column) -> Column:
-    """First format that fits; date-only values stand at noon."""
-    tries = [F.try_to_timestamp(s, F.lit(f)) if "HH" in f else F.try_to_timestamp(s, F.lit(f)) + F.expr("interval 12 hours") for f in DATE_FORMATS]
-    return F.coalesce(*tries)
+    """First format that fits, standing at noon; else an ISO date and time (T or blank, with or without Z), at noon if it says
+    midnight. Null for anything else, blanks and `{}`."""
+    bare = F.trim(F.regexp_replace(s, r"\s+", " "))
+    noon = F.expr("interval 12 hours")
+    days = [F.try_to_timestamp(bare, F.lit(f)) + noon for f in DATE_FORMATS]
+    iso = F.rtrim(F.regexp_replace(F.replace(bare, F.lit("T"), F.lit(" ")), "Z+$", ""))
+    time = F.when(iso.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d(:\d\d(\.\d{1,6})?)?([+-]\d\d:\d\d)?$"), iso.try_cast("timestamp"))
+    midnight = (F.hour(time) == 0) & (F.minute(time) == 0) & (F.second(time) == 0)
+    return F.coalesce(*days, F.when(midnight, time + noon).otherwise(time))
 
 
 def text_snippet(s: Column, n: int = 150) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,28 +111,49 @@ def score_control_ids(controls: DataFrame, patterns: DataFrame) -> DataFrame:
     return j.withColumn("score", F.when(blank, 0.0).when(F.col("pattern").isNull(), 0.3).when(F.col("has").isNull(), 0.5).otherwise(by)).drop("sim", "has", "frequency")
 
 
-def boundary_cut(text: str, size: int, seek: int) -> Iterator[str]:
-    """Pieces of at most `size` characters that end at a paragraph, sentence, line or word in their last `seek`."""
-    at = 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            tail = text[max(at, end - seek) : end]
-            for mark in ("\n\n", ". ", "\n", " "):
-                k = tail.rfind(mark)
-                if k >= 0:
-                    end = max(at, end - seek) + k + len(mark)
-                    break
-        yield text[at:end]
-        at = max(end, at + 1)
-
-
-def boundary_chunks(docs: DataFrame, size: int = 1000, seek: int = 200) -> DataFrame:
-    """(doc_id, chunk_id, text). Each start depends on the piece before, so the cut is a small function per row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, k, piece) for d, t in zip(b["doc_id"], b["text"], strict=True) for k, piece in enumerate(boundary_cut(t or "", size, seek))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "text"]).astype({"text": object})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_id long, text string")
+#: Where a chunk may end, best first: before the second line feed of a paragraph, before a bullet, after a full stop, at a line end.
+SEEK = 200
+
+
+def last_break(tail: str) -> int:
+    """Place in tail at which a chunk best ends (that character is its last), -1 for none."""
+    paragraph = tail.rfind("\n\n")
+    if paragraph >= 0:
+        return paragraph
+    bullets = [m.start() for m in re.finditer(r"\n[•*-]\s", tail)]
+    if bullets:
+        return bullets[-1]
+    sentence = max(tail.rfind(".\n"), tail.rfind(". "))
+    return sentence if sentence >= 0 else tail.rfind("\n")
+
+
+@F.udtf(returnType="chunk_id long, start long, text string")
+class BoundaryChunks:
+    """Rows of one text: chunks of at most `size` characters, each begun `overlap` before the end of the one before."""
+
+    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+        start, k = 0, 0
+        while text and start < len(text):
+            chunk = text[start : start + size]
+            last = start + size >= len(text)
+            if not last:
+                tail = max(0, size - SEEK)
+                at = last_break(chunk[tail:])
+                if at > 0:
+                    chunk = chunk[: tail + at + 1]
+            yield k, start, chunk
+            if last:
+                return
+            start, k = start + len(chunk) - overlap, k + 1
+
+
+def boundary_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(doc_id, chunk_id, start, text) of each text, by a lateral join with a table function: the cut of a chunk depends on the
+    one before, so a text is one loop, and nothing is shuffled. A null or empty text has no chunks.
+
+    The overlap must leave every chunk something new: it is under size - 200, or under 2 where size is 200 or less.
+    """
+    if not 0 <= overlap < max(size - SEEK, 0) + 2:
+        raise ValueError("the overlap would keep chunks from moving on")
+    cut = BoundaryChunks(F.col("text").outer(), F.lit(size), F.lit(overlap))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).lateralJoin(cut.alias("c")).select("doc_id", "c.chunk_id", "c.start", "c.text")

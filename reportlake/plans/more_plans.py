@@ -162,10 +162,13 @@ def f58(spark, d):
     return view(spark, d, "v_controls").select("id", F.array_join(T.parse_json_array(raw), "|").alias("items"))
 
 
-@query("f15_parse_date_any", "select o_orderkey, date_trunc('day', o_orderdate) + interval 12 hours as parsed from orders")
+@query("f15_parse_date_any", """select o_orderkey, case when k = 3 and day(t) <= 12 then make_timestamp(year(t), day(t), month(t), 12, 0, 0.0) when k = 8 then t + interval 5 hours when k = 9 then t + interval 90 second when k = 11 then null else t + interval 12 hours end as parsed
+from (select o_orderkey, o_orderkey % 12 as k, date_trunc('day', o_orderdate) as t from orders)""")
 def f15(spark, d):
-    k, t = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    raw = F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.date_format(t, "MM/dd/yyyy")).when(k == 2, F.date_format(t, "MMMM d, yyyy")).otherwise(F.date_format(t, "dd.MM.yyyy"))
+    """Each of the eight formats, three ISO ones, and what is no date at all."""
+    k, t = F.col("o_orderkey") % 12, F.date_trunc("day", "o_orderdate")
+    forms = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "dd MMM yyyy", "yyyy-MM-dd'T05:00:00'", "yyyy-MM-dd' 00:01:30Z'", "yyyy-MM-dd'T00:00:00'", "dd.MM.yyyy"]
+    raw = F.coalesce(*[F.when(k == i, F.date_format(t, f)) for i, f in enumerate(forms)])
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", T.parse_date_any(raw).cast("timestamp_ntz").alias("parsed"))
 
 

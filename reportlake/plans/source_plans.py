@@ -82,10 +82,18 @@ def s09(spark, d):
     u = view(spark, d, "v_usage").select("call_id", "ts", "model")
     for part in (0, 1):
         S.append_audit_log(u.where(F.col("call_id") % 2 == part), path)
-    log = spark.read.schema("call_id long, ts timestamp, model string, day date").json(path)
+    log = S.read_audit_log(spark, path, "call_id long, ts timestamp, model string")
     return log.groupBy("model", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s09_audit_rows", "select call_id, ts, model, cast(ts as date) as day from v_usage")
+def s09b(spark, d):
+    path = S.scratch(spark, "audit-rows")
+    S.append_audit_log(view(spark, d, "v_usage").select("call_id", "ts", "model"), path)
+    log = S.read_audit_log(spark, path, "call_id long, ts timestamp, model string")
+    return log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("s11_baselines", """with m as (select scan_id, count(*) as total from v_controls group by 1), b as (select 'report ' || (scan_id % 4)::varchar as report_name, 'v' || (scan_id % 2)::varchar as extractor_version, scan_id, total, scan_id // 4 as created_at from m)
 select scan_id, total, created_at, created_at = max(created_at) over (partition by report_name) as newest from b""")
 def s11(spark, d):
@@ -103,7 +111,7 @@ def s11(spark, d):
 def s12(spark, d):
     path = S.scratch(spark, "usage")
     u = view(spark, d, "v_usage")
-    u.select("model", "extractor", "prompt_tokens", "completion_tokens", F.lit(0.01).alias("cost"), F.col("duration_seconds").alias("seconds"), "ts").write.json(path)
+    S.append_usage_log(u.withColumn("cost", F.lit(0.01)).withColumnRenamed("duration_seconds", "seconds"), path)
     log = S.read_usage_log(spark, path)
     return log.groupBy("model", "extractor").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.max("ts").cast("timestamp_ntz").alias("last"))
 

@@ -80,8 +80,18 @@ def export_tables(controls: DataFrame, cuecs: DataFrame, least: float = 0.7) ->
     }
 
 
+#: Times in JSON with all of their six digits, which Spark cuts to three unless told otherwise.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS[XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def append_audit_log(events: DataFrame, path: str) -> None:
-    events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
+    """Adds events (with ts) to the log, a folder a day."""
+    events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").options(**TIMES).json(path)
+
+
+def read_audit_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The log with its day; schema of the fields, without day."""
+    return spark.read.schema(f"{schema}, day date").options(**TIMES).json(path)
 
 
 def deep_merge(existing: DataFrame, update: DataFrame, key: str, maps: list[str]) -> DataFrame:
@@ -122,5 +132,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+USAGE = "model string, extractor string, prompt_tokens long, completion_tokens long, cost double, seconds double, ts timestamp"
+
+
+def append_usage_log(calls: DataFrame, path: str) -> None:
+    """Adds model calls to the log; fields that the log does not have are left out."""
+    fields = [f.split()[0] for f in USAGE.split(", ")]
+    calls.select(*fields).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").options(**TIMES).json(path)
+
+
 def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("model string, extractor string, prompt_tokens long, completion_tokens long, cost double, seconds double, ts timestamp").json(path)
+    return spark.read.schema(USAGE).options(**TIMES).json(path)

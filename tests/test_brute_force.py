@@ -1,9 +1,11 @@
 """Queries and patterns that SQL cannot express, against plain Python over whole tables."""
 
+import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from reportlake.functions.similarity import common_subsequence, indel_ratio, ratio
@@ -77,13 +79,50 @@ def test_ratios_of_whole_tables(spark):
     assert [round(r["r"], 3) for r in indel] == [61.538, 0.0, 100.0]
 
 
+def plain_chunks(text, size, overlap):
+    """By looking at every place from the end: the last one of the best kind."""
+    out, i = [], 0
+    while i < len(text):
+        end = min(i + size, len(text))
+        if end < len(text):
+            low = max(i, end - 200)
+            places = range(end - 1, low - 1, -1)
+            inside = lambda k, mark: text.startswith(mark, k) and k + len(mark) <= end
+            kinds = [
+                lambda k: inside(k, "\n\n"), lambda k: any(inside(k, "\n" + b) for b in "•-*") and k + 3 <= end and text[k + 2].isspace(),
+                lambda k: inside(k, ".\n") or inside(k, ". "), lambda k: inside(k, "\n"),
+            ]
+            best = next((k for kind in kinds for k in places if kind(k)), None)
+            if best is not None and best > low:
+                end = best + 1
+        out.append((i, text[i:end]))
+        if i + size >= len(text):
+            return out
+        i = end - overlap
+    return out
+
+
 def test_boundary_chunks_of_whole_texts(spark):
     texts = {r["doc_id"]: r["text"] for r in view(spark, SF, "v_docs").collect()}
     got = {}
     for r in catalog.QUERIES["w07_boundary_chunks"](spark, SF).orderBy("chunk_id").collect():
-        got.setdefault(r["doc_id"], []).append(r["text"])
-    assert {d: "".join(c) for d, c in got.items()} == {d: t for d, t in texts.items() if t}
-    assert all(c == list(H.boundary_cut(texts[d], 1000, 200)) for d, c in got.items())
+        got.setdefault(r["doc_id"], []).append((r["start"], r["text"]))
+    assert got == {d: plain_chunks(t, 1000, 200) for d, t in texts.items() if t} and max(map(len, got.values())) > 5
+
+
+def test_boundary_chunks_by_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["word ", "ends. ", "ends.\n", "\n\n", "\n• item", "\n- item", "\n* it", "\n-x", "\n", "é" * 70]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randrange(200)))) for k in range(60)] + [(100, None), (101, ""), (102, "y" * 1500), (103, "\n" * 1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(0)).withColumn("size", F.lit(9))
+    for size, overlap in ((400, 100), (1000, 200), (201, 2), (50, 1)):
+        got = {}
+        for r in H.boundary_chunks(df, size, overlap).orderBy("chunk_id").collect():
+            got.setdefault(r["doc_id"], []).append((r["start"], r["text"]))
+        assert got == {d: plain_chunks(t, size, overlap) for d, t in rows if t}
+    for size, overlap in ((400, 202), (100, 2), (100, -1)):
+        with pytest.raises(ValueError):
+            H.boundary_chunks(df, size, overlap)
 
 
 TOC = ["Section I Overview .... 5 SECTION 2 Results .. 17", "A. Scope 3 B. Limits 4", "12. Terms 300", "no number", "  ", "Appendix 2024 III. Notes 7", "7", "Control 1.1 ..... 9"]

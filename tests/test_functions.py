@@ -72,3 +72,14 @@ def test_fuzzy_upsert(spark):
 def test_final_adjust(spark):
     assert one(spark, O.final_adjust(F.col("c"), F.lit("Yes"), F.lit("Yes"), F.lit(1)), c=0.5) == 0.8
     assert one(spark, O.final_adjust(F.col("c"), F.lit("No"), F.lit(None), F.lit(12)), c=0.1) == 0.0
+
+
+def test_dates_of_stored_rows(spark):
+    noon = {
+        "2023-10-31": "2023-10-31", "2023/10/31": "2023-10-31", "10/31/2023": "2023-10-31", "31/10/2023": "2023-10-31", "1/2/2023": "2023-01-02", "October 31, 2023": "2023-10-31", "oct 5, 2023": "2023-10-05",
+        "31 October 2023": "2023-10-31", " 31  Oct 2023 ": "2023-10-31", "2023-10-31T00:00:00": "2023-10-31", "2023-10-31 00:00:00Z": "2023-10-31", "5 MAY 2023": "2023-05-05",
+    }
+    want = {k: f"{v} 12:00:00" for k, v in noon.items()} | {"2023-10-31T05:00:00": "2023-10-31 05:00:00", "2023-10-31 05:06:07.123456": "2023-10-31 05:06:07.123456", "2023-10-31T05:00": "2023-10-31 05:00:00"}
+    want |= dict.fromkeys(["31.10.2023", "{}", "", " ", "soon", "2023-02-30", "13/32/2023", "23-10-31", None])
+    rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", T.parse_date_any(F.col("s")).cast("string").alias("d")).collect()
+    assert {r["s"]: r["d"] for r in rows} == want

@@ -25,7 +25,7 @@ def plain(v):
     if isinstance(v, float):
         return repr(round(v + 0.0, 6))
     if hasattr(v, "isoformat"):
-        return v.isoformat()[:19]
+        return str(v)[:10] if str(v)[10:] == ' 00:00:00' else str(v)
     return repr(v)
 
 
