@@ -158,22 +158,6 @@ def union_page_spans(lines: DataFrame, sections: DataFrame, first_lines: int) ->
     return head.union(lines_in_section(lines, sections).select("doc_id", "line_no")).distinct()
 
 
-def match_known_firms(docs: DataFrame, firms: DataFrame) -> DataFrame:
-    """(doc_id, firm, n): the legal name met most often in each text, possessive forms counting twice; ties go to the
-    firm that is listed first. firms: pos, short, legal."""
-    text = F.lower("text")
-
-    def hits(name: Column) -> Column:
-        return ((F.length(text) - F.length(F.replace(text, name, F.lit("")))) / F.length(name)).cast("long")
-
-    short = F.lower("short")
-    n = hits(short) + hits(F.concat(short, F.lit("'s"))) + hits(F.concat(short, F.lit("’s")))
-    each = docs.join(T.small(firms), F.contains(text, short)).select("doc_id", "legal", "pos", n.alias("n"))
-    legal = each.groupBy("doc_id", "legal").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
-    best = legal.groupBy("doc_id").agg(F.max_by(F.struct("legal", "n"), F.struct("n", -F.col("pos"))).alias("b"))
-    return best.select("doc_id", F.col("b.legal").alias("firm"), F.col("b.n").alias("n"))
-
-
 #: Audit firms in the order in which they are looked for; the short ones count as whole words only.
 KNOWN_FIRMS = [
     "BDO USA, P.C.", "BDO USA", "KPMG LLP", "Deloitte & Touche LLP", "PricewaterhouseCoopers", "Ernst & Young LLP", "Grant Thornton LLP", "RSM US LLP", "Crowe LLP", "Moss Adams LLP", "CliftonLarsonAllen LLP",

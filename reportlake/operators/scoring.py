@@ -31,27 +31,6 @@ def framework_category(tsc_confidence: Column, tsc_density: Column, other_confid
     return F.when(F.greatest(a, b) < 0.70, "AMBIGUOUS").when(a >= b, "TSC").otherwise("COSO")
 
 
-def keyword_assertions(docs: DataFrame, keywords: DataFrame, least: float = 0.60) -> DataFrame:
-    """(doc_id, assertion, m, confidence). keywords (assertion, keyword) is broadcast if it is small, by count."""
-    hits = docs.join(T.small(keywords), F.contains(F.lower("text"), F.lower("keyword"))).groupBy("doc_id", "assertion").agg(F.countDistinct("keyword").alias("m"))
-    conf = F.least(F.lit(0.95), 0.5 + F.least(F.lit(0.4), 0.1 * F.col("m")))
-    return hits.withColumn("confidence", F.round(conf, 6)).where(F.col("confidence") >= least)
-
-
-def id_variations(criterion: Column) -> Column:
-    """A pattern for the spellings of an id (as it is, or letters and numbers parted by dot, space, dash or nothing)."""
-    parts = F.regexp_extract_all(criterion, F.lit(r"([A-Za-z]+|\d+)"), F.lit(1))
-    return F.concat(F.lit(r"(?i)\b"), F.array_join(parts, r"[. \-]?"), F.lit(r"\b"))
-
-
-def ids_in_text(docs: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(doc_id, id) of criteria named in a text. Criteria are broadcast if they are few, by count; a pattern is only tried on
-    texts that hold the id's first letters."""
-    listed = criteria.select("id", id_variations(F.col("id")).alias("pattern"), F.lower(F.regexp_extract("id", r"[A-Za-z]+|\d+", 0)).alias("head")).distinct()
-    named = F.contains(F.lower("text"), F.col("head")) & F.expr("text rlike pattern")
-    return docs.join(T.small(listed), named).select("doc_id", "id").distinct()
-
-
 def deduce_period(dates: Column) -> Column:
     """Struct (kind, start, end) from a sorted array of distinct dates: one date: Type 1; two: Type 2 if 6 to 12 months
     apart, an inferred start half a year back if within 30 days, else Type 1; more: earliest start, latest report, and

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reportlake.operators import mapping as M
+from reportlake.operators import spellings as N
 
 from .catalog import query
 from .views import view
@@ -38,6 +39,28 @@ def j02b(spark, d):
     return covered(spark, d).select("framework", "id", "coverage")
 
 
+def naming_texts(spark, d):
+    """Documents that name some criteria in passing, as other people spell them."""
+    names = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").cast("long").alias("k"), F.lower(F.translate("n_name", " ", "-")).alias("name"))
+    # a nation is one of 25 rows at any scale
+    docs = view(spark, d, "v_docs").withColumn("k", F.pmod("doc_id", F.lit(25)).cast("long"))
+    return docs.join(F.broadcast(names), "k", "left").select("doc_id", F.concat("text", F.lit(" see "), F.coalesce("name", F.lit("-")), F.lit(".")).alias("text"))
+
+
+LIKELY = r"""select c.framework, c.section, c.id, case when c.framework = 'ASIA' then 'control' when exists (
+  select 1 from (select text || ' see ' || coalesce(lower(replace(n_name, ' ', '-')), '-') || '.' as text from v_docs left join (select * from nation where n_nationkey % 3 <> 0) n on doc_id % 25 = n_nationkey) t
+  where regexp_matches(t.text, '(?i)\b' || replace(c.id, ' ', '[. -]?') || '\b')) then 'likely' else 'missed' end as coverage from v_criteria c"""
+
+
+@query("j02_likely_coverage", f"with x as ({LIKELY}) select framework, count(*) as total, count(*) filter (coverage = 'control') as control, count(*) filter (coverage = 'cuec') as cuec, count(*) filter (coverage = 'likely') as likely, count(*) filter (coverage = 'missed') as missed from x group by 1")
+def j02c(spark, d):
+    """Coverage where controls map to one framework only, and documents name criteria of the others."""
+    criteria = view(spark, d, "v_criteria")
+    by_control = maps(spark, d).where("framework = 'ASIA'").select("framework", F.col("criterion_id").alias("id"))
+    named = N.ids_in_text(naming_texts(spark, d), criteria).select("id").distinct()
+    return M.coverage_totals(M.framework_coverage(criteria, by_control, by_control.limit(0), criteria.select("framework", "id").join(named, "id")))
+
+
 @query("a16_coverage_rollup", f"with x as ({COVERED}) select framework, section, count(*) as total, count(*) filter (coverage <> 'missed') as mapped, cast(grouping(framework) * 2 + grouping(section) as bigint) as level from x group by rollup(framework, section)")
 def a16(spark, d):
     return M.coverage_rollup(covered(spark, d))

@@ -8,6 +8,7 @@ from reportlake.functions import text as T
 from reportlake.operators import controls as C
 from reportlake.operators import orgs as O  # noqa: N812
 from reportlake.operators import scoring as K
+from reportlake.operators import spellings as N
 
 from .catalog import query
 from .views import table, view
@@ -40,13 +41,13 @@ WORDS = [("Existence", "the"), ("Existence", "licen"), ("Rights", "por"), ("Righ
 h as (select doc_id, assertion, count(distinct keyword) as m from v_docs, k where contains(lower(text), keyword) group by 1, 2)
 select doc_id, assertion, m, round(least(0.95E0, 0.5E0 + least(0.4E0, 0.1E0*m)), 6) as confidence from h where round(0.5E0 + 0.1E0*m, 6) >= 0.6""")
 def f30(spark, d):
-    return K.keyword_assertions(view(spark, d, "v_docs"), spark.createDataFrame(WORDS, "assertion string, keyword string"))
+    return N.keyword_assertions(view(spark, d, "v_docs"), spark.createDataFrame(WORDS, "assertion string, keyword string"))
 
 
 @query("f39_ids_in_text", "select doc_id, 'V3' as id from v_docs where regexp_matches(text || ' v-3 ', '(?i)\\bV[. \\-]?3\\b') union all select doc_id, 'version.3' from v_docs where regexp_matches(text || ' v-3 ', '(?i)\\bversion[. \\-]?3\\b')")
 def f39(spark, d):
     docs = view(spark, d, "v_docs").withColumn("text", F.concat("text", F.lit(" v-3 ")))
-    return K.ids_in_text(docs, spark.createDataFrame([("V3",), ("version.3",)], "id string"))
+    return N.ids_in_text(docs, spark.createDataFrame([("V3",), ("version.3",)], "id string"))
 
 
 PERIODS = """with d as (select o_custkey * 10000 + year(o_orderdate) as k, list_sort(list_distinct(list(o_orderdate::date))) as ds from orders group by 1),

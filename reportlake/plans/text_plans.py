@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
 from reportlake.operators import documents as D  # noqa: N812
+from reportlake.operators import spellings as N
 
 from .catalog import query
 from .views import view
@@ -216,7 +217,7 @@ h as (select doc_id, legal, pos, (length(t) - length(replace(t, short, ''))) //
 g as (select doc_id, legal, sum(n)::bigint as n, min(pos) as pos from h group by 1, 2)
 select doc_id, legal as firm, n from (select *, row_number() over (partition by doc_id order by n desc, pos) as r from g) where r = 1""")
 def j20(spark, d):
-    return D.match_known_firms(with_firms(spark, d), spark.createDataFrame(FIRMS, "pos int, short string, legal string"))
+    return N.match_known_firms(with_firms(spark, d), spark.createDataFrame(FIRMS, "pos int, short string, legal string"))
 
 
 @query("f53_known_firm", rf"""with f(pos, name, short) as (values (0, 'BDO USA, P.C.', false), (1, 'BDO USA', false), (2, 'KPMG LLP', false), (3, 'Deloitte & Touche LLP', false), (4, 'PricewaterhouseCoopers', false), (5, 'Ernst & Young LLP', false), (6, 'Grant Thornton LLP', false),
