@@ -41,15 +41,15 @@ def j02b(spark, d):
 
 def naming_texts(spark, d):
     """Documents that name some criteria in passing, as other people spell them."""
-    names = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").cast("long").alias("k"), F.lower(F.translate("n_name", " ", "-")).alias("name"))
+    names = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").cast("long").alias("k"), F.lower(F.translate("n_name", "_", "-")).alias("name"))
     # a nation is one of 25 rows at any scale
     docs = view(spark, d, "v_docs").withColumn("k", F.pmod("doc_id", F.lit(25)).cast("long"))
     return docs.join(F.broadcast(names), "k", "left").select("doc_id", F.concat("text", F.lit(" see "), F.coalesce("name", F.lit("-")), F.lit(".")).alias("text"))
 
 
-LIKELY = r"""select c.framework, c.section, c.id, case when c.framework = 'ASIA' then 'control' when exists (
-  select 1 from (select text || ' see ' || coalesce(lower(replace(n_name, ' ', '-')), '-') || '.' as text from v_docs left join (select * from nation where n_nationkey % 3 <> 0) n on doc_id % 25 = n_nationkey) t
-  where regexp_matches(t.text, '(?i)\b' || replace(c.id, ' ', '[. -]?') || '\b')) then 'likely' else 'missed' end as coverage from v_criteria c"""
+LIKELY = r"""select c.framework, c.section, c.id, case when exists (select 1 from v_mappings m where m.framework = 'ASIA' and m.framework = c.framework and m.criterion_id = c.id) then 'control' when exists (
+  select 1 from (select text || ' see ' || coalesce(lower(replace(n_name, '_', '-')), '-') || '.' as text from v_docs left join (select * from nation where n_nationkey % 3 <> 0) n on doc_id % 25 = n_nationkey) t
+  where regexp_matches(t.text, '(?i)\b' || replace(c.id, '_', '[. -]?') || '\b')) then 'likely' else 'missed' end as coverage from v_criteria c"""
 
 
 @query("j02_likely_coverage", f"with x as ({LIKELY}) select framework, count(*) as total, count(*) filter (coverage = 'control') as control, count(*) filter (coverage = 'cuec') as cuec, count(*) filter (coverage = 'likely') as likely, count(*) filter (coverage = 'missed') as missed from x group by 1")
