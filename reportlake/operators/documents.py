@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,29 +63,6 @@ def char_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.select("doc_id", F.col("k").cast("long").alias("chunk_id"), (F.col("k") * step).cast("long").alias("start"), "c.start_line", "c.text")
 
 
-def token_batches(rows: DataFrame, group: str, order: str, tokens: str, most: int) -> DataFrame:
-    """(group, order, batch): greedy in-order batches under a token budget. Where a batch begins depends on the one before,
-    so rows are streamed in order and only the running batch is carried; a group is never held."""
-    small = rows.select(group, F.col(order).cast("long").alias(order), F.col(tokens).cast("long").alias("_tokens"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, batch, used, started = None, 0, 0, False
-        for b in batches:
-            out = []
-            for key, t in zip(b.column(group).to_pylist(), b.column("_tokens").to_pylist(), strict=True):
-                if not started or key != last:
-                    last, batch, used, started = key, 0, 0, True
-                t = t or 0
-                if used > 0 and used + t > most:
-                    batch, used = batch + 1, 0
-                used += t
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([b.column(group), b.column(order), pa.array(out, pa.int64())], names=[group, order, "batch"])
-
-    dealt = small.repartition(group).sortWithinPartitions(group, order, "_tokens")
-    return dealt.mapInArrow(run, f"{group} {small.schema[group].dataType.simpleString()}, {order} long, batch long")
-
-
 def drop_watermark_lines(lines: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """Lines without a watermark, and without those that consist of a string of frequent_page_strings (doc_id, s) and
     perhaps a full stop."""

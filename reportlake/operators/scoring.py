@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,48 +90,6 @@ def resolve_type(scans: DataFrame, detections: DataFrame, now: Column) -> DataFr
     return scans.join(live, "hash", "left")
 
 
-def merge_continuations(chunks: DataFrame) -> DataFrame:
-    """Rows of a report folded in order: a row joins the running one if that continues or the ids are equal. Texts are
-    concatenated, the end moves, the confidence is the pairwise mean, the merged row no longer continues.
-
-    chunks: scan_id, pos, control_id, body, continues, end_line, confidence.
-    """
-    order = ["scan_id", "pos", "control_id", "body", "continues", "end_line", "confidence"]
-    # the key may be of any type: rows of a report are told from the next one's by a text of it
-    rows = chunks.select("scan_id", F.coalesce(F.col("scan_id").cast("string"), F.lit("")).alias("_report"), F.col("scan_id").isNull().alias("_none"), F.col("pos").cast("long").alias("pos"), F.coalesce("control_id", F.lit("")).alias("control_id"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("continues", F.lit(False)).alias("continues"), F.col("end_line").cast("long").alias("end_line"), F.col("confidence").cast("double").alias("confidence"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Only the running row is carried, its texts in parts."""
-        last = schema = None
-
-        def done() -> dict:
-            return {k: (" ".join(v) if k == "body" else v) for k, v in last.items() if k not in ("_report", "_none")}
-
-        for b in batches:
-            schema = pa.schema([b.schema.field(k) for k in order])
-            out = []
-            for x in b.to_pylist():
-                same = last is not None and (last["_none"], last["_report"]) == (x["_none"], x["_report"])
-                if same and (last["continues"] or (last["control_id"] and last["control_id"] == x["control_id"])):
-                    last["control_id"] = last["control_id"] or x["control_id"]
-                    last["body"].append(x["body"])
-                    last["continues"] = False
-                    ends = [v for v in (last["end_line"], x["end_line"]) if v is not None]
-                    last["end_line"] = max(ends, default=None)
-                    both = last["confidence"], x["confidence"]
-                    last["confidence"] = None if None in both else (both[0] + both[1]) / 2
-                    continue
-                if last is not None:
-                    out.append(done())
-                last = x | {"body": [x["body"]]}
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if last is not None:
-            yield pa.RecordBatch.from_pylist([done()], schema=schema)
-
-    dealt = rows.repartition("scan_id").sortWithinPartitions("_none", "_report", *order[1:])
-    return dealt.mapInArrow(run, rows.select(*order).schema)
-
-
 def report_projection(scans: DataFrame, controls: DataFrame, cuecs: DataFrame, orgs: DataFrame, bad_chunks: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
     """One row per report: its header, with company, auditor and product taken from the stored results (scan_id and those
     columns) where the header lacks them, and its children as arrays of structs in stable order; empty arrays without any."""

@@ -8,6 +8,7 @@ from reportlake.functions import text as T
 from reportlake.operators import controls as C
 from reportlake.operators import orgs as O  # noqa: N812
 from reportlake.operators import scoring as K
+from reportlake.operators import islands as I
 from reportlake.operators import spellings as N
 
 from .catalog import query
@@ -204,4 +205,4 @@ def f48(spark, d):
 def w04(spark, d):
     c = view(spark, d, "v_controls")
     rows = c.select("scan_id", F.col("id").alias("pos"), "control_id", F.col("control_desc").alias("body"), (F.col("id") % 7 == 0).alias("continues"), F.col("page_last").cast("long").alias("end_line"), F.col("control_confidence").alias("confidence"))
-    return K.merge_continuations(rows)
+    return I.merge_continuations(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
 from reportlake.operators import documents as D  # noqa: N812
+from reportlake.operators import batching as B
 from reportlake.operators import spellings as N
 
 from .catalog import query
@@ -74,7 +75,7 @@ b as (select organization, k, doc_id, t as used, 0::bigint as batch from r where
 select organization, doc_id, batch from b""")
 def w08(spark, d):
     rows = docs(spark, d).select("organization", "doc_id", T.token_estimate(F.col("text")).alias("t"))
-    return D.token_batches(rows, "organization", "doc_id", "t", 2000)
+    return B.token_batches(rows, "organization", "doc_id", "t", 2000)
 
 
 @query("f41_token_estimate", "select doc_id, length(text) // 4 as tokens from v_docs")

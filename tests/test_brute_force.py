@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions.similarity import common_subsequence, indel_ratio, ratio
 from reportlake.operators import contents as K
+from reportlake.operators import batching
 from reportlake.operators import documents as D
 from reportlake.operators import headings as H
 from reportlake.operators import matching as X
@@ -153,7 +154,7 @@ def test_agreement_wording(spark):
 
 def test_token_batches_by_a_plain_fold(spark):
     rows = [(g, k, (k * 37 + len(g or "")) % 900) for g in ("a", "bb", None) for k in range(200)]
-    got = {(r["g"], r["k"]): r["batch"] for r in D.token_batches(spark.createDataFrame(rows, "g string, k long, t long"), "g", "k", "t", 1500).collect()}
+    got = {(r["g"], r["k"]): r["batch"] for r in batching.token_batches(spark.createDataFrame(rows, "g string, k long, t long"), "g", "k", "t", 1500).collect()}
     want = {}
     for g in ("a", "bb", None):
         batch = used = 0
