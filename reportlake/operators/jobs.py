@@ -54,6 +54,31 @@ def estimate_duration(scans: DataFrame, last: int = 10, spread: float = 2.0, wei
     return xs.select("report_type", F.round(fold, 1).alias("estimate"))
 
 
+#: Seconds that a scan takes where too little is known, by the start of its type; and how much is enough.
+BASE_SECONDS = {"SOC1": 1200.0, "": 2100.0}
+LEAST_SAMPLES = 5
+
+
+def estimate_or_base(scans: DataFrame, last: int = 10, least: int = LEAST_SAMPLES) -> DataFrame:
+    """(report_type, estimated_seconds, based_on_scans, is_fixed_estimate): as estimate_duration, but the base seconds of the type
+    where fewer than `least` of its last scans have a duration, or are left without outliers. Durations of 0 count as none."""
+    newest = Window.partitionBy("report_type").orderBy(F.desc("id"))
+    timed = scans.select("report_type", "id", "elapsed_seconds", F.row_number().over(newest).alias("r")).where(F.col("r") <= last)
+    some = timed.where(F.coalesce("elapsed_seconds", F.lit(0.0)) != 0)
+    own = Window.partitionBy("report_type")
+    near = F.abs(F.col("elapsed_seconds") - F.avg("elapsed_seconds").over(own)) <= 2 * F.stddev_pop("elapsed_seconds").over(own)
+    left = some.withColumn("near", near).groupBy("report_type").agg(F.count(F.lit(1)).alias("timed"), F.count_if("near").alias("near"))
+    types = timed.groupBy("report_type").agg(F.count(F.lit(1)).alias("found")).join(left, "report_type", "left")
+    timed_n, near_n = F.coalesce("timed", F.lit(0)), F.coalesce("near", F.lit(0))
+    basis = F.when(F.col("found") < least, F.col("found")).when(timed_n < least, timed_n).otherwise(near_n)
+    base = F.lit(BASE_SECONDS[""])
+    for start, seconds in BASE_SECONDS.items():
+        base = F.when(F.col("report_type").startswith(start), seconds).otherwise(base) if start else base
+    fixed = (F.col("found") < least) | (timed_n < least) | (near_n < least)
+    known = estimate_duration(timed.where(F.coalesce("elapsed_seconds", F.lit(0.0)) != 0), last)
+    return types.join(known, "report_type", "left").select("report_type", F.when(fixed, base).otherwise(F.col("estimate")).alias("estimated_seconds"), basis.cast("long").alias("based_on_scans"), fixed.alias("is_fixed_estimate"))
+
+
 def usage_summary(calls: DataFrame) -> DataFrame:
     """Calls and tokens per model, and in all (model null)."""
     return calls.rollup("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))

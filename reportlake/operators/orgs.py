@@ -69,8 +69,32 @@ def heuristic_excluded(orgs: DataFrame, companies: DataFrame, words: list[str] =
 
 
 def mark_common(orgs: DataFrame, common: DataFrame) -> DataFrame:
-    listed = common.select(F.lower("name").alias("canonical_name")).distinct().withColumn("common_so", F.lit("Yes"))
-    return with_canonical(orgs).join(listed, "canonical_name", "left").withColumn("common_so", F.coalesce("common_so", F.lit("No")))
+    """orgs with canonical_name and common_so: Yes where the name or the canonical name is in common (name), else No. A Yes also
+    makes likely_so Yes, which is kept as it is otherwise, or null where orgs has none. Case and outer blanks do not count."""
+    listed = common.select(F.lower(F.trim("name")).alias("_listed")).where("_listed <> ''").distinct().withColumn("_yes", F.lit(True))
+    own = with_canonical(orgs)
+    own = own if "likely_so" in own.columns else own.withColumn("likely_so", F.lit(None).cast("string"))
+    by = lambda c, n: listed.select(F.col("_listed").alias(c), F.col("_yes").alias(n))
+    own = own.withColumn("_k1", F.lower(F.trim("third_party_name"))).withColumn("_k2", F.lower(F.trim("canonical_name")))
+    hit = own.join(by("_k1", "_y1"), "_k1", "left").join(by("_k2", "_y2"), "_k2", "left").withColumn("_hit", F.coalesce("_y1", "_y2", F.lit(False)))
+    marked = hit.withColumn("common_so", F.when(F.col("_hit"), "Yes").otherwise("No")).withColumn("likely_so", F.when(F.col("_hit"), "Yes").otherwise(F.col("likely_so")))
+    return marked.drop("_k1", "_k2", "_y1", "_y2", "_hit")
+
+
+def mark_self_orgs(orgs: DataFrame, companies: DataFrame, alike: float | None = ALIKE) -> DataFrame:
+    """orgs with likely_so No where a company of the report (companies: scan_id, company; without legal form, dots and commas)
+    is part of the name or description, or more than `alike` similar to one of them; else as it was, null where there was none.
+    Each distinct name and description of a report is compared once; `alike` None leaves the similarity out."""
+    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[.,]", "")
+    own = orgs if "likely_so" in orgs.columns else orgs.withColumn("likely_so", F.lit(None).cast("string"))
+    own = own.withColumn("_name", bare(F.col("third_party_name"))).withColumn("_desc", bare(F.col("third_party_description")))
+    named = companies.select("scan_id", F.trim(F.regexp_replace(bare(F.col("company")), rf"\b({T.LEGAL_FORMS})\b", "")).alias("_company")).where("_company <> ''").distinct()
+    met = own.select("scan_id", "_name", "_desc").distinct().join(named, "scan_id")
+    said = F.contains("_name", "_company") | F.contains("_desc", "_company")
+    if alike is not None:
+        said = said | (seq_ratio("_company", "_name") > alike) | (seq_ratio("_company", "_desc") > alike)
+    hit = met.where(said).select("scan_id", "_name", "_desc").distinct().withColumn("_hit", F.lit(True))
+    return own.join(hit, ["scan_id", "_name", "_desc"], "left").withColumn("likely_so", F.when(F.col("_hit"), "No").otherwise(F.col("likely_so"))).drop("_name", "_desc", "_hit")
 
 
 def drop_self_references(orgs: DataFrame, companies: DataFrame) -> DataFrame:

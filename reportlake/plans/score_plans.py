@@ -109,12 +109,19 @@ def j26(spark, d):
     return K.resolve_type(scans, det, F.lit("2030-01-01").cast("timestamp")).select("id", F.col("found").alias("resolved"))
 
 
+def own_companies(spark, d):
+    return table(spark, d, "supplier").select((F.col("s_suppkey") % 25).alias("scan_id"), F.concat("s_name", F.lit(", LLC.")).alias("company"))
+
+
 @query("j27_mark_self_orgs", "select distinct scan_id, third_party_name, case when org_key % 25 = scan_id then 'No' end as likely_so from v_orgs")
 def j27(spark, d):
-    comp = table(spark, d, "supplier").select((F.col("s_suppkey") % 25).alias("scan_id"), F.lower("s_name").alias("company"))
-    o = view(spark, d, "v_orgs").select("scan_id", "third_party_name").distinct().withColumn("bare", F.lower(F.regexp_replace("third_party_name", r", Inc\.| \(SUP\)", "")))
-    hit = o.join(comp, "scan_id").where(F.col("bare") == F.col("company")).select("scan_id", "third_party_name").distinct().withColumn("likely_so", F.lit("No"))
-    return o.join(hit, ["scan_id", "third_party_name"], "left").select("scan_id", "third_party_name", "likely_so")
+    """By containment alone, which SQL can say."""
+    return O.mark_self_orgs(view(spark, d, "v_orgs"), own_companies(spark, d), alike=None).select("scan_id", "third_party_name", "likely_so").distinct()
+
+
+@query("j27_similar_self_orgs")
+def j27b(spark, d):
+    return O.mark_self_orgs(view(spark, d, "v_orgs"), own_companies(spark, d)).select("scan_id", "third_party_name", "third_party_description", "likely_so").distinct()
 
 
 @query("a17_entity_counts", "select 'controls' as entity, count(*) as n from v_controls union all select 'cuecs', count(*) from v_cuecs union all select 'orgs', count(*) from v_orgs")
