@@ -38,14 +38,23 @@ def canonical_summaries(orgs: DataFrame) -> DataFrame:
     return names.select("scan_id", "canonical_name", F.size("pages").cast("long").alias("pages"), F.size("aliases").cast("long").alias("aliases"), F.round("best", 3).alias("max_confidence"))
 
 
-#: Words of which any in a name or description tells that no company is meant. Longer wordings that contain
-#: one of these are left out, since they change nothing.
-GENERIC_WORDS = (
-    "framework|standard|library|project|distribution|kernel|open source|node|container|image|instance|os|component|platform|software|tool|plugin|module|certificate authority|independent auditor|"
-    "specialist|consultant|contractor|team|group|staff|employee|personnel|resource|service|support|department|division|unit|office|committee|board|agency|org|entity|provider|vendor|supplier|partner|"
-    "outsourcer|outsourcing|affiliate|subsidiary|internal|external|party|parties|individual|role|function|subject|category|type|system|infrastructure|environment|solution|process|procedure|practice|"
-    "policy|program|initiative|activity|operation|network|site|location|facility|facilities|asset|application|technologies|technology|hardware|cloud|maintenance|task force"
-).split("|")
+#: Wordings of which any in a name or description tells that no company is meant. Names of standards bodies and
+#: wordings of several words are found by these words alone (`os`, `org`, `team`, `review` with any of them, and so on).
+GENERIC_WORDS = [
+    "framework", "operating system", "standard", "library", "project", "distribution", "kernel", "open source",
+    "node", "container", "image", "instance", "os", "component", "platform", "software", "tool", "plugin", "module",
+    "trusted certificate authority", "certificate authority", "independent auditor", "independent service auditor",
+    "third-party specialist", "third party specialist", "specialist", "consultant", "contractor", "team", "group",
+    "staff", "employee", "personnel", "resource", "service", "support", "department", "division", "unit", "office",
+    "committee", "board", "agency", "organization", "org", "entity", "provider", "vendor", "supplier", "partner",
+    "outsourcer", "outsourcing", "affiliate", "subsidiary", "internal", "external", "party", "parties", "individual",
+    "role", "function", "subject", "category", "type", "system", "infrastructure", "environment", "solution",
+    "process", "procedure", "practice", "policy", "program", "initiative", "activity", "operation", "operations",
+    "network", "site", "location", "facility", "facilities", "asset", "assets", "application", "applications",
+    "platforms", "technologies", "technology", "hardware", "cloud", "cloud service", "cloud provider", "cloud platform",
+    "managed service", "managed services", "hosting", "host", "maintenance", "support team", "support staff",
+    "task force", "working group", "advisory group", "review group", "review team", "review board",
+]
 ALIKE = 0.85
 
 

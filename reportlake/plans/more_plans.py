@@ -190,6 +190,21 @@ def s08(spark, d):
     return S.export_tables(view(spark, d, "v_controls"), view(spark, d, "v_cuecs"))["objectives"].select("id", "control_id")
 
 
+@query("s08_export_orgs", """with o as (select scan_id, coalesce(third_party_confidence, 0) < 0.7 as low, org_key, third_party_name as name, third_party_description as description, round(nullif(coalesce(third_party_confidence, 0), 0), 2) as confidence from v_orgs),
+p as (select *, row_number() over (partition by scan_id order by low, org_key, name, description, confidence nulls first) as no, count(*) filter (not low) over (partition by scan_id) as high from o)
+select scan_id, 8 + no + case when low then 2 else 0 end as row, name, description, confidence from p
+union all select scan_id, 10 + max(high), '--- Low Confidence Orgs ---', '', null from p where low group by 1""")
+def s08b(spark, d):
+    return S.export_tables(view(spark, d, "v_controls"), view(spark, d, "v_cuecs"), view(spark, d, "v_orgs"))["orgs"]
+
+
+@query("s08_export_conclusion", "select distinct scan_id, case scan_id % 4 when 0 then '' when 1 then 'Report ' || scan_id::varchar when 2 then '{broken' else '{\"other\":' || scan_id::varchar || '}' end as conclusion from v_controls")
+def s08c(spark, d):
+    scans, k, n = view(spark, d, "v_controls").select("scan_id").distinct(), F.col("scan_id") % 4, F.col("scan_id").cast("string")
+    text = F.when(k == 1, F.to_json(F.struct(F.concat(F.lit("Report "), n).alias("summary")))).when(k == 2, F.lit("{broken")).when(k == 3, F.concat(F.lit('{"other":'), n, F.lit("}")))
+    return S.export_conclusion(scans.select("scan_id", text.alias("executive_summary")))
+
+
 @query("s10_deep_merge", "select id, case when id % 3 = 0 then 'new' else control_id end as control_id from v_controls")
 def s10(spark, d):
     c = view(spark, d, "v_controls").select("id", "control_id")

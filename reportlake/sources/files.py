@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESULTS = {"controls": "controls", "cuecs": "cuecs", "subservice_orgs": "third_parties"}
@@ -72,12 +72,45 @@ def write_entity_table(rows: DataFrame, path: str, required: list[str], numeric:
     bad.write.mode("append").json(f"{path}/errors")
 
 
-def export_tables(controls: DataFrame, cuecs: DataFrame, least: float = 0.7) -> dict[str, DataFrame]:
-    return {
+def export_tables(controls: DataFrame, cuecs: DataFrame, orgs: DataFrame | None = None, summaries: DataFrame | None = None, least: float = 0.7) -> dict[str, DataFrame]:
+    """The sheets of a report's workbook: objectives and exceptions of controls, user-entity controls, and where given orgs and
+    conclusion (see export_orgs, export_conclusion). Missing confidences count as 0."""
+    out = {
         "objectives": controls.where(F.col("control_confidence") >= least).orderBy("scan_id", "control_seq"),
         "exceptions": controls.where("has_deviation").orderBy("scan_id", "control_seq"),
         "cuecs": cuecs.where(F.col("cuec_confidence") >= least).orderBy("scan_id", "cuec_seq"),
     }
+    if orgs is not None:
+        out["orgs"] = export_orgs(orgs, least)
+    if summaries is not None:
+        out["conclusion"] = export_conclusion(summaries)
+    return out
+
+
+#: First row of a sheet's data, and the line between confident and other organizations.
+FIRST_ROW, LOW_MARK = 9, "--- Low Confidence Orgs ---"
+
+
+def export_orgs(orgs: DataFrame, least: float = 0.7) -> DataFrame:
+    """(scan_id, row, name, description, confidence) of the organization sheet: confident ones from FIRST_ROW on, then, if there
+    are others, an empty row, a line that says so, and those, each by org_key and name. Confidences have two digits, null where
+    they are missing or 0."""
+    c = F.coalesce("third_party_confidence", F.lit(0.0))
+    low = c < least
+    own = orgs.select("scan_id", low.alias("low"), "org_key", F.coalesce("third_party_name", F.lit("")).alias("name"), F.coalesce("third_party_description", F.lit("")).alias("description"), F.round(F.nullif(c, F.lit(0.0)), 2).alias("confidence"))
+    order = Window.partitionBy("scan_id").orderBy("low", "org_key", "name", "description", "confidence")
+    placed = own.withColumn("no", F.row_number().over(order)).withColumn("high", F.count_if(~F.col("low")).over(Window.partitionBy("scan_id")))
+    gap = F.when(F.col("low"), 2).otherwise(0)
+    rows = placed.select("scan_id", (F.lit(FIRST_ROW - 1) + F.col("no") + gap).cast("long").alias("row"), "name", "description", "confidence")
+    marks = placed.where("low").groupBy("scan_id").agg(F.min(F.lit(FIRST_ROW + 1) + F.col("high")).cast("long").alias("row"))
+    return rows.unionByName(marks.select("scan_id", "row", F.lit(LOW_MARK).alias("name"), F.lit("").alias("description"), F.lit(None).cast("double").alias("confidence")))
+
+
+def export_conclusion(summaries: DataFrame) -> DataFrame:
+    """(scan_id, conclusion) from (scan_id, executive_summary), a text or a JSON object with `summary`; empty for null."""
+    s = F.col("executive_summary")
+    inner = F.when(F.trim(s).startswith("{") & F.try_parse_json(s).isNotNull(), F.get_json_object(s, "$.summary"))
+    return summaries.select("scan_id", F.coalesce(inner, s, F.lit("")).alias("conclusion"))
 
 
 #: Times in JSON with all of their six digits, which Spark cuts to three unless told otherwise.
