@@ -9,6 +9,7 @@ from reportlake.functions import text as T
 from reportlake.operators import controls as C
 from reportlake.operators import jobs as J
 from reportlake.operators import orgs as O  # noqa: N812
+from reportlake.operators import verdicts as V
 
 from .catalog import query
 from .views import view
@@ -65,6 +66,33 @@ def p21(spark, d):
     return O.apply_keep_verdict(orgs(spark, d), verdicts).groupBy("org_key").agg(F.round(F.sum("third_party_confidence"), 4).alias("total"))
 
 
+def with_notes(spark, d):
+    """Organizations, with a first note on some, and answers about them: yes, no, failed or none."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("org_key"))
+    k = F.col("org_key")
+    rows = s.select("org_key", ((k % 11) / 10).alias("third_party_confidence"), F.when(k % 2 == 0, F.array(F.lit("first"))).alias("confidence_justification"))
+    answers = s.where(k % 5 != 0).select("org_key", (k % 3 == 0).alias("yes"), F.when(k % 4 != 0, F.concat(F.lit("because "), k.cast("string"))).alias("reason"), F.when(k % 7 == 0, "timeout").alias("error"))
+    return rows, answers
+
+
+ANSWERED = "s as (select s_suppkey as k, (s_suppkey % 11) / 10.0E0 as c, case when s_suppkey % 2 = 0 then 'first' end as was, s_suppkey % 5 <> 0 as answered, s_suppkey % 3 = 0 as yes, case when s_suppkey % 4 <> 0 then 'because ' || s_suppkey::varchar else 'No reason provided' end as reason, s_suppkey % 7 = 0 as failed from supplier)"
+
+
+@query("f59_verified_orgs", f"""with {ANSWERED} select k as org_key, case when c < 0.9 or not answered or failed then c when yes then least(1.0E0, round(c + 0.2, 3)) else round(c - 0.2, 3) end as third_party_confidence,
+concat_ws('|', was, case when c >= 0.9 and answered then case when failed then 'GPT-4o review failed: timeout' when yes then 'GPT-4o review: confirmed as subservice org (+0.2). Reason: ' || reason else 'GPT-4o review: NOT a subservice org (-0.2). Reason: ' || reason end end) as notes from s""")
+def f59b(spark, d):
+    rows, answers = with_notes(spark, d)
+    out = V.verify_orgs(rows, answers.withColumnRenamed("yes", "is_likely_subservice_org"))
+    return out.select("org_key", "third_party_confidence", F.array_join("confidence_justification", "|").alias("notes"))
+
+
+@query("p21_rejected_orgs", f"with {ANSWERED} select k as org_key, case when answered and not failed and not yes then 0.0E0 else c end as third_party_confidence, concat_ws('|', was, case when answered and not failed and not yes then 'Filtered by GPT: ' || reason end) as notes from s")
+def p21b(spark, d):
+    rows, answers = with_notes(spark, d)
+    out = V.reject_orgs(rows, answers.select("org_key", F.when(F.col("error").isNull(), F.col("yes")).alias("keep"), "reason"))
+    return out.select("org_key", "third_party_confidence", F.array_join("confidence_justification", "|").alias("notes"))
+
+
 @query("f34_org_confidence", """select org_key, third_party_description, round(least(1.0, greatest(0.0, 0.0 + case when org_key % 5 = 0 then -0.8 else 0 end + case when org_key % 5 <> 0 and org_key % 3 = 0 then 0.5 else 0 end + case when org_key % 4 = 0 then 0.2 else -0.1 end
   + case when (org_key % 10)/10.0 > 0.5 then round(0.4 * (org_key % 10)/10.0, 3) else 0 end)), 6) as score from (select distinct org_key, third_party_description from v_orgs)""")
 def f34(spark, d):
@@ -160,6 +188,25 @@ def p18(spark, d):
     return C.low_confidence_notes(view(spark, d, "v_cuecs"))
 
 
+NOTED = "n as (select scan_id, id, cuec_confidence as c, case when id % 4 = 0 then 'seen: LOW Confidence' when id % 4 = 1 then 'fine' end as was from v_cuecs), f as (select *, c < 0.5 and c <> 0 and coalesce(id % 4 <> 0, true) as flagged from n)"
+
+
+def flagged_cuecs(spark, d):
+    was = F.when(F.col("id") % 4 == 0, "seen: LOW Confidence").when(F.col("id") % 4 == 1, "fine")
+    rows = view(spark, d, "v_cuecs").select("scan_id", "id", "cuec_confidence", was.alias("cuec_justification"))
+    return V.flag_low(rows, "cuec_confidence", "cuec_justification", "CUEC")
+
+
+@query("p18_flagged_cuecs", rf"with {NOTED} select id, flagged, case when flagged then coalesce(was, '') || '\nAutomated cleanup: Low confidence CUEC (confidence: ' || printf('%.2f', c) || ')' else was end as cuec_justification from f")
+def p18b(spark, d):
+    return flagged_cuecs(spark, d).select("id", "flagged", "cuec_justification")
+
+
+@query("p18_flag_counts", f"with {NOTED} select scan_id, count(*) filter (flagged) as flagged from f group by 1")
+def p18c(spark, d):
+    return V.flag_counts(flagged_cuecs(spark, d))
+
+
 @query("j06_best_company", "select id, company from (select id, company, row_number() over (partition by id order by company_confidence desc nulls last, company_id desc) as r from v_scans) where r = 1")
 def j06(spark, d):
     return J.best_company(view(spark, d, "v_scans"))
@@ -198,6 +245,13 @@ def w13b(spark, d):
     return J.estimate_or_base(scans)
 
 
+@query("a02_usage_totals", """with m as (select model, count(*) as calls, sum(prompt_tokens) as p, sum(completion_tokens) as c from v_usage group by 1),
+k as (select *, case when model = 'view' then (p * 30.0E0 + c * 60.0E0) / 1e6 else (p * 0.15E0 + c * 0.6E0) / 1e6 end as cost from m)
+select round(sum(cost), 4) as gpt_cost, string_agg(model || ' (' || calls::varchar || ' calls)', ', ' order by model) as gpt_model, sum(calls)::bigint as total_calls, sum(p + c)::bigint as total_tokens from k""")
+def a02b(spark, d):
+    return V.usage_totals(view(spark, d, "v_usage"), spark.createDataFrame([("view", 30.0, 60.0)], "model string, i double, o double"))
+
+
 @query("a02_usage_summary", "select model, count(*) as calls, sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens from v_usage group by rollup(model)")
 def a02(spark, d):
     return J.usage_summary(view(spark, d, "v_usage"))
