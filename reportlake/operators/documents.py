@@ -47,6 +47,20 @@ def line_chunks(lines: DataFrame, size: int, overlap: int) -> DataFrame:
     return spread.groupBy("doc_id", "chunk_id").agg(F.min("line_no").alias("start_line"), text.alias("text"))
 
 
+def guarded_chunks(docs: DataFrame, start_line: int = 1, size: int = 140, overlap: int = 40, guard: int = 8) -> DataFrame:
+    """(doc_id, start_line, text) of each text (doc_id, text): windows of `size` lines that overlap, each with `guard` more at its
+    end so that a conclusion is not cut off; up to the first blank window. Lines are sliced where they are, nothing is
+    shuffled. A null text has no windows, and a start below 1 counts as 1."""
+    step, first = max(1, size - max(0, overlap)), max(1, start_line)
+    ls = F.split(F.coalesce("text", F.lit("")), "\n")
+    starts = F.when(F.size("ls") >= first, F.sequence(F.lit(first), F.size("ls"), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    window = lambda i: F.struct(i.cast("long").alias("start_line"), F.array_join(F.slice("ls", i, size + max(0, guard)), "\n").alias("text"))
+    rows = docs.select("doc_id", ls.alias("ls")).select("doc_id", F.transform(starts, window).alias("ws"))
+    blank = F.array_position(F.transform("ws", lambda w: ~w["text"].rlike(r"\S")), True)
+    kept = F.when(blank > 0, F.slice("ws", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("ws"))
+    return rows.select("doc_id", F.explode(kept).alias("w")).select("doc_id", "w.start_line", "w.text")
+
+
 def char_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     """(doc_id, chunk_id, start, start_line, text): overlapping windows of characters, overlap at most half of size.
 

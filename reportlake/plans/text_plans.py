@@ -65,6 +65,13 @@ def w05(spark, d):
     return D.line_chunks(lines(spark, d), 4, 1).select("doc_id", "chunk_id", "start_line", F.md5("text").alias("hash"))
 
 
+@query("w05_guarded_chunks", r"""with l as (select doc_id, string_split(text, chr(10)) as ls from v_docs), k as (select doc_id, ls, unnest(range(1, len(ls) + 1, 4)) as s from l),
+c as (select doc_id, s as start_line, array_to_string(ls[s:s+6], chr(10)) as text from k), b as (select doc_id, min(start_line) as blank from c where not regexp_matches(text, '\S') group by 1)
+select doc_id, start_line, md5(text) as hash from c left join b using (doc_id) where blank is null or start_line < blank""")
+def w05b(spark, d):
+    return D.guarded_chunks(docs(spark, d), 1, 6, 2, 1).select("doc_id", "start_line", F.md5("text").alias("hash"))
+
+
 @query("w06_char_chunks", "with k as (select doc_id, text, unnest(range(0, greatest(length(text), 1), 800)) as start from v_docs) select doc_id, start // 800 as chunk_id, start, length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1 as start_line, md5(substr(text, start + 1, 1000)) as hash from k")
 def w06(spark, d):
     return D.char_chunks(docs(spark, d), 1000, 200).select("doc_id", "chunk_id", "start", "start_line", F.md5("text").alias("hash"))

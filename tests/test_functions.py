@@ -62,6 +62,15 @@ def test_line_chunks_cover_all_lines(spark):
     assert got[0] == ["l1", "l2", "l3", "l4"] and got[1] == ["l4", "l5", "l6", "l7"] and got[3] == ["l10", "l11"]
 
 
+def test_guarded_chunks_end_at_a_blank_window(spark):
+    ls = [f"l{i}" for i in range(1, 21)]
+    docs = spark.createDataFrame([(1, "\n".join(ls)), (2, "a\n" + "\n" * 19 + "b"), (3, None), (4, ""), (5, "one")], "doc_id long, text string").withColumn("ls", F.lit(0))
+    got = sorted(map(tuple, D.guarded_chunks(docs, 1, 6, 2, 1).collect()))
+    assert got == [(1, s, "\n".join(ls[s - 1 : s + 6])) for s in (1, 5, 9, 13, 17)] + [(2, 1, "a" + "\n" * 6), (5, 1, "one")]
+    assert [r["start_line"] for r in D.guarded_chunks(docs, 15, 6, 2, 1).where("doc_id = 1").collect()] == [15, 19]
+    assert D.guarded_chunks(docs, 99).count() == 0
+
+
 def test_fuzzy_upsert(spark):
     old = spark.createDataFrame([(1, 5, "review access rights", 0.5), (2, 5, "review backups", 0.5)], "id long, scan_id long, text string, confidence double")
     new = spark.createDataFrame([(5, "review acces rights", 0.9), (5, "encrypt disks", 0.9)], "scan_id long, text string, confidence double")
