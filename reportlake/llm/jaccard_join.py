@@ -26,6 +26,8 @@ from .components import components
 from .substring_dedup import WordHashes
 
 SHINGLE, GROUPS, LEAF, FAN, BLOCK = 4, 256, 32, 8, 1024
+#: A sketch has 2^SKETCH to 2^(SKETCH + 1) bits for each shingle, a thirtieth of the set's size or less.
+SKETCH = 1
 HEAVY_LIMIT = 200_000
 BROADCAST_IDS = 1_000_000
 U = np.uint64
@@ -145,9 +147,27 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, percent: int, naming: Naming) -
     return docs.select("text").mapInPandas(run, "shingle long, cls long")
 
 
-def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, naming: Naming) -> DataFrame:
-    """(cls, items) of the wanted classes; items: the sorted set of the class's smallest document. Few ids (counted) are
-    broadcast, so that texts are not shuffled; many are joined. Classes without any id are found by their row's key."""
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of some ranges of hashes, two to four times as many as shingles; set where s has one."""
+    bits = max(3, int(max(len(s), 1) - 1).bit_length()) + SKETCH
+    held = np.zeros(1 << bits, bool)
+    held[(s >> U(64 - bits)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
+def shared_at_most(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """Bound of the overlap of sets with these sketches and sizes: a range that only one of them has is a shingle that the
+    other lacks."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (np.packbits(np.unpackbits(z).reshape(8 * size, -1).any(1)) for z in (a, b))
+    return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+
+
+def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, naming: Naming, form) -> DataFrame:
+    """(cls, items) of the wanted classes; items: the sorted set of the class's smallest document, or its form(set). Few ids
+    (counted) are broadcast, so that texts are not shuffled; many are joined. Classes without any id are found by their row's
+    key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -156,7 +176,7 @@ def loaded(docs: DataFrame, wanted: DataFrame, classes: DataFrame, naming: Namin
             for cls, text in zip(b["cls"].tolist(), b["text"], strict=True):
                 s = shingles(text, hashes, naming.width)
                 if len(s) and class_name(s, naming) == cls:  # a repeated id may bring another text
-                    out.append((cls, s.tobytes()))
+                    out.append((cls, form(s)))
             yield pd.DataFrame(out, columns=["cls", "items"])
 
     ids = written(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("key"), "cls"), "wanted")
@@ -311,7 +331,13 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, naming: Naming) -> DataFrame:
-    """The pairs whose sets really reach the threshold."""
+    """The pairs whose sets really reach the threshold. What travels pair by pair first is a sketch, a fraction of a set; only
+    sets of pairs that it cannot rule out follow."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = [shared_at_most(x, y, nx, ny) >= needed(nx, ny, percent) for x, y, nx, ny in zip(b["ia"], b["ib"], b["na"].tolist(), b["nb"].tolist(), strict=True)]
+            yield b.loc[np.array(good, bool), ["a", "b"]] if len(b) else b[["a", "b"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -322,11 +348,15 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.loc[np.array(good, bool), ["a", "b"]] if len(b) else b[["a", "b"]]
 
+    def met(pairs: DataFrame, form, name: str) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        items = written(loaded(docs, wanted, classes, naming, form).join(classes.select("cls", "n"), "cls"), name)
+        side = lambda k: items.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"i{k}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ia", "ib")
+
     pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = written(loaded(docs, wanted, classes, naming), "sets")
-    side = lambda k: sets.select(F.col("cls").alias(k), F.col("items").alias(f"i{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInPandas(run, "a long, b long").distinct()
+    pairs = written(met(pairs, sketch, "sketches").mapInPandas(near, "a long, b long").distinct(), "near-candidates")
+    return met(pairs, np.ndarray.tobytes, "sets").mapInPandas(run, "a long, b long").distinct()
 
 
 def unlike_buckets(members: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Deduplication, joins, neighbours, surrogates, mixing, BPE and the pipeline against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -165,6 +166,30 @@ def test_neighbours_of_the_given_table(spark):
     assert set(got) == set(ids[ids % 50 == 0].tolist()) and hit / total >= 0.9
 
 
+def test_neighbours_of_outliers_and_tight_clusters(spark):
+    """Every query gets its five, also where cells hold hardly anyone or only each other; copies and an exact tie among them."""
+    rng = np.random.default_rng(12)
+    cone = rng.standard_normal((1500, 24)) * 0.05 + 1.0
+    cone[[50, 100]] = -1.0 + rng.standard_normal((2, 24)) * 0.05  # two on the other side
+    tight = [rng.standard_normal(24) for _ in range(3)]
+    for c, t in enumerate(tight):
+        for i in range(3 + c * 4):
+            cone[200 + 50 * c + i] = t + rng.standard_normal(24) * 1e-4
+    cone[[400, 401, 402, 403]] = cone[400]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(cone)] + [(5000, [1.0, 2.0]), (5050, [2.0, 1.0]), (6000, [1.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(x) for q, x in got.items()} == dict.fromkeys(range(0, 1500, 50), 5) | {5000: 1, 5050: 1}
+    unit = cone / np.linalg.norm(cone, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 1500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(set(np.lexsort((np.arange(1500), -np.round(s, 12)))[:5].tolist()) & set(got[q]))
+    assert hit / 150 >= 0.9 and 100 in got[50] and 50 in got[100] and set(got[400]) >= {401, 402, 403}
+
+
 def test_neighbours_of_huge_and_tiny_vectors(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((60, 8))
@@ -306,11 +331,16 @@ def test_pipeline_by_brute_force(spark):
             assert frame.columns == pipeline.COLUMNS
     kept = {r["doc_id"]: r["text"] for r in steps["quality_classifier"].collect()}
     single = {r["doc_id"] for r in steps["jaccard_join"].collect()}
-    grams = {d: frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) for d, t in kept.items() if (w := [x.lower() for x in words(t)])}
-    for d in set(grams) - single:
-        assert any(e < d and 100 * len(grams[d] & grams[e]) >= 85 * len(grams[d] | grams[e]) for e in grams) or d in single
-    for d in single & set(grams):
-        assert not any(e < d and e in single and 100 * len(grams[d] & grams[e]) >= 85 * len(grams[d] | grams[e]) for e in grams)
+    grams = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, t in kept.items() if (w := [x.lower() for x in words(t)])}
+    first = {d: d for d in kept}
+    changed = True
+    while changed:
+        changed = False
+        for d, e in itertools.combinations(sorted(grams), 2):
+            if first[d] != first[e] and 100 * len(grams[d] & grams[e]) >= 80 * len(grams[d] | grams[e]):
+                first[d] = first[e] = min(first[d], first[e])
+                changed = True
+    assert single == set(first.values()) and len(single) < len(kept)
     masked = {r["doc_id"]: r["text"] for r in steps["pii_surrogates"].collect()}
     assert set(masked) == single and {r["doc_id"] for r in steps["mixing"].collect()} == single
     lib = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
@@ -355,3 +385,16 @@ def test_jaccard_links_through_rows_without_an_id(spark):
     pairs, per_row = jaccard_join.jaccard_links(df, percent=90)
     assert sorted(r["n_links"] for r in per_row.collect()) == sorted([links(i) for i in range(len(grams))] + [0])
     assert sum(r["rows_a"] * r["rows_b"] for r in pairs.collect()) + 1 == sum(map(links, range(len(grams)))) // 2
+
+
+def test_sketches_rule_out_no_overlap():
+    rng = np.random.default_rng(2)
+    for n, m, both in [(1, 1, 0), (1, 1, 1), (7, 9, 5), (100, 120, 90), (3000, 2500, 2400), (5000, 5000, 3500)]:
+        for _ in range(5):
+            own = np.unique(rng.integers(0, 1 << 64, n + m - both, dtype=np.uint64))
+            rng.shuffle(own)
+            s, t = np.sort(own[:n]), np.sort(own[n - both :])
+            bound = jaccard_join.shared_at_most(jaccard_join.sketch(s), jaccard_join.sketch(t), len(s), len(t))
+            assert both <= bound == jaccard_join.shared_at_most(jaccard_join.sketch(t), jaccard_join.sketch(s), len(t), len(s))
+            if n > 1000:
+                assert bound < both + 0.45 * (min(n, m) - both)
