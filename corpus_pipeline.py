@@ -33,9 +33,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = groups.where("key <> first_key").select("key").distinct()
     nameless = F.col("doc_id").isNull() & (F.btrim(text_or_empty(F.col("text")), F.lit(BLANKS)) == "")
     kept = docs.where(~nameless).withColumn("key", jaccard_join.row_key()).join(gone, "key", "left_anti")
-    # of rows of equal id and text the one of the least other columns stays
-    kept = kept.groupBy("key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")).select("row.*")
-    return kept.select(*COLUMNS).unionByName(docs.where(nameless))
+    # of rows of equal id and text the one of the least other columns stays; only texts whose key repeats are dealt by it
+    again = written(kept.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "repeated-keys")
+    one = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")).select("row.*")
+    kept = kept.join(again, "key", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
+    return kept.unionByName(docs.where(nameless))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
