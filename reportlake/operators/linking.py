@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -53,19 +54,25 @@ def grams(x: str, q: int) -> list[int]:
     return out
 
 
-def offered(x: str, q: int, least: float, common: dict[int, int]) -> list[int]:
-    """The grams by which x can be found, rarest first."""
-    la = len(x)
-    low = math.ceil(la * least / (2 - least) - 1e-9)
-    high = math.floor(la * (2 - least) / least + 1e-9)
+@lru_cache(maxsize=4096)
+def prefixes(la: int, q: int, least: float) -> tuple[int | None, int | None]:
+    """Of a text of this length: how many grams of q, and of 1, a pair needs to share at least, over all lengths of the other
+    text; None if no pair is found by them. Rounding makes the needs rise and fall with the other length, so each is looked at."""
+    low, high = math.ceil(la * least / (2 - least) - 1e-9), math.floor(la * (2 - least) / least + 1e-9)
+    needs = [(shared_grams(la, lb, q, least), shared_grams(la, lb, 1, least)) for lb in range(low, high + 1)]
+    long = [n for n, _ in needs if n >= 1 and q > 1]
+    short = [one for n, one in needs if n < 1 or q == 1]
+    return min(long, default=None), min(short, default=None)
 
-    def prefix(size: int) -> list[int]:
-        own = sorted(grams(x, size), key=lambda g: (common.get(g, 0), g))
-        return own[: len(own) - max(1, shared_grams(la, low, size, least)) + 1]
 
-    long = prefix(q) if q > 1 and shared_grams(la, high, q, least) >= 1 else []
-    short = prefix(1) if q == 1 or shared_grams(la, low, q, least) < 1 else []
-    return long + short
+def offered(x: str, q: int, least: float, common: dict[int, int]) -> list[int]:
+    """The grams by which x can be found, rarest first."""
+    out = []
+    for size, need in zip((q, 1), prefixes(len(x), q, least), strict=True):
+        if need is not None:
+            own = sorted(grams(x, size), key=lambda g: (common.get(g, 0), g))
+            out += own[: len(own) - max(1, need) + 1]
+    return out
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:

@@ -3,11 +3,15 @@
 from reportlake.operators import headings as H
 
 
-def test_boundary_chunks_lose_nothing():
-    text = "One sentence here. Another one follows.\n\nA paragraph " + "x" * 70 + " end"
-    pieces = list(H.boundary_cut(text, 40, 15))
-    assert "".join(pieces) == text and all(0 < len(p) <= 40 for p in pieces)
-    assert list(H.boundary_cut("", 10, 5)) == []
+def test_boundary_chunks_lose_nothing(spark):
+    text = "One sentence here. Another one follows.\n\nA paragraph " + "x" * 700 + " end"
+    pieces = H.boundary_chunks(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"), 300, 50).orderBy("chunk_id").collect()
+    assert {p["doc_id"] for p in pieces} == {1} and all(0 < len(p["text"]) <= 300 for p in pieces)
+    whole = ""
+    for p in pieces:
+        assert text[p["start"] :].startswith(p["text"]) and p["start"] <= len(whole)
+        whole = whole[: p["start"]] + p["text"]
+    assert whole == text
 
 
 def test_repeated_edge_lines(spark):

@@ -29,6 +29,18 @@ def test_gram_index_loses_no_pair(spark, least):
     assert all(r["sim"] == ratio(r["text"], r["matched"]) for r in got)
 
 
+@pytest.mark.parametrize("least", [0.5, 0.65, 0.72, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0])
+def test_offers_meet_for_all_alike(least):
+    """The index itself, without Spark, over many short and long texts."""
+    rng = random.Random(int(least * 100))
+    q = L.gram_size(least)
+    texts = sorted({t.strip().lower() for t in mixed_texts(rng, 400)} - {""})
+    offers = {t: set(L.offered(t, q, least, {})) for t in texts}
+    for a, b in combinations(texts, 2):
+        assert offers[a] & offers[b] or ratio(a, b) < least
+    assert all(offers.values())
+
+
 def test_gram_index_spares_pairs():
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(300)]

@@ -4,13 +4,14 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from reportlake.operators import islands
 from reportlake.operators import scoring as K
 
 
 def test_merge_continuations(spark):
     rows = [(1, 1, "A", "x", True, 3, 0.8), (1, 2, "", "y", False, 5, 0.4), (1, 3, "A", "z", False, 6, 0.2), (1, 4, "B", "q", False, 7, 1.0), (2, 1, None, None, None, 1, 0.5)]
     df = spark.createDataFrame(rows, "scan_id long, pos long, control_id string, body string, continues boolean, end_line long, confidence double")
-    got = {(r["scan_id"], r["pos"]): (r["control_id"], r["body"], r["end_line"], round(r["confidence"], 6)) for r in K.merge_continuations(df).collect()}
+    got = {(r["scan_id"], r["pos"]): (r["control_id"], r["body"], r["end_line"], round(r["confidence"], 6)) for r in islands.merge_continuations(df).collect()}
     assert got == {(1, 1): ("A", "x y z", 6, 0.4), (1, 4): ("B", "q", 7, 1.0), (2, 1): ("", "", 1, 0.5)}
 
 
