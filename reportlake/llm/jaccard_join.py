@@ -26,7 +26,7 @@ from .components import components
 from .substring_dedup import WordHashes
 
 SHINGLE, GROUPS, LEAF, FAN, BLOCK = 4, 256, 32, 8, 1024
-#: A sketch has 2^SKETCH to 2^(SKETCH + 1) bits for each shingle, a thirtieth of the set's size or less.
+#: A sketch has 2^SKETCH to 2^(SKETCH + 1) bits for each shingle, a sixteenth of the set's size or less.
 SKETCH = 1
 HEAVY_LIMIT = 200_000
 BROADCAST_IDS = 1_000_000
