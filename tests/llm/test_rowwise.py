@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from reportlake.llm import classifier, license_scan, quality_rules, reply_trees
+from reportlake.llm import classifier, license_scan, quality_rules, queries, reply_trees
 
 
 def test_quality_rules(docs, none):
@@ -98,6 +98,19 @@ def test_long_chain_round_trip(spark):
     assert reply_trees.reply_trees(reply_trees.chain_nodes(df.limit(0))).count() == 0
 
 
+def test_turn_digests_end_each_turn_with_a_line_feed(spark, tmp_path):
+    rows = [(1, 1, "assistant", "b\n"), (1, 0, "user", None), (1, 2, "assistant", ""), (2, 0, "assistant", "<|end|> &lt; \U0001f600")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    fixed = "</s>[INST] ok [/INST]"
+    want = {-1: ([("user", fixed), ("assistant", fixed)]), 1: [("user", ""), ("assistant", "b\n"), ("assistant", "")], 2: [("assistant", rows[3][3])]}
+    out = {r["conv_id"]: r for r in queries.op3_reply_trees(spark, str(tmp_path)).collect()}
+    assert set(out) == set(want)
+    for conv, turns in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        own = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{role}\n{t}\n" for role, t in turns), loss)]
+        assert [out[conv][c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")] == [len(turns), own[0], len(loss), own[1]]
+
+
 def test_classifier_held_out_accuracy(spark):
     good = [(i, " ".join(f"word{(i * 31 + k * 7) % 997}" for k in range(40 + i % 50)), 1) for i in range(240)]
     bad = [(1000 + i, f"BUY### NOW$$$ {i}!! " * 12, 0) for i in range(60)]
