@@ -190,6 +190,24 @@ def test_neighbours_of_outliers_and_tight_clusters(spark):
     assert hit / 150 >= 0.9 and 100 in got[50] and 50 in got[100] and set(got[400]) >= {401, 402, 403}
 
 
+def test_neighbours_among_near_copies(spark):
+    """Cosines that single precision takes for equal."""
+    rng = np.random.default_rng(0)
+    v = np.repeat(rng.standard_normal((15, 64)), 60, 0) + rng.standard_normal((900, 64)) * 1e-5
+    v = v[rng.permutation(900)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 900, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert hit / 90 >= 0.95
+
+
 def test_neighbours_of_huge_and_tiny_vectors(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((60, 8))
