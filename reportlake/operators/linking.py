@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(packs: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of packs, written and dealt to as many tasks as there are pairs, up to 2,000. Packs are few bytes and much work, so
+    Spark would put very many into one task if it were left to choose the number by size."""
+    held = written(packs, "packs")
+    return held.repartition(max(1, min(held.count(), 2000)), *keys)
+
+
 def gram_size(least: float) -> int:
     return 3 if least >= 0.9 else 2 if least >= 0.72 else 1
 

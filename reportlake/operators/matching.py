@@ -36,7 +36,7 @@ def alike_pairs(left: DataFrame, right: DataFrame, key: str, least: float) -> Da
                 if found:
                     yield pd.DataFrame(found, columns=[key, "text", "matched", "sim"])
 
-    met = packed(left, "text", "ls").join(packed(right, "matched", "rs"), key).repartition(key, "ls_no", "rs_no").select(key, "ls", "rs")
+    met = linking.apart(packed(left, "text", "ls").join(packed(right, "matched", "rs"), key), key, "ls_no", "rs_no").select(key, "ls", "rs")
     return met.mapInPandas(run, f"{key} {left.schema[key].dataType.simpleString()}, text string, matched string, sim double")
 
 
@@ -71,43 +71,71 @@ SPACE = " \t\n\r\x0b\x0c"
 def best_windows(bad: DataFrame, lines: DataFrame, least: float, joined: int = 3) -> DataFrame:
     """(doc_id, text, matched, sim) of the best run of 1 to `joined` lines for each text: over `least`, ties to the earlier
     and then the shorter run. bad: doc_id, text. lines: doc_id, line_no, line. A document's lines go in packs of PACK with the
-    few lines that runs reach into; runs are only put together where they are compared."""
-    texts = bad.where(F.btrim("text", F.lit(SPACE)) != "").select("doc_id", "text").distinct()
+    few lines that runs reach into. Texts equal to a run but for case meet it in a join; only the others are compared with all
+    runs of their document, which are put together where they are compared."""
+    kind = bad.schema["doc_id"].dataType.simpleString()
+    texts = linking.written(bad.where(F.btrim("text", F.lit(SPACE)) != "").select("doc_id", "text").distinct(), "bad-texts")
     sizes = texts.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
-    left = texts.join(sizes, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("text"), "packs").alias("left_no")).agg(F.collect_list("text").alias("ls"))
     pack = F.floor(F.col("line_no") / PACK)
     # a line is also the tail of the pack before it
     packs = F.when(F.col("line_no") % PACK < joined - 1, F.array(pack, pack - 1)).otherwise(F.array(pack))
     right = lines.where("line is not null").join(sizes.select("doc_id"), "doc_id", "left_semi").select("doc_id", "line_no", "line", F.explode(packs).alias("pack"))
     right = right.groupBy("doc_id", "pack").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rs"))
 
+    right = linking.written(right, "line-packs")
+
+    def runs_of(no: int, rs) -> list[tuple[int, int, str]]:
+        """(line_no, n, text) of the runs that begin in pack `no`."""
+        own, at = [(r["line_no"], r["line"].strip()) for r in rs], []
+        for i, (line_no, _) in enumerate(own):
+            if line_no // PACK == no:
+                for n in range(1, joined + 1):
+                    # a run ends at a gap in the numbers
+                    if i + n <= len(own) and own[i + n - 1][0] == line_no + n - 1:
+                        text = " ".join(t for _, t in own[i : i + n]).replace("\n", " ").strip()
+                        if text:
+                            at.append((line_no, n, text))
+        return at
+
+    plain = lambda x: x.strip().replace("\n", " ")
+    low = lambda x: x.strip().lower()
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [plain(x) for x in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "plain": texts, "low": [low(x) for x in texts]})
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, no, rs in zip(b["doc_id"], b["pack"], b["rs"], strict=True):
+                rows = [(doc, low(text), -line_no, -n, text) for line_no, n, text in runs_of(no, rs)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "low", "before", "fewer", "matched"])
+
+    exact = (F.col("plain") == F.col("matched")).alias("exact")
+    keyed = texts.mapInPandas(spelled, f"doc_id {kind}, text string, plain string, low string").where(F.lit(least < 1))
+    runs = linking.apart(right, "doc_id", "pack").mapInPandas(put_together, f"doc_id {kind}, low string, before long, fewer long, matched string")
+    equal = keyed.join(runs, ["doc_id", "low"]).groupBy("doc_id", "text").agg(F.max(F.struct(exact, F.lit(1.0).alias("sim"), "before", "fewer", "matched")).alias("b"))
+    equal = linking.written(equal, "equal-runs")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, no, ls, rs in zip(b["doc_id"], b["pack"], b["ls"], b["rs"], strict=True):
-                own = [(r["line_no"], r["line"].strip()) for r in rs]
-                at = []
-                for i, (line_no, _) in enumerate(own):
-                    if line_no // PACK == no:
-                        for n in range(1, joined + 1):
-                            # a run ends at a gap in the numbers
-                            if i + n <= len(own) and own[i + n - 1][0] == line_no + n - 1:
-                                text = " ".join(t for _, t in own[i : i + n]).replace("\n", " ").strip()
-                                if text:
-                                    at.append((line_no, n, text))
-                plain = [x.strip().replace("\n", " ") for x in ls]
+                at = runs_of(no, rs)
                 best: dict[int, tuple] = {}
-                for i, j, sim in alike(plain, [t for _, _, t in at], least):
+                for i, j, sim in alike([plain(x) for x in ls], [t for _, _, t in at], least):
                     line_no, n, text = at[j]
-                    exact = plain[i] == text
-                    best[i] = max(best.get(i, ()), (exact, sim, -line_no, -n, text))
-                rows = [(doc, ls[i], *x) for i, x in best.items() if x[1] > least]
+                    best[i] = max(best.get(i, ()), (sim, -line_no, -n, text))
+                rows = [(doc, ls[i], False, *x) for i, x in best.items() if x[0] > least]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "text", "exact", "sim", "before", "fewer", "matched"])
 
-    kind = bad.schema["doc_id"].dataType.simpleString()
-    met = left.join(right, "doc_id").repartition("doc_id", "left_no", "pack").select("doc_id", "pack", "ls", "rs")
+    rest = texts.join(equal, ["doc_id", "text"], "left_anti")
+    left = rest.join(rest.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs")), "doc_id")
+    left = left.groupBy("doc_id", F.pmod(F.xxhash64("text"), "packs").alias("left_no")).agg(F.collect_list("text").alias("ls"))
+    met = linking.apart(left.join(right, "doc_id"), "doc_id", "left_no", "pack").select("doc_id", "pack", "ls", "rs")
     found = met.mapInPandas(run, f"doc_id {kind}, text string, exact boolean, sim double, before long, fewer long, matched string")
-    best = found.groupBy("doc_id", "text").agg(F.max(F.struct("exact", "sim", "before", "fewer", "matched")).alias("b"))
+    best = found.groupBy("doc_id", "text").agg(F.max(F.struct("exact", "sim", "before", "fewer", "matched")).alias("b")).unionByName(equal)
     return best.select("doc_id", "text", "b.matched", "b.sim", "b.exact")
 
 

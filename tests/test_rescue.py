@@ -80,3 +80,16 @@ def test_recovered_rows(spark):
         (1, duty + ".", 0.6, "recovered_from_output_txt", "Recovered from output.txt with 100.0% fuzzy match"),
         (2, duty + " and for telling the service desk of it", 0.6, "recovered_from_output_txt", "Recovered from output.txt with 97.0% fuzzy match"),
     ]
+
+
+def test_texts_equal_to_a_run_are_not_compared(spark, monkeypatch):
+    """They meet it in a join, whatever their case; the similarity sees the others only."""
+    lines = [(1, k, f"User entities should review the access of user {k}.") for k in range(40)]
+    bad = [(1, lines[3][2]), (1, lines[5][2].upper()), (1, lines[8][2] + " " + lines[9][2]), (1, lines[11][2][2:])]
+    shape = "doc_id long, line_no long, line string"
+    found = {r["text"]: r for r in X.best_windows(spark.createDataFrame(bad, "doc_id long, text string"), spark.createDataFrame(lines, shape), 0.7).collect()}
+    assert [(found[t]["exact"], found[t]["matched"]) for _, t in bad[:3]] == [(True, bad[0][1]), (False, lines[5][2]), (True, bad[2][1])]
+    assert found[bad[3][1]]["matched"] == lines[11][2] and found[bad[3][1]]["sim"] < 1
+    monkeypatch.setattr(X, "alike", lambda *a: 1 / 0)
+    same = X.best_windows(spark.createDataFrame(bad[:3], "doc_id long, text string"), spark.createDataFrame(lines, shape), 0.7).collect()
+    assert sorted(r["text"] for r in same) == sorted(t for _, t in bad[:3])
