@@ -43,36 +43,56 @@ def common_subsequences(a: str, codes: np.ndarray, where: dict[str, int]) -> np.
     return len(a) - np.bitwise_count(row).astype(np.int64)
 
 
-def alike(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int, float]]:
-    """(i, j, ratio) of all pairs of at least this ratio, `least` being positive. Three upper bounds of the ratio, by
-    lengths, by common characters and by the longest common subsequence, spare most pairs the ratio itself."""
-    a, b = ([(x or "").strip().lower() for x in side] for side in (left, right))
-    size = np.array([len(x) for x in b], np.int64)
-
+class Texts:
+    """Texts, stripped and in lower case, that many others are compared with."""
+
+    def __init__(self, texts: list[str]):
+        self.own = [(x or "").strip().lower() for x in texts]
+        self.size = np.array([len(x) for x in self.own], np.int64)
+        self.bags = np.array([self.bag(x) for x in self.own]).reshape(-1, 64).astype(np.int32)
+        short = np.flatnonzero(self.size <= 128)
+        self.where = {ch: k for k, ch in enumerate(sorted(set("".join(self.own[j] for j in short))), 1)}
+        self.codes = np.zeros((len(self.own), int(self.size[short].max(initial=0))), np.int32)
+        for j in short:
+            self.codes[j, : self.size[j]] = [self.where[ch] for ch in self.own[j]]
+
+    @staticmethod
     def bag(x: str) -> np.ndarray:
         return np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
 
-    bags = np.array([bag(x) for x in b]).reshape(-1, 64).astype(np.int32)
-    short = np.flatnonzero(size <= 128)
-    where = {ch: k for k, ch in enumerate(sorted(set("".join(b[j] for j in short))), 1)}
-    codes = np.zeros((len(b), int(size[short].max(initial=0))), np.int32)
-    for j in short:
-        codes[j, : size[j]] = [where[ch] for ch in b[j]]
-    for i, x in enumerate(a):
+    def near(self, x: str, least: float) -> Iterator[int]:
+        """Places of texts whose ratio with x may be `least` or more. Three upper bounds of the ratio, by lengths, by common
+        characters and by the longest common subsequence, spare most pairs the ratio itself."""
         if not x:
-            continue
-        need = least * (len(x) + size) / 2 - 1e-6
-        j = np.flatnonzero((np.minimum(len(x), size) >= need) & (size > 0))
-        j = j[np.minimum(bag(x), bags[j]).sum(1) >= need[j]]
-        if len(j) >= 8 and len(x) <= 64 and (size[j] <= 128).all():
-            j = j[common_subsequences(x, codes[j], where) >= need[j]]
+            return
+        need = least * (len(x) + self.size) / 2 - 1e-6
+        j = np.flatnonzero((np.minimum(len(x), self.size) >= need) & (self.size > 0))
+        if len(j):
+            j = j[np.minimum(self.bag(x), self.bags[j]).sum(1) >= need[j]]
+        if len(j) >= 8 and len(x) <= 64 and (self.size[j] <= 128).all():
+            j = j[common_subsequences(x, self.codes[j], self.where) >= need[j]]
         for k in j.tolist():
-            if x == b[k]:
+            if x == self.own[k] or common_subsequence(x, self.own[k]) >= need[k]:
+                yield k
+
+
+def alike(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of all pairs of at least this ratio, `least` being positive."""
+    others = Texts(right)
+    for i, x in enumerate((x or "").strip().lower() for x in left):
+        for k in others.near(x, least):
+            if x == others.own[k]:
                 yield i, k, 1.0
-            elif common_subsequence(x, b[k]) >= need[k] and (sim := SequenceMatcher(None, x, b[k]).ratio()) >= least:
+            elif (sim := SequenceMatcher(None, x, others.own[k]).ratio()) >= least:
                 yield i, k, sim
 
 
+def any_alike(left: list[str], right: list[str], over: float) -> list[bool]:
+    """Whether each text of left has a ratio of more than `over` (0 or more) with any of right; the first one found ends the search."""
+    others = Texts(right)
+    return [any(SequenceMatcher(None, x, others.own[k]).ratio() > over for k in others.near(x, over)) for x in ((x or "").strip().lower() for x in left)]
+
+
 def indel(a: str | None, b: str | None) -> float:
     """100 * (1 - insertions and deletions / total length); 100 for two empty strings."""
     x, y = a or "", b or ""

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
-from reportlake.functions.similarity import seq_ratio
+from reportlake.functions.similarity import any_alike
+
+from . import linking
+from .spellings import found_spellings
+
+#: Texts, or companies, of a report that are compared in one go.
+PACK = 1024
 
 #: Words that tell infrastructure providers and tools.
 INFRASTRUCTURE = ["infrastructure", "cloud hosting", "colocation", "data center", "iaas", "paas"]
@@ -58,23 +67,62 @@ GENERIC_WORDS = [
 ALIKE = 0.85
 
 
+def own_named(texts: DataFrame, companies: DataFrame, alike: float | None = None) -> DataFrame:
+    """(scan_id, text), each once, of texts (scan_id, text) that hold a company of their report (companies: scan_id, company) or
+    are more than `alike` similar to one; None leaves the similarity out. Case counts for holding only.
+
+    Companies are looked for by one automaton of all of them, so a text is read once however many there are. Only texts that
+    hold none are compared, in packs of a report's texts and companies, each up to the first company that is alike.
+    """
+    told = linking.written(texts.where("scan_id is not null and text <> ''").select("scan_id", "text").distinct(), "told")
+    own = linking.written(companies.where("scan_id is not null and company <> ''").select("scan_id", "company").distinct(), "companies")
+    found = found_spellings(told.select(F.col("text").alias("doc_id"), "text").distinct(), own.select(F.col("company").alias("spelling"), F.lit(False).alias("whole")))
+    held = found.select(F.col("doc_id").alias("text"), F.col("spelling").alias("company")).join(told, "text").join(own, ["scan_id", "company"], "left_semi").select("scan_id", "text").distinct()
+    if alike is None:
+        return held
+    held = linking.written(held, "held")
+
+    def packed(df: DataFrame, column: str, name: str) -> DataFrame:
+        packs = df.groupBy("scan_id").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
+        return df.join(packs, "scan_id").groupBy("scan_id", F.pmod(F.xxhash64(column), "packs").alias(f"{name}_no")).agg(F.collect_list(column).alias(name))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for scan, ls, rs in zip(b["scan_id"], b["ls"], b["rs"], strict=True):
+                hits = [(scan, x) for x, hit in zip(ls, any_alike(list(ls), list(rs), alike), strict=True) if hit]
+                if hits:
+                    yield pd.DataFrame(hits, columns=["scan_id", "text"])
+
+    met = packed(told.join(held, ["scan_id", "text"], "left_anti"), "text", "ls").join(packed(own, "company", "rs"), "scan_id")
+    met = linking.apart(met, "scan_id", "ls_no", "rs_no").select("scan_id", "ls", "rs")
+    near = met.mapInPandas(run, f"scan_id {told.schema['scan_id'].dataType.simpleString()}, text string")
+    return held.unionByName(near.distinct())
+
+
+def with_own(rows: DataFrame, named: DataFrame, mark: str) -> DataFrame:
+    """rows (with scan_id, _name, _desc) with a boolean `mark`: whether named (scan_id, text) has the name or the description."""
+    by = lambda c, m: named.select("scan_id", F.col("text").alias(c), F.lit(True).alias(m))
+    met = rows.join(by("_name", "_n"), ["scan_id", "_name"], "left").join(by("_desc", "_d"), ["scan_id", "_desc"], "left")
+    return met.withColumn(mark, F.coalesce("_n", "_d", F.lit(False))).drop("_n", "_d")
+
+
+def names_and_descriptions(rows: DataFrame) -> DataFrame:
+    return rows.select("scan_id", F.col("_name").alias("text")).unionByName(rows.select("scan_id", F.col("_desc").alias("text")))
+
+
 def heuristic_excluded(orgs: DataFrame, companies: DataFrame, words: list[str] = GENERIC_WORDS, alike: float = ALIKE) -> DataFrame:
     """orgs with `excluded`: a generic word in name or description, or one of the report's own names (companies: scan_id,
     company) contained in one of them or more than `alike` similar to it. Excluded rows stay, with confidence 0.
 
-    Names and descriptions are compared with the one or two companies of their report, each distinct pair once.
+    Each distinct name and each distinct description of a report is looked at once.
     """
     name, desc = (F.lower(F.coalesce(c, F.lit(""))) for c in ("third_party_name", "third_party_description"))
-    own = companies.where(F.coalesce("company", F.lit("")) != "").select("scan_id", F.lower("company").alias("_company")).distinct()
-    told = orgs.select("scan_id", name.alias("_name"), desc.alias("_desc")).distinct()
-    told = told.withColumn("_generic", T.any_of(F.col("_name"), words) | T.any_of(F.col("_desc"), words))
-    met = told.where("not _generic").join(own, "scan_id")
-    inside = F.contains("_name", F.col("_company")) | F.contains("_desc", F.col("_company"))
-    near = (seq_ratio(F.col("_company"), F.col("_name")) > alike) | (seq_ratio(F.col("_company"), F.col("_desc")) > alike)
-    self_named = met.where(inside | near).select("scan_id", "_name", "_desc").distinct().withColumn("_self", F.lit(True))
-    marks = told.join(self_named, ["scan_id", "_name", "_desc"], "left").select("scan_id", "_name", "_desc", (F.col("_generic") | F.coalesce("_self", F.lit(False))).alias("excluded"))
-    rows = orgs.withColumn("_name", name).withColumn("_desc", desc).join(marks, ["scan_id", "_name", "_desc"]).drop("_name", "_desc")
-    return rows.withColumn("third_party_confidence", F.when(F.col("excluded"), 0.0).otherwise(F.col("third_party_confidence")))
+    own = companies.select("scan_id", F.lower("company").alias("company"))
+    rows = orgs.withColumn("_name", name).withColumn("_desc", desc)
+    rows = rows.withColumn("_generic", T.any_of(F.col("_name"), words) | T.any_of(F.col("_desc"), words))
+    marked = with_own(rows, own_named(names_and_descriptions(rows.where("not _generic")), own, alike), "_self")
+    marked = marked.withColumn("excluded", F.col("_generic") | F.col("_self")).drop("_name", "_desc", "_generic", "_self")
+    return marked.withColumn("third_party_confidence", F.when(F.col("excluded"), 0.0).otherwise(F.col("third_party_confidence")))
 
 
 def mark_common(orgs: DataFrame, common: DataFrame) -> DataFrame:
@@ -97,19 +145,16 @@ def mark_self_orgs(orgs: DataFrame, companies: DataFrame, alike: float | None =
     bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[.,]", "")
     own = orgs if "likely_so" in orgs.columns else orgs.withColumn("likely_so", F.lit(None).cast("string"))
     own = own.withColumn("_name", bare(F.col("third_party_name"))).withColumn("_desc", bare(F.col("third_party_description")))
-    named = companies.select("scan_id", F.trim(F.regexp_replace(bare(F.col("company")), rf"\b({T.LEGAL_FORMS})\b", "")).alias("_company")).where("_company <> ''").distinct()
-    met = own.select("scan_id", "_name", "_desc").distinct().join(named, "scan_id")
-    said = F.contains("_name", "_company") | F.contains("_desc", "_company")
-    if alike is not None:
-        said = said | (seq_ratio("_company", "_name") > alike) | (seq_ratio("_company", "_desc") > alike)
-    hit = met.where(said).select("scan_id", "_name", "_desc").distinct().withColumn("_hit", F.lit(True))
-    return own.join(hit, ["scan_id", "_name", "_desc"], "left").withColumn("likely_so", F.when(F.col("_hit"), "No").otherwise(F.col("likely_so"))).drop("_name", "_desc", "_hit")
+    named = companies.select("scan_id", F.trim(F.regexp_replace(bare(F.col("company")), rf"\b({T.LEGAL_FORMS})\b", "")).alias("company"))
+    marked = with_own(own, own_named(names_and_descriptions(own), named, alike), "_hit")
+    return marked.withColumn("likely_so", F.when(F.col("_hit"), "No").otherwise(F.col("likely_so"))).drop("_name", "_desc", "_hit")
 
 
 def drop_self_references(orgs: DataFrame, companies: DataFrame) -> DataFrame:
-    """companies: (scan_id, company), one or two names per report, so the join by report stays small."""
-    own = companies.select(F.col("scan_id").alias("cs"), F.lower("company").alias("cname")).where("cname <> ''").distinct()
-    return orgs.join(own, (F.col("scan_id") == F.col("cs")) & F.lower("third_party_name").contains(F.col("cname")), "left_anti")
+    """orgs without those whose name holds a company of their report (companies: scan_id, company), in any case."""
+    rows = orgs.withColumn("_low", F.lower("third_party_name"))
+    held = own_named(rows.select("scan_id", F.col("_low").alias("text")), companies.select("scan_id", F.lower("company").alias("company")))
+    return rows.join(held.withColumnRenamed("text", "_low"), ["scan_id", "_low"], "left_anti").select(orgs.columns)
 
 
 def apply_keep_verdict(orgs: DataFrame, verdicts: DataFrame) -> DataFrame:
