@@ -89,6 +89,8 @@ def export_tables(controls: DataFrame, cuecs: DataFrame, orgs: DataFrame | None
 
 #: First row of a sheet's data, and the line between confident and other organizations.
 FIRST_ROW, LOW_MARK = 9, "--- Low Confidence Orgs ---"
+#: Rows of the organization sheets that one task puts in order.
+PART_ROWS = 250_000
 
 
 def export_orgs(orgs: DataFrame, least: float = 0.7) -> DataFrame:
@@ -98,8 +100,17 @@ def export_orgs(orgs: DataFrame, least: float = 0.7) -> DataFrame:
     c = F.coalesce("third_party_confidence", F.lit(0.0))
     low = c < least
     own = orgs.select("scan_id", low.alias("low"), "org_key", F.coalesce("third_party_name", F.lit("")).alias("name"), F.coalesce("third_party_description", F.lit("")).alias("description"), F.round(F.nullif(c, F.lit(0.0)), 2).alias("confidence"))
-    order = Window.partitionBy("scan_id").orderBy("low", "org_key", "name", "description", "confidence")
-    placed = own.withColumn("no", F.row_number().over(order)).withColumn("high", F.count_if(~F.col("low")).over(Window.partitionBy("scan_id")))
+    # a report may hold very many: rows are dealt by ranges of the order, numbered in their part, and moved on by the parts before
+    order = ["low", "org_key", "name", "description", "confidence"]
+    path = scratch(orgs.sparkSession, "sheet-parts")
+    own.repartitionByRange(max(1, -(-own.count() // PART_ROWS)), "scan_id", *order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = orgs.sparkSession.read.parquet(path)
+    sizes = dealt.groupBy("scan_id", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("low")).alias("some"))
+    whole = Window.partitionBy("scan_id")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("scan_id").alias("_scan"), F.col("part").alias("_part"), before.alias("before"), F.sum("some").over(whole).alias("high"))
+    within = dealt.withColumn("k", F.row_number().over(Window.partitionBy("scan_id", "part").orderBy(*order)))
+    placed = within.join(sizes, F.col("scan_id").eqNullSafe(F.col("_scan")) & (F.col("part") == F.col("_part"))).withColumn("no", F.col("before") + F.col("k"))
     gap = F.when(F.col("low"), 2).otherwise(0)
     rows = placed.select("scan_id", (F.lit(FIRST_ROW - 1) + F.col("no") + gap).cast("long").alias("row"), "name", "description", "confidence")
     marks = placed.where("low").groupBy("scan_id").agg(F.min(F.lit(FIRST_ROW + 1) + F.col("high")).cast("long").alias("row"))
