@@ -100,6 +100,53 @@ def indel(a: str | None, b: str | None) -> float:
     return 100.0 * 2 * common_subsequence(x, y) / total if total else 100.0
 
 
+def gram_bags(texts: list[str], q: int, size: int) -> np.ndarray:
+    """How often each text has grams of q characters, by hash in `size` places; a row a text."""
+    out = np.zeros((len(texts), size), np.int32)
+    for k, x in enumerate(texts):
+        code = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(code) >= q:
+            out[k] = np.bincount((code if q == 1 else code[:-1] * np.uint32(31) + code[1:]) % size, minlength=size)
+    return out
+
+
+def most_alike(left: list[str], right: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, indel) of each left text and the right one with the highest indel, if that is over `least` (0 or more); the first of
+    equal ones. No text is empty.
+
+    A text is compared with the others in the order of an upper bound, which ends the search: characters in common, and where
+    that leaves many, pairs of characters in common. Of P such pairs, a common subsequence of m leaves at least m - (la + lb - 2 m + 1),
+    since la + lb - 2 m characters are outside it, and each parts it at most once more.
+    """
+    place = {x: j for j, x in reversed(list(enumerate(right)))}
+    names, at = list(place)[::-1], np.array(list(place.values())[::-1], np.int64)
+    size, bags = np.array([len(x) for x in names], np.int64), gram_bags(names, 1, 64)
+    for i, (x, bag) in enumerate(zip(left, gram_bags(left, 1, 64), strict=True)):
+        near = np.flatnonzero(200 * np.minimum(len(x), size) > least * (len(x) + size))
+        bound = 200.0 * np.minimum(bag, bags[near]).sum(1) / (len(x) + size[near])
+        best, one = least, -1
+        for narrowed in (False, True):
+            order = np.lexsort((at[near], -bound))
+            for k in order if narrowed else order[:1]:
+                if bound[k] < best or (bound[k] == best and (one < 0 or at[near[k]] > one)):
+                    if bound[k] < best:
+                        break
+                    continue
+                score = indel(x, names[near[k]])
+                if score > best or (score == best and 0 <= at[near[k]] < one):
+                    best, one = score, int(at[near[k]])
+            if not narrowed:
+                rest = bound >= best
+                rest[order[:1]] = False
+                near, bound = near[rest], bound[rest]
+                if len(near) > 2:
+                    pairs = np.minimum(gram_bags([x], 2, 512), gram_bags([names[k] for k in near], 2, 512)).sum(1)
+                    total = len(x) + size[near]
+                    bound = np.minimum(bound, 200.0 * ((pairs + total + 1) // 3) / total)
+        if one >= 0:
+            yield i, one, best
+
+
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -92,8 +92,17 @@ def nfkc(lines: DataFrame, column: str) -> DataFrame:
     return lines.withColumn(column, F.coalesce(compatible(F.when(~plain, F.col(column))), F.col(column)))
 
 
+def without_label(s: Column) -> Column:
+    """Heading without section label, leading numerals and one-letter label."""
+    for pattern in (rf"(?i)^section\s*{NUMERAL}\s*[\-–—:]?\s*", r"(?i)^[ivxlcdm]+\.?\s*", r"^[0-9]+\.?\s*", r"^[a-zA-Z]\.\s*"):
+        s = F.regexp_replace(s, pattern, "")
+    return s
+
+
+def bare(s: Column) -> Column:
+    return F.regexp_replace(s, r"[^\p{L}\p{N}_]", "")
+
+
 def core_heading(s: Column) -> Column:
     """Heading in compatibility form without section label, leading numerals, one-letter label, blanks and punctuation."""
-    for pattern in (rf"(?i)^section\s*{NUMERAL}\s*[\-–—:]?\s*", r"(?i)^[ivxlcdm]+\.?\s*", r"^[0-9]+\.?\s*", r"^[a-zA-Z]\.\s*", r"[^\p{L}\p{N}_]"):
-        s = F.regexp_replace(s, pattern, "")
-    return F.lower(s)
+    return F.lower(bare(without_label(s)))

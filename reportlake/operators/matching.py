@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
-from reportlake.functions.similarity import alike, indel_ratio, seq_ratio
+from reportlake.functions.similarity import alike, most_alike, seq_ratio
 
 from . import contents, linking
 
@@ -183,32 +182,88 @@ def recovered_rows(report: DataFrame, good: DataFrame, least: float = 0.95, cap:
     return fresh.select("doc_id", "cuec_description", F.lit("recovered_from_output_txt").alias("cuec_source"), F.lit(round(value, 3)).alias("cuec_confidence"), notes.alias("justification"))
 
 
-#: Lengths of two keys whose indel ratio exceeds 85 differ by less than this factor.
-LENGTH_BAND = 1.36
+#: Pairs of a heading and a line that a task should at least be worth.
+TASK_PAIRS = 20_000
+
+
+def line_packs(lines: DataFrame, joined: int) -> DataFrame:
+    """The non-blank lines (doc_id, line_no, line), trimmed and in compatibility form: PACK in a pack, in their order, with the
+    few lines after them that runs of `joined` reach into.
+
+    (doc_id, pack, begun, line_no, body, skip, odd): how many lines are the pack's own, and arrays by line: its number, its
+    letters and digits, and how many of them core_heading() takes for a label in front. A line that may be a label as a whole
+    has the keys of its runs in `odd` instead, since what follows decides.
+    """
+    own = contents.nfkc(lines.where(F.trim("line") != "").select("doc_id", "line_no", F.trim("line").alias("line")), "line")
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    text = contents.without_label(F.col("line"))
+    body = contents.bare(F.col("line"))
+    ahead = F.array("line", *[F.lead("line", k).over(order) for k in range(1, joined)])
+    rows = own.select("doc_id", "line_no", "line", body.alias("body"), text.alias("text"), (F.row_number().over(order) - 1).alias("nth"), ahead.alias("ls"))
+    odd = F.array(*[contents.core_heading(F.array_join(F.slice("ls", F.lit(1), F.lit(n)), " ")) for n in range(1, joined + 1)])
+    rows = rows.withColumn("odd", F.when((F.col("text") == "") | F.col("line").rlike(r"(?i)^section\s*$"), odd)).withColumn("skip", F.length("body") - F.length(contents.bare(F.col("text"))))
+    pack = F.floor(F.col("nth") / PACK)
+    # a line is also the tail of the pack before it
+    packs = F.when((F.col("nth") % PACK < joined - 1) & (pack > 0), F.array(pack, pack - 1)).otherwise(F.array(pack))
+    each = rows.select("doc_id", pack.alias("home"), F.explode(packs).alias("pack"), F.struct("nth", "line_no", "body", "skip", "odd").alias("l"))
+    grouped = each.groupBy("doc_id", "pack").agg(F.count_if(F.col("home") == F.col("pack")).cast("int").alias("begun"), F.array_sort(F.collect_list("l")).alias("ls"))
+    return grouped.select("doc_id", "pack", "begun", *[F.col(f"ls.{c}").alias(c) for c in ("line_no", "body", "skip", "odd")])
+
+
+def run_keys(joined: int) -> Column:
+    """Of a row of line_packs(): array of (line_no, n_lines, key) of the runs of 1 to `joined` lines that begin in the pack, in
+    the order of line_no and n_lines, with the core heading of each; those with an empty one are left out."""
+
+    def run(i: Column, n: Column) -> Column:
+        plain = F.concat(F.substr(F.get("body", i), F.get("skip", i) + 1), F.array_join(F.slice("body", i + 2, n - 1), ""))
+        return F.struct(F.get("line_no", i).alias("line_no"), n.alias("n_lines"), F.coalesce(F.get(F.get("odd", i), n - 1), F.lower(plain)).alias("key"))
+
+    each = F.transform(F.sequence(F.lit(0), F.col("begun") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(joined), F.size("body") - i)), lambda n: run(i, n)))
+    return F.filter(F.flatten(each), lambda r: r["key"] != "")
 
 
 def match_heading(toc: DataFrame, lines: DataFrame, least: float = 85.0, joined: int = 3) -> DataFrame:
     """(doc_id, heading, line_no, n_lines, score): where each heading (doc_id, heading) of a table of contents stands.
 
     Candidates are up to `joined` non-blank lines in a row (doc_id, line_no, line; give those after the table itself). Equal
-    core headings come first, by an equi join, with score 100 and the first line; the other headings take the best indel
-    ratio above `least` (85 or more), compared within their document and among keys of like length only, which loses none.
+    core headings come first, by an equi join on their digests, with score 100 and the first line. The other headings take the
+    best indel ratio above `least`, ties to the first line and then the shorter run, each among all runs of its document: packs
+    of headings meet packs of lines, and inside a pair the runs with the highest bound are compared first, until no other can
+    be better.
     """
-    t = contents.nfkc(toc.select("doc_id", "heading", F.col("heading").alias("key")).distinct(), "key").withColumn("key", contents.core_heading(F.col("key"))).where("key <> ''")
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    own = contents.nfkc(lines.where(F.trim("line") != "").select("doc_id", "line_no", F.trim("line").alias("line")), "line")
-    ahead = [F.lead("line", k).over(order) for k in range(1, joined)]
-    rows = own.select("doc_id", "line_no", F.array("line", *ahead).alias("ls"))
-    runs = F.transform(F.sequence(F.lit(1), F.lit(joined)), lambda n: F.when(F.get("ls", n - 1).isNotNull(), F.struct(n.alias("n_lines"), F.array_join(F.slice("ls", F.lit(1), n), " ").alias("text"))))
-    found = rows.select("doc_id", "line_no", F.explode(F.array_compact(runs)).alias("r")).select("doc_id", "line_no", "r.n_lines", contents.core_heading(F.col("r.text")).alias("line_key")).where("line_key <> ''")
-    exact = t.join(found.withColumnRenamed("line_key", "key"), ["doc_id", "key"]).withColumn("score", F.lit(100.0)).select("doc_id", "heading", "key", "line_no", "n_lines", "score")
-    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / math.log(LENGTH_BAND))
-    open_ = t.join(exact.select("doc_id", "heading").distinct(), ["doc_id", "heading"], "left_anti")
-    wide = open_.withColumn("band", F.explode(F.sequence(band("key") - 1, band("key") + 1)))
-    near = wide.join(found.withColumn("band", band("line_key")), ["doc_id", "band"]).where(200 * F.least(F.length("key"), F.length("line_key")) > least * (F.length("key") + F.length("line_key")))
-    near = near.withColumn("score", indel_ratio("key", "line_key")).where(F.col("score") > least).select("doc_id", "heading", "key", "line_no", "n_lines", "score")
-    best = exact.unionByName(near).groupBy("doc_id", "heading").agg(F.min(F.struct((-F.col("score")).alias("s"), "line_no", "n_lines")).alias("b"))
-    return best.select("doc_id", "heading", "b.line_no", "b.n_lines", (-F.col("b.s")).alias("score"))
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    t = contents.nfkc(toc.select("doc_id", "heading", F.col("heading").alias("key")).distinct(), "key").withColumn("key", contents.core_heading(F.col("key"))).where("doc_id is not null and key <> ''")
+    packed = linking.written(line_packs(lines.where("doc_id is not null"), joined), "line-packs")
+    # outer, or the keys would be worked out a second time to see that there are any
+    found = packed.select("doc_id", F.explode_outer(run_keys(joined)).alias("r")).select("doc_id", F.md5("r.key").alias("digest"), F.struct("r.line_no", "r.n_lines").alias("at"))
+    first = found.groupBy("doc_id", "digest").agg(F.min("at").alias("at"))
+    judged = t.withColumn("digest", F.md5("key")).join(first, ["doc_id", "digest"], "left")
+    judged = linking.written(judged.select("doc_id", "heading", F.when(F.col("at").isNull(), F.col("key")).alias("key"), "at"), "headings")
+    open_ = judged.where("at is null")
+    left = open_.join(open_.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs")), "doc_id")
+    left = left.groupBy("doc_id", F.pmod(F.xxhash64("heading"), "packs").alias("left_no")).agg(F.collect_list(F.struct("heading", "key")).alias("h"), F.min(F.length("key")).alias("shortest"), F.max(F.length("key")).alias("longest"))
+    held = linking.written(left.join(packed, "doc_id"), "heading-packs")
+    work = held.agg(F.sum(F.size("h").cast("long") * F.col("begun"))).first()[0] or 0
+    met = held.repartition(max(1, min(work // TASK_PAIRS + 1, 2000)), "doc_id", "left_no", "pack")
+    # a run can only be a match if its length is like that of some heading
+    like = lambda a, b: 200 * F.least(a, b) > least * (a + b)
+    size = lambda r: F.length(r["key"])
+    shortest, longest = F.col("shortest"), F.col("longest")
+    near = F.filter(run_keys(joined), lambda r: (like(size(r), shortest) | (size(r) > shortest)) & (like(size(r), longest) | (size(r) < longest)))
+    met = met.select("doc_id", "h", near.alias("r")).select("doc_id", "h.heading", "h.key", "r.line_no", "r.n_lines", F.col("r.key").alias("line_key"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, heads, keys, at, n, line_keys in zip(*(b[c] for c in ("doc_id", "heading", "key", "line_no", "n_lines", "line_key")), strict=True):
+                rows += [(doc, heads[i], at[j], n[j], score) for i, j, score in most_alike(list(keys), list(line_keys), least)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "heading", "line_no", "n_lines", "score"])
+
+    scored = met.mapInPandas(run, f"doc_id {kind}, heading string, line_no {lines.schema['line_no'].dataType.simpleString()}, n_lines int, score double")
+    best = scored.groupBy("doc_id", "heading").agg(F.min(F.struct((-F.col("score")).alias("s"), "line_no", "n_lines")).alias("b"))
+    equal = judged.where("at is not null").select("doc_id", "heading", "at.line_no", "at.n_lines", F.lit(100.0).alias("score"))
+    return equal.unionByName(best.select("doc_id", "heading", "b.line_no", "b.n_lines", (-F.col("b.s")).alias("score")))
 
 
 def separator(p: Column) -> Column:

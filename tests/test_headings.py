@@ -1,5 +1,11 @@
 """Boundary-seeking chunks and edge lines."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from reportlake.functions import similarity
+from reportlake.operators import contents, matching
 from reportlake.operators import headings as H
 
 
@@ -17,3 +23,26 @@ def test_boundary_chunks_lose_nothing(spark):
 def test_repeated_edge_lines(spark):
     pages = spark.createDataFrame([(1, i, f"ACME AUDIT\nbody {i}\nmore\npage {i}") for i in range(1, 5)], "doc_id long, page_no long, text string")
     assert sorted((r["line"], r["n"]) for r in H.repeated_edge_lines(pages).collect()) == [("acme audit", 4), ("more", 4)]
+
+
+def test_the_most_alike_is_found_after_few_comparisons(monkeypatch):
+    # 1,500 long texts of the same letters, of which only a few are worth a comparison
+    rng, asked = random.Random(3), []
+    right = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200)) for _ in range(1500)]
+    left = [x[:50] + x[51:] for x in right[::100]] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200))]
+    want = [(i, *max((similarity.indel(x, y), -j) for j, y in enumerate(right))) for i, x in enumerate(left)]
+    real = similarity.indel
+    monkeypatch.setattr(similarity, "indel", lambda a, b: asked.append(1) or real(a, b))
+    assert list(similarity.most_alike(left, right, 85.0)) == [(i, -j, s) for i, s, j in want if s > 85]
+    assert len(asked) < 100
+
+
+def test_runs_that_begin_with_a_label_and_runs_over_packs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PACK", 2)
+    lines = ["Section", "4 - Tests", "iv.", "Section 5:", "B. Σ of ΟΔΟΣ", "next ΟΔΟΣ", "12", "mild words"]
+    rows = [(1, k, s) for k, s in enumerate(lines, 1)]
+    table = matching.line_packs(spark.createDataFrame(rows, "doc_id long, line_no long, line string"), 3)
+    got = sorted(tuple(r) for r in table.select(F.explode(matching.run_keys(3)).alias("r")).select("r.*").collect())
+    runs = [(k, n, " ".join(lines[k - 1 : k - 1 + n])) for k in range(1, 9) for n in (1, 2, 3) if k - 1 + n <= 8]
+    whole = spark.createDataFrame(runs, "k long, n int, s string").select("k", "n", contents.core_heading(F.col("s")).alias("key"))
+    assert got == sorted(tuple(r) for r in whole.where("key <> ''").collect())
