@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings of one automaton; some hundred bytes each.
 MOST = 200_000
+#: Texts of a batch whose finds go out together.
+PART = 500
 WORD = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,24 +56,31 @@ def found_spellings(docs: DataFrame, spellings: DataFrame, most: int = MOST) ->
         own = listed.where(F.pmod(F.xxhash64("spelling"), F.lit(shares)) == k).collect()
         shared = spark.sparkContext.broadcast([(r["spelling"], r["whole"]) for r in own])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = shared.value
             find = automaton(names) if names else None
             for b in batches:
-                rows = []
-                for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                    counts: dict[int, int] = {}
-                    free: dict[int, int] = {}
-                    for last, (i, size, whole) in find.iter(text) if find and text else ():
-                        start = last + 1 - size
-                        if start >= free.get(i, 0) and (not whole or bounded(text, start, last + 1)):
-                            counts[i] = counts.get(i, 0) + 1
-                            free[i] = last + 1
-                    rows += [(doc, names[i][0], c) for i, c in counts.items()]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "spelling", "n"])
-
-        return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, spelling string, n long")
+                # one text at a time becomes a string, and what is found goes out in bounded parts
+                for at in range(0, b.num_rows, PART):
+                    part = b.slice(at, PART)
+                    row, which, n = [], [], []
+                    for k, held in enumerate(part.column(1)):
+                        text = held.as_py()
+                        counts: dict[int, int] = {}
+                        free: dict[int, int] = {}
+                        for last, (i, size, whole) in find.iter(text) if find and text else ():
+                            start = last + 1 - size
+                            if start >= free.get(i, 0) and (not whole or bounded(text, start, last + 1)):
+                                counts[i] = counts.get(i, 0) + 1
+                                free[i] = last + 1
+                        row += [k] * len(counts)
+                        which += counts.keys()
+                        n += counts.values()
+                    if row:
+                        found = pa.array([names[i][0] for i in which], pa.string())
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), found, pa.array(n, pa.int64())], ["doc_id", "spelling", "n"])
+
+        return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, spelling string, n long")
 
     out = of_share(0)
     for k in range(1, shares):

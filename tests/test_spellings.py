@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from reportlake.operators import spellings as N
 
@@ -53,3 +54,11 @@ def test_ten_thousand_ids_take_one_pass(spark):
     assert {(r["doc_id"], r["id"]) for r in got.collect()} == want
     plan = N.found_spellings(docs, N.spelled_ids(ids))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_texts_are_read_from_arrow_one_at_a_time(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Σ kpmg kpmg").when(F.col("id") % 3 == 1, F.lit(None).cast("string")).otherwise("none").alias("text"))
+    found = N.found_spellings(docs, spark.createDataFrame([("kpmg", False), ("Σ", True)], "spelling string, whole boolean"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [(k, "kpmg", 2) for k in range(0, 3000, 3)]
