@@ -31,6 +31,7 @@ CHUNK_RUNS = 400_000
 MEMO = 1 << 18
 U = np.uint64
 NONE = np.iinfo(np.int64).max
+EDGE = np.ones(1, bool)
 
 
 class WordHashes(dict):
@@ -96,8 +97,8 @@ def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     own = window_names(h)
     if not len(own):
         return own, own, own, own
-    starts = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
-    sizes = np.diff(np.r_[starts, len(own)])
+    edges = np.flatnonzero(np.concatenate((EDGE, own[1:] != own[:-1], EDGE)))
+    starts, sizes = edges[:-1], edges[1:] - edges[:-1]
     return own[starts], Prints(h).of(starts, starts + sizes + WINDOW - 1), starts, sizes
 
 
@@ -167,6 +168,9 @@ def pieces(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
+            # plain pieces by column, those of hot names by row
+            whole: list[tuple] = []
+            passages: list[bytes] = []
             out: list[tuple] = []
             sent: dict[int, int] = {}
             for doc, text, name, own, start, size, hot in zip(batch["doc_id"].tolist(), batch["text"], *(batch[c] for c in WANTED), strict=True):
@@ -177,15 +181,19 @@ def pieces(asked: DataFrame) -> DataFrame:
                 fits = stop <= len(words)  # else, or with another print, of another row with the same doc_id
                 mine = fits & (prints.of(np.where(fits, start, 0), np.where(fits, stop, 0)) == own)
                 one = mine & ~hot
-                for n, p, a, z in zip(np.asarray(name)[one].tolist(), own[one].tolist(), start[one].tolist(), stop[one].tolist(), strict=True):
-                    out.append((n, p, n, p, -1, b" ".join(words[a:z]), doc))
+                whole.append((np.asarray(name, np.int64)[one], own[one], np.full(int(one.sum()), doc, np.int64)))
+                passages += [b" ".join(words[a:z]) for a, z in zip(start[one].tolist(), stop[one].tolist(), strict=True)]
                 for j in np.flatnonzero(mine & hot):
                     at = np.arange(start[j], stop[j] - WINDOW + 1)
                     for k, each in enumerate(prints.of(at, at + WINDOW).tolist()):
                         first = sent.get(each, doc + 1) > doc
                         sent[each] = min(doc, sent.get(each, doc))
                         out.append((each, each, int(name[j]), int(own[j]), k, b" ".join(words[at[k] : at[k] + WINDOW]) if first else None, doc))
-            yield pd.DataFrame(out, columns=["route", "piece", "name", "print", "k", "passage", "doc"])
+            if passages:
+                n, p, d = (np.concatenate([x[k] for x in whole]) for k in range(3))
+                yield pd.DataFrame({"route": n, "piece": p, "name": n, "print": p, "k": np.full(len(n), -1, np.int32), "passage": passages, "doc": d})
+            if out:
+                yield pd.DataFrame(out, columns=["route", "piece", "name", "print", "k", "passage", "doc"])
 
     return asked.select("doc_id", "text", *WANTED).mapInPandas(run, "route long, piece long, name long, print long, k int, passage binary, doc long")
 
