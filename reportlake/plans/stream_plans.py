@@ -1,4 +1,4 @@
-"""Queries whose rows come from a running stream: the table is written as files, read by readStream file by file with state
+"""Queries whose rows come from a running stream: the table is written as files, read by readStream part by part with state
 in between, and what the sinks hold at the end is the result."""
 
 from __future__ import annotations
@@ -20,24 +20,31 @@ from .views import view
 PARTS = 3
 
 
-def in_time(rows: DataFrame, ts: str = "ts") -> DataFrame:
-    """A stream of rows that come in files one after the other, older ones first."""
-    spark, path = rows.sparkSession, S.scratch(rows.sparkSession, "stream-in")
+def in_time(rows: DataFrame, ts: str = "ts") -> list[DataFrame]:
+    """rows in PARTS parts, older ones first."""
     cuts = rows.select(F.expr(f"percentile_approx({ts}, array({', '.join(str(k / PARTS) for k in range(1, PARTS))}))").alias("c")).first()["c"] or []
     part = F.lit(0)
     for c in cuts:
         part = part + F.when(F.col(ts) > F.lit(c), 1).otherwise(0)
-    for k in range(PARTS):
-        rows.where(part == k).coalesce(2).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return [rows.where(part == k) for k in range(PARTS)]
 
 
-def settled(stream: DataFrame, mode: str, keep: Callable[[DataFrame, int], None]) -> None:
-    """Runs a stream over all that is there."""
-    state = S.scratch(stream.sparkSession, "stream-state")
+def settled(stream: DataFrame, mode: str, keep: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    """Runs a stream over all that is there, or, with the `state` of a run before, over what has come since."""
+    state = state or S.scratch(stream.sparkSession, "stream-state")
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def settled_in_time(rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, keep: Callable[[DataFrame, int], None]) -> None:
+    """Runs the stream that build() makes of rows, part after part in the order of time. A part is one batch, in however many
+    files and whatever order it is written, so no row comes a batch after a later one that another file of its part held."""
+    spark = rows.sparkSession
+    path, state = S.scratch(spark, "stream-in"), S.scratch(spark, "stream-state")
+    for part in in_time(rows):
+        part.write.mode("append").parquet(path)
+        settled(build(spark.readStream.schema(rows.schema).parquet(path)), mode, keep, state)
+
+
 def updated(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The newest row of each key that a stream in update mode gave."""
     path = S.scratch(stream.sparkSession, "stream-out")
@@ -45,6 +52,12 @@ def updated(stream: DataFrame, keys: list[str]) -> DataFrame:
     return K.latest_rows(stream.sparkSession, path, keys)
 
 
+def updated_in_time(rows: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    path = S.scratch(rows.sparkSession, "stream-out")
+    settled_in_time(rows, build, "update", K.update_sink(path))
+    return K.latest_rows(rows.sparkSession, path, keys)
+
+
 def job_events(spark, d):
     jobs = view(spark, d, "v_jobs").withColumn("ts", F.col("ts").cast("timestamp"))
     guess = F.when(F.col("event_id") % 5 == 0, None).when(F.col("event_id") % 7 == 0, 0).otherwise(50 + F.col("event_id") % 51)
@@ -61,7 +74,7 @@ from g join x using (job_id, extractor) left join y using (job_id, extractor)"""
 
 @query("r01_extractor_progress", PROGRESS_SQL)
 def r01c(spark, d):
-    out = updated(P.extractor_progress_stream(in_time(job_events(spark, d))), ["job_id", "extractor"])
+    out = updated_in_time(job_events(spark, d), P.extractor_progress_stream, ["job_id", "extractor"])
     return out.withColumn("per_minute", F.round("per_minute", 6)).withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
@@ -73,7 +86,7 @@ def r03b(spark, d):
     """With 70 percent as the bound, since few of the jobs come to 95."""
     path = S.scratch(spark, "closed")
     events = view(spark, d, "v_jobs").select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "progress")
-    settled(P.idle_jobs_stream(in_time(events), 1800, 70), "append", K.update_sink(path))
+    settled_in_time(events, lambda df: P.idle_jobs_stream(df, 1800, 70), "append", K.update_sink(path))
     out = spark.read.schema(P.CLOSED).parquet(f"{path}/batch=*")
     return out.select("job_id", F.col("last").cast("timestamp_ntz").alias("last"), "progress", F.col("closed").cast("timestamp_ntz").alias("closed"))
 
@@ -94,7 +107,7 @@ def r02b(spark, d):
 round(sum(cast((prompt_tokens * 150000 + completion_tokens * 600000) as decimal(38, 0))) / 1e12, 6) as cost from v_usage group by 1""")
 def r05b(spark, d):
     usage = view(spark, d, "v_usage").withColumn("ts", F.col("ts").cast("timestamp"))
-    return updated(R.running_cost(in_time(usage)), ["model"]).withColumn("cost", F.round("cost", 6))
+    return updated_in_time(usage, R.running_cost, ["model"]).withColumn("cost", F.round("cost", 6))
 
 
 def finished_scans(spark, d):

@@ -4,7 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from reportlake.plans import catalog
+from reportlake.plans.views import view
 from reportlake.streaming import jobs as R
 from reportlake.streaming import sinks as K
 from reportlake.streaming import stateful as P
@@ -85,6 +88,19 @@ def test_long_silence_forgets_nothing(spark, tmp_path):
     assert sorted(map(tuple, closed)) == sorted(map(tuple, P.idle_jobs(seen, 1800, 95).collect())) and len(closed) == 1
 
 
+def test_files_of_one_time_are_one_batch(spark, tmp_path):
+    """The oldest third lies in the larger file alone; of the middle one, each file holds later rows of some jobs than the other."""
+    rng = random.Random(5)
+    rows = [(i, BEGIN + timedelta(minutes=i * 3, microseconds=rng.randrange(10**6)), i % 12, "ab"[i % 2], 60.0 if i <= 120 else 70.0 + i % 30) for i in range(360)]
+    large = lambda r: r[0] <= 120 or (r[0] <= 240 and r[2] % 2 == (r[0] <= 180))
+    for part in ([(*r, str(rng.random())) for r in rows if large(r)], [(*r, "") for r in rows if not large(r)]):
+        spark.createDataFrame(part, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["r03_idle_closeout"](spark, str(tmp_path)).collect()
+    seen = view(spark, str(tmp_path), "v_jobs").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = P.idle_jobs(seen, 1800, 70).withColumn("last", F.col("last").cast("timestamp_ntz")).withColumn("closed", F.col("closed").cast("timestamp_ntz")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 12
+
+
 def controls(spark, rows):
     df = spark.createDataFrame([(*r, 0.95, BEGIN + timedelta(days=k)) for k, r in enumerate(rows)], "organization string, scan_id long, control_id string, control_confidence double, updated_at timestamp")
     return df
