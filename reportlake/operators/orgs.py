@@ -15,7 +15,7 @@ from . import linking
 from .spellings import found_spellings
 
 #: Texts, or companies, of a report that are compared in one go.
-PACK = 1024
+PACK = 8192
 
 #: Words that tell infrastructure providers and tools.
 INFRASTRUCTURE = ["infrastructure", "cloud hosting", "colocation", "data center", "iaas", "paas"]
@@ -72,15 +72,16 @@ def own_named(texts: DataFrame, companies: DataFrame, alike: float | None = None
     are more than `alike` similar to one; None leaves the similarity out. Case counts for holding only.
 
     Companies are looked for by one automaton of all of them, so a text is read once however many there are. Only texts that
-    hold none are compared, in packs of a report's texts and companies, each up to the first company that is alike.
+    hold none and are about as long as a company of their report are compared, in packs of a report's texts and companies, each
+    up to the first company that is alike.
     """
     told = linking.written(texts.where("scan_id is not null and text <> ''").select("scan_id", "text").distinct(), "told")
     own = linking.written(companies.where("scan_id is not null and company <> ''").select("scan_id", "company").distinct(), "companies")
     found = found_spellings(told.select(F.col("text").alias("doc_id"), "text").distinct(), own.select(F.col("company").alias("spelling"), F.lit(False).alias("whole")))
     held = found.select(F.col("doc_id").alias("text"), F.col("spelling").alias("company")).join(told, "text").join(own, ["scan_id", "company"], "left_semi").select("scan_id", "text").distinct()
+    held = linking.written(held, "held")
     if alike is None:
         return held
-    held = linking.written(held, "held")
 
     def packed(df: DataFrame, column: str, name: str) -> DataFrame:
         packs = df.groupBy("scan_id").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
@@ -93,10 +94,24 @@ def own_named(texts: DataFrame, companies: DataFrame, alike: float | None = None
                 if hits:
                     yield pd.DataFrame(hits, columns=["scan_id", "text"])
 
-    met = packed(told.join(held, ["scan_id", "text"], "left_anti"), "text", "ls").join(packed(own, "company", "rs"), "scan_id")
+    kind = told.schema["scan_id"].dataType.simpleString()
+
+    def sized(df: DataFrame, column: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(size=[len(x.strip().lower()) for x in b[column]])
+
+        return df.select("scan_id", column).mapInPandas(run, f"scan_id {kind}, {column} string, size int")
+
+    spans = sized(own, "company").where("size > 0").groupBy("scan_id").agg(F.min("size").alias("shortest"), F.max("size").alias("longest"))
+    size, shortest, longest = F.col("size"), F.col("shortest"), F.col("longest")
+    like = lambda a, b: 2 * F.least(a, b) >= F.lit(alike - 1e-9) * (a + b)
+    rest = sized(told.join(held, ["scan_id", "text"], "left_anti"), "text").where("size > 0").join(spans, "scan_id")
+    rest = rest.where(((size > shortest) | like(size, shortest)) & ((size < longest) | like(size, longest))).select("scan_id", "text")
+    met = packed(linking.written(rest, "compared"), "text", "ls").join(packed(own, "company", "rs"), "scan_id")
     met = linking.apart(met, "scan_id", "ls_no", "rs_no").select("scan_id", "ls", "rs")
-    near = met.mapInPandas(run, f"scan_id {told.schema['scan_id'].dataType.simpleString()}, text string")
-    return held.unionByName(near.distinct())
+    near = met.mapInPandas(run, f"scan_id {kind}, text string")
+    return held.unionByName(linking.written(near.distinct(), "near"))
 
 
 def with_own(rows: DataFrame, named: DataFrame, mark: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from reportlake.functions import similarity
 from reportlake.functions.similarity import ratio
 from reportlake.operators import orgs as O  # noqa: N812
 
@@ -27,3 +28,28 @@ def test_no_join_of_all_names_with_all_companies(spark):
     plan = left._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "contains(" not in plan
     assert sorted(r["org_key"] for r in left.collect()) == [0, 1, *range(9, 20)]
+
+
+def test_few_names_are_compared(monkeypatch):
+    """Of 3,000 names that differ in a few digits, or in all letters, only few are held against a text in full."""
+    rng, asked = random.Random(6), []
+    numbered = [f"supplier#{k * 25:09d}" for k in range(3000)]
+    mixed = ["".join(rng.choices("0123456789abcdef", k=16)) for _ in range(3000)]
+    texts = [f"supplier#{k * 25 + 1:09d} inc" for k in range(100)] + [x[:15] + "z" for x in mixed[:100]] + [x[::-1] for x in mixed[:100]] + ["", "x" * 30]
+    right = numbered + mixed
+    want = [any(ratio(x, y) > 0.85 for y in right) for x in texts[::10]]
+    for name in ("common_subsequence", "common_subsequences"):
+        real = getattr(similarity, name)
+        monkeypatch.setattr(similarity, name, lambda a, b, *w, real=real: asked.extend([1] * (1 if isinstance(b, str) else len(b))) or real(a, b, *w))
+    got = similarity.any_alike(texts, right, 0.85)
+    assert got[::10] == want and sum(got) == 100 and len(asked) < 20 * len(texts)
+
+
+def test_any_alike_equals_all_pairs():
+    rng = random.Random(7)
+    for _ in range(120):
+        letters, over = rng.choice(["ab", "abcd ", "0123456789abcdef", "aé İß\U0001d54f"]), rng.choice([0.0, 0.3, 0.5, 0.72, 0.85, 0.9, 1.0])
+        word = lambda n: "".join(rng.choices(letters, k=rng.randrange(n)))  # noqa: E731, B023
+        right = [word(24) for _ in range(rng.choice([0, 1, 40]))] + [word(200)]
+        left = [word(30) for _ in range(20)] + [f" {y[:-1]}{word(3)}".upper() for y in right] + [None]
+        assert similarity.any_alike(left, right, over) == [any(ratio(x, y) > over for y in right) for x in left]
