@@ -161,8 +161,8 @@ OBLIGATIONS = ["should", "must", "shall", "ensure", "required to", "controls are
 
 
 def any_of(text: Column, phrases: list[str]) -> Column:
-    low = F.lower(text)
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, p))
+    # the text is an element of an array, or Spark would work it out again for each phrase
+    return F.exists(F.array(F.lower(text)), lambda low: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, p)))
 
 
 def responsibility(text: Column) -> Column:

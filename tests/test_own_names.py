@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from reportlake.functions import similarity
+from reportlake.functions import text as T
 from reportlake.functions.similarity import ratio
 from reportlake.operators import orgs as O  # noqa: N812
 
@@ -53,3 +56,13 @@ def test_any_alike_equals_all_pairs():
         right = [word(24) for _ in range(rng.choice([0, 1, 40]))] + [word(200)]
         left = [word(30) for _ in range(20)] + [f" {y[:-1]}{word(3)}".upper() for y in right] + [None]
         assert similarity.any_alike(left, right, over) == [any(ratio(x, y) > over for y in right) for x in left]
+
+
+def test_a_text_is_worked_out_once_for_all_phrases(spark):
+    """The text stands once in the test for generic words, however many words there are, so that it is worked out once."""
+    rows = spark.createDataFrame([("A Framework",), ("acme",), (None,)], "s string")
+    own = F.concat(F.lit("The "), "s")
+    assert [r[0] for r in rows.select(T.any_of(own, O.GENERIC_WORDS)).collect()] == [True, False, None]
+    tree = rows.select(T.any_of(own, ["x", "y"]))._jdf.queryExecution().optimizedPlan().toString()
+    inner = tree[tree.index("contains(") :]
+    assert "concat(" not in inner.split(")")[0] and "lower(" not in inner.split(")")[0]
