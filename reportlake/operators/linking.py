@@ -28,7 +28,7 @@ COMMON = 4096
 
 def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

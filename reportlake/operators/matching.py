@@ -199,7 +199,9 @@ def line_packs(lines: DataFrame, joined: int) -> DataFrame:
     text = contents.without_label(F.col("line"))
     body = contents.bare(F.col("line"))
     ahead = F.array("line", *[F.lead("line", k).over(order) for k in range(1, joined)])
-    rows = own.select("doc_id", "line_no", "line", body.alias("body"), text.alias("text"), (F.row_number().over(order) - 1).alias("nth"), ahead.alias("ls"))
+    # what is made of a line is made after the shuffle
+    rows = own.select("doc_id", "line_no", "line", (F.row_number().over(order) - 1).alias("nth"), ahead.alias("ls"))
+    rows = rows.withColumns({"body": body, "text": text})
     odd = F.array(*[contents.core_heading(F.array_join(F.slice("ls", F.lit(1), F.lit(n)), " ")) for n in range(1, joined + 1)])
     rows = rows.withColumn("odd", F.when((F.col("text") == "") | F.col("line").rlike(r"(?i)^section\s*$"), odd)).withColumn("skip", F.length("body") - F.length(contents.bare(F.col("text"))))
     pack = F.floor(F.col("nth") / PACK)
@@ -229,22 +231,29 @@ def match_heading(toc: DataFrame, lines: DataFrame, least: float = 85.0, joined:
     core headings come first, by an equi join on their digests, with score 100 and the first line. The other headings take the
     best indel ratio above `least`, ties to the first line and then the shorter run, each among all runs of its document: packs
     of headings meet packs of lines, and inside a pair the runs with the highest bound are compared first, until no other can
-    be better.
+    be better. Lines and headings are each shuffled twice, and written once.
     """
     kind = lines.schema["doc_id"].dataType.simpleString()
-    t = contents.nfkc(toc.select("doc_id", "heading", F.col("heading").alias("key")).distinct(), "key").withColumn("key", contents.core_heading(F.col("key"))).where("doc_id is not null and key <> ''")
+    keyed = lambda df: contents.nfkc(df.select("doc_id", "heading", F.col("heading").alias("key")), "key").withColumn("key", contents.core_heading(F.col("key")))
     packed = linking.written(line_packs(lines.where("doc_id is not null"), joined), "line-packs")
+    digest = lambda c: F.unhex(F.md5(c))
     # outer, or the keys would be worked out a second time to see that there are any
-    found = packed.select("doc_id", F.explode_outer(run_keys(joined)).alias("r")).select("doc_id", F.md5("r.key").alias("digest"), F.struct("r.line_no", "r.n_lines").alias("at"))
+    found = packed.select("doc_id", F.explode_outer(run_keys(joined)).alias("r")).select("doc_id", digest(F.col("r.key")).alias("digest"), F.struct("r.line_no", "r.n_lines").alias("at"))
     first = found.groupBy("doc_id", "digest").agg(F.min("at").alias("at"))
-    judged = t.withColumn("digest", F.md5("key")).join(first, ["doc_id", "digest"], "left")
-    judged = linking.written(judged.select("doc_id", "heading", F.when(F.col("at").isNull(), F.col("key")).alias("key"), "at"), "headings")
+    # headings go to where they are joined once, as they are: the keys of those that are left over are made again
+    t = keyed(toc).where("doc_id is not null and key <> ''").select("doc_id", digest(F.col("key")).alias("digest"), "heading").repartition("doc_id", "digest").distinct()
+    judged = linking.written(t.join(first, ["doc_id", "digest"], "left").select("doc_id", "heading", "at"), "headings")
     open_ = judged.where("at is null")
-    left = open_.join(open_.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs")), "doc_id")
-    left = left.groupBy("doc_id", F.pmod(F.xxhash64("heading"), "packs").alias("left_no")).agg(F.collect_list(F.struct("heading", "key")).alias("h"), F.min(F.length("key")).alias("shortest"), F.max(F.length("key")).alias("longest"))
-    held = linking.written(left.join(packed, "doc_id"), "heading-packs")
-    work = held.agg(F.sum(F.size("h").cast("long") * F.col("begun"))).first()[0] or 0
-    met = held.repartition(max(1, min(work // TASK_PAIRS + 1, 2000)), "doc_id", "left_no", "pack")
+    sizes = open_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(packed.groupBy("doc_id").agg(F.sum("begun").alias("lines")), "doc_id")
+    work = sizes.agg(F.sum(F.col("n") * F.col("lines"))).first()[0] or 0
+    tasks = max(1, min(work // TASK_PAIRS + 1, 2000))
+    # headings of a document of several packs go to each of them
+    several = packed.where("pack > 0").groupBy("doc_id").agg(F.max("pack").alias("last"))
+    left = keyed(open_).join(several, "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long")))).alias("pack"), "heading", "key")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "pack").orderBy("heading"))
+    left = left.repartition(tasks, "doc_id", "pack").withColumn("left_no", F.floor((nth - 1) / PACK))
+    left = left.groupBy("doc_id", "pack", "left_no").agg(F.collect_list(F.struct("heading", "key")).alias("h"), F.min(F.length("key")).alias("shortest"), F.max(F.length("key")).alias("longest"))
+    met = left.join(packed.repartition(tasks, "doc_id", "pack"), ["doc_id", "pack"])
     # a run can only be a match if its length is like that of some heading
     like = lambda a, b: 200 * F.least(a, b) > least * (a + b)
     size = lambda r: F.length(r["key"])

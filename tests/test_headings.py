@@ -46,3 +46,21 @@ def test_runs_that_begin_with_a_label_and_runs_over_packs(spark, monkeypatch):
     runs = [(k, n, " ".join(lines[k - 1 : k - 1 + n])) for k in range(1, 9) for n in (1, 2, 3) if k - 1 + n <= 8]
     whole = spark.createDataFrame(runs, "k long, n int, s string").select("k", "n", contents.core_heading(F.col("s")).alias("key"))
     assert got == sorted(tuple(r) for r in whole.where("key <> ''").collect())
+
+
+def test_only_the_lines_themselves_are_shuffled(spark):
+    """What is made of a line (letters and digits, label) is made after the one shuffle, and headings go to their join once."""
+    lines = spark.createDataFrame([(1, k, s) for k, s in enumerate(["Section 1", "A. Scope", "", "words"], 1)], "doc_id long, line_no long, line string")
+    plan = matching.line_packs(lines, 3)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan[: plan.rindex("Exchange hashpartitioning")], plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "regexp_replace" in above and "regexp_replace" not in below
+
+
+def test_match_heading_over_several_packs(spark, monkeypatch):
+    """Headings meet each pack of their document; equal ones take the first line, the others the most alike run."""
+    monkeypatch.setattr(matching, "PACK", 2)
+    text = ["Alpha beta gamma delta", "second part of it", "Section 2", "overview of controls", "Alpha beta gamma delta", "last words of all"]
+    lines = [(d, k, s) for d in (1, 2) for k, s in enumerate(text, 1)]
+    heads = [(1, "1. alpha BETA gamma delta"), (1, "overview of contrls"), (1, "econd part of it Section 2"), (1, "nothing"), (2, "last wrds of all"), (2, "last wrds of all"), (3, "second part of it"), (None, "x")]
+    got = matching.match_heading(spark.createDataFrame(heads, "doc_id long, heading string"), spark.createDataFrame(lines, "doc_id long, line_no long, line string"))
+    assert sorted((r["doc_id"], r["heading"][:5], r["line_no"], r["n_lines"]) for r in got.collect()) == [(1, "1. al", 1, 1), (1, "econd", 2, 2), (1, "overv", 3, 2), (2, "last ", 6, 1)]
