@@ -121,7 +121,9 @@ def j27(spark, d):
 
 @query("j27_similar_self_orgs")
 def j27b(spark, d):
-    return O.mark_self_orgs(view(spark, d, "v_orgs"), own_companies(spark, d)).select("scan_id", "third_party_name", "third_party_description", "likely_so").distinct()
+    """Rows that differ in page and confidence only are one before they are marked."""
+    orgs = view(spark, d, "v_orgs").select("scan_id", "third_party_name", "third_party_description").distinct()
+    return O.mark_self_orgs(orgs, own_companies(spark, d)).select("scan_id", "third_party_name", "third_party_description", "likely_so").distinct()
 
 
 @query("a17_entity_counts", "select 'controls' as entity, count(*) as n from v_controls union all select 'cuecs', count(*) from v_cuecs union all select 'orgs', count(*) from v_orgs")
