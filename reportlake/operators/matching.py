@@ -249,7 +249,7 @@ def match_heading(toc: DataFrame, lines: DataFrame, least: float = 85.0, joined:
     tasks = max(1, min(work // TASK_PAIRS + 1, 2000))
     # headings of a document of several packs go to each of them
     several = packed.where("pack > 0").groupBy("doc_id").agg(F.max("pack").alias("last"))
-    left = keyed(open_).join(several, "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long")))).alias("pack"), "heading", "key")
+    left = keyed(open_).join(T.small(several), "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long")))).alias("pack"), "heading", "key")
     nth = F.row_number().over(Window.partitionBy("doc_id", "pack").orderBy("heading"))
     left = left.repartition(tasks, "doc_id", "pack").withColumn("left_no", F.floor((nth - 1) / PACK))
     left = left.groupBy("doc_id", "pack", "left_no").agg(F.collect_list(F.struct("heading", "key")).alias("h"), F.min(F.length("key")).alias("shortest"), F.max(F.length("key")).alias("longest"))
